@@ -3,11 +3,28 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe, neardup
+from . import bpe, neardup, sharding, token_store
 from .common import table
 
 
+def op1_feistel_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Law of rows: counts of shards differ by one at most."""
+    text = F.coalesce("text", F.lit(""))
+    rows = table(spark, sf_dir, "documents").select("doc_id", (F.octet_length(text) + 16).cast("long").alias("size"), F.crc32(text).alias("text_crc32"))
+    placed = sharding.assign_shards(rows, 40, ties=["text_crc32", "size"])
+    return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "row_number")
+
+
+def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    folder, manifest = token_store.write_token_files(docs, public_tokenizers.path("byte_bpe_50k.json"))
+    return token_store.read_token_files(folder, manifest, docs.select("doc_id"))
+
+
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -19,6 +36,8 @@ def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_feistel_shards": op1_feistel_shards,
+    "op2_token_files": op2_token_files,
     "op6_byte_bpe": op6_byte_bpe,
     "op10_near_duplicates": op10_near_duplicates,
 }

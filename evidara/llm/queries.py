@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, neardup, sharding, token_store
+from . import bpe, decontam, neardup, quality, sharding, token_store
 from .common import table
 
 
@@ -25,12 +25,20 @@ def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.read_token_files(folder, manifest, docs.select("doc_id"))
 
 
+def op5_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.assess(table(spark, sf_dir, "documents"), with_text=False).drop("failed_lines")
+
+
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     return bpe.encode_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN, digests=True)
 
 
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.find_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"), width=4, percent=80)
 
@@ -38,7 +46,9 @@ def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_feistel_shards": op1_feistel_shards,
     "op2_token_files": op2_token_files,
+    "op5_line_quality": op5_line_quality,
     "op6_byte_bpe": op6_byte_bpe,
+    "op8_decontamination": op8_decontamination,
     "op10_near_duplicates": op10_near_duplicates,
 }
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontam, neardup, quality, sharding, token_store
+from . import bpe, decontam, neardup, quality, sharding, token_store, toxicity
 from .common import table
 
 
@@ -25,6 +25,11 @@ def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.read_token_files(folder, manifest, docs.select("doc_id"))
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+
+
 def op5_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.assess(table(spark, sf_dir, "documents"), with_text=False).drop("failed_lines")
 
@@ -46,6 +51,7 @@ def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_feistel_shards": op1_feistel_shards,
     "op2_token_files": op2_token_files,
+    "op3_toxicity": op3_toxicity,
     "op5_line_quality": op5_line_quality,
     "op6_byte_bpe": op6_byte_bpe,
     "op8_decontamination": op8_decontamination,

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontam, neardup, quality, sharding, token_store, toxicity
+from . import bpe, decontam, langid, neardup, quality, sharding, token_store, toxicity
 from .common import table
 
 
@@ -44,6 +44,11 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.find_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return langid.predict(docs, langid.fit(docs))
+
+
 def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"), width=4, percent=80)
 
@@ -55,6 +60,7 @@ QUERIES = {
     "op5_line_quality": op5_line_quality,
     "op6_byte_bpe": op6_byte_bpe,
     "op8_decontamination": op8_decontamination,
+    "op9_language": op9_language,
     "op10_near_duplicates": op10_near_duplicates,
 }
 

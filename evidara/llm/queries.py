@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontam, langid, neardup, quality, sharding, token_store, toxicity
+from . import bpe, decontam, langid, neardup, pii, quality, sharding, token_store, toxicity
 from .common import table
 
 
@@ -40,6 +40,10 @@ def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN, digests=True)
 
 
+def op7_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find(table(spark, sf_dir, "documents"))
+
+
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.find_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -59,6 +63,7 @@ QUERIES = {
     "op3_toxicity": op3_toxicity,
     "op5_line_quality": op5_line_quality,
     "op6_byte_bpe": op6_byte_bpe,
+    "op7_personal_data": op7_personal_data,
     "op8_decontamination": op8_decontamination,
     "op9_language": op9_language,
     "op10_near_duplicates": op10_near_duplicates,

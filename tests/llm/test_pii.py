@@ -60,13 +60,13 @@ def corpus():
 
 
 def test_em_keeps_true_and_drops_false(spark):
-    rows = corpus() + [(900, None), (901, ""), (None, "x a@b.de"), (5, "twice +1 (555) 123-4567 4111111111111111")]
+    rows = corpus() + [(900, None), (901, ""), (None, "x a@b.de"), (902, "twice +1 (555) 123-4567 4111111111111111"), (900, None)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
     out = pii.find(df).collect()
     assert len(out) == len(rows)
     text_of = dict(rows[:400])
     for r in out:
-        if r.doc_id is None or r.doc_id >= 400 or r.spans.startswith("card") or "phone:6" in r.spans and r.doc_id == 5:
+        if r.doc_id is None or r.doc_id >= 400:
             continue
         spans = [s.split(":") for s in r.spans.split(",") if s]
         t = text_of[r.doc_id]
@@ -75,6 +75,7 @@ def test_em_keeps_true_and_drops_false(spark):
     one = next(r for r in out if r.doc_id is None)
     assert (one.n_email, one.spans) == (1, "email:2:8")
     assert one.base_sha256 == hashlib.sha256(b"email:2:8").hexdigest()
+    assert next(r.spans for r in out if r.doc_id == 902) == "phone:9:23"  # the base patterns take too many digits and fail
     none = next(r for r in out if r.doc_id == 900)
     assert (none.spans, none.base_sha256) == ("", hashlib.sha256(b"").hexdigest())
 

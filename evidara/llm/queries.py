@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontam, langid, neardup, pii, quality, sharding, token_store, toxicity
+from . import bpe, decontam, langid, licenses, neardup, pii, quality, sharding, token_store, toxicity
 from .common import table
 
 
@@ -30,6 +30,10 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
 
 
+def op4_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.find_licenses(table(spark, sf_dir, "documents"))
+
+
 def op5_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.assess(table(spark, sf_dir, "documents"), with_text=False).drop("failed_lines")
 
@@ -61,6 +65,7 @@ QUERIES = {
     "op1_feistel_shards": op1_feistel_shards,
     "op2_token_files": op2_token_files,
     "op3_toxicity": op3_toxicity,
+    "op4_licenses": op4_licenses,
     "op5_line_quality": op5_line_quality,
     "op6_byte_bpe": op6_byte_bpe,
     "op7_personal_data": op7_personal_data,

@@ -11,10 +11,13 @@ from collections.abc import Callable
 
 #: Chunks that a task keeps the ids of: those of late use, and as many from before.
 CACHE = 250_000
+#: Chunks that encode_all keeps the ids of at most.
+KNOWN = 750_000
 #: White space other than space and newline, in any definition; and the mark used below.
 _OTHER = [chr(c) for c in (0, 9, 11, 12, 13, 28, 29, 30, 31, 0x85, 0xA0, 0x1680, 0x180E, *range(0x2000, 0x200C), 0x2028, 0x2029, 0x202F, 0x205F, 0x2060, 0x3000, 0xFEFF)]
 _RUNS = ["  ", "\n\n", " \n", "\n "]
 _ENDS = tuple(".,;:!?")
+_MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
 def cut(text: str) -> list[str] | None:
@@ -46,3 +49,38 @@ class Chunks(dict):
             self.clear()
         self[chunk] = out
         return out
+
+
+def encode_all(texts: list[list[str]], known: dict[str, bytes], words: Callable[[list[str], list[str]], list[bytes]], other: Callable[[str], bytes]) -> list[bytes]:
+    """The encoded bytes of each text, given as its chunks.
+
+    Of what known lacks, letters alone go to words in one call, those with a space before them
+    (without it) and those without; the text of any other chunk goes to other.
+    """
+    get = known.get
+    values = [[*map(get, parts)] for parts in texts]
+    lacking = {c for parts, v in zip(texts, values) if None in v for c, x in zip(parts, v) if x is None}
+    if lacking:
+        if len(known) + len(lacking) > KNOWN:
+            known.clear()
+            values = [[None] * len(parts) for parts in texts]
+            lacking = set().union(*texts)
+        plain = {c for c in lacking if c.isalpha()}
+        bare, ended, rest = [], [], []
+        for c in lacking - plain:
+            stem = c.rstrip(_MARKS)
+            if stem != c and stem.isalpha():
+                ended.append((c, stem, "\0" + c[len(stem) :]))  # letters and the run of marks after them are always parted
+            else:
+                (bare if c[:1] == "\0" and c[1:].isalpha() else rest).append(c)
+        plain.update(stem for _, stem, _ in ended if stem not in known)
+        listed = list(plain)
+        known.update(zip(listed + bare, words(listed, [c[1:] for c in bare])))
+        for c in {*rest, *(marks for _, _, marks in ended)}:
+            if c not in known:
+                text = c[1:] if c[:1] == "\0" else c if c == "\n" else f" {c}"
+                known[c] = other(text) if text else b""
+        for c, stem, marks in ended:
+            known[c] = known[stem] + known[marks]
+        values = [[*map(get, parts)] if None in v else v for parts, v in zip(texts, values)]
+    return [b"".join(v) for v in values]

@@ -34,7 +34,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .chunks import Chunks, cut
+from .chunks import cut, encode_all
 from .common import materialize, scratch_path, slices
 
 _IDS, _IDX = b"EVIDS1", b"EVIDX1\0\0"
@@ -180,6 +180,16 @@ class Shard:
         self.file.close()
 
 
+def _alphabet() -> dict[int, str]:
+    """The printable character that stands for each byte in byte-level vocabularies; newline stays, to part words."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = [b for b in range(256) if b not in plain]
+    return {b: chr(b) for b in plain} | {b: chr(256 + k) for k, b in enumerate(others) if b != 10}
+
+
+_ALPHABET = _alphabet()
+
+
 class _Encoder:
     """Ids of whole texts by the tokenizers library; of chunks where it splits before every space and newline."""
 
@@ -195,16 +205,30 @@ class _Encoder:
         self.by_chunk = pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True) and said.get("normalizer") is None and said.get("post_processor") is None and said["model"]["type"] == "BPE"
         self.special = [x["content"] for x in said.get("added_tokens", [])]
         self.kind = "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
-        self.chunks = Chunks(self._encode)
+        self.known: dict[str, bytes] = {}
+        #: The same merges over text that is mapped to the alphabet of bytes and parted by white space.
+        self.merges = Tokenizer.from_str(json.dumps(said | {"pre_tokenizer": {"type": "WhitespaceSplit"}, "decoder": None, "added_tokens": []})) if self.by_chunk else None
 
     def _encode(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
 
-    def encode(self, text: str | None) -> bytes:
-        if not text:
-            return b""
-        parts = cut(text) if self.by_chunk and not any(x in text for x in self.special) else None
-        return self._encode(text) if parts is None else b"".join(map(self.chunks.__getitem__, parts))
+    def _encode_words(self, spaced: list[str], bare: list[str]) -> list[bytes]:
+        """Ids of words of letters, the first with a space before each: mapped to the alphabet of
+        bytes here, they go to the library's merges in one call, with white space between."""
+        if not spaced and not bare:
+            return []
+        mapped = "\n".join([" " + "\n ".join(spaced)] * bool(spaced) + bare)
+        if not mapped.isascii():
+            mapped = mapped.encode("utf-8", "surrogatepass").decode("latin-1").translate(_ALPHABET)
+        got = self.merges.encode(mapped.replace(" ", _ALPHABET[32]), add_special_tokens=False)
+        raw = np.array(got.ids, self.kind).tobytes()
+        ends = (np.cumsum(np.bincount(got.word_ids, minlength=len(spaced) + len(bare))) * int(self.kind[-1])).tolist()
+        return [raw[a:b] for a, b in zip([0, *ends], ends)]
+
+    def encode_all(self, texts: list[str | None]) -> list[bytes]:
+        parts = [cut(t) if t and self.by_chunk and not any(x in t for x in self.special) else None for t in texts]
+        done = iter(encode_all([p for p in parts if p is not None], self.known, self._encode_words, self._encode))
+        return [next(done) if p is not None else self._encode(t) if t else b"" for p, t in zip(parts, texts)]
 
 
 _encoders: dict[str, _Encoder] = {}
@@ -239,10 +263,9 @@ def _writer(spec, folder: str, end_id: int):
                 file.write(_IDS + bytes([width, 0]) + b"\0" * 8)
             without += batch.column("doc_id").null_count
             keys.append(batch.column("doc_id").drop_null().to_numpy())
-            for text in batch.column("text").to_pylist():
-                ids = encoder.encode(text) + end
-                file.write(ids)
-                sizes.append(len(ids) // width)
+            for ids in encoder.encode_all(batch.column("text").to_pylist()):
+                file.write(ids + end)
+                sizes.append(len(ids) // width + 1)
         if file is None:
             return
         file.close()

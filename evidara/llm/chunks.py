@@ -82,5 +82,5 @@ def encode_all(texts: list[list[str]], known: dict[str, bytes], words: Callable[
                 known[c] = other(text) if text else b""
         for c, stem, marks in ended:
             known[c] = known[stem] + known[marks]
-        values = [[*map(get, parts)] if None in v else v for parts, v in zip(texts, values)]
+        values = [[known[c] if x is None else x for c, x in zip(parts, v)] if None in v else v for parts, v in zip(texts, values)]
     return [b"".join(v) for v in values]

@@ -26,10 +26,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .chunks import Chunks, cut
-from .common import slices
+from .common import hold, slices
 
 #: Pairs of adjacent tokens that a task keeps the compatibility of at most.
-PAIRS = 1_000_000
+PAIRS = 400_000
 
 
 def merge_by_rank(piece: str, rank: dict[str, int]) -> tuple[list[str], tuple[str, str] | None]:
@@ -156,6 +156,7 @@ _made: dict[bytes, ByteBPE] = {}
 
 def bpe_of(rank_file: bytes, pattern: str) -> ByteBPE:
     """One ByteBPE per process and rank file."""
+    hold("bpe", _made.clear)
     key = hashlib.sha256(rank_file + b"\0" + pattern.encode()).digest()
     if key not in _made:
         _made.clear()

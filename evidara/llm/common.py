@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -55,6 +55,17 @@ def slices(batches: Iterable[pa.RecordBatch], rows: int = SLICE) -> Iterator[pa.
             yield batch.slice(at, rows)
 
 
+_held: dict[str, Callable[[], None]] = {}
+
+
+def hold(owner: str, clear: Callable[[], None]) -> None:
+    """Says that a task's process keeps memory for an operator, and lets go of that of others: Spark
+    uses its Python processes again, and stages of one job would else add up there."""
+    for other in [o for o in _held if o != owner]:
+        _held.pop(other)()
+    _held[owner] = clear
+
+
 def runs(batches: Iterable[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[tuple, list[pa.RecordBatch]]]:
     """Rows with equal keys, of batches that are sorted by keys: (key values, parts of batches).
 

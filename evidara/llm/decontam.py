@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, slices
+from .common import hold, materialize, slices
 
 #: Shingles of items that go to the tasks at once.
 BLOCK_SHINGLES = 1_000_000
@@ -126,6 +126,7 @@ def _item_sets(width: int):
     schema = pa.schema([("item_id", pa.int64()), ("width", pa.int32()), ("n", pa.int64()), ("set", pa.binary())])
 
     def apply(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hold("decontam", _hashes.clear)
         for batch in slices(batches):
             ids, widths, sets = [], [], []
             for i, text in zip(batch.column("item_id").to_pylist(), batch.column("text").to_pylist()):
@@ -156,6 +157,7 @@ def find_items(docs: DataFrame, items: DataFrame, width: int = 5, percent: int =
         sent = spark.sparkContext.broadcast([(r["item_id"], np.frombuffer(bytes(r["set"]), np.uint64), r["width"]) for r in held])
 
         def apply(batches: Iterable[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            hold("decontam", _hashes.clear)
             index = ItemIndex(sent.value, percent)
             for batch in slices(batches):
                 rows = [(i, *m) for i, t in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()) for m in index.matches(t)]

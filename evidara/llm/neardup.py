@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, materialize, reduce_by_ids, runs, slices
+from .common import LOWER, hold, materialize, reduce_by_ids, runs, slices
 
 BANDS, ROWS = 32, 4
 SAMPLES = BANDS * ROWS
@@ -121,6 +121,7 @@ def _features(width: int):
     schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("fp", pa.binary()), ("bands", pa.list_(pa.int64())), ("sketch", pa.list_(pa.int64()))])
 
     def apply(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hold("neardup", _words.clear)
         for batch in slices(batches):
             rows: list[list] = [[], [], [], []]
             for text in batch.column("text").to_pylist():
@@ -139,6 +140,7 @@ def _sets(width: int):
     schema = pa.schema([("doc_id", pa.int64()), ("fp", pa.binary()), ("set", pa.binary())])
 
     def apply(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hold("neardup", _words.clear)
         for batch in slices(batches):
             sets = [shingle_set(t, width).tobytes() for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([xxhash.xxh3_128_digest(s) for s in sets], pa.binary()), pa.array(sets, pa.binary())], schema=schema)

@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .chunks import cut, encode_all
-from .common import materialize, scratch_path, slices
+from .common import hold, materialize, scratch_path, slices
 
 _IDS, _IDX = b"EVIDS1", b"EVIDX1\0\0"
 
@@ -235,6 +235,7 @@ _encoders: dict[str, _Encoder] = {}
 
 
 def _encoder(spec: str) -> _Encoder:
+    hold("token_store", _encoders.clear)
     key = hashlib.sha256(spec.encode()).hexdigest()
     if key not in _encoders:
         _encoders.clear()

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold_of, slices
+from .common import fold_of, hold, slices
 
 # The starting lexicon (word beginnings), exception phrases and look-alikes.
 BASE_TERMS = (
@@ -139,7 +139,7 @@ def _term_counts(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             seen = {(w, False) for w in words if 3 <= len(w) <= 24}
             seen |= {(w[:k], True) for w in words for k in PREFIX if len(w) >= k}
             counts[toxic].update(seen)
-        if len(counts[0]) + len(counts[1]) > 300_000:
+        if len(counts[0]) + len(counts[1]) > 200_000:
             yield out()
     yield out()
 
@@ -221,6 +221,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_fit_docs: int = 8000) -> Model:
 
     def featured(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         matcher = Matcher(sent.value)
+        hold("toxicity", lambda: None)
         for batch in slices(batches):
             rows = [matcher.features(t) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("toxic"), *(pa.array([r[i] for r in rows], pa.float64()) for i in range(3))], names=["toxic", "a", "b", "c"])
@@ -262,6 +263,7 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, max_fit_docs: int = 8000) ->
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def apply(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hold("toxicity", lambda: None)
         matcher = Matcher(sent.value)
         for batch in slices(batches):
             keep = [matcher.score(t) < 0.5 for t in batch.column("text").to_pylist()]

@@ -1,0 +1,69 @@
+"""Hybrid search: what a query asks is worked out on the driver, what it reads is one plan.
+
+Routes are lazily built DataFrames; depth and weights follow from the request, and every
+filter is applied before a route is cut to its depth.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Mapping
+from dataclasses import dataclass, field
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ..functions.text import snippet
+from ..operators.filters import bounded_limit
+from ..operators.lexical import all_terms, bm25, fixed_chunks, title_tier
+from ..operators.ranking import feature_score, fuse_rrf, rerank_head, route
+
+#: Weights of the routes in rank fusion.
+WEIGHTS = {"exact": 2.0, "chunk": 10.0, "terms": 4.0}
+SYNONYMS = {"error": ("failure", "fault"), "price": ("cost", "amount"), "plan": ("schedule", "proposal")}
+
+
+@dataclass(frozen=True)
+class SearchRequest:
+    query: str
+    limit: int = 10
+    filters: Mapping[str, object] = field(default_factory=dict)
+    synonyms: Mapping[str, tuple[str, ...]] = field(default_factory=lambda: SYNONYMS)
+    rerank_window: int = 50
+
+
+@dataclass(frozen=True)
+class Plan:
+    phrase: str
+    terms: list[str]
+    expansions: list[str]
+    depth: int
+
+
+def understand(request: SearchRequest) -> Plan:
+    """Terms (distinct words of three letters or more), their expansions, and the depth of the routes."""
+    words = [w for w in request.query.lower().split() if len(w) >= 3]
+    terms = list(dict.fromkeys(words))[:8]
+    expansions = [s for t in terms for s in request.synonyms.get(t, ())][:8]
+    limit = bounded_limit("search", request.limit)
+    return Plan(request.query.strip(), terms, expansions, max(3 * limit, 10))
+
+
+def search(docs: DataFrame, request: SearchRequest, key: str = "doc_id") -> DataFrame:
+    """key, rank, score, paths, snippet and citation of the best rows of docs (key, content, title)."""
+    p = understand(request)
+    d = docs
+    for name, value in request.filters.items():
+        d = d.filter(F.col(name) == F.lit(value))
+    d = d.withColumn("key", F.col(key))
+    order = [F.desc("score"), F.asc("key")]
+    exact = route(bm25(d, p.phrase, {"content": 1.0, "title": 1.0}).withColumn("score", F.round("score", 6)), "exact", order, p.depth)
+    chunks = bm25(fixed_chunks(d.select("key", "content", "title"), "key", "content").select("key", "chunk", "title"), p.phrase, {"chunk": 1.0, "title": 3.5})
+    best = chunks.withColumn("tier", title_tier(F.col("title"), F.col("chunk"), p.phrase)).groupBy("key").agg(F.round(F.max("score"), 6).alias("score"), F.min("tier").alias("tier"))
+    routes = exact.unionByName(route(best, "chunk", [F.desc("score"), F.asc("tier"), F.asc("key")], p.depth))
+    if p.terms:
+        routes = routes.unionByName(route(all_terms(d, p.terms[:3], ["content", "title"]).select("key"), "terms", [F.asc("key")], p.depth))
+    fused = fuse_rrf(routes, WEIGHTS).withColumn("score", F.round("score", 9))
+    rows = fused.join(d.select("key", "content", "title"), "key")
+    scored = rerank_head(rows, feature_score(F.col("content"), F.col("title"), p.phrase, p.terms, p.expansions, F.col("paths")), request.rerank_window)
+    top = scored.orderBy("tier", F.desc("score"), "key").limit(request.limit)
+    return top.select(F.col("key").alias(key), "tier", "score", F.concat_ws(",", "paths").alias("paths"), snippet(F.col("content"), p.phrase).alias("snippet"), F.concat(F.lit("doc/"), F.col("key").cast("string")).alias("citation"))

@@ -8,13 +8,15 @@ Texts with other white space, or with two white spaces in a row, are not cut thi
 from __future__ import annotations
 
 from collections.abc import Callable
+from itertools import chain
 
 #: Chunks that a task keeps the ids of: those of late use, and as many from before.
 CACHE = 250_000
 #: Chunks that encode_all keeps the ids of at most.
-KNOWN = 750_000
+KNOWN = 600_000
 #: White space other than space and newline, in any definition; and the mark used below.
 _OTHER = [chr(c) for c in (0, 9, 11, 12, 13, 28, 29, 30, 31, 0x85, 0xA0, 0x1680, 0x180E, *range(0x2000, 0x200C), 0x2028, 0x2029, 0x202F, 0x205F, 0x2060, 0x3000, 0xFEFF)]
+_OTHER_ASCII = [c for c in _OTHER if c.isascii()]
 _RUNS = ["  ", "\n\n", " \n", "\n "]
 _ENDS = tuple(".,;:!?")
 _MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
@@ -23,7 +25,7 @@ _MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 def cut(text: str) -> list[str] | None:
     """Chunks of a text, or None where it must be encoded whole. A chunk stands for itself with
     a space before it; one that begins with NUL has none, and a newline stands alone."""
-    if any(x in text for x in _RUNS) or any(x in text for x in _OTHER):
+    if any(x in text for x in _RUNS) or any(x in text for x in (_OTHER_ASCII if text.isascii() else _OTHER)):
         return None
     return ("\0" + text.replace("\n", " \n \0")).split(" ")
 
@@ -58,29 +60,37 @@ def encode_all(texts: list[list[str]], known: dict[str, bytes], words: Callable[
     (without it) and those without; the text of any other chunk goes to other.
     """
     get = known.get
-    values = [[*map(get, parts)] for parts in texts]
-    lacking = {c for parts, v in zip(texts, values) if None in v for c, x in zip(parts, v) if x is None}
+    here = dict.fromkeys(chain.from_iterable(texts))  # each chunk is looked up among the many known ones once
+    here = dict(zip(here, map(get, here)))
+    lacking = [c for c, x in here.items() if x is None]
     if lacking:
         if len(known) + len(lacking) > KNOWN:
             known.clear()
-            values = [[None] * len(parts) for parts in texts]
-            lacking = set().union(*texts)
         plain = {c for c in lacking if c.isalpha()}
         bare, ended, rest = [], [], []
-        for c in lacking - plain:
+        for c in lacking:
+            if c in plain:
+                continue
             stem = c.rstrip(_MARKS)
             if stem != c and stem.isalpha():
                 ended.append((c, stem, "\0" + c[len(stem) :]))  # letters and the run of marks after them are always parted
+                if here.get(stem) is None:
+                    x = get(stem)
+                    if x is None:
+                        plain.add(stem)
+                    else:
+                        here[stem] = x
             else:
                 (bare if c[:1] == "\0" and c[1:].isalpha() else rest).append(c)
-        plain.update(stem for _, stem, _ in ended if stem not in known)
         listed = list(plain)
-        known.update(zip(listed + bare, words(listed, [c[1:] for c in bare])))
+        new = dict(zip(listed + bare, words(listed, [c[1:] for c in bare])))
         for c in {*rest, *(marks for _, _, marks in ended)}:
-            if c not in known:
-                text = c[1:] if c[:1] == "\0" else c if c == "\n" else f" {c}"
-                known[c] = other(text) if text else b""
-        for c, stem, marks in ended:
-            known[c] = known[stem] + known[marks]
-        values = [[known[c] if x is None else x for c, x in zip(parts, v)] if None in v else v for parts, v in zip(texts, values)]
-    return [b"".join(v) for v in values]
+            text = c[1:] if c[:1] == "\0" else c if c == "\n" else f" {c}"
+            new[c] = other(text) if text else b""
+        here.update(new)
+        ends = {c: here[stem] + here[marks] for c, stem, marks in ended}
+        here.update(ends)
+        known.update(new)
+        known.update(ends)
+    find = here.__getitem__
+    return [b"".join(map(find, parts)) for parts in texts]

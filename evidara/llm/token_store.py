@@ -20,6 +20,7 @@ come first and have no entry, but are kept and read back; an empty table gives n
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import json
 import struct
@@ -158,6 +159,7 @@ class Shard:
         if head[:6] != _IDS:
             raise ValueError("not a file of token ids")
         self.width = head[6]
+        self.loaded: np.ndarray | None = None
 
     def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """First record and number of records of each key; number 0 where the key is absent."""
@@ -167,8 +169,15 @@ class Shard:
         here = self.marks[slot] == self.mph.fingerprints(keys)
         return self.firsts[slot].astype(np.int64), np.where(here, self.counts[slot], 0).astype(np.int64)
 
+    def load(self) -> None:
+        """Reads all ids at once, for callers that want most records."""
+        count = int(self.starts[-1])
+        self.loaded = np.frombuffer(self.file.read_at(count * self.width, 16), f"<u{self.width}")
+
     def ids(self, record: int) -> np.ndarray:
         a, b = int(self.starts[record]), int(self.starts[record + 1])
+        if self.loaded is not None:
+            return self.loaded[a:b].astype("<u4")
         return np.frombuffer(self.file.read_at((b - a) * self.width, 16 + a * self.width), f"<u{self.width}").astype("<u4")
 
     def get(self, key: int) -> list[np.ndarray]:
@@ -257,6 +266,7 @@ def _writer(spec, folder: str, end_id: int):
         width = len(end)
         file, keys, sizes, without = None, [], [], 0
         name = f"{path}/shard-{number:06d}"
+        gc.disable()  # what is made here has no cycles, and the kept chunks are many
         for batch in slices(batches):
             if file is None:
                 fs.create_dir(path)
@@ -267,6 +277,7 @@ def _writer(spec, folder: str, end_id: int):
             for ids in encoder.encode_all(batch.column("text").to_pylist()):
                 file.write(ids + end)
                 sizes.append(len(ids) // width + 1)
+        gc.enable()
         if file is None:
             return
         file.close()
@@ -331,6 +342,8 @@ def read_token_files(folder: str, manifest: DataFrame, keys: DataFrame, key: str
                 out += [(None, r) for r in range(shard.without_key)]
             present = np.unique(wanted.drop_null().to_numpy())
             first, count = shard.find(present)
+            if 2 * len(present) > len(shard.starts):
+                shard.load()
             out += [(int(k), int(f) + i) for k, f, c in zip(present, first, count) for i in range(c)]
             got = []
             for k, record in out:

@@ -35,7 +35,7 @@ SAMPLES = BANDS * ROWS
 SKETCH_WORDS = 8
 SKETCH_BITS = 64 * SKETCH_WORDS
 #: Rows of a bucket, and shingles of a pivot's group, that meet in one task; larger ones are met by pairs of blocks.
-BUCKET_BLOCK, GROUP_BLOCK = 4096, 500_000
+BUCKET_BLOCK, GROUP_BLOCK = 4096, 100_000
 #: Words whose hash a task keeps at most.
 WORD_CACHE = 300_000
 

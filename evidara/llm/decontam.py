@@ -140,21 +140,28 @@ def _item_sets(width: int):
     return apply
 
 
-def find_items(docs: DataFrame, items: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """(doc_id, item_id, n_item, n_shared, containment) wherever a document of docs (doc_id, text)
-    has at least percent of the distinct shingles of an item of items (item_id, text)."""
-    spark = docs.sparkSession
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+def _item_blocks(items: DataFrame, width: int) -> list:
+    """Broadcasts of (item_id, set, width), each of about BLOCK_SHINGLES shingles at most."""
+    spark = items.sparkSession
     sets = items.select(F.col("item_id").cast("long").alias("item_id"), "text").distinct().mapInArrow(_item_sets(width), "item_id long, width int, n long, set binary")
     total = sets.agg(F.sum("n").alias("n")).first()["n"] or 0
     blocks = max(1, -(-total // BLOCK_SHINGLES))
     if blocks > 1:
         sets = materialize(sets, "items")
-    schema = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("n_item", pa.int64()), ("n_shared", pa.int64())])
-    out = None
+    out = []
     for block in range(blocks):
         held = sets.filter(F.pmod(F.xxhash64("item_id", "set"), F.lit(blocks)) == block).collect()
-        sent = spark.sparkContext.broadcast([(r["item_id"], np.frombuffer(bytes(r["set"]), np.uint64), r["width"]) for r in held])
+        out.append(spark.sparkContext.broadcast([(r["item_id"], np.frombuffer(bytes(r["set"]), np.uint64), r["width"]) for r in held]))
+    return out
+
+
+def find_items(docs: DataFrame, items: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
+    """(doc_id, item_id, n_item, n_shared, containment) wherever a document of docs (doc_id, text)
+    has at least percent of the distinct shingles of an item of items (item_id, text)."""
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    schema = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("n_item", pa.int64()), ("n_shared", pa.int64())])
+    out = None
+    for sent in _item_blocks(items, width):
 
         def apply(batches: Iterable[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             hold("decontam", _hashes.clear)
@@ -170,6 +177,14 @@ def find_items(docs: DataFrame, items: DataFrame, width: int = 5, percent: int =
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """docs, all columns, without the documents that contain an item. Rows without id stay."""
-    gone = find_items(docs, items, width, percent).select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """docs, all columns, without the rows whose text contains an item. Rows are judged one by one, without a shuffle."""
+    for sent in _item_blocks(items, width):
+
+        def apply(batches: Iterable[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            hold("decontam", _hashes.clear)
+            index = ItemIndex(sent.value, percent)
+            for batch in slices(batches):
+                yield batch.filter(pa.array([not index.matches(t) for t in batch.column("text").to_pylist()], pa.bool_()))
+
+        docs = docs.mapInArrow(apply, docs.schema)
+    return docs

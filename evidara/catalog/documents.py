@@ -169,7 +169,7 @@ def term_and_fallback(spark, d):
 @query("trigram_postings", f"SELECT doc_id FROM documents WHERE contains(lower(text), 'heonan')")
 def trigram_postings(spark, d):
     docs = S.raw(spark, d, "documents").select("doc_id", "text")
-    return L.by_postings(docs, L.trigram_postings(docs, "doc_id", "text"), "doc_id", "text", "heonan").select("doc_id")
+    return L.by_postings(docs, L.trigram_postings(docs, "doc_id", "text", L.grams_of("heonan")), "doc_id", "text", "heonan").select("doc_id")
 
 
 @query("multisource_search", """SELECT 'document' AS family, doc_id AS id FROM documents WHERE contains(lower(text), 'license') UNION ALL SELECT 'page', page_id FROM pages WHERE contains(lower(html), 'license')""")

@@ -55,19 +55,28 @@ def with_fallback(first: DataFrame, second: DataFrame) -> DataFrame:
     return first.unionByName(second.join(F.broadcast(empty.filter("__empty")).drop("__empty")))
 
 
-def trigram_postings(df: DataFrame, key: str, column: str) -> DataFrame:
-    """(gram, key) of the distinct trigrams of each row."""
-    low = F.lower(column)
-    grams = F.when(F.length(low) >= 3, F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(low) - 2), lambda i: F.substring(low, i, F.lit(3)))))
+def grams_of(phrase: str) -> list[str]:
+    p = phrase.lower()
+    return sorted({p[i : i + 3] for i in range(len(p) - 2)})
+
+
+def trigram_postings(df: DataFrame, key: str, column: str, only: Sequence[str] | None = None) -> DataFrame:
+    """(key, gram) of the distinct trigrams of each row, or of those of a stated list."""
+    # Characters zipped with their neighbours take linear time; a substring for each place would be quadratic.
+    c = F.split(F.lower(column), "")
+    n = F.greatest(F.size(c) - 2, F.lit(0))
+    pairs = F.zip_with(F.slice(c, 1, n), F.slice(c, 2, n), lambda x, y: F.concat(x, y))
+    grams = F.array_distinct(F.zip_with(pairs, F.slice(c, 3, n), lambda x, y: F.concat(x, y)))
+    if only is not None:
+        grams = F.array_intersect(grams, F.array(*map(F.lit, only)).cast("array<string>"))
     return df.select(F.col(key), F.explode(grams).alias("gram"))
 
 
 def by_postings(df: DataFrame, postings: DataFrame, key: str, column: str, phrase: str) -> DataFrame:
     """Rows with the phrase: those that have all its trigrams, then verified by containment."""
-    p = phrase.lower()
-    grams = sorted({p[i : i + 3] for i in range(len(p) - 2)})
+    grams = grams_of(phrase)
     have = postings.filter(F.col("gram").isin(grams)).groupBy(key).agg(F.count("*").alias("__n")).filter(F.col("__n") == len(grams)).select(key)
-    return df.join(have, key, "left_semi").filter(F.lower(column).contains(p))
+    return df.join(have, key, "left_semi").filter(F.lower(column).contains(phrase.lower()))
 
 
 def fixed_chunks(df: DataFrame, key: str, column: str, size: int = 900, stride: int = 780) -> DataFrame:

@@ -161,8 +161,11 @@ def fit(docs: DataFrame, docs_per_lang: int = 400, windows_per_doc: int = 3) ->
     """
     spark = docs.sparkSession
     known = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang").filter(F.col("lang").isNotNull() & (fold_of("doc_id") != 0))
-    turn = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    chosen = known.select("doc_id", "lang").distinct().withColumn("turn", turn).filter(F.col("turn") <= docs_per_lang).select("doc_id", "lang")
+    turn = lambda *by: F.row_number().over(Window.partitionBy(*by).orderBy(F.xxhash64("doc_id"), "doc_id"))
+    chosen = known.select("doc_id", "lang").distinct().withColumn("part", F.pmod(F.hash("doc_id"), F.lit(64)))
+    for by in (["lang", "part"], ["lang"]):  # a language may hold most rows, so parts of it are cut first
+        chosen = chosen.withColumn("turn", turn(*by)).filter(F.col("turn") <= docs_per_lang)
+    chosen = chosen.select("doc_id", "lang")
     chosen = spark.createDataFrame([tuple(r) for r in chosen.collect()], "doc_id long, lang string")
 
     def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -114,3 +114,33 @@ def decoded(raw: Column) -> Column:
     """Text of bytes in UTF-8, else UTF-16LE where the length is even, else as Latin-1; in the JVM."""
     utf8 = F.try_validate_utf8(raw.cast("string"))
     return F.coalesce(utf8, F.when(F.octet_length(raw) % 2 == 0, F.decode(raw, "UTF-16LE")), F.decode(raw, "ISO-8859-1"))
+
+
+#: Kinds of shared items by their type number, and the most characters of an item's XML.
+ITEM_KINDS = {"5": "link", "6": "file", "19": "forward", "33": "mini_program", "57": "quote", "2000": "transfer"}
+_MAX_ITEM = 200_000
+
+
+def parse_item(xml: str | None) -> tuple[str, str, str, str]:
+    """(status, kind, title, url) of a shared item's XML; declarations of entities and too long texts are rejected."""
+    from xml.etree import ElementTree
+
+    if xml is None or not xml.strip():
+        return "empty", "", "", ""
+    if len(xml) > _MAX_ITEM or "<!DOCTYPE" in xml or "<!ENTITY" in xml:
+        return "rejected", "", "", ""
+    try:
+        root = ElementTree.fromstring(xml.strip())
+    except ElementTree.ParseError:
+        return "malformed", "", "", ""
+    item = root if root.tag == "appmsg" else root.find(".//appmsg")
+    if item is None:
+        return "unsupported", "", "", ""
+    field = lambda name: _BLANK.sub(" ", item.findtext(name) or "").strip()
+    kind = ITEM_KINDS.get(field("type"), "")
+    return ("parsed" if kind else "unsupported"), kind, field("title"), field("url")
+
+
+@F.pandas_udf(StructType([StructField(n, StringType()) for n in ("status", "kind", "title", "url")]))
+def parsed_item(xml: pd.Series) -> pd.DataFrame:
+    return pd.DataFrame([parse_item(x) for x in xml], columns=["status", "kind", "title", "url"])

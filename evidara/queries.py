@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .catalog import documents, evidence, facts, messages, python_functions, streams  # noqa: F401
+from .catalog import documents, evidence, facts, messages, python_functions, schedules, streams  # noqa: F401
 from .catalog.registry import ORACLE_SQL, QUERIES
 
 __all__ = ["ORACLE_SQL", "QUERIES"]

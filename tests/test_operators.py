@@ -96,3 +96,9 @@ def test_pages():
 def test_hash_embedding_is_a_unit_vector():
     v = parsing.hash_embedding("some text")
     assert abs(sum(x * x for x in v) - 1) < 1e-4 and parsing.hash_embedding(None) == [0.0] * 32
+
+
+def test_shared_items():
+    assert parsing.parse_item("<msg><appmsg><type>5</type><title> A  b </title><url>u</url></appmsg></msg>") == ("parsed", "link", "A b", "u")
+    assert parsing.parse_item("<msg><appmsg><type>77</type></appmsg></msg>")[0] == "unsupported"
+    assert [parsing.parse_item(x)[0] for x in ("<a", "<!DOCTYPE x><a/>", None, "<msg/>")] == ["malformed", "rejected", "empty", "unsupported"]

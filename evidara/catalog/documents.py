@@ -217,7 +217,8 @@ HYBRID = f"""WITH {ROUTES}, f AS (SELECT key, round(sum(CASE route WHEN 'exact'
 @query("feature_rerank", f"{HYBRID} SELECT key AS doc_id, tier, score FROM h")
 def feature_rerank(spark, d):
     docs = S.evidence_documents(spark, d).select(F.col("doc_id").alias("key"), "content", "title")
-    fused = R.fuse_rrf(routes(spark, d), {"exact": 2.0, "chunk": 10.0, "terms": 4.0}).withColumn("score", F.round("score", 9)).join(docs, "key")
+    fused = R.fuse_rrf(routes(spark, d), {"exact": 2.0, "chunk": 10.0, "terms": 4.0}).withColumn("score", F.round("score", 9))
+    fused = docs.join(F.broadcast(fused), "key")  # 90 rows at most
     out = R.rerank_head(fused, R.feature_score(F.col("content"), F.col("title"), PHRASE, ["the", "and"], [], F.col("paths")), 50)
     return out.select(F.col("key").alias("doc_id"), "tier", "score")
 

@@ -13,6 +13,7 @@ from ..operators import ranking as R
 from ..operators.windows import first_by
 from ..functions.vectors import cosine
 from ..sources import tables as S
+from ..sources.scratch import settled
 from .registry import query
 
 
@@ -329,7 +330,7 @@ def evaluated(spark, d):
 
     b = S.raw(spark, d, "benchmark").select(F.col("item_id").alias("case_id"), F.substring("text", 1, 60).alias("needle"), F.when(F.col("item_id") % 2 == 0, "en").otherwise("fr").alias("lang"))
     docs = S.raw(spark, d, "documents").select(F.col("doc_id").alias("key"), "text", "lang")
-    expected = containing(docs, b)
+    expected = settled(containing(docs, b), "hits")
     cases = b.select("case_id", (F.col("case_id") % 2).alias("category"))
     return V.per_case(cases, ranked_by_hit(docs, b, expected, 10), expected, 10)
 
@@ -351,7 +352,7 @@ def ir_metrics_by_category(spark, d):
 
 @query("regression_gate", f"SELECT category, recall, ndcg, recall >= 0.5 AND ndcg >= 0.1 AS passed FROM {SUMMARY} s")
 def regression_gate(spark, d):
-    s = V.summary(evaluated(spark, d), ["category"]).select("category", "recall", "ndcg")
+    s = settled(V.summary(evaluated(spark, d), ["category"]).select("category", "recall", "ndcg"), "summary")
     return V.gate(s, s, ["category"], {"recall": (0.5, 0.02), "ndcg": (0.1, 0.02)})
 
 

@@ -2,29 +2,17 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from ..sources import tables as S
+from ..sources.scratch import shared_place
 from ..streaming import jobs
 from .registry import query
 
 
-def place(spark, name: str) -> str:
-    """A fresh folder in the shared checkpoint folder; where none is set, one is made for this session."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not root:
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="evidara-"))
-        root = spark.sparkContext.getCheckpointDir()
-    return f"{root.rstrip('/')}/streams/{name}-{uuid.uuid4().hex}"
-
-
 def staged(spark, d, name):
     """The event table as a folder that a file stream watches, written in four parts one after another, in event order."""
-    base = place(spark, name)
+    base = shared_place(spark, f"stream-{name}")
     e = S.raw(spark, d, "events")
     low, high = e.agg(F.min("ts"), F.max("ts")).first()
     for k in range(4 if low else 1):

@@ -48,10 +48,13 @@ def feature_score(content: Column, title: Column, phrase: str, terms: Sequence[s
 
 
 def rerank_head(fused: DataFrame, score: Column, window: int, key: str = "key") -> DataFrame:
-    """The first window rows of the fused order by score, the others after them by their fused score."""
-    top = fused.orderBy(F.desc("score"), key).limit(window).withColumn("__tier", F.lit(0))
-    tail = fused.join(top.select(key), key, "left_anti").withColumn("__tier", F.lit(1))
-    return top.withColumn("score", score).unionByName(tail).withColumnRenamed("__tier", "tier")
+    """The first window rows of the fused order by score, the others after them by their fused score.
+
+    fused is a fused list, at most the depths of its routes together, so its order is one small window.
+    """
+    n = F.row_number().over(Window.orderBy(F.desc("score"), F.asc(key)))
+    out = fused.withColumn("tier", F.when(n <= window, 0).otherwise(1))
+    return out.withColumn("score", F.when(F.col("tier") == 0, score).otherwise(F.col("score")))
 
 
 def top_vectors(vectors: DataFrame, query: DataFrame, k: int, key: str, metric: str = "cosine", floor: float | None = None) -> DataFrame:

@@ -63,7 +63,8 @@ def search(docs: DataFrame, request: SearchRequest, key: str = "doc_id") -> Data
     if p.terms:
         routes = routes.unionByName(route(all_terms(d, p.terms[:3], ["content", "title"]).select("key"), "terms", [F.asc("key")], p.depth))
     fused = fuse_rrf(routes, WEIGHTS).withColumn("score", F.round("score", 9))
-    rows = fused.join(d.select("key", "content", "title"), "key")
+    # A fused list has three times the depth at most, 450 rows, so it goes to the documents and not they to it.
+    rows = d.select("key", "content", "title").join(F.broadcast(fused), "key")
     scored = rerank_head(rows, feature_score(F.col("content"), F.col("title"), p.phrase, p.terms, p.expansions, F.col("paths")), request.rerank_window)
     top = scored.orderBy("tier", F.desc("score"), "key").limit(request.limit)
     return top.select(F.col("key").alias(key), "tier", "score", F.concat_ws(",", "paths").alias("paths"), snippet(F.col("content"), p.phrase).alias("snippet"), F.concat(F.lit("doc/"), F.col("key").cast("string")).alias("citation"))

@@ -77,3 +77,12 @@ def top_vectors_many(vectors: DataFrame, queries: DataFrame, k: int, key: str, q
         d = d.withColumn("rank", n).filter(F.col("rank") <= k)
         out = d if out is None else out.unionByName(d)
     return out
+
+
+def calibrated_floor(max_negative: float | None, min_positive: float | None) -> float | None:
+    """The least score above every negative one, where all positives are above it; else none."""
+    import math
+
+    if max_negative is None or min_positive is None or not max_negative < min_positive:
+        return None
+    return math.nextafter(max_negative, math.inf)

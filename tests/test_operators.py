@@ -102,3 +102,9 @@ def test_shared_items():
     assert parsing.parse_item("<msg><appmsg><type>5</type><title> A  b </title><url>u</url></appmsg></msg>") == ("parsed", "link", "A b", "u")
     assert parsing.parse_item("<msg><appmsg><type>77</type></appmsg></msg>")[0] == "unsupported"
     assert [parsing.parse_item(x)[0] for x in ("<a", "<!DOCTYPE x><a/>", None, "<msg/>")] == ["malformed", "rejected", "empty", "unsupported"]
+
+
+def test_floor_is_just_above_the_negatives():
+    assert ranking.calibrated_floor(0.5, 0.4) is None and ranking.calibrated_floor(None, 1.0) is None
+    f = ranking.calibrated_floor(0.25, 0.5)
+    assert 0.25 < f < 0.25 + 1e-12

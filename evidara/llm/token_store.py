@@ -215,6 +215,9 @@ class _Encoder:
         self.special = [x["content"] for x in said.get("added_tokens", [])]
         self.kind = "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
         self.known: dict[str, bytes] = {}
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=False)
+        self.lengths = np.zeros(max(vocabulary.values(), default=0) + 1, np.int64)
+        self.lengths[list(vocabulary.values())] = [len(x) for x in vocabulary]
         #: The same merges over text that is mapped to the alphabet of bytes and parted by white space.
         self.merges = Tokenizer.from_str(json.dumps(said | {"pre_tokenizer": {"type": "WhitespaceSplit"}, "decoder": None, "added_tokens": []})) if self.by_chunk else None
 
@@ -229,9 +232,14 @@ class _Encoder:
         mapped = "\n".join([" " + "\n ".join(spaced)] * bool(spaced) + bare)
         if not mapped.isascii():
             mapped = mapped.encode("utf-8", "surrogatepass").decode("latin-1").translate(_ALPHABET)
-        got = self.merges.encode(mapped.replace(" ", _ALPHABET[32]), add_special_tokens=False)
-        raw = np.array(got.ids, self.kind).tobytes()
-        ends = (np.cumsum(np.bincount(got.word_ids, minlength=len(spaced) + len(bare))) * int(self.kind[-1])).tolist()
+        mapped = mapped.replace(" ", _ALPHABET[32])
+        ids = np.array(self.merges.encode_batch_fast([mapped], add_special_tokens=False)[0].ids, self.kind)
+        # Tokens of a word have its characters together, which tells where words end without the library's offsets.
+        tokens, parts = np.cumsum(self.lengths[ids]), np.cumsum(np.fromiter(map(len, mapped.split("\n")), np.int64))
+        last = np.minimum(np.searchsorted(tokens, parts), max(0, len(tokens) - 1))
+        if not len(tokens) or not np.array_equal(tokens[last], parts) or tokens[-1] != parts[-1]:
+            return [self._encode(f" {w}") for w in spaced] + [self._encode(w) for w in bare]
+        raw, ends = ids.tobytes(), ((last + 1) * ids.itemsize).tolist()
         return [raw[a:b] for a, b in zip([0, *ends], ends)]
 
     def encode_all(self, texts: list[str | None]) -> list[bytes]:

@@ -275,7 +275,7 @@ def _writer(spec, folder: str, end_id: int):
         file, keys, sizes, without = None, [], [], 0
         name = f"{path}/shard-{number:06d}"
         gc.disable()  # what is made here has no cycles, and the kept chunks are many
-        for batch in slices(batches):
+        for batch in slices(batches, 64):  # the chunks of few texts stay in the processor's cache
             if file is None:
                 fs.create_dir(path)
                 file = fs.open_output_stream(f"{name}.ids.{attempt}")

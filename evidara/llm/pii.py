@@ -62,6 +62,9 @@ _SSN = re.compile(r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])")
 _SECRET = re.compile(r"(?i:(token|secret|passwd|password|pwd|api[_-]?key|access[_-]?key|auth[_-]?key|key|bearer))[\"']?\s{0,3}[:=]\s{0,3}[\"']?([^\s\"']{8,200})")
 _BARE = re.compile(r"(?<![A-Za-z0-9_/+=-])(?:ghp_[A-Za-z0-9]{20,}|AKIA[A-Z0-9]{16}|sk-[A-Za-z0-9]{20,}|eyJ[\w-]{10,}\.[\w-]{10,}\.[\w-]{5,})")
 _NAME = re.compile(r"(?<!\w)(?i:" + "|".join(sorted(TITLES, key=len, reverse=True)) + r")\.? ([A-ZÀ-Þ][^\W\d_]{1,20}(?: [A-ZÀ-Þ][^\W\d_]{1,20})?)(?!\w)")
+#: The word of every match of _AT; two capitalised words, of which the first may be a given name.
+_AT_SIGN = re.compile(r"(?<=[\s(\[{])at(?=[\s)\]}])")
+_GIVEN = re.compile(r"(?<!\w)([A-ZÀ-Þ][^\W\d_]{1,20})(?= ([A-ZÀ-Þ][^\W\d_]{1,20})(?!\w))")
 LABELERS = ("shape", "checksum", "gazetteer", "cue", "against", "mixed")
 #: Shape features of the classifier, besides votes and kind.
 SHAPES = ("long", "digits", "quoted")
@@ -94,6 +97,22 @@ def _emails(text: str) -> Iterator[tuple[int, int]]:
         at = text.find("@", max(at + 1, free))
 
 
+def _spelled(text: str) -> Iterator[tuple[int, int]]:
+    """As finditer of the spelled-out pattern, but led by the word at, as _emails is by the sign."""
+    free = 0
+    for at in _AT_SIGN.finditer(text):
+        b = at.start() - 1
+        if b > free and text[b - 1].isspace():
+            b -= 1
+        a = b
+        while a > free and b - a < 64 and text[a - 1] in _LOCAL:
+            a -= 1
+        m = _AT.match(text, a) if a < b else None
+        if m:
+            free = m.end()
+            yield m.span()
+
+
 def base_spans(text: str) -> list[tuple[str, int, int]]:
     out = [("email", a, b) for a, b in _emails(text)]
     for m in _IP.finditer(text):
@@ -117,9 +136,11 @@ def _votes(kind: str, text: str, a: int, b: int) -> str:
     bare = re.sub(r"\W", "", span)
     v = dict.fromkeys(LABELERS, "0")
     if kind == "email":
-        v["shape"] = "+" if "(" in span or "[" in span or "{" in span else "0"
+        # a bare at, and a full stop before white space: more likely two sentences
+        prose = re.search(r"\.\s", span) and not re.search(r"[(\[{]|\bdot\b", span)
+        v["shape"] = "-" if prose else "+" if "(" in span or "[" in span or "{" in span else "0"
         v["gazetteer"] = "+" if re.split(r"\W+", span.lower())[-1] in TOP_DOMAINS or bare.lower().endswith(tuple(TOP_DOMAINS)) else "-"
-        v["mixed"] = "+" if re.search(r"\bdot\b", span) or "." in span else "-"
+        v["mixed"] = "-" if prose else "+"
     elif kind == "phone":
         v["shape"] = "+" if "(" in span or span.count("-") == 2 else "0"
         v["checksum"] = "-" if len(set(bare)) <= 2 else "+"
@@ -151,8 +172,7 @@ def candidates(text: str, base: list[tuple[str, int, int]]) -> list[tuple[str, i
     """(kind, start, end, votes) of spans that are no base spans."""
     raw: list[tuple[int, int, str]] = []
     low = text.lower()
-    if "at" in low and ("(at)" in low or "[at]" in low or "{at}" in low or " dot " in low):
-        raw += [(*m.span(), "email") for m in _AT.finditer(text)]
+    raw += [(*span, "email") for span in _spelled(text)]
     if any(map(low.__contains__, ("token", "secret", "passw", "pwd", "key", "bearer"))):
         raw += [(*m.span(2), "secret") for m in _SECRET.finditer(text)]
     if "ghp_" in text or "AKIA" in text or "sk-" in text or "eyJ" in text:
@@ -163,6 +183,7 @@ def candidates(text: str, base: list[tuple[str, int, int]]) -> list[tuple[str, i
         raw += [(*m.span(), "phone") for m in _NATIONAL.finditer(text)]
     if any(f"{w} " in low or f"{w}. " in low for w in TITLES):
         raw += [(*m.span(1), "name") for m in _NAME.finditer(text)]
+    raw += [(m.start(1), m.end(2), "name") for m in _GIVEN.finditer(text) if m[1].lower() in GIVEN_NAMES]
     if not raw:
         return []
     taken = [(a, b) for _, a, b in base]

@@ -91,3 +91,25 @@ def test_redaction_keeps_columns_and_other_text(spark):
     assert all(out[i].text == dict(corpus())[i] for i in plain)
     assert pii.redact(df.limit(0)).count() == 0
     assert pii.find(df.limit(0)).count() == 0
+
+
+def test_spelled_addresses_equal_the_pattern():
+    rnd = random.Random(3)
+    bits = ["john", "j.d", "a", " ", " ", "  ", "\n", "at", " at ", "(at)", "[at]", "{at}", "mail", ".", " . ", " dot ", "(dot)", "[dot]", "com", "é", "x" * 70, "@", "9"]
+    some = ["contact john at mail.com", "john at mail [dot] com", *("".join(rnd.choice(bits) for _ in range(rnd.randint(1, 14))) for _ in range(30000))]
+    found = 0
+    for t in some:
+        want = [m.span() for m in pii._AT.finditer(t)]
+        assert list(pii._spelled(t)) == want, t
+        assert bool(want) <= any(kind == "email" for kind, *_ in pii.candidates(t, [])), t
+        found += len(want)
+    assert found > 200
+
+
+def test_spelled_addresses_and_names_without_other_hints(spark):
+    rows = [(i, t) for i, t in enumerate(["please contact john at mail.com today", "please contact john at mail [dot] com today", "we met Peter Miller there", "she looked at home. It was late", "he arrived at noon. Then he left"] * 40)]
+    out = {r.doc_id: r.spans for r in pii.find(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for i, t in rows:
+        want = {0: "email:15:31", 1: "email:15:37", 2: "name:7:19"}.get(i % 5, "")
+        assert out[i] == want, (t, out[i])
+    assert pii.candidates("Dear Peter Miller", [])[0][:3] == ("name", 5, 17)

@@ -23,7 +23,9 @@ def html_parse(spark, d):
 
 @query("hash_embedding_udf")
 def hash_embedding(spark, d):
-    return S.raw(spark, d, "benchmark").select("item_id", P.embedded("text").alias("embedding"))
+    """Of all chunks of the documents."""
+    c = S.raw(spark, d, "documents").select("doc_id", F.posexplode(P.chunk_text("text")).alias("chunk_index", "chunk"))
+    return c.select("doc_id", F.col("chunk_index").cast("long").alias("chunk_index"), P.embedded("chunk").alias("embedding"))
 
 
 @query("normalize_identifier_udf", "SELECT c_custkey, lower(trim(c_name)) AS name FROM customer")

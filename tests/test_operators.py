@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from evidara.functions import parsing
 from evidara.operators import evaluation, filters, incremental, ranking, windows
 from evidara.plans.search import SearchRequest, search, understand
+from evidara.queries import QUERIES
 
 
 def test_limits_are_validated():
@@ -108,3 +109,10 @@ def test_floor_is_just_above_the_negatives():
     assert ranking.calibrated_floor(0.5, 0.4) is None and ranking.calibrated_floor(None, 1.0) is None
     f = ranking.calibrated_floor(0.25, 0.5)
     assert 0.25 < f < 0.25 + 1e-12
+
+
+def test_hash_embedding_query_has_every_chunk(spark):
+    folder = "/root/testdata/sf0.001"
+    got = {(r.doc_id, r.chunk_index): r.embedding for r in QUERIES["hash_embedding_udf"](spark, folder).collect()}
+    want = {(r.doc_id, i): parsing.hash_embedding(c) for r in spark.read.parquet(f"{folder}/documents.parquet").collect() for i, c in enumerate(parsing.chunk(r.text) or [])}
+    assert got == want

@@ -52,12 +52,13 @@ def response_minutes(sessions: DataFrame, keys: Sequence[str], ts: str, tie: str
 def context_of(df: DataFrame, anchors: DataFrame, conversation: str, order: str, before: int, after: int) -> DataFrame:
     """Rows around anchors (conversation, order value), with the anchor's order and the row's offset.
 
-    Rows are numbered once per conversation; anchors join on the conversation and a range of numbers.
+    Rows are numbered once per conversation; each anchor names the numbers it wants, and joins on them.
     """
     n = F.row_number().over(Window.partitionBy(conversation).orderBy(order)).cast("long")
     numbered = df.withColumn("__n", n)
     a = anchors.select(F.col(conversation), F.col(order).alias("anchor")).join(numbered.select(conversation, F.col(order).alias("anchor"), F.col("__n").alias("__at")), [conversation, "anchor"])
-    near = numbered.join(a, conversation).filter(F.col("__n").between(F.col("__at") - before, F.col("__at") + after))
+    wanted = a.withColumn("__n", F.explode(F.sequence(F.col("__at") - before, F.col("__at") + after)))
+    near = numbered.join(wanted, [conversation, "__n"]).select(*numbered.columns, "anchor", "__at")
     return near.withColumn("offset", F.col("__n") - F.col("__at")).drop("__n", "__at")
 
 

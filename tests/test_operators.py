@@ -116,3 +116,12 @@ def test_hash_embedding_query_has_every_chunk(spark):
     got = {(r.doc_id, r.chunk_index): r.embedding for r in QUERIES["hash_embedding_udf"](spark, folder).collect()}
     want = {(r.doc_id, i): parsing.hash_embedding(c) for r in spark.read.parquet(f"{folder}/documents.parquet").collect() for i, c in enumerate(parsing.chunk(r.text) or [])}
     assert got == want
+
+
+def test_context_meets_only_wanted_rows(spark):
+    df = spark.createDataFrame([(c, i * 10) for c in (1, 2) for i in range(60 if c == 1 else 2)], "c long, o long")
+    out = windows.context_of(df, df.filter("o % 50 = 0"), "c", "o", 2, 1)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert not [x for x in plan.split("\n") if "Join" in x and ">=" in x], plan
+    want = sorted((c, a * 10, n * 10, n - a) for c, size in ((1, 60), (2, 2)) for a in range(0, size, 5) for n in range(max(0, a - 2), min(size, a + 2)))
+    assert sorted((r.c, r.anchor, r.o, r.offset) for r in out.collect()) == want

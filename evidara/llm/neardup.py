@@ -5,16 +5,20 @@ bands put classes in buckets; in a bucket, odd sketches (parity bitmaps of the
 MinHash samples, whose XOR counts the differing samples) tell which members have a
 near neighbour at all. Those members meet once per pivot, the smallest id of their
 bucket, where shared shingles are counted on full sets. What leaves a group is a
-spanning forest of its links, never its pairs; groups above a size are met block by
-block in several tasks. Connected components follow by alternating star steps.
+spanning forest of its links, never its pairs. In buckets and groups above a size, all
+members are first held against one of them; those near it need not meet each other
+again, so only the others are dealt, block by block, to pairs with everyone. Connected
+components follow by alternating star steps.
 
 Chance of losing a link at the threshold: bands miss a pair of similarity 0.8 with
 probability (1 - 0.8^4)^32 < 5e-8, the sketch with less than 1e-7.
 
 Defined cases: null and empty texts, and texts of white space only, have no shingles
-and are linked with nothing; texts shorter than the width are one shingle; repeated
-rows and repeated ids stay as rows and share the component of their id; rows without
-id have a null component and are kept. Other columns of the input are not looked at.
+and are linked with nothing; texts shorter than the width are one shingle; rows without
+id have a null component and are kept. Rows that repeat an id are one document: in
+near_duplicates, the links of all their texts are its links, so they share a component.
+In drop_near_duplicates each text counts for itself, so no text is lost for the sake of
+another one under the same id. Other columns of the input are not looked at.
 """
 
 from __future__ import annotations
@@ -34,7 +38,7 @@ BANDS, ROWS = 32, 4
 SAMPLES = BANDS * ROWS
 SKETCH_WORDS = 8
 SKETCH_BITS = 64 * SKETCH_WORDS
-#: Rows of a bucket, and shingles of a pivot's group, that meet in one task; larger ones are met by pairs of blocks.
+#: Rows of a bucket, and shingles of a pivot's group, that meet in one task; of larger ones, what is not near their first member is met by pairs of blocks.
 BUCKET_BLOCK, GROUP_BLOCK = 4096, 100_000
 #: Words whose hash a task keeps at most.
 WORD_CACHE = 300_000
@@ -114,11 +118,13 @@ def sketch_limit(percent: int, samples: int = SAMPLES, bits: int = SKETCH_BITS,
     return math.ceil(mean + sigmas * spread)
 
 
-_FEATURES = "doc_id long, n_shingles long, fp binary, bands array<long>, sketch array<long>"
+_FEATURES = "doc_id long, text_key long, n_shingles long, fp binary, bands array<long>, sketch array<long>"
 
 
 def _features(width: int):
-    schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("fp", pa.binary()), ("bands", pa.list_(pa.int64())), ("sketch", pa.list_(pa.int64()))])
+    schema = pa.schema(
+        [("doc_id", pa.int64()), ("text_key", pa.int64()), ("n_shingles", pa.int64()), ("fp", pa.binary()), ("bands", pa.list_(pa.int64())), ("sketch", pa.list_(pa.int64()))]
+    )
 
     def apply(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hold("neardup", _words.clear)
@@ -131,7 +137,8 @@ def _features(width: int):
                 rows[1].append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
                 rows[2].append(band_keys(m) if len(s) else None)
                 rows[3].append(odd_sketch(m) if len(s) else None)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(r, f.type) for r, f in zip(rows, list(schema)[1:]))], schema=schema)
+            made = (pa.array(r, f.type) for r, f in zip(rows, list(schema)[2:]))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_key"), *made], schema=schema)
 
     return apply
 
@@ -149,7 +156,7 @@ def _sets(width: int):
 
 
 def _near_members(limit: int, percent: int):
-    """Members of each bucket that have a sketch near enough to that of another member."""
+    """Members of each bucket, not yet known to be near, that have a sketch near enough to that of another member."""
     schema = pa.schema([("pivot", pa.int64()), ("rep", pa.int64()), ("fp", pa.binary()), ("n_shingles", pa.int64())])
 
     def apply(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -159,7 +166,8 @@ def _near_members(limit: int, percent: int):
             t = pa.Table.from_batches(parts)
             sketch = np.concatenate([p.column("sketch").flatten().to_numpy() for p in parts]).view(np.uint64).reshape(-1, SKETCH_WORDS)
             n = t.column("n_shingles").to_numpy()
-            near = np.zeros(len(n), bool)
+            known = t.column("known").to_numpy()
+            near = known.copy()
 
             def close(i: int) -> np.ndarray:
                 ok = 100 * np.minimum(n, n[i]) >= percent * np.maximum(n, n[i])  # noqa: B023
@@ -167,16 +175,18 @@ def _near_members(limit: int, percent: int):
                 ok[i] = False
                 return ok
 
-            near |= close(0)
-            near[0] = near.any()
+            first = close(0)
+            near |= first
+            near[0] |= first.any()
             for i in range(1, len(n)):
                 if not near[i]:
                     hits = close(i)
                     if hits.any():
                         near |= hits
                         near[i] = True
-            if near.any():
-                got = t.select(schema.names).filter(pa.array(near)).combine_chunks().to_batches()
+            fresh = near & ~known
+            if fresh.any():
+                got = t.select(schema.names).filter(pa.array(fresh)).combine_chunks().to_batches()
                 out += got
                 held += sum(b.num_rows for b in got)
             if held > 5000:
@@ -188,11 +198,14 @@ def _near_members(limit: int, percent: int):
     return apply
 
 
-def spanning_links(ids: list[int], sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
-    """A spanning forest of the links among these sets: for each set, counts shared with all others at once."""
-    order = sorted(range(len(ids)), key=lambda i: (ids[i], len(sets[i])))
+def spanning_links(nodes: list, sets: list[np.ndarray], percent: int, joined: np.ndarray | None = None) -> list[tuple]:
+    """A spanning forest of the links among these sets: for each set, counts shared with all others at once.
+
+    Nodes are sortable names of the sets; those marked joined are known to be connected.
+    """
+    order = sorted(range(len(nodes)), key=lambda i: (nodes[i], len(sets[i])))
     sizes = np.array([len(s) for s in sets], np.int64)
-    owner = np.repeat(np.arange(len(ids)), sizes)
+    owner = np.repeat(np.arange(len(nodes)), sizes)
     allh = np.concatenate(sets)
     by = np.argsort(allh, kind="stable")
     allh, owner = allh[by], owner[by]
@@ -204,7 +217,10 @@ def spanning_links(ids: list[int], sets: list[np.ndarray], percent: int) -> list
     mine = np.argsort(owner, kind="stable")  # the postings of each set lie together
     value_of = value[mine]
     first = np.concatenate([[0], np.cumsum(sizes)])
-    label = np.arange(len(ids))
+    label = np.arange(len(nodes))
+    if joined is not None and joined.any():
+        label[joined] = np.flatnonzero(joined)[0]
+        order = [i for i in order if not joined[i]]
     links = []
     for i in order:
         if (label == label[i]).all():
@@ -215,57 +231,92 @@ def spanning_links(ids: list[int], sets: list[np.ndarray], percent: int) -> list
             continue
         lens = ends[v] - starts[v]
         pos = np.repeat(starts[v] - np.concatenate([[0], np.cumsum(lens)[:-1]]), lens) + np.arange(lens.sum())
-        both = np.bincount(owner[pos], minlength=len(ids))
+        both = np.bincount(owner[pos], minlength=len(nodes))
         hit = np.flatnonzero((100 * both >= percent * (sizes + sizes[i] - both)) & (label != label[i]))
         for j in hit:
             if label[j] != label[i]:
-                if ids[i] != ids[j]:
-                    links.append((min(ids[i], ids[j]), max(ids[i], ids[j])))
+                if nodes[i] != nodes[j]:
+                    links.append((min(nodes[i], nodes[j]), max(nodes[i], nodes[j])))
                 label[label == label[j]] = label[i]
     return links
 
 
+#: A class of texts with equal shingles: its smallest id and the fingerprint of its shingles.
+NODE = pa.struct([("rep", pa.int64()), ("fp", pa.binary())])
+_NODE = "struct<rep: bigint, fp: binary>"
+
+
 def _links(percent: int):
-    schema = pa.schema([("u", pa.int64()), ("v", pa.int64())])
+    schema = pa.schema([("u", NODE), ("v", NODE)])
 
     def apply(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, parts in runs(batches, ["pivot", "part_a", "part_b"]):
             t = pa.Table.from_batches(parts)
-            ids = t.column("rep").to_pylist()
+            nodes = list(zip(t.column("rep").to_pylist(), t.column("fp").to_pylist()))
             sets = [np.frombuffer(b, np.uint64) for b in t.column("set").to_pylist()]
-            found = spanning_links(ids, sets, percent)
+            found = spanning_links(nodes, sets, percent, t.column("known").to_numpy())
             if found:
-                yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (1, 0)], schema=schema)
+                ends = ([dict(zip(("rep", "fp"), x[k])) for x in found] for k in (1, 0))
+                yield pa.RecordBatch.from_arrays([pa.array(e, NODE) for e in ends], schema=schema)
 
     return apply
 
 
-def _blocks(df: DataFrame, count: str, block: int, by: str) -> DataFrame:
-    """Rows dealt to pairs of blocks; a group of block rows or fewer is one pair."""
-    parts = F.ceil(F.col(count) / block).cast("int")
-    own = F.pmod(F.xxhash64(by), parts).cast("int")
-    other = F.explode(F.sequence(F.lit(0), parts - 1))
-    return (
-        df.select("*", own.alias("__own"), other.alias("__other"))
-        .withColumn("part_a", F.least("__own", "__other"))
-        .withColumn("part_b", F.greatest("__own", "__other"))
-        .drop("__own", "__other")
+def _linked_with_lead(percent: int):
+    """Marks the members of large groups whose set is linked with that of the group's lead."""
+    schema = pa.schema([("pivot", pa.int64()), ("rep", pa.int64()), ("fp", pa.binary()), ("known", pa.bool_())])
+
+    def apply(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, lead = None, np.zeros(0, np.uint64)
+        for batch in slices(batches):
+            known = []
+            for mine, other in zip(batch.column("set"), batch.column("lead_set")):
+                if (other := other.as_py()) != last:
+                    last, lead = other, np.frombuffer(other, np.uint64)
+                s = np.frombuffer(mine.as_py(), np.uint64)
+                at = np.searchsorted(lead, s)
+                both = int((lead[np.minimum(at, len(lead) - 1)] == s).sum())
+                known.append(100 * both >= percent * (len(s) + len(lead) - both))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in schema.names[:3]), pa.array(known, pa.bool_())], schema=schema)
+
+    return apply
+
+
+def _deal(df: DataFrame, key: str, weight: str, block: int) -> DataFrame:
+    """Rows of df (key, rep, fp, known, ...) dealt to tasks (part_a, part_b) in which they meet.
+
+    Of each key, rows not known meet each other and the known ones, known ones do not meet
+    each other. Weights of the rows of a part come to about block. Rows of a key without
+    any row that is not known meet nobody, and go.
+    """
+    parts = df.groupBy(key).agg(
+        F.ceil(F.coalesce(F.sum(F.when(~F.col("known"), F.col(weight))), F.lit(0)) / block).cast("int").alias("__rest"),
+        F.ceil(F.coalesce(F.sum(F.when(F.col("known"), F.col(weight))), F.lit(0)) / block).cast("int").alias("__done"),
     )
+    held = df.join(parts.filter("__rest > 0"), key).withColumn("__own", F.pmod(F.xxhash64("rep", "fp"), F.when(F.col("known"), F.col("__done")).otherwise(F.col("__rest"))).cast("int"))
+    pair = lambda a, b: F.struct(a.cast("int").alias("part_a"), b.cast("int").alias("part_b"))
+    own, upto = F.col("__own"), lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    among = F.transform(upto("__rest"), lambda o: pair(F.least(own, o), F.greatest(own, o)))
+    to_known = F.when(F.col("__done") > 0, F.transform(upto("__done"), lambda o: pair(own, -1 - o))).otherwise(F.array().cast("array<struct<part_a:int,part_b:int>>"))
+    to_rest = F.transform(upto("__rest"), lambda o: pair(o, -1 - own))
+    where = F.when(F.col("known"), to_rest).otherwise(F.concat(among, to_known))
+    return held.select(*df.columns, F.inline(where))
 
 
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
-    """(node, component): the smallest node that each node of edges (u, v) can reach.
+    """(node, component): the smallest node that each node of edges (u, v) can reach; nodes are of any type with an order.
 
     Alternating large-star and small-star steps; every round is written to the shared
     folder. Minima are taken with map-side combining, so a node with very many links is
-    no unbounded group; joins on it can be split by adaptive execution.
+    no unbounded group; joins on it can be split by adaptive execution. Rounds grow with the
+    logarithm of a path's length; should max_rounds not suffice, this fails and returns nothing.
     """
     e = materialize(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u <> v").distinct(), "edges")
     seen = None
     for _ in range(max_rounds):
         state = e.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
         if not state["n"] or tuple(state) == seen:
-            break
+            return e.select(F.col("u").alias("node"), F.col("v").alias("component"))
         seen = tuple(state)
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
@@ -273,59 +324,112 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.explode(F.array(F.struct("v", "m"), F.struct(F.col("u").alias("v"), "m"))).alias("p"))
         e = materialize(small.select(F.col("p.v").alias("u"), F.col("p.m").alias("v")).filter("u <> v").distinct(), "edges")
-    return e.select(F.col("u").alias("node"), F.col("v").alias("component"))
-
-
-def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """doc_id, n_shingles, component_id and kept of every row of docs (doc_id, text).
+    raise RuntimeError(f"components still change after {max_rounds} rounds")
 
-    Rows are linked where 100 * shared >= percent * union of their distinct shingles of
-    width words. See the module for cases and for the chance of a miss, which holds
-    for a percent of 80 or more.
-    """
-    if percent < 80:
-        raise ValueError("the bands are laid out for similarities of 80 percent or more")
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    feats = materialize(docs.mapInArrow(_features(width), _FEATURES), "features")
-    some = feats.filter("fp is not null and doc_id is not null")
-    classes = materialize(some.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")), "classes")
-    reps = materialize(some.withColumnRenamed("doc_id", "rep").join(classes.select("fp", "rep"), ["rep", "fp"], "left_semi").dropDuplicates(["rep", "fp"]), "reps")
 
+def _near(reps: DataFrame, percent: int) -> DataFrame:
+    """(pivot, rep, fp, n_shingles): classes with a near sketch in a bucket whose smallest id is pivot."""
+    limit = sketch_limit(percent)
+    kept = ["pivot", "rep", "fp", "n_shingles"]
     banded = reps.select(F.explode("bands").alias("bkey"), "rep", "fp")
-    shared = banded.groupBy("bkey").agg(F.count("*").alias("size"), F.min("rep").alias("pivot")).filter("size > 1")
-    members = banded.join(shared, "bkey").join(reps.select("rep", "fp", "n_shingles", "sketch"), ["rep", "fp"])
-    dealt = _blocks(members, "size", BUCKET_BLOCK, "rep").select("bkey", "part_a", "part_b", "rep", "fp", "pivot", "n_shingles", "sketch")
-    near = (
+    shared = banded.groupBy("bkey").agg(F.count("*").alias("size"), F.min(F.struct("rep", "fp")).alias("lead")).filter("size > 1")
+    sketches = reps.select("rep", "fp", "n_shingles", "sketch")
+    members = banded.join(shared.select("bkey", "size", F.col("lead.rep").alias("pivot")), "bkey").join(sketches, ["rep", "fp"])
+
+    large = shared.filter(F.col("size") > BUCKET_BLOCK).select("bkey", F.col("lead.rep").alias("rep"), F.col("lead.fp").alias("fp"))
+    leads = large.join(sketches, ["rep", "fp"]).select("bkey", F.col("fp").alias("lead_fp"), F.col("n_shingles").alias("lead_n"), F.col("sketch").alias("lead_sketch"))
+    apart = F.aggregate(F.zip_with("sketch", "lead_sketch", lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda n, x: n + x)
+    like = (100 * F.least("n_shingles", "lead_n") >= percent * F.greatest("n_shingles", "lead_n")) & (apart <= limit)
+    of_large = materialize(members.join(leads, "bkey").withColumn("known", like), "large")  # a lead is like itself
+
+    of_small = members.filter(F.col("size") <= BUCKET_BLOCK).withColumn("known", F.lit(False)).withColumns({"part_a": F.lit(0), "part_b": F.lit(0)})
+    columns = ["bkey", "part_a", "part_b", *kept, "known", "sketch"]
+    dealt = of_small.select(columns).unionByName(_deal(of_large.withColumn("one", F.lit(1)), "bkey", "one", BUCKET_BLOCK).select(columns))
+    found = (
         dealt.repartition("bkey", "part_a", "part_b")
         .sortWithinPartitions("bkey", "part_a", "part_b", "rep")
-        .mapInArrow(_near_members(sketch_limit(percent), percent), "pivot long, rep long, fp binary, n_shingles long")
+        .mapInArrow(_near_members(limit, percent), "pivot long, rep long, fp binary, n_shingles long")
     )
-    near = materialize(near.distinct(), "near")
+    return materialize(found.unionByName(of_large.filter("known").select(kept)).distinct(), "near")
+
 
-    sizes = near.groupBy("pivot").agg(F.sum("n_shingles").alias("size"))
+def _text_links(docs: DataFrame, near: DataFrame, width: int, percent: int) -> DataFrame:
+    """Links (u, v) of classes that connect whatever is linked among near's classes, counted on full sets."""
     texts = reduce_by_ids(docs.filter("doc_id is not null"), "doc_id", near, "rep")
     sets = texts.mapInArrow(_sets(width), "doc_id long, fp binary, set binary").withColumnRenamed("doc_id", "rep").dropDuplicates(["rep", "fp"])
-    meet = _blocks(near.join(sizes, "pivot"), "size", GROUP_BLOCK, "rep").drop("size").join(sets, ["rep", "fp"])
-    links = (
-        meet.select("pivot", "part_a", "part_b", "rep", "set")
+    sets = materialize(sets.join(near.select("rep", "fp").distinct(), ["rep", "fp"], "left_semi"), "sets")
+    sizes = near.groupBy("pivot").agg(F.sum("n_shingles").alias("size"), F.min(F.struct("rep", "fp")).alias("lead"))
+
+    large = sizes.filter(F.col("size") > GROUP_BLOCK).select("pivot", F.col("lead.rep").alias("rep"), F.col("lead.fp").alias("fp"))
+    leads = large.join(sets, ["rep", "fp"]).select("pivot", F.struct("rep", "fp").alias("lead"), F.col("set").alias("lead_set"))
+    members = near.join(leads.select("pivot", "lead_set"), "pivot").join(sets, ["rep", "fp"]).select("pivot", "rep", "fp", "set", "lead_set")
+    marked = materialize(members.mapInArrow(_linked_with_lead(percent), "pivot long, rep long, fp binary, known boolean"), "marked")
+    with_lead = marked.filter("known").join(large.select("pivot", F.struct("rep", "fp").alias("v")), "pivot").select(F.struct("rep", "fp").alias("u"), "v").filter("u <> v")
+
+    of_small = near.join(sizes.filter(F.col("size") <= GROUP_BLOCK), "pivot").withColumn("known", F.lit(False)).withColumns({"part_a": F.lit(0), "part_b": F.lit(0)})
+    columns = ["pivot", "part_a", "part_b", "rep", "fp", "known"]
+    of_large = _deal(marked.join(near, ["pivot", "rep", "fp"]), "pivot", "n_shingles", GROUP_BLOCK)
+    met = (
+        of_small.select(columns)
+        .unionByName(of_large.select(columns))
+        .join(sets, ["rep", "fp"])
         .repartition("pivot", "part_a", "part_b")
-        .sortWithinPartitions("pivot", "part_a", "part_b", "rep")
-        .mapInArrow(_links(percent), "u long, v long")
+        .sortWithinPartitions("pivot", "part_a", "part_b", "rep", "fp")
+        .mapInArrow(_links(percent), f"u {_NODE}, v {_NODE}")
     )
-    found = components(links)
+    return met.unionByName(with_lead.select(F.col("u").cast(_NODE).alias("u"), F.col("v").cast(_NODE).alias("v")))
+
+
+def _grouped(docs: DataFrame, width: int, percent: int, by_id: bool) -> DataFrame:
+    """doc_id, text_key, n_shingles, its class (rep, fp) and the smallest class it reaches (first_rep, first_fp), for each row.
+
+    With by_id, classes with a common id are linked, and a row without shingles has the class of its id, if any.
+    """
+    if percent < 80:
+        raise ValueError("the bands are laid out for similarities of 80 percent or more")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_key"))
+    feats = materialize(docs.mapInArrow(_features(width), _FEATURES), "features")
+    some = feats.filter("fp is not null and doc_id is not null")
+    classes = materialize(some.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")), "classes")
+    reps = some.withColumnRenamed("doc_id", "rep").join(classes.select("fp", "rep"), ["rep", "fp"], "left_semi")
+    reps = materialize(reps.dropDuplicates(["rep", "fp"]).drop("text_key"), "reps")
+    links = _text_links(docs, _near(reps, percent), width, percent)
 
     many = classes.filter("copies > 1").select("fp", "rep")
-    return (
-        feats.select("doc_id", "n_shingles", "fp")
-        .join(many, "fp", "left")
-        .select("doc_id", "n_shingles", F.coalesce("rep", "doc_id").alias("rep"))
-        .join(found.withColumnRenamed("node", "rep"), "rep", "left")
-        .select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "rep")).alias("component_id"))
-        .withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
-    )
+    rows = feats.select("doc_id", "text_key", "n_shingles", "fp").join(many, "fp", "left").withColumn("rep", F.coalesce("rep", "doc_id"))
+    if by_id:
+        texts_of = feats.filter("doc_id is not null").groupBy("doc_id").agg(F.min("fp").alias("low"), F.max("fp").alias("high"), F.count("*").alias("n"), F.count("fp").alias("with_text"))
+        several = texts_of.filter("low <> high or (with_text > 0 and with_text < n)").select("doc_id")
+        node = F.struct("rep", "fp")
+        nodes = materialize(rows.filter("fp is not null").join(several, "doc_id", "left_semi").select("doc_id", node.alias("v")).distinct(), "ids")
+        of_id = nodes.groupBy("doc_id").agg(F.min("v").alias("u"))
+        same_id = nodes.join(of_id, "doc_id").filter("u <> v").select(F.col("u").cast(_NODE).alias("u"), F.col("v").cast(_NODE).alias("v"))
+        links = links.unionByName(same_id)
+        own = of_id.select("doc_id", F.col("u.rep").alias("id_rep"), F.col("u.fp").alias("id_fp"))
+        rows = rows.join(own, "doc_id", "left").withColumns({"rep": F.when(F.col("fp").isNull(), F.coalesce("id_rep", "rep")).otherwise(F.col("rep")), "fp": F.coalesce("fp", "id_fp")}).drop("id_rep", "id_fp")
+    found = components(links).select(F.col("node.rep").alias("rep"), F.col("node.fp").alias("fp"), F.col("component.rep").alias("first_rep"), F.col("component.fp").alias("first_fp"))
+    rows = rows.join(found, ["rep", "fp"], "left")
+    return rows.withColumns({"first_rep": F.coalesce("first_rep", "rep"), "first_fp": F.coalesce("first_fp", "fp")})
+
+
+def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
+    """doc_id, n_shingles, component_id and kept of every row of docs (doc_id, text).
+
+    Rows are linked where 100 * shared >= percent * union of their distinct shingles of
+    width words. See the module for cases and for the chance of a miss, which holds
+    for a percent of 80 or more.
+    """
+    rows = _grouped(docs, width, percent, by_id=True)
+    rows = rows.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("first_rep")).alias("component_id"))
+    return rows.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
 def drop_near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """docs, all columns, with one document of each group: that of the smallest id. Rows that repeat an id stay."""
-    gone = near_duplicates(docs, width, percent).filter("not kept").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """docs, all columns, with the first text of each group of linked texts, under the smallest id it has.
+
+    Rows equal in id and text stay or go together.
+    """
+    rows = _grouped(docs, width, percent, by_id=False).filter("doc_id is not null and fp is not null")
+    gone = rows.filter("doc_id <> first_rep or fp <> first_fp").select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key")).distinct()
+    same = (docs["doc_id"].cast("long") == F.col("__id")) & (F.xxhash64(docs["text"]) == F.col("__key"))
+    return docs.join(gone, same, "left_anti").select(*docs.columns)

@@ -62,6 +62,57 @@ def test_blocks_change_nothing(spark, monkeypatch):
     assert result(neardup.near_duplicates(spark.createDataFrame(rows, DOCS), 4)) == brute(rows, 4)[0]
 
 
+IDS = [
+    [(3, "a b c d e f"), (5, "a b c d e f"), (5, "g h i j k l"), (7, "g h i j k l")],
+    [(3, "a b c d e f"), (7, "a b c d e f"), (7, "g h i j k l")],
+    [(3, "a b c d e f"), (5, None), (5, "a b c d e f"), (9, None), (9, ""), (5, " ")],
+    [(5, "a b c d e f"), (5, "g h i j k l"), (4, "g h i j k l"), (8, "m n o p"), (8, "m n o p")],
+    [(5, "a b c d e f"), (6, "g h i j k l"), (6, "a b c d e f"), (2, "g h i j k l")],
+]
+
+
+def test_documents_with_one_id_share_their_links(spark):
+    for rows in IDS:
+        assert result(neardup.near_duplicates(spark.createDataFrame(rows, DOCS), 4)) == brute(rows, 4)[0], rows
+    got = result(neardup.near_duplicates(spark.createDataFrame(IDS[0], DOCS), 4))
+    assert {r[2] for r in got} == {3}
+
+
+def test_repeated_ids_with_unlike_texts_equal_brute_force(spark):
+    for seed in (5, 6):
+        rnd = random.Random(seed)
+        rows = [(i if i is None else rnd.randrange(110) if rnd.random() < 0.4 else i, t) for i, t in corpus(seed)]
+        assert result(neardup.near_duplicates(spark.createDataFrame(rows, DOCS), 4)) == brute(rows, 4)[0]
+
+
+def test_dropping_loses_no_text(spark):
+    kept = lambda rows: sorted(map(tuple, neardup.drop_near_duplicates(spark.createDataFrame(rows, DOCS), 4).collect()), key=repr)
+    assert kept(IDS[0]) == [(3, "a b c d e f"), (5, "g h i j k l")]
+    assert kept(IDS[1]) == [(3, "a b c d e f"), (7, "g h i j k l")]
+    assert kept(IDS[2]) == sorted([(3, "a b c d e f"), (5, None), (9, None), (9, ""), (5, " ")], key=repr)
+    assert kept(IDS[3]) == sorted([(4, "g h i j k l"), (5, "a b c d e f"), (8, "m n o p"), (8, "m n o p")], key=repr)
+
+
+def test_large_groups_meet_their_first_member_first(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "BUCKET_BLOCK", 8)
+    monkeypatch.setattr(neardup, "GROUP_BLOCK", 400)
+    rnd = random.Random(11)
+    base = [f"w{rnd.randrange(40)}" for _ in range(60)]
+    rows = []
+    for i in range(120):
+        w = list(base)
+        for _ in range(rnd.choice([0, 1, 1, 2, 3])):
+            w[rnd.randrange(len(w))] = f"x{rnd.randrange(5)}"
+        rows.append((i, " ".join(w)))
+    assert result(neardup.near_duplicates(spark.createDataFrame(rows, DOCS), 4)) == brute(rows, 4)[0]
+
+
+def test_running_out_of_rounds_fails(spark):
+    edges = spark.createDataFrame([(i, i + 1) for i in range(40)], "u long, v long")
+    with pytest.raises(RuntimeError):
+        neardup.components(edges, max_rounds=1)
+
+
 def test_empty_table_and_clashing_columns(spark):
     assert neardup.near_duplicates(spark.createDataFrame([], DOCS)).count() == 0
     rows = [(1, "a b c d e f", 7, "x"), (2, "a b c d e f", 8, "y"), (3, None, None, None)]

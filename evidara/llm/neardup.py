@@ -332,15 +332,15 @@ def _near(reps: DataFrame, percent: int) -> DataFrame:
     limit = sketch_limit(percent)
     kept = ["pivot", "rep", "fp", "n_shingles"]
     banded = reps.select(F.explode("bands").alias("bkey"), "rep", "fp")
-    shared = banded.groupBy("bkey").agg(F.count("*").alias("size"), F.min(F.struct("rep", "fp")).alias("lead")).filter("size > 1")
-    sketches = reps.select("rep", "fp", "n_shingles", "sketch")
-    members = banded.join(shared.select("bkey", "size", F.col("lead.rep").alias("pivot")), "bkey").join(sketches, ["rep", "fp"])
+    shared = banded.groupBy("bkey").agg(F.count("*").alias("size"), F.min("rep").alias("pivot")).filter("size > 1")
+    members = banded.join(shared, "bkey").join(reps.select("rep", "fp", "n_shingles", "sketch"), ["rep", "fp"])
 
-    large = shared.filter(F.col("size") > BUCKET_BLOCK).select("bkey", F.col("lead.rep").alias("rep"), F.col("lead.fp").alias("fp"))
-    leads = large.join(sketches, ["rep", "fp"]).select("bkey", F.col("fp").alias("lead_fp"), F.col("n_shingles").alias("lead_n"), F.col("sketch").alias("lead_sketch"))
+    large = members.filter(F.col("size") > BUCKET_BLOCK)
+    first = large.filter("rep = pivot").groupBy("bkey").agg(F.min(F.struct("fp", "n_shingles", "sketch")).alias("lead"))
+    leads = first.select("bkey", F.col("lead.n_shingles").alias("lead_n"), F.col("lead.sketch").alias("lead_sketch"))
     apart = F.aggregate(F.zip_with("sketch", "lead_sketch", lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda n, x: n + x)
     like = (100 * F.least("n_shingles", "lead_n") >= percent * F.greatest("n_shingles", "lead_n")) & (apart <= limit)
-    of_large = materialize(members.join(leads, "bkey").withColumn("known", like), "large")  # a lead is like itself
+    of_large = materialize(large.join(leads, "bkey").withColumn("known", like), "large")  # a lead is like itself
 
     of_small = members.filter(F.col("size") <= BUCKET_BLOCK).withColumn("known", F.lit(False)).withColumns({"part_a": F.lit(0), "part_b": F.lit(0)})
     columns = ["bkey", "part_a", "part_b", *kept, "known", "sketch"]

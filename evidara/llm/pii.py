@@ -14,6 +14,7 @@ Spans are code points, end exclusive. Defined cases: null and empty texts have n
 spans of base kinds that overlap each other all stand, candidates that overlap a base
 span or an earlier candidate fall away; repeated rows stay; a corpus without candidates
 gives a classifier of the labelers' prior; null ids and other columns are not touched.
+Spans are of any length, and time is linear in the length of a text.
 """
 
 from __future__ import annotations
@@ -40,6 +41,9 @@ _EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 _IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
 _CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
+# The same matches in linear time: a match of either begins with a run of digits and ends with one, so no digit is given back.
+_IP_LINEAR = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
+_CARD_LINEAR = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 # Gazetteers and words of the context labelers.
 GIVEN_NAMES = frozenset("anna maria john james mary robert michael david linda sarah thomas peter paul laura julia marie pierre jean claire sophie luc hans klaus stefan petra sabine jürgen carlos josé juan ana carmen lucia pablo miguel elena emma noah liam olivia".split())
 TITLES = frozenset("mr mrs ms dr prof herr frau monsieur madame mme señor señora sr sra".split())
@@ -55,16 +59,16 @@ CUES = {
 }
 AGAINST = ("version", "isbn", "issn", "page", "chapter", "figure", "example", "sample", "order", "model", "serial", "part", "checksum", "commit", "sha1", "md5")
 
-_AT = re.compile(r"([A-Za-z0-9._%+-]{2,64})\s?(?:\(at\)|\[at\]|\{at\}|\sat\s)\s?([A-Za-z0-9-]{2,63}(?:\s?(?:\.|\(dot\)|\[dot\]|\{dot\}|\sdot\s)\s?[A-Za-z]{2,24})+)")
+_AT = re.compile(r"([A-Za-z0-9._%+-]{2,})\s?(?:\(at\)|\[at\]|\{at\}|\sat\s)\s?([A-Za-z0-9-]{2,}(?:\s?(?:\.|\(dot\)|\[dot\]|\{dot\}|\sdot\s)\s?[A-Za-z]{2,})+)")
 _NATIONAL = re.compile(r"(?<![\w+.-])(?:\(\d{2,5}\)[ -]?\d{3,4}[ -]?\d{3,5}|\d{3}[ .-]\d{3}[ .-]\d{4})(?![\w-])")
 _IBAN = re.compile(r"(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?!\w)")
 _SSN = re.compile(r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])")
-_SECRET = re.compile(r"(?i:(token|secret|passwd|password|pwd|api[_-]?key|access[_-]?key|auth[_-]?key|key|bearer))[\"']?\s{0,3}[:=]\s{0,3}[\"']?([^\s\"']{8,200})")
-_BARE = re.compile(r"(?<![A-Za-z0-9_/+=-])(?:ghp_[A-Za-z0-9]{20,}|AKIA[A-Z0-9]{16}|sk-[A-Za-z0-9]{20,}|eyJ[\w-]{10,}\.[\w-]{10,}\.[\w-]{5,})")
-_NAME = re.compile(r"(?<!\w)(?i:" + "|".join(sorted(TITLES, key=len, reverse=True)) + r")\.? ([A-ZÀ-Þ][^\W\d_]{1,20}(?: [A-ZÀ-Þ][^\W\d_]{1,20})?)(?!\w)")
+_SECRET = re.compile(r"(?i:(token|secret|passwd|password|pwd|api[_-]?key|access[_-]?key|auth[_-]?key|key|bearer))[\"']?\s{0,3}[:=]\s{0,3}[\"']?([^\s\"']{8,})")
+_BARE = re.compile(r"(?<![A-Za-z0-9_/+=-])(?:ghp_[A-Za-z0-9]{20,}|AKIA[A-Z0-9]{16,}|sk-[A-Za-z0-9]{20,}|eyJ[\w-]{10,}\.[\w-]{10,}\.[\w-]{5,})")
+_NAME = re.compile(r"(?<!\w)(?i:" + "|".join(sorted(TITLES, key=len, reverse=True)) + r")\.? ([A-ZÀ-Þ][^\W\d_]++(?: [A-ZÀ-Þ][^\W\d_]++(?!\w))?)(?!\w)")
 #: The word of every match of _AT; two capitalised words, of which the first may be a given name.
 _AT_SIGN = re.compile(r"(?<=[\s(\[{])at(?=[\s)\]}])")
-_GIVEN = re.compile(r"(?<!\w)([A-ZÀ-Þ][^\W\d_]{1,20})(?= ([A-ZÀ-Þ][^\W\d_]{1,20})(?!\w))")
+_GIVEN = re.compile(r"(?<!\w)([A-ZÀ-Þ][^\W\d_]++)(?= ([A-ZÀ-Þ][^\W\d_]++)(?!\w))")
 LABELERS = ("shape", "checksum", "gazetteer", "cue", "against", "mixed")
 #: Shape features of the classifier, besides votes and kind.
 SHAPES = ("long", "digits", "quoted")
@@ -105,7 +109,7 @@ def _spelled(text: str) -> Iterator[tuple[int, int]]:
         if b > free and text[b - 1].isspace():
             b -= 1
         a = b
-        while a > free and b - a < 64 and text[a - 1] in _LOCAL:
+        while a > free and text[a - 1] in _LOCAL:
             a -= 1
         m = _AT.match(text, a) if a < b else None
         if m:
@@ -115,10 +119,10 @@ def _spelled(text: str) -> Iterator[tuple[int, int]]:
 
 def base_spans(text: str) -> list[tuple[str, int, int]]:
     out = [("email", a, b) for a, b in _emails(text)]
-    for m in _IP.finditer(text):
+    for m in _IP_LINEAR.finditer(text):
         if all(len(p.lstrip("0")) <= 3 and int(p.lstrip("0") or 0) <= 255 for p in m[0].split(".")):
             out.append(("ip", *m.span()))
-    for m in _CARD.finditer(text):
+    for m in _CARD_LINEAR.finditer(text):
         d = m[0].replace(" ", "").replace("-", "")
         if 16 <= len(d) <= 19 and luhn(d):
             out.append(("card", *m.span()))
@@ -186,11 +190,18 @@ def candidates(text: str, base: list[tuple[str, int, int]]) -> list[tuple[str, i
     raw += [(m.start(1), m.end(2), "name") for m in _GIVEN.finditer(text) if m[1].lower() in GIVEN_NAMES]
     if not raw:
         return []
-    taken = [(a, b) for _, a, b in base]
-    out = []
+    taken: list[list[int]] = []  # base spans, those that overlap as one
+    for _, a, b in sorted(base, key=lambda s: s[1]):
+        if taken and a < taken[-1][1]:
+            taken[-1][1] = max(taken[-1][1], b)
+        else:
+            taken.append([a, b])
+    out, at, free = [], 0, 0
     for a, b, kind in sorted(raw):
-        if all(b <= x or y <= a for x, y in taken):
-            taken.append((a, b))
+        while at < len(taken) and taken[at][1] <= a:
+            at += 1
+        if a >= free and (at == len(taken) or b <= taken[at][0]):
+            free = b
             out.append((kind, a, b, _votes(kind, text, a, b)))
     return out
 
@@ -303,9 +314,9 @@ def joined(spans: list[tuple[str, int, int]]) -> str:
 
 
 def digest(found: DataFrame, model: Model) -> DataFrame:
-    """Counts and hash of base spans and the string of all accepted spans, for each row of found."""
+    """Counts and hash of base spans, the string of all accepted spans and whether there is one, for each row of found."""
     sent = found.sparkSession.sparkContext.broadcast(model)
-    fields = [("doc_id", pa.int64()), *((f"n_{k}", pa.int64()) for k in BASE_KINDS), ("base_sha256", pa.string()), ("spans", pa.string())]
+    fields = [("doc_id", pa.int64()), *((f"n_{k}", pa.int64()) for k in BASE_KINDS), ("base_sha256", pa.string()), ("spans", pa.string()), ("found", pa.bool_())]
     schema = pa.schema(fields)
 
     def apply(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -315,11 +326,11 @@ def digest(found: DataFrame, model: Model) -> DataFrame:
                 base = [(s["kind"], s["start"], s["end"]) for s in spans if s["votes"] is None]
                 more = [(s["kind"], s["start"], s["end"]) for s in spans if s["votes"] is not None and sent.value.chance(s["kind"], s["votes"]) >= 0.5]
                 n = Counter(k for k, _, _ in base)
-                rows.append((*(n[k] for k in BASE_KINDS), hashlib.sha256(joined(base).encode()).hexdigest(), joined(base + more)))
+                rows.append((*(n[k] for k in BASE_KINDS), hashlib.sha256(joined(base).encode()).hexdigest(), joined(base + more), bool(base or more)))
             columns = list(zip(*rows)) if rows else [[]] * (len(fields) - 1)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(list(c), f.type) for c, f in zip(columns, list(schema)[1:]))], schema=schema)
 
-    return found.mapInArrow(apply, "doc_id long, " + "".join(f"n_{k} long, " for k in BASE_KINDS) + "base_sha256 string, spans string")
+    return found.mapInArrow(apply, "doc_id long, " + "".join(f"n_{k} long, " for k in BASE_KINDS) + "base_sha256 string, spans string, found boolean")
 
 
 def find(docs: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from . import bpe, decontam, langid, licenses, neardup, pii, quality, sharding, token_store, toxicity
 from .common import table
+from .sql import ORACLE_SQL as ORACLE_SQL
 
 
 def op1_feistel_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -73,6 +74,3 @@ QUERIES = {
     "op9_language": op9_language,
     "op10_near_duplicates": op10_near_duplicates,
 }
-
-#: DuckDB SQL for those that SQL can express; the others are tested against brute force.
-ORACLE_SQL: dict[str, str] = {}

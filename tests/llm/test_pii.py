@@ -1,6 +1,7 @@
 import hashlib
 import random
 import re
+import time
 
 from evidara.llm import pii
 
@@ -35,6 +36,60 @@ def test_base_equals_finditer():
         assert pii.base_spans(t) == brute(t), t
 
 
+def test_base_of_long_runs_takes_linear_time():
+    digits = "7" * 1_000_000
+    for t in (digits, "1." * 400_000, "1.2.3." * 100_000 + digits, "@" * 300_000, "a" * 600_000 + "@" + "b" * 600_000, "+" + "1(" * 300_000, "1-" * 300_000 + " x"):
+        began = time.perf_counter()
+        pii.base_spans(t)
+        assert time.perf_counter() - began < 3, t[:20]
+    began = time.perf_counter()
+    assert pii.base_spans(digits) == []
+    assert time.perf_counter() - began < 1
+
+
+def test_candidates_of_long_runs_take_linear_time():
+    for t in ("token=" + "aB3$" * 250_000, "x at " * 150_000, "Anna B" * 150_000, "Mr. " * 200_000 + "A" + "b" * 400_000 + "_", "key" * 300_000, "eyJ" + "a-" * 300_000, "1.2.3.4 " * 60_000 + "555-123-4567 " * 60_000):
+        began = time.perf_counter()
+        pii.candidates(t, pii.base_spans(t))
+        assert time.perf_counter() - began < 6, t[:20]
+
+
+def test_long_secrets_go_whole(spark):
+    rnd = random.Random(4)
+    long = "".join(rnd.choice("abcdefghijklmnopqrstuvwxyzABCDEFG0123456789") for _ in range(10_000))
+    rows = [(i, f"the password = {long[: 300 + i]} stays secret") for i in range(60)] + [(99, f"token: {long} end"), (100, "AKIA" + "B7" * 40)]
+    out = {r.doc_id: r.text for r in pii.redact(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert out[99] == "token: [SECRET] end" and out[100] == "[SECRET]"
+    assert all(out[i] == "the password = [SECRET] stays secret" for i in range(60))
+
+
+def accepted(raw, base):
+    """By every pair: in order, what overlaps neither a base span nor one accepted before it."""
+    out = []
+    for a, b, kind in sorted(raw):
+        if all(b <= x or y <= a for _, x, y in base) and all(b <= y[1] or y[2] <= a for y in out):
+            out.append((kind, a, b))
+    return out
+
+
+def test_candidates_equal_every_pattern_and_pair():
+    """Added spans by the ungated patterns over the whole text, and by comparing all pairs."""
+    rnd = random.Random(9)
+    bits = ["token=", "key: ", "aB3dE6gH9", "Mr. ", "Anna Miller", "Peter ", "Schmidt", " at ", "mail.com", "(dot)", "DE89 3704 0044 0532 0130 00", "123-45-6789", "(555) 123-4567", "555-123-4567", "ghp_" + "a1B2" * 6, " ", "\n", ".", "é", "1.2.3.4", "x@y.de", "+1 555 1234567", "'", '"']
+    found = 0
+    for _ in range(4000):
+        t = "".join(rnd.choice(bits) for _ in range(rnd.randint(1, 14)))
+        raw = [(*m.span(), "email") for m in pii._AT.finditer(t)]
+        raw += [(*m.span(2), "secret") for m in pii._SECRET.finditer(t)] + [(*m.span(), "secret") for m in pii._BARE.finditer(t)]
+        raw += [(*m.span(), "iban") for m in pii._IBAN.finditer(t)] + [(*m.span(), "ssn") for m in pii._SSN.finditer(t)] + [(*m.span(), "phone") for m in pii._NATIONAL.finditer(t)]
+        raw += [(*m.span(1), "name") for m in pii._NAME.finditer(t)] + [(m.start(1), m.end(2), "name") for m in pii._GIVEN.finditer(t) if m[1].lower() in pii.GIVEN_NAMES]
+        base = pii.base_spans(t)
+        want = accepted(raw, base)
+        assert [c[:3] for c in pii.candidates(t, base)] == want, t
+        found += len(want)
+    assert found > 3000
+
+
 def test_checksums():
     assert pii.luhn("4111111111111111") and not pii.luhn("4111111111111112")
     assert pii.iban_ok("DE89 3704 0044 0532 0130 00") and not pii.iban_ok("DE89 3704 0044 0532 0130 01")
@@ -74,6 +129,7 @@ def test_em_keeps_true_and_drops_false(spark):
         assert [s[0] for s in spans] == ([want] if want else []), (t, r.spans)
     one = next(r for r in out if r.doc_id is None)
     assert (one.n_email, one.spans) == (1, "email:2:8")
+    assert all(r.found == bool(r.spans) for r in out)
     assert one.base_sha256 == hashlib.sha256(b"email:2:8").hexdigest()
     assert next(r.spans for r in out if r.doc_id == 902) == "phone:9:23"  # the base patterns take too many digits and fail
     none = next(r for r in out if r.doc_id == 900)

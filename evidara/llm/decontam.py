@@ -9,8 +9,9 @@ takes those of its largest size. Windows of documents that meet a sketch name ca
 and each candidate is confirmed by counting all shingles of the item in the document. No
 candidate is lost, whatever the document's length.
 
-Items go to the tasks in blocks of a bounded number of shingles; documents are read once
-for each block and are never shuffled.
+Items go to the tasks in blocks of a bounded number of shingles, one block at a time where
+there are several: its matches are written, and its memory is given back, before the next
+is read. Documents are read once for each block and are never shuffled.
 
 Words are runs of letters, digits and underscores in the lower-cased text. Defined cases:
 null texts, and texts without a word, match nothing; items shorter than the width are one
@@ -140,19 +141,16 @@ def _item_sets(width: int):
     return apply
 
 
-def _item_blocks(items: DataFrame, width: int) -> list:
-    """Broadcasts of (item_id, set, width), each of about BLOCK_SHINGLES shingles at most."""
-    spark = items.sparkSession
+def _item_blocks(items: DataFrame, width: int) -> Iterator[tuple[list, bool]]:
+    """(item_id, set, width) in blocks of about BLOCK_SHINGLES shingles, and whether there are several. The driver holds one at a time."""
     sets = items.select(F.col("item_id").cast("long").alias("item_id"), "text").distinct().mapInArrow(_item_sets(width), "item_id long, width int, n long, set binary")
     total = sets.agg(F.sum("n").alias("n")).first()["n"] or 0
     blocks = max(1, -(-total // BLOCK_SHINGLES))
     if blocks > 1:
         sets = materialize(sets, "items")
-    out = []
     for block in range(blocks):
-        held = sets.filter(F.pmod(F.xxhash64("item_id", "set"), F.lit(blocks)) == block).collect()
-        out.append(spark.sparkContext.broadcast([(r["item_id"], np.frombuffer(bytes(r["set"]), np.uint64), r["width"]) for r in held]))
-    return out
+        held = sets.filter(F.pmod(F.xxhash64("item_id", "set"), F.lit(blocks)) == block).toLocalIterator()
+        yield [(r["item_id"], np.frombuffer(bytes(r["set"]), np.uint64), r["width"]) for r in held], blocks > 1
 
 
 def find_items(docs: DataFrame, items: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
@@ -161,7 +159,8 @@ def find_items(docs: DataFrame, items: DataFrame, width: int = 5, percent: int =
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     schema = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("n_item", pa.int64()), ("n_shared", pa.int64())])
     out = None
-    for sent in _item_blocks(items, width):
+    for block, several in _item_blocks(items, width):
+        sent = docs.sparkSession.sparkContext.broadcast(block)
 
         def apply(batches: Iterable[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             hold("decontam", _hashes.clear)
@@ -172,13 +171,17 @@ def find_items(docs: DataFrame, items: DataFrame, width: int = 5, percent: int =
                     yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.int64()) for c in zip(*rows)], schema=schema)
 
         found = docs.mapInArrow(apply, "doc_id long, item_id long, n_item long, n_shared long")
+        if several:
+            found = materialize(found, "matches")
+            sent.destroy()
         out = found if out is None else out.unionByName(found)
     return out.withColumn("containment", F.col("n_shared") / F.col("n_item"))
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """docs, all columns, without the rows whose text contains an item. Rows are judged one by one, without a shuffle."""
-    for sent in _item_blocks(items, width):
+    for block, several in _item_blocks(items, width):
+        sent = docs.sparkSession.sparkContext.broadcast(block)
 
         def apply(batches: Iterable[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             hold("decontam", _hashes.clear)
@@ -187,4 +190,7 @@ def drop_contaminated(docs: DataFrame, items: DataFrame, width: int = 5, percent
                 yield batch.filter(pa.array([not index.matches(t) for t in batch.column("text").to_pylist()], pa.bool_()))
 
         docs = docs.mapInArrow(apply, docs.schema)
+        if several:
+            docs = materialize(docs, "clean")
+            sent.destroy()
     return docs

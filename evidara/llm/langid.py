@@ -182,7 +182,8 @@ def fit(docs: DataFrame, docs_per_lang: int = 400, windows_per_doc: int = 3) ->
                     parts.append(x[k].tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(parts, pa.binary())], names=["lang", "part"])
 
-    rows = known.join(F.broadcast(chosen), ["doc_id", "lang"]).select("lang", "text").mapInArrow(cut, "lang string, part binary").collect()
+    texts = known.join(F.broadcast(chosen), ["doc_id", "lang"]).groupBy("doc_id", "lang").agg(F.min("text").alias("text"))  # one of each id, however often it is repeated
+    rows = texts.select("lang", "text").mapInArrow(cut, "lang string, part binary").collect()
     rows = sorted((r["lang"], bytes(r["part"])) for r in rows)
     langs = sorted({r[0] for r in rows})
     x = np.frombuffer(b"".join(r[1] for r in rows), np.uint8).reshape(-1, WINDOW)

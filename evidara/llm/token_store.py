@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .chunks import cut, encode_all
-from .common import hold, materialize, scratch_path, slices
+from .common import gone_at_exit, hold, scratch_path, slices
 
 _IDS, _IDX = b"EVIDS1", b"EVIDX1\0\0"
 
@@ -305,17 +305,20 @@ def write_token_files(docs: DataFrame, tokenizer_file: str, folder: str | None =
     """Ids of all texts of docs (doc_id, text) in token files; (their folder, one manifest row per shard).
 
     folder is reached by driver and executors alike, through pyarrow's file systems; without
-    one, a new folder in spark.checkpoint.dir. Shards are ranges of doc_id, about docs_per_shard
+    one, a new folder in spark.checkpoint.dir, which goes when the driver ends. Shards are ranges of doc_id, about docs_per_shard
     documents each, and follow one another in ascending order.
     """
     spark = docs.sparkSession
-    folder = folder or scratch_path(spark, "tokens")
+    if folder is None:
+        folder = scratch_path(spark, "tokens")
+        gone_at_exit(spark, folder)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     with open(tokenizer_file, encoding="utf-8") as f:
         spec = spark.sparkContext.broadcast(f.read())
     shards = max(1, -(-docs.count() // docs_per_shard))
     dealt = docs.repartitionByRange(shards, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
-    return folder, materialize(dealt.mapInArrow(_writer(spec, folder, end_id), _MANIFEST), "manifest")
+    dealt.mapInArrow(_writer(spec, folder, end_id), _MANIFEST).write.mode("overwrite").parquet(f"{folder}/manifest")
+    return folder, spark.read.schema(_MANIFEST).parquet(f"{folder}/manifest")
 
 
 def read_token_files(folder: str, manifest: DataFrame, keys: DataFrame, key: str = "doc_id") -> DataFrame:

@@ -8,8 +8,8 @@ and of that sum per 100 words.
 
 The entries are a short fixed list and those that labelled documents support; weights are
 log-odds of document counts over the labelled sample. The sample is bounded by
-max_fit_docs, half of it toxic at most, chosen by a hash of the id; every document is
-scored on its whole text.
+max_fit_docs, half of it toxic at most, chosen by a hash of the id, and of an id with
+several texts the least counts; every document is scored on its whole text.
 
 Defined cases: null and empty texts, and texts without a match, have the score of no
 match; labels without a value and documents without a label do not count; a document
@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold_of, hold, slices
+from .common import fold_of, hold, materialize, slices
 
 # The starting lexicon (word beginnings), exception phrases and look-alikes.
 BASE_TERMS = (
@@ -144,25 +144,26 @@ def _term_counts(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield out()
 
 
-def _evidence(t: int, c: int, share: float) -> float:
-    n = t + c
-    return (t * math.log(t / (n * share)) if t else 0) + (c * math.log(c / (n * (1 - share))) if c else 0)
+def ranked_terms(counted: DataFrame, bad: int, good: int) -> DataFrame:
+    """(term, start, bad, ratio) of all terms that toxic documents have far more often, those with the
+    most evidence (log-likelihood against one rate for all) first; of equal evidence whole words, then the longest."""
+    share, n = bad / (bad + good), F.col("bad") + F.col("good")
+    part = lambda c, s: F.when(F.col(c) > 0, F.col(c) * F.log(F.col(c) / (n * s))).otherwise(0.0)
+    ratio = F.log((F.col("bad") + 0.5) / (bad + 1) / ((F.col("good") + 0.5) / (good + 1)))
+    d = counted.withColumn("ratio", ratio).withColumn("evidence", F.round(part("bad", share) + part("good", 1 - share), 6))
+    d = d.filter((F.col("ratio") >= 1.5) & (F.col("bad") / bad > F.col("good") / good) & (F.col("evidence") > 16))
+    return d.orderBy(F.desc("evidence"), "start", F.desc(F.length("term")), F.desc("term")).select("term", "start", "bad", "ratio")
 
 
-def choose_terms(counts: list[tuple[str, bool, int, int]], bad: int, good: int, most: int = 400) -> dict[tuple[str, bool], float]:
-    """Weights of entries that toxic documents have far more often, the strongest first and none
-    that says the same as a chosen one."""
-    share = bad / (bad + good)
-    odds = lambda t, c, pt, pc: math.log((t + pt) / (bad + 2 * pt) / ((c + pc) / (good + 2 * pc)))
-    ranked = []
-    for term, start, t, c in counts:
-        ratio = odds(t, c, 0.5, 0.5)
-        if ratio >= 1.5 and t / bad > c / good and (e := _evidence(t, c, share)) > 16:
-            ranked.append((round(e, 6), not start, len(term), term, start, ratio, t))
-    ranked.sort(reverse=True)
+def choose_terms(ranked: Iterable[tuple[str, bool, int, float]], base: dict[str, tuple[int, int]], bad: int, good: int, most: int = 400) -> dict[tuple[str, bool], float]:
+    """Weights of the first entries of ranked_terms' rows of which none says the same as one before it, and of the fixed list.
+
+    most bounds the lexicon; rows are taken until it is full, so there may be any number of
+    them. base has toxic and clean counts of the word beginnings of the fixed list.
+    """
     chosen: dict[tuple[str, bool], float] = {}
     support: dict[str, int] = {}
-    for _, _, _, term, start, ratio, t in ranked:
+    for term, start, t, ratio in ranked:
         if len(chosen) >= most:
             break
         if any(term.startswith(p) and (p, True) in chosen for p in (term[:k] for k in range(3, len(term) + 1))):
@@ -172,7 +173,7 @@ def choose_terms(counts: list[tuple[str, bool, int, int]], bad: int, good: int,
         chosen[term, start] = ratio
         support[term] = t
     for term in BASE_TERMS:
-        t, c = next(((t, c) for w, s, t, c in counts if w == term[:8] and s and len(term) >= 4), (0, 0))
+        t, c = base.get(term[:8], (0, 0)) if len(term) >= 4 else (0, 0)
         if not any(term.startswith(p) for (p, s) in chosen if s):
             chosen.pop((term, False), None)
             w = math.log((t + 1) / (bad + 1) / ((c + 0.02) / (good + 1))) if t + c >= 3 else PRIOR
@@ -207,16 +208,16 @@ def fit(docs: DataFrame, labels: DataFrame, max_fit_docs: int = 8000) -> Model:
     sample = [known.filter(F.col("toxic") == k).orderBy(order, "doc_id").limit(max_fit_docs // 2) for k in (0, 1)]
     sample = spark.createDataFrame([tuple(r) for part in sample for r in part.collect()], "doc_id long, toxic int")
     shares = {r["toxic"]: r["n"] for r in known.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(sample), "doc_id")
+    # one text of each id, however often the id is repeated
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(sample), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
     sizes = {r["toxic"]: r["n"] for r in texts.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     bad, good = sizes.get(1, 0), sizes.get(0, 0)
     if not bad or not good:
         return Model({(t, True): PRIOR for t in BASE_TERMS})
     counted = texts.select("text", "toxic").mapInArrow(_term_counts, "term string, start boolean, bad long, good long").groupBy("term", "start").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
-    lead = F.col("bad") / bad > 2 * F.col("good") / good
-    base = F.col("start") & F.col("term").isin([t[:8] for t in BASE_TERMS])
-    top = counted.filter((lead & (F.col("bad") >= 3)) | base).orderBy(base.desc(), F.desc("bad"), "good", "term", "start").limit(20_000).collect()
-    model = Model(choose_terms([tuple(r) for r in top], bad, good))
+    counted = materialize(counted, "terms")
+    base = {r["term"]: (r["bad"], r["good"]) for r in counted.filter(F.col("start") & F.col("term").isin([t[:8] for t in BASE_TERMS])).collect()}
+    model = Model(choose_terms(map(tuple, ranked_terms(counted, bad, good).toLocalIterator()), base, bad, good))
     sent = spark.sparkContext.broadcast(model)
 
     def featured(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

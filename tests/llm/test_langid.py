@@ -48,3 +48,26 @@ def test_nothing_to_learn(spark):
     net = langid.fit(df)
     assert [tuple(r)[2:] for r in langid.predict(df, net).collect()] == [("und", 0.0)]
     assert langid.predict(df.limit(0), net).count() == 0
+
+
+def test_forward_pass_equals_loops():
+    """Each filter at each place of each window, by plain loops, against the tables for pairs of bytes."""
+    rng = np.random.default_rng(3)
+    size = langid.FILTERS * len(langid.WIDTHS)
+    kernels = [rng.normal(0, 1, (w, 256, langid.FILTERS)).astype(np.float32) for w in langid.WIDTHS]
+    for k in kernels:
+        k[:, 0, :] = 0
+    net = langid.Network(["a", "b", "c"], kernels, rng.normal(0, 1, size).astype(np.float32), rng.normal(0, 1, (size, 3)).astype(np.float32), rng.normal(0, 1, 3).astype(np.float32))
+    data = [bytes(rng.integers(1, 256, n, dtype=np.uint8)) for n in (1, 2, 3, 191, 192, 193, 400)]
+    for text in data:
+        x, sizes = langid.as_windows(text)
+        assert sizes.sum() == len(text) and b"".join(r.tobytes() for r in x)[: len(text)] == text
+        got = langid.Predictor(net).probabilities(x)
+        for row, p in zip(x, got):
+            best = []
+            for k in kernels:
+                sums = [sum(k[j, row[i + j]].astype(float) for j in range(len(k))) for i in range(langid.WINDOW - len(k) + 1)]
+                best.append(np.max(sums, axis=0))
+            z = np.maximum(np.concatenate(best) + net.bias, 0) @ net.out.astype(float) + net.out_bias
+            want = np.exp(z - z.max()) / np.exp(z - z.max()).sum()
+            assert np.allclose(p, want, atol=1e-4)

@@ -1,3 +1,4 @@
+import math
 import random
 import zlib
 
@@ -32,6 +33,50 @@ def test_boundaries_and_exceptions():
     assert m.score("x " * 5 + "clown") > m.score("x " * 500 + "clown") > m.score("x") == m.score(None) == m.score("")
 
 
+def by_hand(model, text):
+    """Score by looking for every entry at every place."""
+    t = toxicity.fold(text)
+    letter = lambda i: 0 <= i < len(t) and t[i].isalpha()
+    places = lambda p: [i for i in range(len(t)) if t.startswith(p, i) and not letter(i - 1)]
+    shields = [(i, i + len(p)) for p in model.exceptions for i in places(p)]
+    weights = [
+        w for (term, start), w in model.weights.items() for i in places(term)
+        if (start or not letter(i + len(term))) and not any(a <= i and i + len(term) <= b for a, b in shields)
+    ]
+    x = (0.0, 0.0, 0.0)
+    if weights:
+        total = math.fsum(weights)
+        x = (max(weights), math.log1p(max(0.0, total)), math.log1p(max(0.0, 100 * total / max(1, len(t.split())))))
+    z = model.coefficients[0] + sum(c * v for c, v in zip(model.coefficients[1:], x))
+    return 1 / (1 + math.exp(-max(-40.0, min(40.0, z))))
+
+
+def test_scores_equal_brute_force():
+    rnd = random.Random(12)
+    bits = ["clown", "clowns", "a clown car", "ass", "pass", "cl0wn", "ｃlown", "trash can", "trash", "s$s", "аss", " ", ".", "-", "\n", "x", "İ", "idiotproof", "idiot-proof", "idiot"]
+    model = toxicity.Model({("clown", True): 2.0, ("ass", False): 1.0, ("trash", True): 1.5, ("idiot", True): 0.7, ("idi", True): -0.4, ("lown", False): 3.0})
+    matcher = toxicity.Matcher(model)
+    for _ in range(3000):
+        text = "".join(rnd.choice(bits) + rnd.choice(["", " "]) for _ in range(rnd.randint(0, 12)))
+        assert math.isclose(matcher.score(text), by_hand(model, text), rel_tol=1e-9), text
+
+
+def test_terms_are_ranked_without_a_cap(spark):
+    rows = [(f"w{i:05d}", False, 30 + i % 7, i % 3) for i in range(25_000)] + [("weak", False, 4, 4), ("rest", True, 900, 0)]
+    df = spark.createDataFrame(rows, "term string, start boolean, bad long, good long")
+    ranked = [tuple(r) for r in toxicity.ranked_terms(df, 1000, 1000).collect()]
+    evidence = lambda t, c: (t * math.log(t / ((t + c) * 0.5)) if t else 0) + (c * math.log(c / ((t + c) * 0.5)) if c else 0)
+    want = sorted(((round(evidence(t, c), 6), not s, len(w), w) for w, s, t, c in rows if evidence(t, c) > 16), reverse=True)
+    assert [r[0] for r in ranked] == [x[3] for x in want] and len(want) > 20_000 and want[0][3] == "rest"
+
+
+def test_repeated_ids_are_learned_from_once(spark):
+    docs, labels = corpus(300)
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    lab = spark.createDataFrame(labels, "doc_id long, toxic int")
+    assert toxicity.fit(d.unionByName(d).unionByName(d), lab.unionByName(lab)) == toxicity.fit(d, lab)
+
+
 def test_learns_and_holds_out(spark):
     docs, labels = corpus()
     d = spark.createDataFrame(docs + [(5000, None), (5001, ""), (None, "idiot")], "doc_id long, text string")

@@ -5,7 +5,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import entities as N
 from ..operators import evaluation as V
 from ..operators import incremental as I
 from ..operators import joins as J
@@ -227,45 +226,6 @@ def cube_events(spark, d):
     return S.interactions(spark, d).withColumnRenamed("kind", "event_type").rollup("direction", "event_type").agg(F.count("*").alias("n"))
 
 
-# Entities -----------------------------------------------------------------------------------
-
-IDENTIFIERS = "(SELECT 'c' || c_custkey AS entity_id, 'name' AS kind, c_name AS value FROM customer UNION ALL SELECT 'c' || c_custkey, 'id', CAST(c_custkey AS VARCHAR) FROM customer UNION ALL SELECT 's' || s_suppkey, 'name', s_name FROM supplier)"
-LADDER = f"""(SELECT entity_id, round(max(s), 6) AS score, max_by(reason, s) AS reason FROM (SELECT entity_id, CASE WHEN exact THEN CASE kind WHEN 'id' THEN 0.99 ELSE 0.88 END ELSE least(CASE kind WHEN 'id' THEN 0.99 ELSE 0.88 END - 0.2, 0.76) END::DOUBLE AS s,
- CASE WHEN exact AND kind = 'id' THEN 'exact_id' WHEN exact THEN 'exact' ELSE 'partial' END AS reason FROM (SELECT *, lower(trim(value)) = '12' AS exact FROM {IDENTIFIERS} i WHERE contains(lower(value), '12')) a) b GROUP BY entity_id)"""
-
-
-def identifiers(spark, d):
-    c = S.raw(spark, d, "customer").select(F.concat(F.lit("c"), F.col("c_custkey").cast("string")).alias("entity_id"), "c_name", F.col("c_custkey").cast("string").alias("id"))
-    s = S.raw(spark, d, "supplier").select(F.concat(F.lit("s"), F.col("s_suppkey").cast("string")).alias("entity_id"), F.lit("name").alias("kind"), F.col("s_name").alias("value"))
-    pairs = F.explode(F.array(F.struct(F.lit("name").alias("kind"), F.col("c_name").alias("value")), F.struct(F.lit("id").alias("kind"), F.col("id").alias("value")))).alias("p")
-    return c.select("entity_id", pairs).select("entity_id", "p.kind", "p.value").unionByName(s)
-
-
-@query("entity_exact_ladder", f"SELECT entity_id, score, reason FROM {LADDER} l")
-def entity_exact_ladder(spark, d):
-    return N.scored(identifiers(spark, d), "12")
-
-
-@query("entity_select", "SELECT 'c12' AS entity_id, 'ok' AS status")
-def entity_select(spark, d):
-    return N.leader(N.scored(identifiers(spark, d), "12"))
-
-
-@query("entity_merge_map", "SELECT CASE WHEN o_custkey % 10 = 5 THEN o_custkey - 5 ELSE o_custkey END AS o_custkey, count(*) AS orders FROM orders GROUP BY 1")
-def entity_merge_map(spark, d):
-    m = S.raw(spark, d, "orders").select("o_custkey").distinct().filter("o_custkey % 10 = 5").select(F.col("o_custkey").alias("old_id"), (F.col("o_custkey") - 5).alias("new_id"))
-    return N.repointed(S.raw(spark, d, "orders").select("o_custkey"), m, "o_custkey").groupBy("o_custkey").agg(F.count("*").alias("orders"))
-
-
-@query("customer_sections", "SELECT c_custkey, section, o_orderkey FROM (SELECT o_custkey AS c_custkey, CASE WHEN o_totalprice > 200000 THEN 'large' WHEN o_orderstatus = 'O' THEN 'open' ELSE 'other' END AS section, o_orderkey, row_number() OVER (PARTITION BY o_custkey, CASE WHEN o_totalprice > 200000 THEN 'large' WHEN o_orderstatus = 'O' THEN 'open' ELSE 'other' END ORDER BY o_orderdate DESC, o_orderkey) AS n FROM orders) t WHERE n <= 5")
-def customer_sections(spark, d):
-    from ..operators.windows import newest_k
-
-    section = F.when(F.col("o_totalprice") > 200_000, "large").when(F.col("o_orderstatus") == "O", "open").otherwise("other")
-    o = S.raw(spark, d, "orders").select(F.col("o_custkey").alias("c_custkey"), section.alias("section"), "o_orderkey", "o_orderdate")
-    return newest_k(o, ["c_custkey", "section"], 5, F.desc("o_orderdate"), F.asc("o_orderkey")).drop("o_orderdate")
-
-
 # Vectors ------------------------------------------------------------------------------------
 
 Q = "(SELECT CAST(embedding AS DOUBLE[]) AS q FROM embeddings WHERE vec_id = 0)"

@@ -1,50 +1,155 @@
-"""Entity resolution by a ladder of identifier scores, selection of a leader, and merging of ids."""
+"""Entity resolution: scores of identifiers, candidates by stages, selection of a leader, merging of ids.
+
+identifiers has (entity_id, kind, value, confidence), entities (entity_id, display_name,
+confidence). Stages follow each other in one plan: where a stage has rows, those after it
+give none, without a question to the driver.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Score of an exact hit by kind of identifier; a partial hit scores 0.2 less, 0.76 at most.
-EXACT = {"id": 0.99, "remark": 0.97, "nickname": 0.94, "alias": 0.90, "name": 0.88}
-PRIORITY = {"exact_id": 50, "exact": 40, "partial": 20}
+from .lexical import with_fallback
+
+# Scores by kind of identifier for exact and partial hits, reasons, and the strength of reasons.
+EXACT = {"user_id": 0.99, "remark": 0.97, "nickname": 0.94, "group_alias": 0.90, "alias": 0.88, "display_name": 0.88}
+PARTIAL = {"user_id": 0.78, "display_name": 0.74}
+PARTIAL_LOSS, PARTIAL_MOST = 0.2, 0.76
+REASONS = {"user_id": "user_id_exact", "remark": "contact_remark_exact", "nickname": "contact_nickname_exact", "group_alias": "group_alias_exact"}
+PARTIAL_REASONS = {"user_id": "user_id_partial", "display_name": "identifier_partial"}
+PRIORITY = {"private_conversation_title_exact": 50, "user_id_exact": 45, "contact_remark_exact": 40, "contact_nickname_exact": 30, "group_alias_exact": 20, "identifier_exact": 10}
 
 
 def normalized(c: Column) -> Column:
     return F.lower(F.trim(F.regexp_replace(c, "[ \\t\\n\\r]+", " ")))
 
 
-def scored(identifiers: DataFrame, needle: str, weights: Mapping[str, float] = EXACT) -> DataFrame:
-    """(entity_id, score, reason) of entities (entity_id, kind, value) with an identifier that is, or contains, the needle."""
+def _by_kind(values: Mapping[str, object], default: object) -> Column:
+    return reduce(lambda out, kv: F.when(F.col("kind") == kv[0], F.lit(kv[1])).otherwise(out), values.items(), F.lit(default))
+
+
+def partial_scores() -> dict[str, float]:
+    return {k: PARTIAL.get(k, min(round(v - PARTIAL_LOSS, 6), PARTIAL_MOST)) for k, v in EXACT.items()}
+
+
+def scored(identifiers: DataFrame, needle: str) -> DataFrame:
+    """(entity_id, score, reasons) of entities with an identifier that is, or contains, the needle."""
     n = needle.strip().lower()
     v = normalized(F.col("value"))
-    base = F.lit(0.0)
-    for kind, w in weights.items():
-        base = F.when(F.col("kind") == kind, F.lit(w)).otherwise(base)
     exact = v == n
-    d = identifiers.filter(v.contains(n)).withColumn("score", F.when(exact, base).otherwise(F.least(base - 0.2, F.lit(0.76))))
-    d = d.withColumn("reason", F.when(exact & (F.col("kind") == "id"), "exact_id").when(exact, "exact").otherwise("partial"))
-    best = F.max(F.struct("score", "reason"))
-    return d.groupBy("entity_id").agg(best.alias("b")).select("entity_id", F.round("b.score", 6).alias("score"), F.col("b.reason").alias("reason"))
-
-
-def leader(candidates: DataFrame) -> DataFrame:
-    """One row: the candidate of the highest reason and score with status `ok`, or `ambiguous` if
-    another equals it, or `no_results`. Only the two best rows meet."""
-    p = F.lit(0)
-    for reason, value in PRIORITY.items():
-        p = F.when(F.col("reason") == reason, value).otherwise(p)
-    order = [F.desc("p"), F.desc("score"), F.asc("entity_id")]
-    top = candidates.withColumn("p", p).orderBy(*order).limit(2)
-    top = top.withColumn("n", F.row_number().over(Window.orderBy(*order))).withColumn("ties", F.count("*").over(Window.partitionBy("p", "score")))
-    one = top.filter("n = 1").agg(F.max("entity_id").alias("entity_id"), F.max("ties").alias("ties"), F.count("*").alias("c"))
-    status = F.when(F.col("c") == 0, "no_results").when(F.col("ties") > 1, "ambiguous").otherwise("ok")
+    reason = _by_kind(REASONS, "identifier_exact")
+    partial = F.coalesce(_by_kind(PARTIAL_REASONS, None), F.concat(reason, F.lit("_partial")))
+    d = identifiers.filter(v.contains(n)).withColumn("score", F.when(exact, _by_kind(EXACT, 0.0)).otherwise(_by_kind(partial_scores(), 0.0)))
+    d = d.withColumn("reasons", F.when(exact, F.array(reason, F.lit("identifier_exact"))).otherwise(F.array(partial)))
+    return d.groupBy("entity_id").agg(F.max("score").alias("score"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("reasons")))).alias("reasons"))
+
+
+def candidates(entities: DataFrame, identifiers: DataFrame, needle: str, most_entities: int = 10, most_aliases: int = 12) -> DataFrame:
+    """One row per person: key (the user id, else the entity), entity_id and display_name of the surest
+    entity, confidence, reasons, entity_ids and aliases, the lists cut to their bounds.
+
+    Entities with an identifier equal to the needle, or else those that contain it. A score is
+    bounded by the entity's own confidence. Entities of the same user id are one person, and
+    those that share it without a hit are named as siblings.
+    """
+    n = needle.strip().lower()
+    v = normalized(F.col("value"))
+    hit = with_fallback(identifiers.filter(v == n), identifiers.filter(v.contains(n) & (v != n)))
+    named = hit.withColumn("reason", F.array(_by_kind(REASONS, "identifier_exact"), F.lit("identifier_exact")))
+    hits = named.groupBy("entity_id").agg(F.max(F.least("confidence", F.lit(1.0))).alias("sure"), F.flatten(F.collect_set("reason")).alias("named"))
+    own = identifiers.join(hits.select("entity_id"), "entity_id", "left_semi")
+    known = own.groupBy("entity_id").agg(F.min(F.when(F.col("kind") == "user_id", F.col("value"))).alias("user_id"), F.collect_set("value").alias("values"))
+    s = hits.join(known, "entity_id").join(scored(own, needle), "entity_id", "left").join(entities.withColumnRenamed("confidence", "own"), "entity_id")
+    s = s.select(
+        "entity_id", "display_name", "user_id", "values",
+        F.coalesce("user_id", "entity_id").alias("key"),
+        F.least(F.greatest(F.coalesce("score", F.lit(0.0)), "sure"), F.greatest(F.least("own", F.lit(1.0)), F.lit(0.0))).alias("confidence"),
+        F.array_union("named", F.coalesce("reasons", F.array().cast("array<string>"))).alias("reasons"),
+    ).filter("confidence > 0")
+    first = F.min(F.struct((-F.col("confidence")).alias("c"), "entity_id", "display_name"))
+    merged = s.groupBy("key").agg(
+        first.alias("b"), F.max("user_id").alias("user_id"), F.flatten(F.collect_set("reasons")).alias("reasons"),
+        F.collect_set("entity_id").alias("ids"), F.flatten(F.collect_set(F.array_append("values", F.col("display_name")))).alias("aliases"),
+    )
+    shared = identifiers.filter("kind = 'user_id'").select(F.col("value").alias("user_id"), "entity_id").join(merged.filter("user_id is not null").select("user_id"), "user_id", "left_semi")
+    others = identifiers.join(shared.select("entity_id"), "entity_id", "left_semi").groupBy("entity_id").agg(F.collect_set("value").alias("values"))
+    shared = shared.join(others, "entity_id").join(entities.select("entity_id", "display_name"), "entity_id")
+    siblings = shared.groupBy("user_id").agg(F.collect_set("entity_id").alias("more_ids"), F.flatten(F.collect_set(F.array_append("values", F.col("display_name")))).alias("more_aliases"))
+    j = merged.join(siblings, "user_id", "left")
+    none = F.array().cast("array<string>")
+    listed = lambda c, more, most: F.slice(F.array_sort(F.array_distinct(F.concat(c, F.coalesce(more, none)))), 1, most)
+    sibling = F.when(F.col("more_ids").isNotNull(), F.array(F.lit("user_id_sibling"))).otherwise(none)
+    return j.select(
+        "key", F.col("b.entity_id").alias("entity_id"), F.col("b.display_name").alias("display_name"), F.round(-F.col("b.c"), 6).alias("confidence"),
+        F.array_sort(F.array_distinct(F.concat("reasons", sibling))).alias("reasons"),
+        listed(F.col("ids"), F.col("more_ids"), most_entities).alias("entity_ids"), listed(F.col("aliases"), F.col("more_aliases"), most_aliases).alias("aliases"),
+    )
+
+
+def with_conversations(found: DataFrame, conversations: DataFrame, messages: DataFrame, most: int = 20) -> DataFrame:
+    """Candidates with conversation_ids and sender_ids: private conversations (conversation_id, title,
+    type) whose title is an alias of one candidate and of no other conversation, and who wrote in them."""
+    private = conversations.filter("type = 'private'").select("conversation_id", normalized(F.col("title")).alias("alias"))
+    aliases = found.select("key", F.explode(F.transform("aliases", normalized)).alias("alias")).distinct()
+    matched = aliases.join(private, "alias")
+    alone = matched.groupBy("key", "alias").agg(F.count("*").alias("n"), F.min("conversation_id").alias("conversation_id")).filter("n = 1")
+    pairs = alone.select("key", "conversation_id").distinct()
+    senders = messages.filter("direction = 'incoming'").select("conversation_id", "sender_id").distinct()
+    g = pairs.join(senders, "conversation_id", "left").groupBy("key")
+    cut = lambda c: F.slice(F.array_sort(F.collect_set(c)), 1, most)
+    none = F.array().cast("array<string>")
+    j = found.join(g.agg(cut("conversation_id").alias("conversation_ids"), cut("sender_id").alias("sender_ids")), "key", "left")
+    return j.withColumns({c: F.coalesce(c, none) for c in ("conversation_ids", "sender_ids")})
+
+
+def unresolved(conversations: DataFrame, messages: DataFrame, needle: str, limit: int = 5) -> DataFrame:
+    """Candidates where no entity is known: private conversations of exactly this title, or else the
+    first messages whose title or sender contains it; columns as of candidates, without lists."""
+    n = needle.strip().lower()
+    title = F.lower(F.col("title"))
+    by_title = conversations.filter((F.col("type") == "private") & (title == n)).select(
+        F.col("conversation_id").alias("key"), F.col("title").alias("display_name"), F.lit(1.0).alias("confidence"), F.array(F.lit("private_conversation_title_exact")).alias("reasons")
+    )
+    m = messages.filter(F.lower("conversation_title").contains(n) | F.lower("sender_name").contains(n)).orderBy("timestamp", "citation").limit(limit)
+    private = (F.col("conversation_type") == "private") & (F.lower("conversation_title") == n)
+    group = (F.col("conversation_type") == "group") & (F.lower("sender_name") == n)
+    reason = F.when(private, "private_conversation_title_exact").when(group, "group_alias_exact").otherwise("message_metadata")
+    rows = m.select(
+        F.when(private, F.col("conversation_id")).otherwise(F.coalesce("sender_id", "conversation_title", "sender_name")).alias("key"),
+        F.coalesce("conversation_title", "sender_name").alias("display_name"),
+        F.when(private, 1.0).when(group, 0.9).otherwise(0.4).alias("confidence"),
+        reason.alias("reason"), "timestamp", "citation",
+    )
+    first = F.min(F.struct((-F.col("confidence")).alias("c"), "timestamp", "citation", "display_name"))
+    by_message = rows.groupBy("key").agg(first.alias("b"), F.array_sort(F.collect_set("reason")).alias("reasons")).select("key", F.col("b.display_name").alias("display_name"), (-F.col("b.c")).alias("confidence"), "reasons")
+    out = with_fallback(by_title, by_message)
+    return out.select("key", F.concat(F.lit("unresolved:"), "key").alias("entity_id"), "display_name", "confidence", "reasons")
+
+
+def leader(found: DataFrame, limit: int = 5) -> DataFrame:
+    """One row: the candidate of the strongest reason, then of the highest confidence, with status `ok`;
+    `ambiguous` if another equals it or its reasons have no strength and it is not alone, or `no_results`.
+
+    As of the surest candidates up to limit, which is what a caller is shown.
+    """
+    strength = F.array_max(F.transform("reasons", lambda r: reduce(lambda out, kv: F.when(r == kv[0], kv[1]).otherwise(out), PRIORITY.items(), F.lit(0))))
+    shown = found.withColumn("p", strength).orderBy(F.desc("confidence"), "entity_id").limit(limit)
+    order = [F.desc("p"), F.desc("confidence"), F.asc("entity_id")]
+    ranked = shown.withColumn("n", F.row_number().over(Window.orderBy(*order)))  # of limit rows
+    one = ranked.agg(F.count("*").alias("c"), F.max(F.struct("p", "confidence")).alias("top"), F.max(F.when(F.col("n") == 1, F.col("entity_id"))).alias("entity_id"), F.collect_list(F.struct("p", "confidence")).alias("all"))
+    ties = F.size(F.filter("all", lambda x: x == F.col("top")))
+    status = F.when(F.col("c") == 0, "no_results").when((F.col("c") == 1) | ((ties == 1) & (F.col("top.p") > 0)), "ok").otherwise("ambiguous")
     return one.select(F.when(status == "ok", F.col("entity_id")).alias("entity_id"), status.alias("status"))
 
 
-def repointed(df: DataFrame, merges: DataFrame, column: str) -> DataFrame:
-    """df with ids replaced by their canonical one (merges: old_id, new_id)."""
-    m = merges.select(F.col("old_id").alias(column), F.col("new_id").alias("__new"))
-    return df.join(m, column, "left").withColumn(column, F.coalesce("__new", column)).drop("__new")
+def repointed(df: DataFrame, merges: DataFrame, columns: str | Sequence[str]) -> DataFrame:
+    """df with the ids of these columns replaced by their canonical one (merges: old_id, new_id)."""
+    names, order = [columns] if isinstance(columns, str) else list(columns), df.columns
+    for c in names:
+        m = merges.select(F.col("old_id").alias(c), F.col("new_id").alias("__new"))
+        df = df.join(m, c, "left").withColumn(c, F.coalesce("__new", c)).drop("__new")
+    return df.select(*order)

@@ -332,17 +332,17 @@ def _near(reps: DataFrame, percent: int) -> DataFrame:
     limit = sketch_limit(percent)
     kept = ["pivot", "rep", "fp", "n_shingles"]
     banded = reps.select(F.explode("bands").alias("bkey"), "rep", "fp")
-    shared = banded.groupBy("bkey").agg(F.count("*").alias("size"), F.min("rep").alias("pivot")).filter("size > 1")
-    members = banded.join(shared, "bkey").join(reps.select("rep", "fp", "n_shingles", "sketch"), ["rep", "fp"])
+    shared = materialize(banded.groupBy("bkey").agg(F.count("*").alias("size"), F.min("rep").alias("pivot")).filter("size > 1"), "buckets")
+    members = lambda condition: banded.join(shared.filter(condition), "bkey").join(reps.select("rep", "fp", "n_shingles", "sketch"), ["rep", "fp"])
 
-    large = members.filter(F.col("size") > BUCKET_BLOCK)
+    large = members(F.col("size") > BUCKET_BLOCK)  # few buckets, so this does not shuffle all rows once more
     first = large.filter("rep = pivot").groupBy("bkey").agg(F.min(F.struct("fp", "n_shingles", "sketch")).alias("lead"))
     leads = first.select("bkey", F.col("lead.n_shingles").alias("lead_n"), F.col("lead.sketch").alias("lead_sketch"))
     apart = F.aggregate(F.zip_with("sketch", "lead_sketch", lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda n, x: n + x)
     like = (100 * F.least("n_shingles", "lead_n") >= percent * F.greatest("n_shingles", "lead_n")) & (apart <= limit)
     of_large = materialize(large.join(leads, "bkey").withColumn("known", like), "large")  # a lead is like itself
 
-    of_small = members.filter(F.col("size") <= BUCKET_BLOCK).withColumn("known", F.lit(False)).withColumns({"part_a": F.lit(0), "part_b": F.lit(0)})
+    of_small = members(F.col("size") <= BUCKET_BLOCK).withColumn("known", F.lit(False)).withColumns({"part_a": F.lit(0), "part_b": F.lit(0)})
     columns = ["bkey", "part_a", "part_b", *kept, "known", "sketch"]
     dealt = of_small.select(columns).unionByName(_deal(of_large.withColumn("one", F.lit(1)), "bkey", "one", BUCKET_BLOCK).select(columns))
     found = (

@@ -309,15 +309,17 @@ def write_token_files(docs: DataFrame, tokenizer_file: str, folder: str | None =
     documents each, and follow one another in ascending order.
     """
     spark = docs.sparkSession
+    own = False
     if folder is None:
-        folder = scratch_path(spark, "tokens")
-        gone_at_exit(spark, folder)
+        folder, own = scratch_path(spark, "tokens"), True
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     with open(tokenizer_file, encoding="utf-8") as f:
         spec = spark.sparkContext.broadcast(f.read())
     shards = max(1, -(-docs.count() // docs_per_shard))
     dealt = docs.repartitionByRange(shards, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
     dealt.mapInArrow(_writer(spec, folder, end_id), _MANIFEST).write.mode("overwrite").parquet(f"{folder}/manifest")
+    if own:
+        gone_at_exit(spark, folder)
     return folder, spark.read.schema(_MANIFEST).parquet(f"{folder}/manifest")
 
 

@@ -6,9 +6,9 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import lexical as L
+from ..operators.lexical_index import kept_index
 from ..operators import ranking as R
 from ..operators import windows as W
-from ..plans.search import SearchRequest, search
 from ..sources import tables as S
 from .registry import query
 
@@ -145,7 +145,9 @@ def vector_document_text(spark, d):
 
 @query("bm25_exact", f"SELECT doc_id, round(score, 6) AS score FROM {bm25_sql('documents', {'text': 1.0, 'source': 1.0})} s ORDER BY round(score, 6) DESC, doc_id LIMIT 20")
 def bm25_exact(spark, d):
-    s = L.bm25(S.raw(spark, d, "documents").select("doc_id", "text", "source"), PHRASE, {"text": 1.0, "source": 1.0})
+    """By the kept index: only rows that have all trigrams are read for the phrase, and lengths come from the index."""
+    docs = S.raw(spark, d, "documents").select("doc_id", "text", "source")
+    s = L.bm25_indexed(kept_index("documents", docs, "doc_id", ["text", "source"]), docs, PHRASE, {"text": 1.0, "source": 1.0})
     return s.select("doc_id", F.round("score", 6).alias("score")).orderBy(F.desc("score"), "doc_id").limit(20)
 
 
@@ -168,8 +170,9 @@ def term_and_fallback(spark, d):
 
 @query("trigram_postings", f"SELECT doc_id FROM documents WHERE contains(lower(text), 'heonan')")
 def trigram_postings(spark, d):
-    docs = S.raw(spark, d, "documents").select("doc_id", "text")
-    return L.by_postings(docs, L.trigram_postings(docs, "doc_id", "text", L.grams_of("heonan")), "doc_id", "text", "heonan").select("doc_id")
+    docs = S.raw(spark, d, "documents").select("doc_id", "text", "source")
+    found = kept_index("documents", docs, "doc_id", ["text", "source"]).candidates("heonan")
+    return docs.join(found, "doc_id", "left_semi").filter(T.contains_fold(F.col("text"), "heonan")).select("doc_id")
 
 
 @query("multisource_search", """SELECT 'document' AS family, doc_id AS id FROM documents WHERE contains(lower(text), 'license') UNION ALL SELECT 'page', page_id FROM pages WHERE contains(lower(html), 'license')""")
@@ -179,8 +182,8 @@ def multisource_search(spark, d):
 
 
 ROUTES = f"""e AS (SELECT doc_id AS key, row_number() OVER (ORDER BY round(score, 6) DESC, doc_id) AS rank, 'exact' AS route FROM {bm25_sql('documents', {'text': 1.0, 'source': 1.0})} s QUALIFY rank <= 30),
- c AS (SELECT key, row_number() OVER (ORDER BY sc DESC, tier, key) AS rank, 'chunk' AS route FROM (SELECT doc_id AS key, round(max(score), 6) AS sc, min(CASE WHEN contains(lower(source), '{PHRASE}') THEN 0 WHEN contains(lower(chunk), '{PHRASE}') THEN 1 ELSE 2 END) AS tier FROM {bm25_sql(CHUNKS + ' k', {'chunk': 1.0, 'source': 3.5})} s GROUP BY doc_id) g QUALIFY rank <= 30),
- t AS (SELECT doc_id AS key, row_number() OVER (ORDER BY doc_id) AS rank, 'terms' AS route FROM documents WHERE contains(lower(text || ' ' || source), 'the') AND contains(lower(text || ' ' || source), 'and') QUALIFY rank <= 30),
+ c AS (SELECT key, row_number() OVER (ORDER BY sc DESC, tier, key) AS rank, 'evidence' AS route FROM (SELECT doc_id AS key, round(max(score), 6) AS sc, min(CASE WHEN contains(lower(source), '{PHRASE}') THEN 0 WHEN contains(lower(chunk), '{PHRASE}') THEN 1 ELSE 2 END) AS tier FROM {bm25_sql(CHUNKS + ' k', {'chunk': 1.0, 'source': 3.5})} s GROUP BY doc_id) g QUALIFY rank <= 30),
+ t AS (SELECT doc_id AS key, row_number() OVER (ORDER BY doc_id) AS rank, 'fts' AS route FROM documents WHERE contains(lower(text || ' ' || source), 'the') AND contains(lower(text || ' ' || source), 'and') QUALIFY rank <= 30),
  r AS (SELECT * FROM e UNION ALL SELECT * FROM c UNION ALL SELECT * FROM t)"""
 
 
@@ -189,44 +192,38 @@ def routes(spark, d):
     e = R.route(L.bm25(docs, PHRASE, {"content": 1.0, "title": 1.0}).withColumn("score", F.round("score", 6)), "exact", [F.desc("score"), F.asc("key")], 30)
     ch = L.bm25(L.fixed_chunks(docs.select("key", "content", "title"), "key", "content").select("key", "chunk", "title"), PHRASE, {"chunk": 1.0, "title": 3.5})
     best = ch.withColumn("tier", L.title_tier(F.col("title"), F.col("chunk"), PHRASE)).groupBy("key").agg(F.round(F.max("score"), 6).alias("score"), F.min("tier").alias("tier"))
-    c = R.route(best, "chunk", [F.desc("score"), F.asc("tier"), F.asc("key")], 30)
-    t = R.route(L.all_terms(docs, ["the", "and"], ["content", "title"]).select("key"), "terms", [F.asc("key")], 30)
+    c = R.route(best, "evidence", [F.desc("score"), F.asc("tier"), F.asc("key")], 30)
+    t = R.route(L.all_terms(docs, ["the", "and"], ["content", "title"]).select("key"), "fts", [F.asc("key")], 30)
     return e.unionByName(c).unionByName(t)
 
 
-@query("fuse_weighted", f"WITH {ROUTES} SELECT key, round(sum(CASE route WHEN 'exact' THEN 2.0 WHEN 'chunk' THEN 10.0 ELSE 4.0 END - 0.01 * (rank - 1)), 6) AS score, count(*) AS routes FROM r GROUP BY key")
+@query("fuse_weighted", f"WITH {ROUTES} SELECT key, round(sum(CASE route WHEN 'exact' THEN 2.0 WHEN 'evidence' THEN 10.0 ELSE 4.0 END - 0.01 * (rank - 1)), 6) AS score, count(*) AS routes FROM r GROUP BY key")
 def fuse_weighted(spark, d):
-    f = R.fuse_weighted(routes(spark, d), {"exact": 2.0, "chunk": 10.0, "terms": 4.0})
+    f = R.fuse_weighted(routes(spark, d), {"exact": 2.0, "evidence": 10.0, "fts": 4.0})
     return f.select("key", F.round("score", 6).alias("score"), F.size("paths").cast("long").alias("routes"))
 
 
-@query("fuse_rrf", f"WITH {ROUTES} SELECT key, round(sum(CASE route WHEN 'exact' THEN 2.0 WHEN 'chunk' THEN 10.0 ELSE 4.0 END / (60 + rank)), 9) AS score, array_to_string(list_sort(list(route)), ',') AS paths FROM r GROUP BY key")
+@query("fuse_rrf", f"WITH {ROUTES} SELECT key, round(sum(CASE route WHEN 'exact' THEN 2.0 WHEN 'evidence' THEN 10.0 ELSE 4.0 END / (60 + rank)), 9) AS score, array_to_string(list_sort(list(route)), ',') AS paths FROM r GROUP BY key")
 def fuse_rrf(spark, d):
-    f = R.fuse_rrf(routes(spark, d), {"exact": 2.0, "chunk": 10.0, "terms": 4.0})
+    f = R.fuse_rrf(routes(spark, d), {"exact": 2.0, "evidence": 10.0, "fts": 4.0})
     return f.select("key", F.round("score", 9).alias("score"), F.concat_ws(",", "paths").alias("paths"))
 
 
 FEATURES = f"""CASE WHEN contains(lower(text || ' ' || source), '{PHRASE}') THEN 6.0 ELSE 0.0 END + CASE WHEN contains(lower(source), '{PHRASE}') THEN 2.5 WHEN contains(lower(text), '{PHRASE}') THEN 0.75 ELSE 0.0 END
  + CASE WHEN contains(lower(text || ' ' || source), 'the') THEN 1.25 ELSE 0.0 END + CASE WHEN contains(lower(text || ' ' || source), 'and') THEN 1.25 ELSE 0.0 END
- + CASE WHEN list_contains(p, 'exact') THEN 1.0 ELSE 0.0 END + CASE WHEN list_contains(p, 'chunk') THEN 0.8 ELSE 0.0 END"""
-HYBRID = f"""WITH {ROUTES}, f AS (SELECT key, round(sum(CASE route WHEN 'exact' THEN 2.0 WHEN 'chunk' THEN 10.0 ELSE 4.0 END / (60 + rank)), 9) AS fused, list_sort(list(route)) AS p FROM r GROUP BY key),
+ + CASE WHEN list_contains(p, 'exact') THEN 1.0 ELSE 0.0 END + CASE WHEN list_contains(p, 'evidence') THEN 0.8 ELSE 0.0 END"""
+HYBRID = f"""WITH {ROUTES}, f AS (SELECT key, round(sum(CASE route WHEN 'exact' THEN 2.0 WHEN 'evidence' THEN 10.0 ELSE 4.0 END / (60 + rank)), 9) AS fused, list_sort(list(route)) AS p FROM r GROUP BY key),
  g AS (SELECT f.*, text, source, CASE WHEN row_number() OVER (ORDER BY fused DESC, key) <= 50 THEN 0 ELSE 1 END AS tier FROM f JOIN documents ON doc_id = key),
- h AS (SELECT key, tier, text, p, CAST(CASE WHEN tier = 0 THEN {FEATURES} ELSE fused END AS DOUBLE) AS score FROM g)"""
+ h AS (SELECT key, tier, text, p, CAST(fused + CASE WHEN tier = 0 THEN {FEATURES} ELSE 0 END AS DOUBLE) AS score FROM g)"""
 
 
-@query("feature_rerank", f"{HYBRID} SELECT key AS doc_id, tier, score FROM h")
+@query("feature_rerank", f"{HYBRID} SELECT key AS doc_id, tier, round(score, 6) AS score FROM h")
 def feature_rerank(spark, d):
     docs = S.evidence_documents(spark, d).select(F.col("doc_id").alias("key"), "content", "title")
-    fused = R.fuse_rrf(routes(spark, d), {"exact": 2.0, "chunk": 10.0, "terms": 4.0}).withColumn("score", F.round("score", 9))
+    fused = R.fuse_rrf(routes(spark, d), {"exact": 2.0, "evidence": 10.0, "fts": 4.0}).withColumn("score", F.round("score", 9))
     fused = docs.join(F.broadcast(fused), "key")  # 90 rows at most
-    out = R.rerank_head(fused, R.feature_score(F.col("content"), F.col("title"), PHRASE, ["the", "and"], [], F.col("paths")), 50)
-    return out.select(F.col("key").alias("doc_id"), "tier", "score")
-
-
-@query("hybrid_search", f"""{HYBRID}, i AS (SELECT *, instr(lower(text), '{PHRASE}') AS hit FROM h ORDER BY tier, score DESC, key LIMIT 10)
- SELECT key AS doc_id, tier, score, array_to_string(p, ',') AS paths, 'doc/' || key AS citation, CASE WHEN hit > 0 THEN (CASE WHEN hit > 61 THEN '…' ELSE '' END) || substring(text, greatest(hit - 60, 1), least(hit + {len(PHRASE) + 59}, length(text)) - greatest(hit - 60, 1) + 1) || (CASE WHEN hit + {len(PHRASE) + 59} < length(text) THEN '…' ELSE '' END) ELSE substring(text, 1, 120) END AS snippet FROM i""")
-def hybrid_search(spark, d):
-    return search(S.evidence_documents(spark, d), SearchRequest(PHRASE, limit=10))
+    out = R.rerank_head(fused, F.col("score") + R.feature_score(F.col("content"), F.col("title"), PHRASE, ["the", "and"], [], F.col("paths")), 50)
+    return out.select(F.col("key").alias("doc_id"), "tier", F.round("score", 6).alias("score"))
 
 
 @query("priority_dedupe", """SELECT key, family FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY pr) AS n FROM (SELECT doc_id AS key, 'labels' AS family, 0 AS pr FROM labels UNION ALL SELECT doc_id, 'documents', 1 FROM documents UNION ALL SELECT page_id, 'pages', 2 FROM pages) u) t WHERE n = 1""")

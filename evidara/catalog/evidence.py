@@ -26,13 +26,32 @@ UNIFIED = f"""(SELECT citation, actor, family FROM (SELECT *, row_number() OVER
  SELECT 'msg/' || conv_id || '/' || turn AS citation, role AS actor, 'message' AS family, 0 AS pr FROM conversations UNION ALL SELECT 'doc/' || doc_id, source, 'document', 1 FROM documents UNION ALL SELECT 'page/' || page_id, url, 'page', 2 FROM pages UNION ALL SELECT 'doc/' || doc_id, 'label', 'label', 3 FROM labels) u) t WHERE n = 1)"""
 
 
-def relation(spark, d):
+def families(spark, d):
+    """For each prefix of citations the families behind it: name, priority and rows, cut to a list of keys where one is given."""
     cite = lambda kind, c: F.concat(F.lit(f"{kind}/"), F.col(c).cast("string")).alias("citation")
-    m = S.messages(spark, d).select("citation", F.col("sender").alias("actor"), "content")
-    docs = S.raw(spark, d, "documents").select(cite("doc", "doc_id"), F.col("source").alias("actor"), F.col("text").alias("content"))
-    pages = S.raw(spark, d, "pages").select(cite("page", "page_id"), F.col("url").alias("actor"), F.col("html").alias("content"))
-    labels = S.raw(spark, d, "labels").select(cite("doc", "doc_id"), F.lit("label").alias("actor"), F.lit(None).cast("string").alias("content"))
-    return E.unified([("message", 0, m), ("document", 1, docs), ("page", 2, pages), ("label", 3, labels)])
+
+    def message(keys=None):
+        m = S.messages(spark, d)
+        if keys is not None:
+            m = m.filter(F.col("conversation_id").isin([k[0] for k in keys]) & F.col("local_id").isin([k[-1] for k in keys]))
+        return "message", 0, m.select("citation", F.col("sender").alias("actor"), "content")
+
+    def of(family, priority, prefix, name, key, actor, content):
+        def rows(keys=None):
+            t = S.raw(spark, d, name)
+            t = t if keys is None else t.filter(F.col(key).isin([k[0] for k in keys]))
+            return family, priority, t.select(cite(prefix, key), actor.alias("actor"), content.alias("content"))
+
+        return rows
+
+    document = of("document", 1, "doc", "documents", "doc_id", F.col("source"), F.col("text"))
+    page = of("page", 2, "page", "pages", "page_id", F.col("url"), F.col("html"))
+    label = of("label", 3, "doc", "labels", "doc_id", F.lit("label"), F.lit(None).cast("string"))
+    return {"msg": [message], "doc": [document, label], "page": [page]}
+
+
+def relation(spark, d):
+    return E.unified([of() for makers in families(spark, d).values() for of in makers])
 
 
 @query("unified_evidence", f"SELECT family, count(*) AS n FROM {UNIFIED} u GROUP BY family")
@@ -42,7 +61,7 @@ def unified_evidence(spark, d):
 
 @query("evidence_lookup", f"SELECT citation, actor, family FROM {UNIFIED} u WHERE citation IN ('doc/1', 'page/2', 'msg/3/1', 'doc/none')")
 def evidence_lookup(spark, d):
-    return E.lookup(relation(spark, d), ["doc/1", "page/2", "msg/3/1", "doc/none"]).select("citation", "actor", "family")
+    return E.lookup(families(spark, d), ["doc/1", "page/2", "msg/3/1", "doc/none"]).select("citation", "actor", "family")
 
 
 @query("dirty_vector_documents", f"SELECT DISTINCT citation FROM {CHUNKS} c WHERE parent IN (SELECT CAST(doc_id AS VARCHAR) FROM labels WHERE toxic = 1) OR citation IN (SELECT doc_id || '#chunk-0' FROM labels WHERE quality = 0)")

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.tables import citation_keys
 from .windows import first_by
 
 
@@ -17,9 +18,12 @@ def unified(families: Sequence[tuple[str, int, DataFrame]], columns: Sequence[st
     return first_by(reduce(lambda a, b: a.unionByName(b), parts), ["citation"], F.asc("priority"), F.asc("family"))
 
 
-def lookup(evidence: DataFrame, citations: Sequence[str]) -> DataFrame:
-    """Rows of a stated list of citations; the list is a filter, which reaches the scans below."""
-    return evidence.filter(F.col("citation").isin(list(citations)))
+def lookup(families: Mapping[str, Sequence[Callable[[list[tuple[int, ...]]], tuple[str, int, DataFrame]]]], citations: Sequence[str]) -> DataFrame:
+    """Rows of a stated list of citations: each family is asked for the numbers of its citations, which
+    its scan can filter by, and only families that the list names are read."""
+    keys = citation_keys(citations)
+    parts = [of(keys[prefix]) for prefix, makers in families.items() if prefix in keys for of in makers]
+    return unified(parts).filter(F.col("citation").isin(list(citations)))
 
 
 def dirty_documents(chunks: DataFrame, dirty: DataFrame) -> DataFrame:

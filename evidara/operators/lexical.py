@@ -14,6 +14,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import count_of
+from ..sources.scratch import settled
+from .lexical_index import LexicalIndex
 
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
 
@@ -38,6 +40,25 @@ def bm25(df: DataFrame, phrase: str, weights: Mapping[str, float]) -> DataFrame:
     return d.filter("__tf > 0").join(F.broadcast(stats)).withColumn("score", score).drop("__tf", "__len", "__rows", "__avg", "__with")
 
 
+def bm25_indexed(index: LexicalIndex, df: DataFrame, phrase: str, weights: Mapping[str, float]) -> DataFrame:
+    """As bm25, with the statistics of a kept index and the rows that it names; df has the index's key and fields.
+
+    Columns of the result are the key and score. Hits are counted once and written, since
+    their number is needed before any score.
+    """
+    names = list(weights)
+    hits = reduce(lambda a, b: a + b, [count_of(F.coalesce(F.col(c), F.lit("")), phrase) * w for c, w in weights.items()])
+    live = index.live()
+    size = reduce(lambda a, b: a + b, [F.greatest(F.col(f"len_{c}") - 2, F.lit(0)) for c in names])
+    rows = df.join(index.candidates(phrase), index.key, "left_semi").select(F.col(index.key).alias("key"), hits.alias("__tf")).filter("__tf > 0")
+    found = settled(rows.join(live.select("key", size.alias("__len")), "key"), "hits")
+    stats = live.agg(F.count("*").alias("__rows"), F.avg(size).alias("__avg")).join(F.broadcast(found.agg(F.count("*").alias("__with"))))
+    idf = F.greatest(F.log((F.col("__rows") - F.col("__with") + 0.5) / (F.col("__with") + 0.5)), F.lit(LEAST_IDF))
+    tf = F.col("__tf")
+    score = idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("__len") / F.col("__avg")))
+    return found.join(F.broadcast(stats)).select(F.col("key").alias(index.key), score.alias("score"))
+
+
 def title_tier(title: Column, content: Column, phrase: str) -> Column:
     p = phrase.lower()
     return F.when(F.lower(title).contains(p), 0).when(F.lower(content).contains(p), 1).otherwise(2)

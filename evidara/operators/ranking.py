@@ -32,9 +32,15 @@ def fuse_rrf(routes: DataFrame, weights: Mapping[str, float] | None = None, key:
     return routes.withColumn("__c", w / (k + F.col("rank"))).groupBy(key).agg(F.sum("__c").alias("score"), F.array_sort(F.collect_set("route")).alias("paths"))
 
 
-def feature_score(content: Column, title: Column, phrase: str, terms: Sequence[str], expansions: Sequence[str], paths: Column) -> Column:
-    """Boosts for the phrase, its place, terms, expansions and the routes that found a row."""
-    text = F.lower(F.concat_ws(" ", content, title))
+def feature_score(
+    content: Column, title: Column, phrase: str, terms: Sequence[str], expansions: Sequence[str], paths: Column,
+    others: Sequence[str] = (), filters: Mapping[str, object] | None = None, sender: str = "sender",
+) -> Column:
+    """Boosts for the phrase, its place, terms, expansions, the routes that found a row, and filters that it meets.
+
+    others are further columns whose text counts for the phrase and terms. The values are fixed.
+    """
+    text = F.lower(F.concat_ws("\n", content, title, *others))
     has = lambda c, t: F.lower(c).contains(t.lower())
     add = lambda cond, w: F.when(cond, w).otherwise(0.0)
     score = add(text.contains(phrase.lower()), 6.0) + F.when(has(title, phrase), 2.5).when(has(content, phrase), 0.75).otherwise(0.0)
@@ -42,8 +48,17 @@ def feature_score(content: Column, title: Column, phrase: str, terms: Sequence[s
         score = score + add(text.contains(t.lower()), 1.25)
     for t in expansions:
         score = score + add(text.contains(t.lower()), 0.45)
-    for name, w in (("exact", 1.0), ("chunk", 0.8), ("vector", 0.4)):
+    for name, w in (("exact", 1.0), ("evidence", 0.8), ("vector", 0.4)):
         score = score + add(F.array_contains(paths, name), w)
+    for name, value in (filters or {}).items():
+        if value is None or value == "" or name in ("since", "until"):
+            continue
+        if name == "sender":
+            score = score + add(F.col(sender).contains(str(value)), 0.5)
+        elif name in ("source_family", "scope_type"):
+            score = score + add(F.lit(value == "all") | (F.col("source_type") == F.lit(value)), 0.7)
+        else:
+            score = score + add(F.col(name) == F.lit(value), 0.7 if name == "source_type" else 0.4)
     return score
 
 

@@ -1,25 +1,45 @@
-"""Hybrid search: what a query asks is worked out on the driver, what it reads is one plan.
+"""Hybrid search over six routes: what a query asks is planned on the driver, what it reads are few scans.
 
-Routes are lazily built DataFrames; depth and weights follow from the request, and every
-filter is applied before a route is cut to its depth.
+Evidence rows are parents (citation, content, title, actor, conversation, at, source_type);
+long ones are also searched by chunks. One pass over the rows that a kept trigram index names
+counts the hits of all phrases in rows and chunks; scores, ranks and fallbacks are taken from
+these counts. The fused list, a few hundred citations at most, is then joined with its rows.
+
+    exact                 the phrase in messages; else its words in order; else its important terms
+    evidence              the phrase in chunks, by field weights, with the same fallbacks
+    vector                chunks nearest to a query vector, where lexical candidates are too few, or if asked for
+    fts                   up to three expanded queries in messages, of three characters or more
+    conversation-context  rows around the first ten candidates, for multi-hop questions
+    episode-evidence      rows of the best episodes, for multi-hop questions
 """
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+import re
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field
+from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import snippet
-from ..operators.filters import bounded_limit
-from ..operators.lexical import all_terms, bm25, fixed_chunks, title_tier
-from ..operators.ranking import feature_score, fuse_rrf, rerank_head, route
+from ..functions.text import contains_fold, count_of, snippet, spanning
+from ..operators.filters import bounded_limit, message_filter
+from ..operators.lexical import B, K1, LEAST_IDF, bm25, trigrams
+from ..operators.lexical_index import LexicalIndex
+from ..operators.ranking import feature_score, rerank_head, top_vectors
+from ..operators.windows import episodes
+from ..sources.scratch import settled
 
-#: Weights of the routes in rank fusion.
-WEIGHTS = {"exact": 2.0, "chunk": 10.0, "terms": 4.0}
+# Weights of the routes in fusion, of the fields of chunks, bounds of routes.
+WEIGHTS = {"exact": 2.0, "evidence": 10.0, "vector": 1.0, "fts": 4.0, "conversation-context": 8.0, "episode-evidence": 12.0}
+CHUNK_WEIGHTS = {"content": 1.0, "title": 3.5, "actor": 0.8}
+CHUNK, STRIDE = 900, 780
+RRF_K, CONTEXT_ANCHORS, CONTEXT_RADIUS, EPISODE_HITS, EXPANDED = 60, 10, 3, 10, 8
 SYNONYMS = {"error": ("failure", "fault"), "price": ("cost", "amount"), "plan": ("schedule", "proposal")}
+MULTI_HOP = ("how did", "what led to")
+REWRITES = ("recall", "decision", "follow", "blocker", "why", "which", "who", "how")
+STRUCTURED = ("source_type", "source_family", "scope_type")
 
 
 @dataclass(frozen=True)
@@ -28,43 +48,302 @@ class SearchRequest:
     limit: int = 10
     filters: Mapping[str, object] = field(default_factory=dict)
     synonyms: Mapping[str, tuple[str, ...]] = field(default_factory=lambda: SYNONYMS)
+    dictionary: Sequence[str] = ()  # terms that are found within words, as those of languages without spaces
+    semantic: str = "auto"  # or on, off
+    multi_hop: bool | None = None  # None: by the query's words
+    candidates: int = 200
+    fused: int = 200
     rerank_window: int = 50
 
 
+@dataclass(frozen=True)
+class Understanding:
+    original: str
+    terms: tuple[str, ...]
+    expansions: tuple[str, ...]
+    intents: tuple[str, ...]
+
+    @property
+    def queries(self) -> list[str]:
+        """The query, its terms together, then terms and expansions one by one; distinct, eight at most."""
+        return list(dict.fromkeys(q for q in (self.original, " ".join(self.terms), *self.terms, *self.expansions) if q))[:EXPANDED]
+
+
+def understand(request: SearchRequest, intents: Mapping[str, Sequence[str]] | None = None) -> Understanding:
+    """Terms: those of the dictionary, then words of two letters or more, else parts, else a short query itself."""
+    text = " ".join(request.query.split())
+    low = text.lower()
+    hop = any(m in low for m in MULTI_HOP)
+    terms = [t for t in request.dictionary if t.lower() in low] + [w.lower() for w in re.findall(r"[A-Za-z0-9][A-Za-z0-9_\-]+", text)]
+    if hop or not terms:
+        terms += [p for p in text.split() if len(p) >= 2 and p.lower() not in terms and not any(p.lower() in m for m in MULTI_HOP)]
+    if not terms and len(text) <= 12:
+        terms = [text]
+    terms = [t for t in dict.fromkeys(terms) if len(t) > 1]
+    more = dict.fromkeys(s for t in terms for s in request.synonyms.get(t.lower(), ()) if s not in terms)
+    found = [name for name, words in (intents or {}).items() if any(w in low for w in words)] + ["multi_hop"] * hop
+    return Understanding(text, tuple(terms[:8]), tuple(list(more)[:8]), tuple((found or ["general_evidence"])[:4]))
+
+
 @dataclass(frozen=True)
 class Plan:
-    phrase: str
-    terms: list[str]
-    expansions: list[str]
-    depth: int
+    lexical_depth: int
+    vector_depth: int
+    fts_depth: int
+    fts_queries: tuple[str, ...]
+    rewrite: bool  # a semantic rewrite: deep vectors, shallow lexical routes
+    vector: bool | None  # None: where lexical candidates are fewer than the limit
+    skip_fts: bool  # where lexical candidates suffice
+    multi_hop: bool
 
 
-def understand(request: SearchRequest) -> Plan:
-    """Terms (distinct words of three letters or more), their expansions, and the depth of the routes."""
-    words = [w for w in request.query.lower().split() if len(w) >= 3]
-    terms = list(dict.fromkeys(words))[:8]
-    expansions = [s for t in terms for s in request.synonyms.get(t, ())][:8]
+def plan(request: SearchRequest, u: Understanding, vectors: bool) -> Plan:
+    """Which routes run and how deep, as far as no row needs to be seen for it."""
     limit = bounded_limit("search", request.limit)
-    return Plan(request.query.strip(), terms, expansions, max(3 * limit, 10))
-
-
-def search(docs: DataFrame, request: SearchRequest, key: str = "doc_id") -> DataFrame:
-    """key, rank, score, paths, snippet and citation of the best rows of docs (key, content, title)."""
-    p = understand(request)
-    d = docs
-    for name, value in request.filters.items():
-        d = d.filter(F.col(name) == F.lit(value))
-    d = d.withColumn("key", F.col(key))
-    order = [F.desc("score"), F.asc("key")]
-    exact = route(bm25(d, p.phrase, {"content": 1.0, "title": 1.0}).withColumn("score", F.round("score", 6)), "exact", order, p.depth)
-    chunks = bm25(fixed_chunks(d.select("key", "content", "title"), "key", "content").select("key", "chunk", "title"), p.phrase, {"chunk": 1.0, "title": 3.5})
-    best = chunks.withColumn("tier", title_tier(F.col("title"), F.col("chunk"), p.phrase)).groupBy("key").agg(F.round(F.max("score"), 6).alias("score"), F.min("tier").alias("tier"))
-    routes = exact.unionByName(route(best, "chunk", [F.desc("score"), F.asc("tier"), F.asc("key")], p.depth))
-    if p.terms:
-        routes = routes.unionByName(route(all_terms(d, p.terms[:3], ["content", "title"]).select("key"), "terms", [F.asc("key")], p.depth))
-    fused = fuse_rrf(routes, WEIGHTS).withColumn("score", F.round("score", 9))
-    # A fused list has three times the depth at most, 450 rows, so it goes to the documents and not they to it.
-    rows = d.select("key", "content", "title").join(F.broadcast(fused), "key")
-    scored = rerank_head(rows, feature_score(F.col("content"), F.col("title"), p.phrase, p.terms, p.expansions, F.col("paths")), request.rerank_window)
-    top = scored.orderBy("tier", F.desc("score"), "key").limit(request.limit)
-    return top.select(F.col("key").alias(key), "tier", "score", F.concat_ws(",", "paths").alias("paths"), snippet(F.col("content"), p.phrase).alias("snippet"), F.concat(F.lit("doc/"), F.col("key").cast("string")).alias("citation"))
+    structured = any(request.filters.get(k) not in (None, "", "all", "message") for k in STRUCTURED)
+    rewrite = False
+    if vectors and request.semantic == "auto" and not structured:
+        parts = [p for p in u.original.split() if len(p) >= 2]
+        asks = len(u.original) > 4 and (any(m in u.original.lower() for m in REWRITES) or len(parts) >= 3)
+        rewrite = any(request.filters.get(k) for k in ("sender", "since", "until")) or asks
+    several = len(u.terms) >= 2 or len([p for p in request.query.split() if len(p) >= 2]) >= 2
+    vector = vectors and (request.semantic == "on" or rewrite or (None if request.semantic == "auto" and not structured else False))
+    narrowed = any(request.filters.get(k) for k in ("sender", "since", "until", *STRUCTURED))
+    hop = any(m in u.original.lower() for m in MULTI_HOP) if request.multi_hop is None else request.multi_hop
+    depth = min(request.candidates, max(3 * limit, 10))
+    return Plan(
+        lexical_depth=10 if rewrite else depth,
+        vector_depth=request.candidates if rewrite else min(request.candidates, max(2 * limit, 10)),
+        fts_depth=min(request.candidates, 6, 2 * limit) if rewrite else depth,
+        fts_queries=(u.original,) if rewrite else tuple(u.queries[:3]),
+        rewrite=rewrite,
+        vector=vector,
+        skip_fts=not several,
+        multi_hop=hop and not narrowed,
+    )
+
+
+@dataclass(frozen=True)
+class Corpus:
+    """What is searched: evidence as in the module, which source_type has messages, and, where there are any, vectors (citation of a chunk, vector) with the query's vector (one row, q)."""
+
+    evidence: DataFrame
+    index: LexicalIndex
+    messages: str = "message"
+    vectors: DataFrame | None = None
+    query_vector: DataFrame | None = None
+    lookup: Callable[[Sequence[str]], DataFrame] | None = None  # evidence of a stated list of citations, by its keys
+
+
+COLUMNS = ["citation", "content", "title", "actor", "conversation", "at", "source_type"]
+_FIELDS = ("content", "title", "actor")
+
+
+def _text(c: str) -> Column:
+    return F.coalesce(F.col(c), F.lit(""))
+
+
+def _matched(corpus: Corpus, filters: Column, phrases: Sequence[str], condition: Column) -> DataFrame:
+    """Evidence rows that meet condition; of those, by the index, only what has the trigrams of a phrase, if all phrases have some."""
+    rows = corpus.evidence.filter(filters)
+    if phrases and all(len(p) >= 3 for p in phrases):
+        found = reduce(lambda a, b: a.unionByName(b), [corpus.index.candidates(p) for p in dict.fromkeys(x.lower() for x in phrases)]).distinct()
+        rows = rows.join(found, "citation", "left_semi")
+    return rows.filter(condition)
+
+
+def _hits(corpus: Corpus, filters: Column, queries: Sequence[str]) -> DataFrame:
+    """One pass: hits (q, citation, chunk, tf, len, tier, at) of query q in messages (chunk null), and of query 0 in chunks."""
+    some = reduce(lambda a, b: a | b, [contains_fold(F.col(f), q) for q in queries for f in _FIELDS])
+    rows = _matched(corpus, filters, queries, F.coalesce(some, F.lit(False)))
+    struct = lambda q, chunk, tf, size, tier: F.struct(F.lit(q).alias("q"), chunk.cast("int").alias("chunk"), tf.cast("double").alias("tf"), size.cast("long").alias("len"), tier.alias("tier"))
+    size = reduce(lambda a, b: a + b, [trigrams(_text(f)) for f in _FIELDS])
+    message = F.col("source_type") == corpus.messages
+    own = [F.when(message, struct(i, F.lit(None), reduce(lambda a, b: a + b, [count_of(_text(f), q) for f in _FIELDS]), size, F.lit(0))) for i, q in enumerate(queries)]
+    q, n = queries[0], F.greatest(F.ceil((F.length(_text("content")) - (CHUNK - STRIDE)) / F.lit(STRIDE)).cast("int"), F.lit(1))
+
+    def chunk(i: Column) -> Column:
+        text = F.substring(_text("content"), i * STRIDE + 1, F.lit(CHUNK))
+        tf = count_of(text, q) * CHUNK_WEIGHTS["content"] + count_of(_text("title"), q) * CHUNK_WEIGHTS["title"] + count_of(_text("actor"), q) * CHUNK_WEIGHTS["actor"]
+        tier = F.when(contains_fold(_text("title"), q), 0).when(contains_fold(text, q), 1).otherwise(2)
+        return struct(0, i, tf, trigrams(text) + trigrams(_text("title")) + trigrams(_text("actor")), tier)
+
+    chunks = F.transform(F.sequence(F.lit(0), n - 1), chunk)
+    every = F.filter(F.concat(F.array(*own), chunks), lambda x: x["tf"] > 0)
+    return settled(rows.select("citation", "at", F.explode(every).alias("h")).select("citation", "at", "h.*"), "hits")
+
+
+def sizes(corpus: Corpus) -> DataFrame:
+    """One row of rows and mean lengths, of messages and of all chunks, from the lengths that the index keeps."""
+    kinds = corpus.evidence.select("citation", "source_type").withColumnRenamed("citation", "key")
+    t = lambda c: F.greatest(F.col(c) - 2, F.lit(0))
+    rows = corpus.index.live().join(kinds, "key")
+    n = F.greatest(F.ceil((F.col("len_content") - (CHUNK - STRIDE)) / F.lit(STRIDE)), F.lit(1)).cast("long")
+    last = F.least(F.greatest(F.col("len_content") - (n - 1) * STRIDE, F.lit(0)), F.lit(CHUNK))
+    whole = t("len_content") + t("len_title") + t("len_actor")
+    parts = (n - 1) * (CHUNK - 2) + F.greatest(last - 2, F.lit(0)) + n * (t("len_title") + t("len_actor"))
+    message = F.col("source_type") == corpus.messages
+    return settled(
+        rows.agg(F.count_if(message).alias("rows"), F.avg(F.when(message, whole)).alias("mean"), F.sum(n).alias("chunks"), (F.sum(parts) / F.sum(n)).alias("chunk_mean")), "sizes"
+    )
+
+
+def _scored(hits: DataFrame, sizes: DataFrame, rows: str, mean: str) -> DataFrame:
+    """hits with a BM25 score rounded to six places; statistics are one row."""
+    found = hits.agg(F.count("*").alias("__with")).join(F.broadcast(sizes.select(F.col(rows).alias("__rows"), F.col(mean).alias("__avg"))))
+    idf = F.greatest(F.log((F.col("__rows") - F.col("__with") + 0.5) / (F.col("__with") + 0.5)), F.lit(LEAST_IDF))
+    score = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("__avg")))
+    return hits.join(F.broadcast(found)).withColumn("score", F.round(score, 6)).drop("__with", "__rows", "__avg")
+
+
+def _ranked(df: DataFrame, order: Sequence[Column], depth: int) -> DataFrame:
+    """The first depth rows as (citation, key, rank); only they reach the ranking."""
+    top = df.orderBy(*order).limit(depth)
+    return top.withColumn("rank", F.row_number().over(Window.orderBy(*order)).cast("long")).select("citation", "key", "rank")
+
+
+def _newest() -> list[Column]:
+    return [F.desc("at"), F.asc("citation")]
+
+
+def _parent(df: DataFrame) -> DataFrame:
+    return df.withColumn("key", F.col("citation"))
+
+
+def _chunk_of(df: DataFrame) -> DataFrame:
+    return df.withColumn("key", F.col("citation")).withColumn("citation", F.concat("citation", F.lit("#chunk-"), F.col("chunk").cast("string")))
+
+
+def _fallbacks(corpus: Corpus, filters: Column, u: Understanding, messages_only: bool, depth: int) -> DataFrame | None:
+    """Rows with the query's words in order, else with its first three terms, newest first; None where neither is asked for."""
+    kind = F.col("source_type") == corpus.messages if messages_only else F.lit(True)
+    tries: list[tuple[list[str], Column]] = []
+    if len(u.original) >= 6:
+        tries.append(([], reduce(lambda a, b: a | b, [spanning(_text(f), u.original) for f in _FIELDS])))
+    if u.terms:
+        every = reduce(lambda a, b: a & b, [reduce(lambda a, b: a | b, [contains_fold(_text(f), t) for f in _FIELDS]) for t in u.terms[:3]])
+        tries.append(([u.terms[0]], every))
+    for phrases, condition in tries:
+        found = settled(_matched(corpus, filters & kind, phrases, condition).select("citation", "at").orderBy(*_newest()).limit(depth), "fallback")
+        if not found.isEmpty():
+            return found
+    return None
+
+
+def search(corpus: Corpus, request: SearchRequest) -> DataFrame:
+    """rank, citation, context_anchor, score, paths and snippet of the best evidence rows."""
+    u = understand(request)
+    p = plan(request, u, corpus.vectors is not None and corpus.query_vector is not None)
+    filters = message_filter(dict(request.filters), sender="actor", time="at")
+    asked = [q for q in p.fts_queries if len(q) >= 3]
+    queries = list(dict.fromkeys([u.original, *asked]))
+    hits, counts = _hits(corpus, filters, queries), sizes(corpus)
+    of_messages = lambda i: _parent(_scored(hits.filter((F.col("q") == i) & F.col("chunk").isNull()), counts, "rows", "mean"))
+    best = [F.desc("score"), *_newest()]
+
+    exact = settled(_ranked(of_messages(0), best, p.lexical_depth), "exact")
+    if exact.isEmpty() and (found := _fallbacks(corpus, filters, u, True, p.lexical_depth)) is not None:
+        exact = _ranked(_parent(found), _newest(), p.lexical_depth)
+    chunks = _chunk_of(_scored(hits.filter(F.col("chunk").isNotNull()), counts, "chunks", "chunk_mean"))
+    evidence = settled(_ranked(chunks, [F.desc("score"), F.asc("tier"), *_newest()], p.lexical_depth), "evidence")
+    if evidence.isEmpty() and (found := _fallbacks(corpus, filters, u, False, p.lexical_depth)) is not None:
+        evidence = _ranked(_parent(found), _newest(), p.lexical_depth)
+    lexical = exact.select("citation").union(evidence.select("citation")).distinct().count()  # of two ranked lists
+
+    routes = [("exact", exact), ("evidence", evidence)]
+    run_vector = lexical < request.limit if p.vector is None else p.vector
+    if run_vector:
+        allowed = corpus.vectors.withColumn("key", F.substring_index("citation", "#", 1))
+        if request.filters:
+            allowed = allowed.join(corpus.evidence.filter(filters).select(F.col("citation").alias("key")), "key", "left_semi")
+        near = top_vectors(allowed, corpus.query_vector, p.vector_depth, "citation")
+        routes.append(("vector", _ranked(near.select("citation", "key", "score"), [F.desc("score"), F.asc("citation")], p.vector_depth)))
+    if asked and not (p.skip_fts and lexical >= request.limit and not run_vector):
+        parts = [_ranked(of_messages(queries.index(q)), best, p.fts_depth).withColumn("turn", F.lit(i)) for i, q in enumerate(asked)]
+        first = reduce(lambda a, b: a.unionByName(b), parts).groupBy("citation", "key").agg(F.min(F.struct("turn", "rank")).alias("o"))
+        routes.append(("fts", _ranked(first, [F.asc("o")], p.fts_depth)))
+    listed = settled(reduce(lambda a, b: a.unionByName(b), [r.select("citation", "key", "rank", F.lit(name).alias("route"), F.lit(i).alias("turn")) for i, (name, r) in enumerate(routes)]), "routes")
+    if p.multi_hop:
+        messages = corpus.evidence.filter(filters & (F.col("source_type") == corpus.messages))
+        more = [("conversation-context", _context(messages, listed)), ("episode-evidence", _episode_rows(messages, u.original))]
+        parts = [r.select("citation", "key", "rank", F.lit(name).alias("route"), F.lit(len(routes) + i).alias("turn")) for i, (name, r) in enumerate(more)]
+        listed = settled(reduce(lambda a, b: a.unionByName(b), parts, listed), "routes")
+
+    fused = settled(fuse(listed, request.fused), "fused-list").withColumnRenamed("citation", "own").withColumn("parent", F.col("key"))
+    rows = corpus.evidence if corpus.lookup is None else corpus.lookup([r["key"] for r in fused.select("key").collect()])  # the fused list, cut to its bound
+    held = rows.select(*COLUMNS).withColumnRenamed("citation", "parent").join(F.broadcast(fused), "parent")
+    at = F.coalesce(F.regexp_extract("own", "#chunk-([0-9]+)$", 1).try_cast("int"), F.lit(-1))
+    content = F.when(at < 0, F.col("content")).otherwise(F.substring("content", at * STRIDE + 1, F.lit(CHUNK)))
+    held = settled(held.withColumn("content", content), "fused-rows")
+    score = F.round(F.col("score") + feature_score(F.col("content"), F.col("title"), u.original, u.terms, u.expansions, F.col("paths"), others=["actor", "source_type"], filters=request.filters, sender="actor"), 6)
+    ranked = rerank_head(held, score, request.rerank_window)
+    order = [F.asc("tier"), F.desc("score"), F.asc("at"), F.asc("key")]
+    placed = ranked.withColumn("place", F.row_number().over(Window.orderBy(*order)))  # of the fused list
+    if p.multi_hop:
+        placed = promoted(placed)
+    top = placed.orderBy("place").limit(request.limit)
+    return top.select(F.col("place").cast("long").alias("rank"), F.col("own").alias("citation"), F.col("key").alias("context_anchor"), F.round("score", 6).alias("score"), F.concat_ws(",", "paths").alias("paths"), snippet(F.col("content"), u.original).alias("snippet"))
+
+
+def fuse(listed: DataFrame, limit: int, weights: Mapping[str, float] = WEIGHTS) -> DataFrame:
+    """Reciprocal-rank fusion on parents of (citation, key, rank, route, turn): key, score, paths and the
+    citation of the first row that named the key, which stands for it."""
+    w = reduce(lambda out, kv: F.when(F.col("route") == kv[0], max(kv[1], 0.01)).otherwise(out), weights.items(), F.lit(1.0))
+    g = listed.withColumn("c", w / (RRF_K + F.col("rank"))).groupBy("key")
+    f = g.agg(F.round(F.sum("c"), 9).alias("score"), F.array_sort(F.collect_set("route")).alias("paths"), F.min_by("citation", F.struct("turn", "rank")).alias("citation"))
+    return f.orderBy(F.desc("score"), F.asc("key")).limit(limit)
+
+
+def _context(messages: DataFrame, listed: DataFrame) -> DataFrame:
+    """Messages around the first anchors of the routes, in the order of their anchors, each once.
+
+    Conversations are numbered only where an anchor stands.
+    """
+    first = listed.groupBy("key").agg(F.min(F.struct("turn", "rank")).alias("o")).orderBy("o").limit(CONTEXT_ANCHORS)
+    rows = messages.select("citation", "conversation", "at")
+    anchors = rows.join(F.broadcast(first.withColumnRenamed("key", "citation")), "citation")  # ten at most
+    near = rows.join(F.broadcast(anchors.select("conversation").distinct()), "conversation", "left_semi")
+    n = near.withColumn("n", F.row_number().over(Window.partitionBy("conversation").orderBy("at", "citation")))
+    centre = n.join(F.broadcast(first.withColumnRenamed("key", "citation")), "citation").select("conversation", F.col("n").alias("centre"), "o")
+    d = F.explode(F.sequence(F.col("centre") - CONTEXT_RADIUS, F.col("centre") + CONTEXT_RADIUS)).alias("n")
+    found = n.join(F.broadcast(centre.select("conversation", "o", d)), ["conversation", "n"])
+    once = found.groupBy("citation").agg(F.min(F.struct("o", "n")).alias("o"))
+    return _ranked(_parent(once), [F.asc("o")], CONTEXT_ANCHORS * (2 * CONTEXT_RADIUS + 1))
+
+
+def _episode_rows(messages: DataFrame, phrase: str) -> DataFrame:
+    """Messages of the best episodes, in the order of the episodes and then of the messages, each once."""
+    line = F.concat_ws(" | ", F.col("at").cast("string"), "actor", F.substring("content", 1, 220))
+    e = episodes(messages.select("conversation", "at", "actor", "content"), "conversation", "at", line)
+    top = bm25(e.select("conversation", "center", "episode_text", "first_order", "last_order"), phrase, {"episode_text": 1.0})
+    order = [F.desc("score"), F.asc("conversation"), F.asc("center")]
+    top = top.withColumn("score", F.round("score", 6)).orderBy(*order).limit(EPISODE_HITS)
+    top = top.withColumn("place", F.row_number().over(Window.orderBy(*order))).select("conversation", "first_order", "last_order", "place")
+    m = messages.select("citation", "conversation", "at").join(F.broadcast(top), "conversation").filter(F.col("at").between(F.col("first_order"), F.col("last_order")))
+    once = m.groupBy("citation").agg(F.min(F.struct("place", "at")).alias("o"))
+    return _ranked(_parent(once), [F.asc("o")], EPISODE_HITS * 7)
+
+
+def promoted(placed: DataFrame) -> DataFrame:
+    """A chain first: the first row of an episode (else the first of all), then one context row before and
+    one after it in its conversation (or two of one side), then the others; context rows not chosen come last.
+    Where no context row can be chosen, the order stays.
+
+    placed is a fused list, so its windows are small.
+    """
+    episode = F.array_contains("paths", "episode-evidence")
+    lead = placed.orderBy(F.when(episode, 0).otherwise(1), "place").limit(1).select(F.col("key").alias("__key"), F.col("conversation").alias("__conversation"), F.col("at").alias("__at"))
+    j = placed.join(F.broadcast(lead))
+    near = F.coalesce((F.col("conversation") == F.col("__conversation")) & F.array_contains("paths", "conversation-context"), F.lit(False))
+    side = F.when(F.col("key") == F.col("__key"), "top").when(near & (F.col("at") < F.col("__at")), "before").when(near, "after").otherwise("rest")
+    j = j.withColumn("__side", side)
+    w = Window.partitionBy("__side").orderBy("place")
+    j = j.withColumn("__n", F.row_number().over(w)).withColumn("__sides", F.size(F.collect_set(F.when(near & (F.col("key") != F.col("__key")), F.col("__side"))).over(Window.partitionBy())))
+    chosen = F.col("__side").isin("before", "after") & ((F.col("__n") == 1) | ((F.col("__sides") == 1) & (F.col("__n") == 2)))
+    group = F.when(F.col("__sides") == 0, 0).when(F.col("__side") == "top", 0).when(chosen, 1).when(F.col("__side") == "rest", 2).otherwise(3)
+    side_order = F.when(F.col("__side") == "before", 0).otherwise(1)
+    order = Window.orderBy(group, F.when(group.isin(1, 3), side_order).otherwise(0), "place")
+    return j.withColumn("place", F.row_number().over(order)).drop("__key", "__conversation", "__at", "__side", "__n", "__sides")
+
+
+__all__ = ["Corpus", "Plan", "SearchRequest", "Understanding", "fuse", "plan", "promoted", "search", "understand"]

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .catalog import documents, people, evidence, facts, messages, profiles, python_functions, schedules, streams  # noqa: F401
+from .catalog import documents, evidence, facts, messages, people, profiles, python_functions, retrieval, schedules, streams  # noqa: F401
 from .catalog.registry import ORACLE_SQL, QUERIES
 
 __all__ = ["ORACLE_SQL", "QUERIES"]

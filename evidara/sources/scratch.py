@@ -8,17 +8,34 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
-def shared_place(spark: SparkSession, name: str) -> str:
-    """A fresh folder in spark.checkpoint.dir; where none is set, one is made for this session."""
+def shared_root(spark: SparkSession) -> str:
+    """spark.checkpoint.dir; where it is unset, in local mode, a fresh folder for this session."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="evidara-"))
         root = spark.sparkContext.getCheckpointDir()
-    return f"{root.rstrip('/')}/evidara-core/{name}-{uuid.uuid4().hex}"
+    return root.rstrip("/")
+
+
+def kept_place(spark: SparkSession, name: str) -> str:
+    """A folder that stays, for what later sessions read again."""
+    return f"{shared_root(spark)}/evidara-core/kept/{name}"
+
+
+def shared_place(spark: SparkSession, name: str) -> str:
+    """A fresh folder, which goes when the driver ends."""
+    path = f"{shared_root(spark)}/evidara-core/{name}-{uuid.uuid4().hex}"
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.mkdirs(folder)
+    fs.deleteOnExit(folder)
+    return path
 
 
 def settled(df: DataFrame, name: str) -> DataFrame:
     """df, computed once and read from Parquet from here on."""
-    path = shared_place(df.sparkSession, name)
+    path = f"{shared_place(df.sparkSession, name)}/rows"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -5,7 +5,6 @@ from pyspark.sql import functions as F
 
 from evidara.functions import parsing
 from evidara.operators import evaluation, filters, incremental, ranking, windows
-from evidara.plans.search import SearchRequest, search, understand
 from evidara.queries import QUERIES
 
 
@@ -16,22 +15,6 @@ def test_limits_are_validated():
             filters.bounded_limit("search", bad)
 
 
-def test_search_ranks_the_phrase_first_and_never_twice(spark):
-    rows = [(1, "alpha beta gamma", "t"), (2, "beta then alpha", "t"), (3, "nothing", "alpha beta"), (4, "alpha beta " * 400, "t")]
-    docs = spark.createDataFrame(rows, "doc_id long, content string, title string")
-    got = search(docs, SearchRequest("alpha beta", limit=5)).collect()
-    keys = [r.doc_id for r in got]
-    assert len(set(keys)) == len(keys)
-    assert keys.index(1) < keys.index(2)
-    assert search(docs, SearchRequest("alpha beta", filters={"title": "t"})).filter("doc_id = 3").count() == 0
-    assert search(docs.limit(0), SearchRequest("alpha beta")).count() == 0
-
-
-def test_plan_expands_terms():
-    p = understand(SearchRequest("price plan of a price"))
-    assert p.terms == ["price", "plan"] and "cost" in p.expansions and p.depth == 30
-
-
 def test_fusion_sums_over_routes(spark):
     r = spark.createDataFrame([("a", 1, "x"), ("a", 2, "y"), ("b", 1, "y")], "key string, rank long, route string")
     got = {x.key: (round(x.score, 9), x.paths) for x in ranking.fuse_rrf(r, {"x": 2.0, "y": 0.0}).collect()}

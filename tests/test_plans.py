@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from evidara.operators import joins, lexical
-from evidara.plans.search import SearchRequest, search
+from evidara.operators.lexical_index import kept_index
 from evidara.queries import QUERIES
 from evidara.sources import tables as S
 
@@ -31,9 +31,14 @@ def test_filters_and_columns_reach_the_scan(spark):
     assert "EqualTo(conv_id,3)" in p and "text" not in re.search(r"ReadSchema: (.*)", p)[1]
 
 
-def test_search_does_not_shuffle_documents(spark):
-    p = plan(search(S.evidence_documents(spark, FOLDER), SearchRequest("the and")))
-    assert "SortMergeJoin" not in p and p.count("FileScan") <= 6
+def test_a_search_prunes_the_index_and_looks_citations_up_by_key(spark):
+    docs = S.raw(spark, FOLDER, "documents").select("doc_id", "text", "source")
+    p = plan(kept_index("documents", docs, "doc_id", ["text", "source"]).candidates("heonan"))
+    assert re.search(r"PartitionFilters: \[.*bucket#\d+ IN \(", p) and re.search(r"PushedFilters: \[.*In\(gram", p)
+    p = plan(QUERIES["evidence_lookup"](spark, FOLDER))
+    assert p.count("FileScan") == 4 and p.count("PushedFilters: []") == 0 and "In(conv_id" in p or "EqualTo(conv_id" in p
+    p = plan(S.evidence(spark, FOLDER, ["doc/1", "doc/2#chunk-3"]))
+    assert re.search(r"PushedFilters: \[.*In\(doc_id, \[1,2\]", p)
 
 
 def test_an_or_join_is_made_of_equi_joins(spark):

@@ -5,14 +5,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import evaluation as V
 from ..operators import incremental as I
 from ..operators import joins as J
 from ..operators import ranking as R
 from ..operators.windows import first_by
 from ..functions.vectors import cosine
 from ..sources import tables as S
-from ..sources.scratch import settled
 from .registry import query
 
 
@@ -273,72 +271,6 @@ def dense_sparse_rrf(spark, d):
     return R.fuse_rrf(R.route(dense, "dense", order, 50).unionByName(R.route(sparse, "sparse", order, 50))).select("key", F.round("score", 9).alias("score"))
 
 
-# Evaluation ---------------------------------------------------------------------------------
-
-RANKED = """(SELECT item_id AS case_id, doc_id AS key, row_number() OVER (PARTITION BY item_id ORDER BY CASE WHEN contains(d.text, substring(b.text, 1, 60)) THEN 0 ELSE 1 END, doc_id) AS rank
- FROM benchmark b JOIN documents d ON d.lang = CASE WHEN item_id % 2 = 0 THEN 'en' ELSE 'fr' END QUALIFY rank <= 10)"""
-EXPECTED = "(SELECT item_id AS case_id, doc_id AS key FROM benchmark b JOIN documents d ON contains(d.text, substring(b.text, 1, 60)))"
-PER_CASE = f"""(SELECT item_id AS case_id, item_id % 2 AS category, coalesce(ne, 0) AS expected, coalesce(nr, 0) AS returned, coalesce(h, 0) AS hits, CASE WHEN coalesce(h, 0) > 0 THEN 1.0 ELSE 0.0 END AS recall, coalesce(h, 0) / 10.0 AS "precision",
- coalesce(1.0 / f, 0.0) AS mrr, coalesce(ps, 0) / greatest(coalesce(ne, 0), coalesce(h, 0), 1) AS ap,
- coalesce(d3, 0) / list_sum(list_transform(range(1, least(greatest(coalesce(ne, 0), coalesce(h, 0), 1), 3) + 1), lambda i: 1 / log2(i + 1))) AS ndcg3, coalesce(d10, 0) / list_sum(list_transform(range(1, least(greatest(coalesce(ne, 0), coalesce(h, 0), 1), 10) + 1), lambda i: 1 / log2(i + 1))) AS ndcg
- FROM benchmark LEFT JOIN (SELECT case_id, count(*) AS ne FROM {EXPECTED} e GROUP BY 1) e ON e.case_id = item_id LEFT JOIN (SELECT case_id, count(*) AS nr, CAST(sum(rel) AS BIGINT) AS h, min(CASE WHEN rel = 1 THEN rank END) AS f, sum(CASE WHEN rel = 1 THEN so * 1.0 / rank ELSE 0 END) AS ps, sum(rel / log2(rank + 1)) AS d10, sum(CASE WHEN rank <= 3 THEN rel / log2(rank + 1) ELSE 0 END) AS d3
-  FROM (SELECT *, sum(rel) OVER (PARTITION BY case_id ORDER BY rank ROWS UNBOUNDED PRECEDING) AS so FROM (SELECT r.*, CASE WHEN x.key IS NULL THEN 0 ELSE 1 END AS rel FROM {RANKED} r LEFT JOIN {EXPECTED} x ON x.case_id = r.case_id AND x.key = r.key) y) z GROUP BY 1) m ON m.case_id = item_id)"""
-
-
-def evaluated(spark, d):
-    from ..operators.lookup import containing, ranked_by_hit
-
-    b = S.raw(spark, d, "benchmark").select(F.col("item_id").alias("case_id"), F.substring("text", 1, 60).alias("needle"), F.when(F.col("item_id") % 2 == 0, "en").otherwise("fr").alias("lang"))
-    docs = S.raw(spark, d, "documents").select(F.col("doc_id").alias("key"), "text", "lang")
-    expected = settled(containing(docs, b), "hits")
-    cases = b.select("case_id", (F.col("case_id") % 2).alias("category"))
-    return V.per_case(cases, ranked_by_hit(docs, b, expected, 10), expected, 10)
-
-
-@query("ir_metrics", f"SELECT case_id, expected, returned, hits, recall, round(\"precision\", 6) AS \"precision\", round(mrr, 6) AS mrr, round(ap, 6) AS ap, round(ndcg3, 6) AS ndcg3, round(ndcg, 6) AS ndcg FROM {PER_CASE} c")
-def ir_metrics(spark, d):
-    e = evaluated(spark, d)
-    return e.select("case_id", "expected", "returned", "hits", "recall", *(F.round(c, 6).alias(c) for c in ("precision", "mrr", "ap", "ndcg3", "ndcg")))
-
-
-MEAN = lambda c: f"round(coalesce(avg(CASE WHEN expected > 0 THEN {c} END), 0), 6)"
-SUMMARY = f"(SELECT category, count(*) AS cases, count(*) FILTER (WHERE expected > 0) AS positive, {MEAN('recall')} AS recall, {MEAN(chr(34) + 'precision' + chr(34))} AS \"precision\", {MEAN('mrr')} AS mrr, {MEAN('ap')} AS map, round(avg(ndcg3), 6) AS ndcg3, round(avg(ndcg), 6) AS ndcg FROM {PER_CASE} c GROUP BY category)"
-
-
-@query("ir_metrics_by_category", f"SELECT * FROM {SUMMARY} s")
-def ir_metrics_by_category(spark, d):
-    return V.summary(evaluated(spark, d), ["category"])
-
-
-@query("regression_gate", f"SELECT category, recall, ndcg, recall >= 0.5 AND ndcg >= 0.1 AS passed FROM {SUMMARY} s")
-def regression_gate(spark, d):
-    s = settled(V.summary(evaluated(spark, d), ["category"]).select("category", "recall", "ndcg"), "summary")
-    return V.gate(s, s, ["category"], {"recall": (0.5, 0.02), "ndcg": (0.1, 0.02)})
-
-
-@query("failure_classes", f"""SELECT failure, count(*) AS n FROM (SELECT CASE WHEN expected = 0 AND returned > 0 THEN 'unexpected_result' WHEN expected = 0 THEN 'ok_negative' WHEN returned = 0 THEN 'no_results' WHEN hits = 0 THEN 'missed' WHEN hits < expected THEN 'incomplete' ELSE 'ok' END AS failure FROM {PER_CASE} c) f GROUP BY failure""")
-def failure_classes(spark, d):
-    return V.failure_class(evaluated(spark, d)).groupBy("failure").agg(F.count("*").alias("n"))
-
-
-@query("pack_compat", f"SELECT item_id FROM benchmark WHERE item_id NOT IN (SELECT case_id FROM {EXPECTED} e)")
-def pack_compat(spark, d):
-    from ..operators.lookup import containing
-
-    b = S.raw(spark, d, "benchmark").select(F.col("item_id").alias("case_id"), F.substring("text", 1, 60).alias("needle"))
-    docs = S.raw(spark, d, "documents").select(F.col("doc_id").alias("key"), "text")
-    return b.join(containing(docs, b), "case_id", "left_anti").select(F.col("case_id").alias("item_id"))
-
-
-@query("pack_quality", "SELECT item_id, len(list_distinct(regexp_extract_all(lower(text), '[a-z0-9_]+'))) AS terms, round(len(list_intersect(list_distinct(regexp_extract_all(lower(text), '[a-z0-9_]+')), ['the', 'and', 'of', 'der', 'les'])) * 1.0 / greatest(len(list_distinct(regexp_extract_all(lower(text), '[a-z0-9_]+'))), 1), 6) AS common_ratio FROM benchmark")
-def pack_quality(spark, d):
-    from ..functions.text import latin_tokens
-
-    t = latin_tokens(F.col("text"))
-    common = F.array(*map(F.lit, ("the", "and", "of", "der", "les")))
-    return S.raw(spark, d, "benchmark").select("item_id", F.size(t).cast("long").alias("terms"), F.round(F.size(F.array_intersect(t, common)) / F.greatest(F.size(t), F.lit(1)), 6).alias("common_ratio"))
-
-
 # Star-schema reports ------------------------------------------------------------------------
 
 @query("pricing_summary", """SELECT l_returnflag, l_linestatus, CAST(sum(CAST(l_quantity AS DECIMAL(18,2))) AS DOUBLE) AS sum_qty, CAST(sum(CAST(l_extendedprice AS DECIMAL(18,2)) * (1 - CAST(l_discount AS DECIMAL(18,2)))) AS DOUBLE) AS revenue, count(*) AS n FROM lineitem WHERE CAST(l_shipdate AS DATE) <= DATE '1998-09-02' GROUP BY 1, 2""")

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import parsing
-from ..operators import evaluation as V
 from ..operators import schedules as K
 from ..sources import tables as S
 from .registry import query
@@ -39,23 +38,6 @@ def promotion(spark, d):
     return K.promoted(top, c.select("conv_id", "turn"), "conv_id", "turn")
 
 
-MODES = {"even": 0, "odd": 1}
-GRID = " UNION ALL ".join(f"SELECT '{m}' AS mode, CASE WHEN item_id % 4 = {k} THEN 1 ELSE 0 END AS hit, item_id FROM benchmark" for m, k in MODES.items())
-
-
-@query("eval_grid", f"SELECT mode, count(*) AS cases, round(avg(hit), 6) AS recall FROM ({GRID}) g GROUP BY mode")
-def eval_grid(spark, d):
-    """Modes by cases: each mode's results are judged alike, and summed by mode."""
-    b = S.raw(spark, d, "benchmark").select(F.col("item_id").alias("case_id"))
-    expected = b.select("case_id", F.lit("x").alias("key"))
-    out = None
-    for mode, k in MODES.items():
-        results = b.select("case_id", F.when(F.col("case_id") % 4 == k, "x").otherwise("y").alias("key"), F.lit(1).cast("long").alias("rank"))
-        m = V.per_case(b, results, expected).withColumn("mode", F.lit(mode))
-        out = m if out is None else out.unionByName(m)
-    return V.summary(out, ["mode"]).select("mode", "cases", "recall")
-
-
 @query("item_parse_udf")
 def item_parse(spark, d):
     """Shared items in the XML form of exports, made here of pages, parsed in batches."""

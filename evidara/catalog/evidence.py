@@ -80,11 +80,19 @@ def media_hints(spark, d):
     return E.media_hints(cites, S.raw(spark, d, "pages").select(F.concat(F.lit("doc/"), p, F.lit("#image-"), p).alias("citation")))
 
 
-@query("merge_live", "SELECT coalesce(h.event_id, l.event_id) AS event_id, coalesce(l.event_type, h.event_type) AS event_type, l.event_id IS NOT NULL AS live FROM (SELECT * FROM events WHERE user_id = 5) h FULL JOIN (SELECT event_id + CASE WHEN event_id % 2 = 0 THEN 0 ELSE 90000000 END AS event_id, 'live' AS event_type FROM events WHERE user_id = 5 AND event_id % 3 = 0) l ON h.event_id = l.event_id")
+LIVE = "(SELECT conv_id * 1000 + turn + CASE WHEN turn % 3 = 2 THEN 500 ELSE 0 END AS position, CASE WHEN turn % 2 = 0 THEN 'text' ELSE 'image' END AS kind, CASE WHEN turn % 5 = 4 THEN 'other' ELSE ' ' || text || ' ' END AS text, 'live/' || conv_id || '/' || turn AS citation FROM conversations WHERE conv_id % 2 = 0)"
+HISTORY = "(SELECT conv_id * 1000 + turn AS position, CASE WHEN turn % 4 = 1 THEN 'image' ELSE 'text' END AS kind, text, CASE WHEN role = 'user' THEN 'incoming' ELSE 'outgoing' END AS direction, 'msg/' || conv_id || '/' || turn AS citation FROM conversations)"
+
+
+@query("merge_live", f"""SELECT position, kind, citation, FALSE AS live FROM {HISTORY} h UNION ALL SELECT position, kind, citation, TRUE FROM {LIVE} l WHERE NOT EXISTS (SELECT 1 FROM {HISTORY} h WHERE h.position = l.position AND h.direction = 'incoming' AND ((l.kind <> 'text' AND h.kind = l.kind) OR (l.kind = 'text' AND trim(h.text) = trim(l.text))))""")
 def merge_live(spark, d):
-    h = S.raw(spark, d, "events").filter("user_id = 5").select("event_id", "event_type")
-    live = h.filter("event_id % 3 = 0").select(F.expr("event_id + if(event_id % 2 = 0, 0, 90000000)").alias("event_id"), F.lit("live").alias("event_type"))
-    return E.merge_live(h, live, ["event_id"], "event_id", ["event_type"])
+    c = S.raw(spark, d, "conversations")
+    turn, place = F.col("turn"), F.col("conv_id") * 1000 + F.col("turn")
+    cite = lambda kind: F.concat_ws("/", F.lit(kind), F.col("conv_id").cast("string"), turn.cast("string")).alias("citation")
+    h = c.select(place.alias("position"), F.when(turn % 4 == 1, "image").otherwise("text").alias("kind"), "text", F.when(F.col("role") == "user", "incoming").otherwise("outgoing").alias("direction"), cite("msg"))
+    text = F.when(turn % 5 == 4, "other").otherwise(F.concat(F.lit(" "), "text", F.lit(" ")))
+    live = c.filter("conv_id % 2 = 0").select((place + F.when(turn % 3 == 2, 500).otherwise(0)).alias("position"), F.when(turn % 2 == 0, "text").otherwise("image").alias("kind"), text.alias("text"), cite("live"))
+    return E.merge_live(h, live).select("position", "kind", "citation", "live")
 
 
 @query("purge_cascade", """WITH o AS (SELECT * FROM orders WHERE o_custkey % 10 <> 3), l AS (SELECT * FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM o))
@@ -114,10 +122,10 @@ def first_come_collect(spark, d):
     return E.first_come([q.select("doc_id") for q in qs], "doc_id", "doc_id", 50)
 
 
-@query("packed_kind", "SELECT event_id, CASE (event_id * 4294967296 + event_id % 5) & 4294967295 WHEN 1 THEN 'text' WHEN 3 THEN 'image' WHEN 4 THEN 'voice' ELSE 'unknown' END AS kind FROM events WHERE event_id < 1000000")
+@query("packed_kind", "SELECT event_id, CASE (event_id * 4294967296 + event_id % 5) & 4294967295 WHEN 1 THEN 'text' WHEN 3 THEN 'image' WHEN 4 THEN 'voice' ELSE 'unknown' END AS kind FROM events")
 def packed_kind(spark, d):
     packed = F.col("event_id") * 4294967296 + F.col("event_id") % 5
-    return S.raw(spark, d, "events").filter("event_id < 1000000").select("event_id", E.kind_of_packed(packed, {1: "text", 3: "image", 4: "voice"}).alias("kind"))
+    return S.raw(spark, d, "events").select("event_id", E.kind_of_packed(packed, {1: "text", 3: "image", 4: "voice"}).alias("kind"))
 
 
 @query("display_projection", "SELECT page_id, CASE WHEN page_id % 3 = 0 THEN html WHEN page_id % 3 = 1 THEN '[image]' ELSE substring(html, 1, 200) END AS shown FROM pages")
@@ -219,12 +227,15 @@ def observation_lifecycle(spark, d):
     return e.filter("event_type <> 'error'").join(superseded, "event_id", "left_anti").select("event_id")
 
 
-@query("file_candidates", "SELECT page_id FROM pages WHERE contains(lower(url), 'a') AND page_id BETWEEN 10 AND 500")
+@query("file_candidates", "SELECT event_id FROM events WHERE event_type IN ('view', 'purchase') AND ts >= TIMESTAMP '2024-01-03 00:00:00' AND ts <= TIMESTAMP '2024-01-25 00:00:00' AND (contains(lower(props), '7') OR contains(CAST(event_id AS VARCHAR), '7'))")
 def file_candidates(spark, d):
-    return S.raw(spark, d, "pages").filter(P.all_of([T.contains_fold(F.col("url"), "A"), F.col("page_id").between(10, 500)])).select("page_id")
+    """A contact's name in the title or id, of kinds that carry files, within a time range."""
+    named = T.contains_fold(F.col("props"), "7") | F.col("event_id").cast("string").contains("7")
+    within = P.message_filter({"since": "2024-01-03 00:00:00", "until": "2024-01-25 00:00:00"}, time="ts")
+    return S.raw(spark, d, "events").filter(P.all_of([F.col("event_type").isin("view", "purchase"), within, named])).select("event_id")
 
 
-@query("content_identity", None)
+@query("content_identity", "SELECT count(*) AS rows, bit_xor(h) AS xor, CAST(sum(h) AS VARCHAR) AS sum FROM (SELECT CAST('0x' || substring(md5(doc_id || chr(31) || coalesce(text, chr(0))), 1, 15) AS BIGINT) AS h FROM documents) d")
 def content_identity(spark, d):
     return E.content_digest(S.raw(spark, d, "documents"), "doc_id", "text")
 

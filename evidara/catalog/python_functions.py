@@ -9,7 +9,18 @@ from ..sources import tables as S
 from .registry import query
 
 
-@query("chunk_text_udtf")
+def last_of(pattern: str) -> str:
+    return f"CASE WHEN contains(w, '{pattern}') THEN length(w) - length('{pattern}') - instr(reverse(w), reverse('{pattern}')) + 1 ELSE -1 END"
+
+
+CUT = f"greatest({', '.join(last_of(p) for p in ('。', '！', '？', '. ', '; '))})"
+CHUNKED = rf"""(WITH RECURSIVE t AS (SELECT doc_id, trim(regexp_replace(text, '[\s\x0B\x1C-\x1F\x{{85}}\x{{A0}}\x{{1680}}\x{{2000}}-\x{{200A}}\x{{2028}}\x{{2029}}\x{{202F}}\x{{205F}}\x{{3000}}]+', ' ', 'g')) AS t FROM documents),
+ c AS (SELECT doc_id, 0 AS i, 0::BIGINT AS a, substring(t, 1, 900) AS w, t FROM t WHERE length(t) > 0
+  UNION ALL SELECT doc_id, i + 1, b - 120, substring(t, b - 119, 900), t FROM (SELECT *, a + CASE WHEN a + length(w) < length(t) AND {CUT} > 495 THEN {CUT} + 1 ELSE length(w) END AS b FROM c) x WHERE b < length(t))
+ SELECT doc_id, i AS chunk_index, trim(CASE WHEN a + length(w) < length(t) AND {CUT} > 495 THEN substring(w, 1, {CUT} + 1) ELSE w END) AS chunk FROM c)"""
+
+
+@query("chunk_text_udtf", f"SELECT doc_id, CAST(chunk_index AS BIGINT) AS chunk_index, length(chunk) AS size, sha256(chunk) AS digest FROM {CHUNKED} k")
 def chunk_text(spark, d):
     c = S.raw(spark, d, "documents").select("doc_id", F.posexplode(P.chunk_text("text")).alias("chunk_index", "chunk"))
     return c.select("doc_id", F.col("chunk_index").cast("long").alias("chunk_index"), F.length("chunk").cast("long").alias("size"), F.sha2("chunk", 256).alias("digest"))

@@ -4,14 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators.incremental import BucketTable
 from ..sources import tables as S
 from ..sources.scratch import shared_place
 from ..streaming import jobs
 from .registry import query
 
 
-def staged(spark, d, name):
-    """The event table as a folder that a file stream watches, written in four parts one after another, in event order."""
+def fed(spark, d, name, run):
+    """The event table in four parts, in event order, each appended to the folder that a stream watches and
+    taken up by a run of the job over what is then there; the state between runs is the job's checkpoint."""
     base = shared_place(spark, f"stream-{name}")
     e = S.raw(spark, d, "events")
     low, high = e.agg(F.min("ts"), F.max("ts")).first()
@@ -20,39 +22,38 @@ def staged(spark, d, name):
         if low:
             a, b = (F.lit(low + (high - low) * x / 4) for x in (k, k + 1))
             part = e.filter((F.col("ts") >= a) & ((F.col("ts") < b) | F.lit(k == 3)))
-        part.coalesce(1).write.mode("append").parquet(f"{base}/in")
-    return base, jobs.read_events(spark, f"{base}/in")
+        part.write.mode("append").parquet(f"{base}/in")
+        run(jobs.read_events(spark, f"{base}/in"), base)
+    return base
 
 
-@query("stream_tumbling")
+@query("stream_tumbling", """SELECT window_start, event_type, n FROM (SELECT time_bucket(INTERVAL 1 HOUR, ts) AS window_start, event_type, count(*) AS n FROM events GROUP BY 1, 2) w
+ WHERE window_start + INTERVAL 1 HOUR <= (SELECT date_trunc('milliseconds', max(ts)) - INTERVAL 1 HOUR FROM events)""")
 def stream_tumbling(spark, d):
     """Windows that the watermark has passed: all but those of the last hours."""
-    base, events = staged(spark, d, "tumbling")
-    jobs.run_available(jobs.tumbling(events, late="1 hour"), f"{base}/out", f"{base}/cp")
-    return spark.read.schema("window_start timestamp, event_type string, n long").parquet(f"{base}/out")
+    base = fed(spark, d, "tumbling", lambda events, base: jobs.run_available(jobs.tumbling(events, late="1 hour"), f"{base}/out", f"{base}/cp"))
+    return spark.read.schema("window_start timestamp, event_type string, n long").parquet(f"{base}/out").withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
 
 
-@query("stream_dedupe")
+@query("stream_dedupe", "SELECT DISTINCT event_id, user_id FROM events")
 def stream_dedupe(spark, d):
-    base, events = staged(spark, d, "dedupe")
-    jobs.run_available(jobs.deduplicated(events, late="40 days").select("event_id", "user_id"), f"{base}/out", f"{base}/cp")
+    base = fed(spark, d, "dedupe", lambda events, base: jobs.run_available(jobs.deduplicated(events, late="40 days").select("event_id", "user_id"), f"{base}/out", f"{base}/cp"))
     return spark.read.schema("event_id long, user_id long").parquet(f"{base}/out")
 
 
 @query("stream_upsert", "SELECT user_id, event_id, event_type FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS n FROM events) t WHERE n = 1")
 def stream_upsert(spark, d):
     """The latest event of each user."""
-    base, events = staged(spark, d, "upsert")
-    ordered = events.select("user_id", "event_id", "ts", "event_type")
-    jobs.run_upserts(ordered, f"{base}/table", f"{base}/cp", ["user_id"])
-    from ..operators.incremental import read_version
-
-    return read_version(spark, f"{base}/table").select("user_id", "event_id", "event_type")
+    columns = ["user_id", "event_id", "ts", "event_type"]
+    base = fed(spark, d, "upsert", lambda events, base: jobs.run_upserts(events.select(*columns), f"{base}/table", f"{base}/cp", ["user_id"]))
+    rows = BucketTable(spark, f"{base}/table", ["user_id"]).read()
+    if rows is None:
+        rows = spark.createDataFrame([], "user_id long, event_id long, ts timestamp, event_type string")
+    return rows.select("user_id", "event_id", "event_type")
 
 
 @query("stream_rounds")
 def stream_rounds(spark, d):
-    base, events = staged(spark, d, "rounds")
-    jobs.run_available(jobs.adaptive_rounds(events, late="1 hour"), f"{base}/out", f"{base}/cp")
+    base = fed(spark, d, "rounds", lambda events, base: jobs.run_available(jobs.adaptive_rounds(events, late="1 hour"), f"{base}/out", f"{base}/cp"))
     out = spark.read.schema(jobs.ROUND).parquet(f"{base}/out")
     return out.withColumn("seconds", F.unix_seconds("ended") - F.unix_seconds("started")).drop("started", "ended")

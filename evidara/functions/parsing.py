@@ -6,6 +6,7 @@ import hashlib
 import math
 import re
 import unicodedata
+from collections.abc import Sequence
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -14,21 +15,21 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, LongType, StringType, StructField, StructType
 
 _BLANK = re.compile(r"\s+")
-#: Sentence ends, of Latin and CJK punctuation.
-_ENDS = ".!?。！？"
+# What a chunk may end with.
+_ENDS = ("。", "！", "？", ". ", "; ")
 
 
 def chunk(text: str | None, size: int = 900, overlap: int = 120, least: float = 0.55) -> list[str]:
-    """Chunks of collapsed text: each ends with the last sentence that ends beyond a share of the
+    """Chunks of collapsed text: each ends with the last mark of _ENDS that begins beyond a share of the
     window, or at its edge; the next begins overlap characters before that."""
     t = _BLANK.sub(" ", text or "").strip()
     out, at = [], 0
     while at < len(t):
         end = min(at + size, len(t))
         if end < len(t):
-            cut = max(t.rfind(c, at, end) for c in _ENDS) + 1
+            cut = max(t.rfind(c, at, end) for c in _ENDS)
             if cut - at > least * size:
-                end = cut
+                end = cut + 1
         out.append(t[at:end].strip())
         if end >= len(t):
             break
@@ -71,14 +72,12 @@ class _Page(HTMLParser):
             self.text.append(data)
 
 
-_MAX_MARKUP = 4_000_000
-
 
 def parse_page(html: str | None) -> tuple[str, str, str, int, str]:
-    """(status, title, lang, links, text); markup that declares entities is rejected, too much of it as well."""
+    """(status, title, lang, links, text); markup that declares entities is rejected. Pages of any length are read whole."""
     if html is None or not html.strip():
         return "empty", "", "", 0, ""
-    if len(html) > _MAX_MARKUP or "<!ENTITY" in html:
+    if "<!ENTITY" in html:
         return "rejected", "", "", 0, ""
     p = _Page()
     p.feed(html)
@@ -110,15 +109,70 @@ def embedded(text: pd.Series) -> pd.Series:
     return text.map(hash_embedding)
 
 
+def decode_bytes(raw: bytes | None) -> str | None:
+    """Text of bytes in the first of UTF-8, UTF-16LE and GB18030 that they are valid in, else in UTF-8 without what is not; NULs at the ends go."""
+    if raw is None:
+        return None
+    for name in ("utf-8", "utf-16le", "gb18030"):
+        try:
+            return bytes(raw).decode(name).strip("\0")
+        except UnicodeDecodeError:
+            continue
+    return bytes(raw).decode("utf-8", "ignore").strip("\0")
+
+
+@F.pandas_udf(StringType())
+def _decoded(raw: pd.Series) -> pd.Series:
+    return raw.map(decode_bytes)
+
+
 def decoded(raw: Column) -> Column:
-    """Text of bytes in UTF-8, else UTF-16LE where the length is even, else as Latin-1; in the JVM."""
+    """decode_bytes of a column: valid UTF-8 in the JVM, the rest in batches."""
     utf8 = F.try_validate_utf8(raw.cast("string"))
-    return F.coalesce(utf8, F.when(F.octet_length(raw) % 2 == 0, F.decode(raw, "UTF-16LE")), F.decode(raw, "ISO-8859-1"))
+    return F.coalesce(F.regexp_replace(utf8, "^\\x00+|\\x00+$", ""), _decoded(F.when(utf8.isNull(), raw)))
+
+
+def redact_trace(text: str | None, fields: frozenset[str], numbers: frozenset[str], depth: int = 6) -> str | None:
+    """A JSON value with counts kept and everything else reduced: strings to a hash (paths told apart), unknown
+    keys to one, numbers of unknown keys and structures too deep to a word. Null for what is no JSON."""
+    import json
+
+    if text is None:
+        return None
+    short = lambda s: hashlib.sha256(s.encode("utf-8", "surrogatepass")).hexdigest()[:12]
+
+    def walk(value, key, level):
+        if level > depth:
+            return "redacted-structure"
+        if isinstance(value, dict):
+            return {(k if k in fields else f"field_{short(k)}"): walk(v, k, level + 1) for k, v in value.items()}
+        if isinstance(value, list):
+            return [walk(v, key, level + 1) for v in value]
+        if isinstance(value, str):
+            return f"redacted-{'path' if re.search(r'(^|[/\\\\])(Users|Volumes|home)[/\\\\]', value) else 'text'}:{short(value)}"
+        if value is None or key in numbers:
+            return value
+        return "redacted-number"
+
+    try:
+        return json.dumps(walk(json.loads(text), "", 0), sort_keys=True, separators=(",", ":"), ensure_ascii=False)
+    except ValueError:
+        return None
+
+
+def redacted_trace(column: str, fields: Sequence[str], numbers: Sequence[str]) -> Column:
+    kept, counted = frozenset([*fields, *numbers]), frozenset(numbers)
+
+    @F.pandas_udf(StringType())
+    def redacted(text: pd.Series) -> pd.Series:
+        return text.map(lambda t: redact_trace(t, kept, counted))
+
+    return redacted(column)
 
 
-#: Kinds of shared items by their type number, and the most characters of an item's XML.
+# Kinds of shared items by their type number, and the most bytes of an item's XML, as the format has them.
 ITEM_KINDS = {"5": "link", "6": "file", "19": "forward", "33": "mini_program", "57": "quote", "2000": "transfer"}
-_MAX_ITEM = 200_000
+_MAX_ITEM = 256 * 1024
 
 
 def parse_item(xml: str | None) -> tuple[str, str, str, str]:
@@ -127,7 +181,7 @@ def parse_item(xml: str | None) -> tuple[str, str, str, str]:
 
     if xml is None or not xml.strip():
         return "empty", "", "", ""
-    if len(xml) > _MAX_ITEM or "<!DOCTYPE" in xml or "<!ENTITY" in xml:
+    if len(xml.encode("utf-8", "surrogatepass")) > _MAX_ITEM or "<!DOCTYPE" in xml or "<!ENTITY" in xml:
         return "rejected", "", "", ""
     try:
         root = ElementTree.fromstring(xml.strip())

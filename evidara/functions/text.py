@@ -93,3 +93,77 @@ def stable_id(*parts: Column, size: int = 16) -> Column:
 def file_kind(name: Column, kinds: Mapping[str, Sequence[str]], default: str = "other") -> Column:
     end = F.lower(F.regexp_extract(name, "\\.([A-Za-z0-9]+)$", 1))
     return first_match([(end.isin(*ends), kind) for kind, ends in kinds.items()], default)
+
+
+#: The characters of Chinese text that tokenisers take for letters.
+CJK = "\u4e00-\u9fff"
+
+
+def safe_label(c: Column) -> Column:
+    """A name that can be a file name: white space collapsed, runs of slashes and control characters as one
+    hyphen, 80 characters; `untitled` if nothing is left."""
+    s = F.substring(F.regexp_replace(normalize_text(F.coalesce(c, F.lit(""))), "[/\\\\\u0000-\u001f]+", "-"), 1, 80)
+    return F.when(F.length(s) > 0, s).otherwise("untitled")
+
+
+def page_slug(c: Column, default: str = "wiki-page") -> Column:
+    """Letters and digits of ASCII, Chinese characters, underscores and hyphens; anything else as one hyphen."""
+    s = F.regexp_replace(F.regexp_replace(F.trim(c), f"[^0-9A-Za-z{CJK}_-]+", "-"), "^-+|-+$", "")
+    return F.when(F.length(s) > 0, F.substring(s, 1, 80)).otherwise(default)
+
+
+def query_tokens(c: Column) -> Column:
+    """Distinct words of ASCII letters, digits and underscores, and runs of Chinese characters, in order."""
+    return F.array_distinct(F.regexp_extract_all(c, F.lit("[A-Za-z0-9_]+|[\u3400-\u9fff]+"), 0))
+
+
+def shingle_tokens(c: Column) -> Column:
+    """Distinct tokens to compare texts by, sorted: pairs of neighbouring Chinese characters (a lone one itself)
+    and words of two characters or more."""
+    runs = F.regexp_extract_all(F.lower(c), F.lit(f"[a-z0-9_]+|[{CJK}]+"), 0)
+
+    def of(t: Column) -> Column:
+        pairs = F.transform(F.sequence(F.lit(1), F.length(t) - 1), lambda i: F.substring(t, i, F.lit(2)))
+        chinese = t.rlike(f"^[{CJK}]")
+        return F.when(F.length(t) >= 2, F.when(chinese, pairs).otherwise(F.array(t))).when(chinese, F.array(t)).otherwise(F.array().cast("array<string>"))
+
+    return F.array_sort(F.array_distinct(F.flatten(F.transform(runs, of))))
+
+
+def important_terms(query: str, dictionary: Sequence[str] = ()) -> list[str]:
+    """Up to two terms of a query, of which the dictionary's come first, or three where it has none: words of three
+    letters or more, runs of Chinese characters of two or more, of long ones the first, middle and last four."""
+    import re
+
+    terms = [t for t in dictionary if t in query.lower()]
+    most = 2 if terms else 3
+    for token in re.findall(rf"[A-Za-z][A-Za-z0-9_.-]{{2,}}|[{CJK}]{{2,}}", query):
+        if len(token) > 4 and re.fullmatch(f"[{CJK}]+", token):
+            mid = (len(token) - 4) // 2
+            terms += [token[:4], token[mid : mid + 4], token[-4:]]
+        else:
+            terms.append(token)
+    terms = list(dict.fromkeys(terms))
+    if not terms and " " in query:
+        terms = [t for t in query.lower().split() if len(t) >= 2]
+    return terms[:most]
+
+
+def interval_seconds(c: Column) -> Column:
+    """Seconds of texts as 90, 90s, 60m, 1h, 2d; null where it is something else or less than a minute."""
+    t = F.lower(F.trim(c))
+    n, unit = F.regexp_extract(t, "^([0-9]{1,12})\\s*([smhd]?)$", 1).try_cast("long"), F.regexp_extract(t, "^([0-9]{1,12})\\s*([smhd]?)$", 2)
+    seconds = n * F.when(unit == "m", 60).when(unit == "h", 3600).when(unit == "d", 86400).otherwise(1)
+    return F.when(seconds >= 60, seconds)
+
+
+def clock_minutes(c: Column) -> Column:
+    """Minutes since midnight of texts as 7:05; null where it is no time of day."""
+    t = F.trim(c)
+    h, m = (F.regexp_extract(t, "^([0-9]{1,2}):([0-9]{2})$", i).try_cast("long") for i in (1, 2))
+    return F.when((h <= 23) & (m <= 59), h * 60 + m)
+
+
+def canonical_json(**fields: Column) -> Column:
+    """An object with its keys sorted and without spaces; nulls are kept."""
+    return F.to_json(F.struct(*(fields[k].alias(k) for k in sorted(fields))), {"ignoreNullFields": "false"})

@@ -44,11 +44,20 @@ def media_hints(citations: DataFrame, media: DataFrame) -> DataFrame:
     return left.join(right, "parent").select("citation", "media").distinct()
 
 
-def merge_live(history: DataFrame, live: DataFrame, keys: Sequence[str], order: str, columns: Sequence[str]) -> DataFrame:
-    """History with values of live events at the same place, and live events at other places appended."""
-    fresh = live.select(*keys, *(F.col(c).alias(f"__live_{c}") for c in columns), F.lit(True).alias("live"))
-    j = history.join(fresh, list(keys), "full")
-    return j.select(*keys, *(F.coalesce(f"__live_{c}", c).alias(c) for c in columns), F.coalesce("live", F.lit(False)).alias("live")).orderBy(order)
+def merge_live(history: DataFrame, live: DataFrame) -> DataFrame:
+    """History (position, kind, text, direction, citation), and the live messages that it has not yet, as incoming ones.
+
+    A live message is in the history if an incoming one stands at its place with its kind, or,
+    of texts, with its text but for white space around it.
+    """
+    text = F.when(F.col("kind") == "text", F.trim(F.coalesce("text", F.lit("")))).otherwise("")
+    kind = F.when(F.col("kind") == "text", "text").otherwise(F.col("kind"))
+    known = history.filter("direction = 'incoming'").select("position", kind.alias("__kind"), text.alias("__text")).distinct()
+    # a live text meets any text of its place, whatever kind it is noted under
+    any_kind = history.filter("direction = 'incoming'").select("position", F.lit("text").alias("__kind"), F.trim(F.coalesce("text", F.lit(""))).alias("__text")).distinct()
+    new = live.withColumn("__kind", kind).withColumn("__text", text).join(known.unionByName(any_kind).distinct(), ["position", "__kind", "__text"], "left_anti")
+    columns = ["position", "kind", "text", "direction", "citation"]
+    return history.select(*columns, F.lit(False).alias("live")).unionByName(new.withColumn("direction", F.lit("incoming")).select(*columns, F.lit(True).alias("live")))
 
 
 def purged(tables: Mapping[str, DataFrame], excluded: DataFrame, keys: Mapping[str, str], parent: Mapping[str, tuple[str, str]]) -> tuple[dict[str, DataFrame], DataFrame]:
@@ -85,8 +94,9 @@ def first_come(routes: Sequence[DataFrame], key: str, order: str, limit: int) ->
 
 
 def content_digest(df: DataFrame, *columns: str) -> DataFrame:
-    """One row that identifies the content of a table, whatever the order of its rows."""
-    h = F.xxhash64(*columns)
+    """One row that identifies the content of a table, whatever the order of its rows: sum and XOR of 60 bits of each row's MD5."""
+    text = F.concat_ws("\u001f", *(F.coalesce(F.col(c).cast("string"), F.lit("\u0000")) for c in columns))
+    h = F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("long")
     return df.agg(F.count("*").alias("rows"), F.bit_xor(h).alias("xor"), F.sum(h.cast("decimal(38,0)")).cast("string").alias("sum"))
 
 

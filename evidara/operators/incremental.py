@@ -71,6 +71,89 @@ def set_difference(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
     return new.join(old, key, "left_anti").select(key, F.lit("added").alias("change")).unionByName(old.join(new, key, "left_anti").select(key, F.lit("removed").alias("change")))
 
 
+def union_merge(existing: DataFrame, new: DataFrame, key: str, text: str, citations: str, replace: bool = False) -> DataFrame:
+    """Understandings (key, text, citations): the new text where there is one, or with replace in any case,
+    else the old; citations of both, each once, sorted. Keys of either side are kept."""
+    n = new.select(key, F.col(text).alias("__text"), F.col(citations).alias("__citations"), F.lit(True).alias("__new"))
+    j = existing.join(n, key, "full")
+    blank = F.length(F.trim(F.coalesce("__text", F.lit("")))) == 0
+    kept = F.col("__new").isNull() | (F.lit(False) if replace else blank)
+    none = F.array().cast("array<string>")
+    return j.select(key, F.when(kept, F.col(text)).otherwise(F.col("__text")).alias(text), F.array_sort(F.array_union(F.coalesce(citations, none), F.coalesce("__citations", none))).alias(citations))
+
+
+def revised(old: DataFrame, new: DataFrame, key: str, columns: Sequence[str], revision: str = "revision") -> DataFrame:
+    """new with the revision of each key: that of old where none of these columns changed, else one more, from 1."""
+    o = old.select(key, F.col(revision).alias("__r"), *(F.col(c).alias(f"__{c}") for c in columns))
+    same = F.lit(True)
+    for c in columns:
+        same = same & F.col(c).eqNullSafe(F.col(f"__{c}"))
+    j = new.join(o, key, "left").withColumn(revision, F.when(F.col("__r").isNull(), 1).when(same, F.col("__r")).otherwise(F.col("__r") + 1).cast("long"))
+    return j.drop("__r", *(f"__{c}" for c in columns))
+
+
+def message_delta(target: DataFrame, owners: DataFrame, batch: DataFrame, deleted: DataFrame, source: str) -> dict[str, DataFrame]:
+    """What a delta of one source does to messages (conversation, local_id, citation, title, content).
+
+    Messages are met by (conversation, local_id). Parts of the result: `changes` (batch rows with
+    change new, changed or renamed, which is a new citation), `owners` (citation, source) after it,
+    `tombstones` (citations that are gone: deleted ones that no other source owns, and old names),
+    `fan_out` (messages that only take over a changed title of their conversation), `dirty`
+    (citations whose chunks must be made anew, deleted ones too) and `messages`. Applied again,
+    changes, tombstones of names, fan_out and dirty are empty but for what is deleted anew.
+    """
+    keys, columns = ["conversation", "local_id"], ["citation", "title", "content"]
+    old = target.select(*keys, *(F.col(c).alias(f"__{c}") for c in columns))
+    j = batch.join(old, keys, "left")
+    renamed = F.col("__citation").isNotNull() & (F.col("__citation") != F.col("citation"))
+    differs = ~F.col("title").eqNullSafe(F.col("__title")) | ~F.col("content").eqNullSafe(F.col("__content"))
+    changes = j.withColumn("change", F.when(F.col("__citation").isNull(), "new").when(renamed, "renamed").when(differs, "changed")).filter("change is not null")
+
+    mine = F.col("source") == source
+    left = owners.join(deleted.select("citation"), "citation", "left_semi").filter(~mine).select("citation").distinct()
+    present = target.select("citation").unionByName(batch.select("citation")).distinct()
+    gone = deleted.select("citation").distinct().join(left, "citation", "left_anti").join(batch.select("citation"), "citation", "left_anti").join(present, "citation", "left_semi")
+    names = changes.filter("change = 'renamed'").select(F.col("__citation").alias("citation"))
+    tombstones = gone.unionByName(names).distinct()
+
+    rest = owners.join(tombstones, "citation", "left_anti")
+    rest = rest.join(deleted.select("citation", F.lit(source).alias("source")), ["citation", "source"], "left_anti")
+    after = rest.unionByName(batch.select("citation", F.lit(source).alias("source"))).distinct()
+
+    titles = batch.groupBy("conversation").agg(F.max_by("title", "local_id").alias("__new"))
+    met = target.join(batch.select(*keys), keys, "left_anti").join(tombstones, "citation", "left_anti").join(titles, "conversation", "left")
+    retitled = F.col("__new").isNotNull() & ~F.col("title").eqNullSafe(F.col("__new"))
+    fan_out = met.filter(retitled).select(*keys, "citation", F.col("__new").alias("title"), "content")
+    kept = met.withColumn("title", F.when(retitled, F.col("__new")).otherwise(F.col("title"))).select(*keys, *columns)
+    dirty = changes.select("citation").unionByName(tombstones).unionByName(fan_out.select("citation")).distinct()
+    return {"changes": changes.select(*keys, *columns, "change"), "owners": after, "tombstones": tombstones, "fan_out": fan_out, "dirty": dirty, "messages": kept.unionByName(batch.select(*keys, *columns))}
+
+
+def rebuilt(chunks: DataFrame, fresh: DataFrame, parents: DataFrame) -> DataFrame:
+    """chunks with those of some parents made anew; parents that give no chunk any more lose theirs."""
+    return chunks.join(parents.select("parent").distinct(), "parent", "left_anti").unionByName(fresh.join(parents.select("parent").distinct(), "parent", "left_semi"))
+
+
+def claimed(queue: DataFrame, now: Column, lease_seconds: int, limit: int) -> DataFrame:
+    """Entries of a queue (entity, due, lease_until, generation) that can be claimed: due, and not leased any more;
+    the earliest first, each with its new lease and generation. One entry of an entity is claimed at most."""
+    free = queue.filter((F.col("due") <= now) & (F.col("lease_until").isNull() | (F.col("lease_until") <= now)))
+    first = first_by(free, ["entity"], F.asc("due"), F.asc("generation"))
+    top = first.orderBy("due", "entity").limit(limit)
+    return top.withColumn("lease_until", now + F.make_interval(secs=F.lit(lease_seconds))).withColumn("generation", F.col("generation") + 1)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def _children(spark: SparkSession, path: str) -> list[str]:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    return sorted(s.getPath().getName() for s in fs.listStatus(folder)) if fs.exists(folder) else []
+
+
 def write_version(df: DataFrame, root: str) -> int:
     """df as the next version under root, which the pointer names once it is whole."""
     spark = df.sparkSession
@@ -91,3 +174,132 @@ def current_version(spark: SparkSession, root: str) -> int:
 
 def read_version(spark: SparkSession, root: str) -> DataFrame:
     return spark.read.parquet(f"{root}/v={current_version(spark, root)}")
+
+
+class BucketTable:
+    """A keyed table in buckets of its keys; an upsert rewrites the buckets that it changes, and no others.
+
+    {root}/data/v=n/bucket=b holds what version n wrote; the manifest of a version names, for each
+    bucket, the version that holds it. A version is there once its manifest is, so readers see
+    whole versions, and what a failed writer left is never read; vacuum() deletes it.
+    """
+
+    def __init__(self, spark: SparkSession, root: str, keys: Sequence[str], buckets: int = 32):
+        self.spark, self.root, self.keys, self.buckets = spark, root.rstrip("/"), list(keys), buckets
+
+    def manifest(self, version: int | None = None) -> dict[int, int]:
+        """Bucket and the version that holds it."""
+        n = self.version() if version is None else version
+        return {r["bucket"]: r["v"] for r in self.spark.read.schema("bucket int, v long").parquet(f"{self.root}/manifest/n={n}").collect()} if n else {}
+
+    def version(self) -> int:
+        return max((int(x.split("=")[1]) for x in _children(self.spark, f"{self.root}/manifest") if x.startswith("n=") and "_SUCCESS" in _children(self.spark, f"{self.root}/manifest/{x}")), default=0)
+
+    def _bucketed(self, df: DataFrame) -> DataFrame:
+        return df.withColumn("bucket", F.pmod(F.hash(*self.keys), F.lit(self.buckets)))
+
+    def _read(self, manifest: dict[int, int]) -> DataFrame | None:
+        paths = [f"{self.root}/data/v={v}/bucket={b}" for b, v in sorted(manifest.items())]
+        return self.spark.read.parquet(*paths) if paths else None
+
+    def read(self) -> DataFrame | None:
+        """All rows, or None before the first version."""
+        return self._read(self.manifest())
+
+    def upsert(self, batch: DataFrame) -> list[int]:
+        """Puts batch (one row per key) in; the buckets that were written. A batch that changes nothing writes nothing."""
+        n, have = self.version(), self.manifest()
+        named = self._bucketed(batch)
+        asked = [r[0] for r in named.select("bucket").distinct().collect()]  # a bucket number each
+        held = self._read({b: v for b, v in have.items() if b in asked})
+        if held is not None:
+            changed = self._bucketed(delta(held, batch, self.keys).select(*batch.columns))
+            touched = [r[0] for r in changed.select("bucket").distinct().collect()]
+            old = self._read({b: v for b, v in have.items() if b in touched})
+            new = changed.drop("bucket")
+            rows = upsert(old, new, self.keys) if old is not None else new
+        else:
+            touched, rows = asked, batch
+        if not touched:
+            return []
+        self._bucketed(rows).repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{self.root}/data/v={n + 1}")
+        new_manifest = {**have, **dict.fromkeys(touched, n + 1)}
+        self.spark.createDataFrame(sorted(new_manifest.items()), "bucket int, v long").coalesce(1).write.mode("overwrite").parquet(f"{self.root}/manifest/n={n + 1}")
+        return sorted(touched)
+
+    def vacuum(self, keep: int = 1) -> int:
+        """Deletes bucket folders that none of the newest versions names, and older manifests; how many folders went."""
+        n = self.version()
+        kept = {(v, b) for k in range(max(1, n - keep + 1), n + 1) for b, v in self.manifest(k).items()}
+        gone = 0
+        for name in _children(self.spark, f"{self.root}/data"):
+            for bucket in _children(self.spark, f"{self.root}/data/{name}"):
+                if bucket.startswith("bucket=") and (int(name.split("=")[1]), int(bucket.split("=")[1])) not in kept:
+                    _delete(self.spark, f"{self.root}/data/{name}/{bucket}")
+                    gone += 1
+        for name in _children(self.spark, f"{self.root}/manifest"):
+            if name.startswith("n=") and int(name.split("=")[1]) <= n - keep:
+                _delete(self.spark, f"{self.root}/manifest/{name}")
+        return gone
+
+
+class Generations:
+    """Builds of a derived table under a root, one of which is active: building, ready, active, retired or failed.
+
+    The ledger is a small table of events; the state of a build is its last one. What is read is the
+    active build only, so one that was left half-made by a lost driver is never seen; recover()
+    marks such builds as failed and deletes them.
+    """
+
+    def __init__(self, spark: SparkSession, root: str):
+        self.spark, self.root = spark, root.rstrip("/")
+
+    def states(self) -> dict[int, str]:
+        try:
+            rows = self.spark.read.schema("step long, build long, state string").parquet(f"{self.root}/ledger").orderBy("step").collect()
+        except Exception as e:
+            if "PATH_NOT_FOUND" in str(e):
+                return {}
+            raise
+        return {r["build"]: r["state"] for r in rows}
+
+    def _note(self, *moves: tuple[int, str]) -> None:
+        before = 0
+        if self.states():
+            before = self.spark.read.schema("step long, build long, state string").parquet(f"{self.root}/ledger").agg(F.max("step")).first()[0]
+        rows = [(before + 1 + i, b, s) for i, (b, s) in enumerate(moves)]
+        self.spark.createDataFrame(rows, "step long, build long, state string").coalesce(1).write.mode("append").parquet(f"{self.root}/ledger")
+
+    def begin(self) -> int:
+        build = max(self.states(), default=0) + 1
+        self._note((build, "building"))
+        return build
+
+    def write(self, build: int, df: DataFrame) -> None:
+        if self.states().get(build) != "building":
+            raise ValueError(f"build {build} is not being built")
+        df.write.mode("overwrite").parquet(f"{self.root}/build={build}")
+        self._note((build, "ready"))
+
+    def activate(self, build: int) -> None:
+        """In one write, so that there is one active build before and after it."""
+        states = self.states()
+        if states.get(build) != "ready":
+            raise ValueError(f"build {build} is not ready")
+        self._note(*((b, "retired") for b, s in states.items() if s == "active"), (build, "active"))
+
+    def active(self) -> int | None:
+        return next((b for b, s in self.states().items() if s == "active"), None)
+
+    def read(self) -> DataFrame | None:
+        build = self.active()
+        return None if build is None else self.spark.read.parquet(f"{self.root}/build={build}")
+
+    def recover(self) -> list[int]:
+        """Fails and deletes builds that were never finished; their numbers."""
+        left = [b for b, s in self.states().items() if s == "building"]
+        for b in left:
+            _delete(self.spark, f"{self.root}/build={b}")
+        if left:
+            self._note(*((b, "failed") for b in left))
+        return left

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -44,3 +44,12 @@ def flagged(df: DataFrame, other: DataFrame, key: str, flag: str) -> DataFrame:
     """df with whether other has its key: EXISTS as a column, without a duplicate of rows."""
     o = other.select(F.col(key), F.lit(True).alias("__has")).distinct()
     return df.join(o, key, "left").withColumn(flag, F.coalesce("__has", F.lit(False))).drop("__has")
+
+
+def unique_names(files: DataFrame, stem: str, ending: str, content: str, order: str) -> DataFrame:
+    """files with a name of their stem that no file of other content has: the first content of a stem keeps it, others get -1, -2 and so on."""
+    first = files.groupBy(stem, content).agg(F.min(order).alias("__first"))
+    n = F.row_number().over(Window.partitionBy(stem).orderBy("__first")) - 1
+    numbered = first.withColumn("__n", n).drop("__first")
+    name = F.concat(F.col(stem), F.when(F.col("__n") > 0, F.concat(F.lit("-"), F.col("__n").cast("string"))).otherwise(""), F.lit(ending))
+    return files.join(numbered, [stem, content]).withColumn("name", name).drop("__n")

@@ -39,11 +39,50 @@ def test_fold_drops_what_came_before_and_caps():
 
 
 def test_upserts_twice_write_nothing_new(spark, tmp_path):
-    from evidara.operators import incremental as I
+    from evidara.operators.incremental import BucketTable
 
     e = S.raw(spark, FOLDER, "events").limit(50)
     e.write.parquet(str(tmp_path / "in"))
     for k in range(2):
         jobs.run_upserts(jobs.read_events(spark, str(tmp_path / "in")).select("user_id", "event_id", "ts", "event_type"), str(tmp_path / "t"), str(tmp_path / f"cp{k}"), ["user_id"])
-    assert I.current_version(spark, str(tmp_path / "t")) == 1
-    assert I.read_version(spark, str(tmp_path / "t")).count() == e.agg(F.countDistinct("user_id")).first()[0]
+    table = BucketTable(spark, str(tmp_path / "t"), ["user_id"])
+    assert table.version() == 1 and table.read().count() == e.agg(F.countDistinct("user_id")).first()[0]
+
+
+def test_an_upsert_writes_the_buckets_it_changes(spark, tmp_path):
+    from evidara.operators.incremental import BucketTable
+
+    table = BucketTable(spark, str(tmp_path / "t"), ["k"], buckets=8)
+    df = lambda rows: spark.createDataFrame(rows, "k long, v string")
+    assert table.read() is None and len(table.upsert(df([(i, "a") for i in range(100)]))) == 8
+    one = table.upsert(df([(7, "b"), (8, "a")]))
+    assert len(one) == 1 and sorted(table.manifest().values()).count(2) == 1
+    assert table.upsert(df([(7, "b")])) == [] and table.version() == 2
+    assert {r.k: r.v for r in table.read().collect()} == {i: "b" if i == 7 else "a" for i in range(100)}
+    table.upsert(df([(1000, "n")]))
+    assert table.read().count() == 101
+    before = {tuple(r) for r in table.read().select("k", "v").collect()}
+    assert table.vacuum() >= 1 and {tuple(r) for r in table.read().select("k", "v").collect()} == before
+    assert table.vacuum() == 0
+
+
+def test_generations(spark, tmp_path):
+    import pytest
+
+    from evidara.operators.incremental import Generations
+
+    g = Generations(spark, str(tmp_path / "g"))
+    assert g.read() is None
+    one, two = g.begin(), g.begin()
+    g.write(one, spark.range(3))
+    with pytest.raises(ValueError):
+        g.activate(two)
+    g.activate(one)
+    spark.range(9).write.parquet(str(tmp_path / "g" / "build=2"))  # left half-made
+    assert g.read().count() == 3 and g.recover() == [two] and not (tmp_path / "g" / "build=2").exists()
+    three = g.begin()
+    g.write(three, spark.range(5))
+    g.activate(three)
+    assert g.states() == {one: "retired", two: "failed", three: "active"} and g.read().count() == 5
+    with pytest.raises(ValueError):
+        g.write(three, spark.range(1))

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..operators import evidence as E
 from ..operators import filters as P
-from ..operators import joins as J
 from ..operators import lexical as L
 from ..operators import windows as W
 from ..sources import tables as S
@@ -214,12 +213,6 @@ def scoped_messages(spark, d):
     return c.filter("conv_id < 20").drop("role").unionByName(c.filter("conv_id >= 20 and role = 'user'").drop("role"))
 
 
-@query("claim_validation", "SELECT doc_id, doc_id IN (SELECT doc_id FROM documents) AS cited FROM (SELECT doc_id * 3 AS doc_id FROM labels) l")
-def claim_validation(spark, d):
-    claims = S.raw(spark, d, "labels").select((F.col("doc_id") * 3).alias("doc_id"))
-    return J.flagged(claims, S.raw(spark, d, "documents").select("doc_id"), "doc_id", "cited")
-
-
 @query("observation_lifecycle", "SELECT event_id FROM events WHERE event_type <> 'error' AND event_id NOT IN (SELECT event_id - 1 FROM events WHERE event_id % 4 = 0)")
 def observation_lifecycle(spark, d):
     e = S.raw(spark, d, "events").select("event_id", "event_type")

@@ -192,13 +192,6 @@ def monthly_timeline(spark, d):
     return i.agg(F.count("*").alias("messages"), *(F.count_if(F.col("direction") == k).alias(k) for k in ("self", "peer", "unknown"))).orderBy(F.desc("month")).limit(60)
 
 
-@query("group_contexts", """SELECT user_id, count(*) AS n, min(ts) AS first_at, max(ts) AS last_at, count(*) FILTER (WHERE event_type = 'click') AS clicks, count(*) FILTER (WHERE event_type = 'view') AS views,
- count(*) FILTER (WHERE event_type = 'purchase') AS purchases, count(*) FILTER (WHERE event_type = 'signup') AS signups, count(*) FILTER (WHERE event_type = 'error') AS errors FROM events GROUP BY user_id""")
-def group_contexts(spark, d):
-    kinds = ("click", "view", "purchase", "signup", "error")
-    return S.raw(spark, d, "events").groupBy("user_id").agg(F.count("*").alias("n"), F.min("ts").alias("first_at"), F.max("ts").alias("last_at"), *(F.count_if(F.col("event_type") == k).alias(f"{k}s") for k in kinds))
-
-
 @query("person_counts", f"""SELECT user_id, count(*) AS total, count(*) FILTER (WHERE direction = 'self') AS self, count(*) FILTER (WHERE direction = 'peer') AS peer, count(DISTINCT kind) AS kinds,
  min(ts) AS first_at, max(ts) AS last_at FROM {INTERACTIONS} i GROUP BY user_id""")
 def person_counts(spark, d):
@@ -250,3 +243,45 @@ def conversation_card(spark, d):
 @query("refresh_coalesce", "SELECT user_id, min(ts) AS due_at, count(*) AS pending FROM events WHERE event_type = 'error' GROUP BY user_id")
 def refresh_coalesce(spark, d):
     return S.raw(spark, d, "events").filter("event_type = 'error'").groupBy("user_id").agg(F.min("ts").alias("due_at"), F.count("*").alias("pending"))
+
+
+@query("chunk_filter", "SELECT doc_id FROM documents WHERE (contains(lower(lang), 'e') OR lang = 'E') AND source = 'src3' AND n_chars >= 0")
+def chunk_filter(spark, d):
+    docs = S.raw(spark, d, "documents").select("doc_id", F.col("lang").alias("actor"), F.col("source").alias("source_id"))
+    return docs.filter(P.chunk_filter({"sender": "E", "conversation_id": "src3", "conversation_type": "group"})).select("doc_id")
+
+
+@query("residual_filter", "SELECT event_id FROM events WHERE (contains(event_type, 'i') OR CAST(user_id AS VARCHAR) = 'i') AND CASE WHEN user_id % 2 = 0 THEN 'group' ELSE 'private' END = 'group'")
+def residual_filter(spark, d):
+    kind = F.when(F.col("user_id") % 2 == 0, "group").otherwise("private")
+    e = S.raw(spark, d, "events").select("event_id", F.col("event_type").alias("actor"), F.col("user_id").cast("string").alias("actor_id"), kind.alias("conversation_type"))
+    return e.filter(P.residual({"sender": "i", "conversation_type": "group"})).select("event_id")
+
+
+@query("guarded_scan", "WITH a AS (SELECT doc_id, text FROM documents WHERE lang = 'de'), b AS (SELECT doc_id, text FROM documents WHERE source = 'src3') SELECT 'wide' AS kind, doc_id FROM a WHERE contains(lower(text), 'die') AND (SELECT count(*) FROM a) <= 20 UNION ALL SELECT 'narrow', doc_id FROM b WHERE contains(lower(text), 'e') AND (SELECT count(*) FROM b) <= 100000")
+def guarded_scan(spark, d):
+    docs, text = S.raw(spark, d, "documents"), F.col("text")
+    wide = P.guarded_scan(docs, F.col("lang") == "de", T.contains_fold(text, "die"), 20).select(F.lit("wide").alias("kind"), "doc_id")
+    return wide.unionByName(P.guarded_scan(docs, F.col("source") == "src3", T.contains_fold(text, "e"), 100_000).select(F.lit("narrow").alias("kind"), "doc_id"))
+
+
+@query("resolve_contact", "SELECT c_mktsegment, c_nationkey, CASE WHEN min(c_custkey) = max(c_custkey) THEN min(c_custkey) END AS c_custkey, CASE WHEN min(c_custkey) = max(c_custkey) THEN 'ok' ELSE 'ambiguous' END AS status FROM customer WHERE c_acctbal > 5000 GROUP BY 1, 2")
+def resolve_contact(spark, d):
+    c = S.raw(spark, d, "customer").filter("c_acctbal > 5000")
+    return P.resolved(c, ["c_mktsegment", "c_nationkey"], "c_custkey")
+
+
+@query("account_snapshot", f"SELECT citation, conversation_id, local_id, row_number() OVER (ORDER BY conversation_id, local_id) AS place FROM {MESSAGES} m WHERE sender = 'user' QUALIFY place <= 500")
+def account_snapshot(spark, d):
+    """An ordered scan with a bounded fetch."""
+    m = S.messages(spark, d).filter("sender = 'user'").orderBy("conversation_id", "local_id").limit(500)
+    return m.withColumn("place", F.row_number().over(Window.orderBy("conversation_id", "local_id")).cast("long")).select("citation", "conversation_id", "local_id", "place")
+
+
+@query("cited_report", f"SELECT section, citation, substring(content, 1, 120) AS line FROM (SELECT *, row_number() OVER (PARTITION BY section ORDER BY conversation_id, local_id) AS n FROM (SELECT *, unnest(list_filter([CASE WHEN contains(lower(content), 'the') THEN 'decision' END, CASE WHEN contains(lower(content), 'and') THEN 'owner' END, CASE WHEN contains(content, '?') THEN 'question' END], lambda x: x IS NOT NULL)) AS section FROM {MESSAGES} m) a) b WHERE n <= 10")
+def cited_report(spark, d):
+    """The first lines of each key word's section, each with its citation."""
+    words = {"decision": ("the",), "owner": ("and",), "question": ("?",)}
+    m = S.messages(spark, d).withColumn("section", F.explode(T.keyword_labels(F.col("content"), words)))
+    top = W.newest_k(m, ["section"], 10, F.asc("conversation_id"), F.asc("local_id"))
+    return top.select("section", "citation", F.substring("content", 1, 120).alias("line"))

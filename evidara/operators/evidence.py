@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.tables import citation_keys
+from .lexical import with_fallback
 from .windows import first_by
 
 
@@ -131,3 +132,12 @@ def episode_tail(changed: DataFrame, numbered: DataFrame, conversation: str, gon
     suffix = (F.col("last") - F.col("first") + 1 == F.col("rows")) & F.col("gone").isNull()
     start = F.floor(F.greatest(F.col("first") - 1 - 3, F.lit(0)) / 3) * 3
     return j.select(conversation, F.when(suffix, start).otherwise(0).cast("long").alias("from_row"), suffix.alias("tail_only"))
+
+
+def vector_documents(chunks: DataFrame, messages: DataFrame, dirty: DataFrame | None = None) -> DataFrame:
+    """Chunks, or messages where there is no chunk at all (citation, actor, content), with the text that is embedded;
+    with dirty citations only those. Decided in the plan."""
+    rows = with_fallback(chunks.select("citation", "actor", "content"), messages.select("citation", "actor", "content"))
+    if dirty is not None:
+        rows = rows.join(dirty.select("citation").distinct(), "citation", "left_semi")
+    return rows.withColumn("vector_text", F.concat_ws("\n", F.concat(F.lit("by "), "actor"), "content"))

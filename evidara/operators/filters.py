@@ -80,3 +80,34 @@ def resolve_one(df: DataFrame, key: str) -> str:
     """`ok`, `ambiguous` or `no_results` for a lookup that must give one key."""
     n = len(df.select(key).distinct().limit(2).collect())
     return ("no_results", "ok", "ambiguous")[n]
+
+
+def chunk_filter(filters: Mapping[str, Any], time: str = "at") -> Column:
+    """message_filter for chunks: the sender is looked for in `actor`, the conversation is the `source_id`;
+    conversation_type is not known of chunks and is left to residual()."""
+    renamed = {("source_id" if k == "conversation_id" else k): v for k, v in filters.items() if k != "conversation_type"}
+    return message_filter(renamed, sender="actor", time=time)
+
+
+def residual(filters: Mapping[str, Any]) -> Column:
+    """What is checked on rows of results, with regard to case: the sender contained in its name or equal to its id, and the conversation's type."""
+    out = []
+    if filters.get("sender"):
+        out.append(F.col("actor").contains(str(filters["sender"])) | (F.col("actor_id") == filters["sender"]))
+    if filters.get("conversation_type"):
+        out.append(F.col("conversation_type") == filters["conversation_type"])
+    return all_of(out)
+
+
+def guarded_scan(df: DataFrame, narrowed: Column, needle: Column, threshold: int) -> DataFrame:
+    """Rows that meet a costly condition, but only if the cheap one leaves no more than threshold rows to scan; else none. Decided in the plan."""
+    left = df.filter(narrowed)
+    size = left.limit(threshold + 1).agg((F.count("*") <= threshold).alias("__small"))
+    return left.filter(needle).join(F.broadcast(size.filter("__small")).drop("__small"))
+
+
+def resolved(df: DataFrame, by: Sequence[str], key: str) -> DataFrame:
+    """For each of by the one key it stands for (null where several do) and a status, ok or ambiguous."""
+    g = df.groupBy(*by).agg(F.min(key).alias("__low"), F.max(key).alias("__high"))
+    one = F.col("__low") == F.col("__high")
+    return g.select(*by, F.when(one, F.col("__low")).alias(key), F.when(one, "ok").otherwise("ambiguous").alias("status"))

@@ -147,7 +147,7 @@ def vector_document_text(spark, d):
 def bm25_exact(spark, d):
     """By the kept index: only rows that have all trigrams are read for the phrase, and lengths come from the index."""
     docs = S.raw(spark, d, "documents").select("doc_id", "text", "source")
-    s = L.bm25_indexed(kept_index("documents", docs, "doc_id", ["text", "source"]), docs, PHRASE, {"text": 1.0, "source": 1.0})
+    s = L.bm25_indexed(index_of(spark, d), docs, PHRASE, {"text": 1.0, "source": 1.0})
     return s.select("doc_id", F.round("score", 6).alias("score")).orderBy(F.desc("score"), "doc_id").limit(20)
 
 
@@ -168,10 +168,15 @@ def term_and_fallback(spark, d):
     return L.with_fallback(first, L.all_terms(docs, ["the", "scum", "was"], ["text"]).select("doc_id"))
 
 
+def index_of(spark, d):
+    """The kept index of documents, made where there is none."""
+    return kept_index("documents", S.raw(spark, d, "documents").select("doc_id", "text", "source"), "doc_id", ["text", "source"])
+
+
 @query("trigram_postings", f"SELECT doc_id FROM documents WHERE contains(lower(text), 'heonan')")
 def trigram_postings(spark, d):
     docs = S.raw(spark, d, "documents").select("doc_id", "text", "source")
-    found = kept_index("documents", docs, "doc_id", ["text", "source"]).candidates("heonan")
+    found = index_of(spark, d).candidates("heonan")
     return docs.join(found, "doc_id", "left_semi").filter(T.contains_fold(F.col("text"), "heonan")).select("doc_id")
 
 

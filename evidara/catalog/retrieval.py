@@ -81,12 +81,17 @@ PROMOTED = """lead AS (SELECT key AS k, conversation AS c, sent AS s FROM placed
 SHOWN = "own AS citation, key AS context_anchor, round(score, 6) AS score, array_to_string(paths, ',') AS paths, " + SNIPPET.format(n=len(PHRASE)) + " AS snippet"
 
 
+def index_of(spark, d):
+    """The kept index of evidence, made where there is none."""
+    return kept_index("evidence", S.evidence(spark, d), "citation", ["content", "title", "actor"])
+
+
 def corpus(spark, d):
     e = S.evidence(spark, d)
     v = S.vectors(spark, d)
     chunk = F.concat(F.lit("doc/"), F.col("vec_id").cast("string"), F.lit("#chunk-0"))
     return Corpus(
-        e, kept_index("evidence", e, "citation", ["content", "title", "actor"]), "message", v.select(chunk.alias("citation"), "vector"),
+        e, index_of(spark, d), "message", v.select(chunk.alias("citation"), "vector"),
         v.filter("vec_id = 0").select(F.col("vector").alias("q")), lambda citations: S.evidence(spark, d, citations),
     )
 

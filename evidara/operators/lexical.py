@@ -50,7 +50,7 @@ def bm25_indexed(index: LexicalIndex, df: DataFrame, phrase: str, weights: Mappi
     hits = reduce(lambda a, b: a + b, [count_of(F.coalesce(F.col(c), F.lit("")), phrase) * w for c, w in weights.items()])
     live = index.live()
     size = reduce(lambda a, b: a + b, [F.greatest(F.col(f"len_{c}") - 2, F.lit(0)) for c in names])
-    rows = df.join(index.candidates(phrase), index.key, "left_semi").select(F.col(index.key).alias("key"), hits.alias("__tf")).filter("__tf > 0")
+    rows = index.narrowed(df, [phrase]).select(F.col(index.key).alias("key"), hits.alias("__tf")).filter("__tf > 0")
     found = settled(rows.join(live.select("key", size.alias("__len")), "key"), "hits")
     stats = live.agg(F.count("*").alias("__rows"), F.avg(size).alias("__avg")).join(F.broadcast(found.agg(F.count("*").alias("__with"))))
     idf = F.greatest(F.log((F.col("__rows") - F.col("__with") + 0.5) / (F.col("__with") + 0.5)), F.lit(LEAST_IDF))

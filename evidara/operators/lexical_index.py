@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterable, Iterator, Sequence
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -143,14 +144,35 @@ class LexicalIndex:
         grams = gram_codes(phrase.lower())
         if not len(grams):
             raise ValueError("a phrase of fewer than three characters has no trigram")
-        buckets = sorted({int(b) for b in bucket_of(grams)})
-        p = self._read_postings().filter(F.col("bucket").isin(buckets) & F.col("gram").isin([int(g) for g in grams]))
+        p = self._of(grams)
         have = p.select("segment", F.explode("keys").alias("key")).groupBy("segment", "key").agg(F.count("*").alias("n")).filter(F.col("n") == len(grams))
         if len(self.segments()) > 1:
             have = have.join(self.live().select("key", "segment"), ["key", "segment"], "left_semi")
         return have.select(F.col("key").alias(self.key))
 
 
+    def _of(self, grams: np.ndarray) -> DataFrame:
+        buckets = sorted({int(b) for b in bucket_of(grams)})
+        return self._read_postings().filter(F.col("bucket").isin(buckets) & F.col("gram").isin([int(g) for g in grams]))
+
+    def at_most(self, phrases: Sequence[str]) -> int:
+        """A bound of the number of rows that have one of the phrases: of each, the postings of its rarest trigram."""
+        grams = {p: gram_codes(p.lower()) for p in phrases}
+        rows = self._of(np.unique(np.concatenate(list(grams.values())))).groupBy("gram").agg(F.sum(F.size("keys")).alias("n")).collect()  # one row for each gram asked for
+        count = {r["gram"]: r["n"] for r in rows}
+        return sum(min(count.get(int(g), 0) for g in gs) for gs in grams.values())
+
+    def narrowed(self, df: DataFrame, phrases: Sequence[str], share: float = 0.25) -> DataFrame:
+        """df without rows that have none of the phrases, as far as the index tells and where it pays: all of df
+        if a phrase is too short for it, or if the phrases may stand in more than a share of the rows."""
+        asked = list(dict.fromkeys(p.lower() for p in phrases))
+        if not asked or any(len(p) < 3 for p in asked) or self.at_most(asked) > share * self.live().count():
+            return df
+        parts = [self.candidates(p) for p in asked]
+        found = reduce(lambda a, b: a.unionByName(b), parts).distinct() if len(parts) > 1 else parts[0]
+        return df.join(found, self.key, "left_semi")
+
+
 def kept_index(name: str, rows: DataFrame, key: str, fields: Sequence[str]) -> LexicalIndex:
     """The index of a table in the shared folder: the kept one, if the table's files are those that it was made of, else a new one."""
     spark = rows.sparkSession

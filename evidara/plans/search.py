@@ -143,34 +143,26 @@ def _text(c: str) -> Column:
     return F.coalesce(F.col(c), F.lit(""))
 
 
-def _matched(corpus: Corpus, filters: Column, phrases: Sequence[str], condition: Column) -> DataFrame:
-    """Evidence rows that meet condition; of those, by the index, only what has the trigrams of a phrase, if all phrases have some."""
-    rows = corpus.evidence.filter(filters)
-    if phrases and all(len(p) >= 3 for p in phrases):
-        found = reduce(lambda a, b: a.unionByName(b), [corpus.index.candidates(p) for p in dict.fromkeys(x.lower() for x in phrases)]).distinct()
-        rows = rows.join(found, "citation", "left_semi")
-    return rows.filter(condition)
-
-
 def _hits(corpus: Corpus, filters: Column, queries: Sequence[str]) -> DataFrame:
-    """One pass: hits (q, citation, chunk, tf, len, tier, at) of query q in messages (chunk null), and of query 0 in chunks."""
-    some = reduce(lambda a, b: a | b, [contains_fold(F.col(f), q) for q in queries for f in _FIELDS])
-    rows = _matched(corpus, filters, queries, F.coalesce(some, F.lit(False)))
-    struct = lambda q, chunk, tf, size, tier: F.struct(F.lit(q).alias("q"), chunk.cast("int").alias("chunk"), tf.cast("double").alias("tf"), size.cast("long").alias("len"), tier.alias("tier"))
-    size = reduce(lambda a, b: a + b, [trigrams(_text(f)) for f in _FIELDS])
-    message = F.col("source_type") == corpus.messages
-    own = [F.when(message, struct(i, F.lit(None), reduce(lambda a, b: a + b, [count_of(_text(f), q) for f in _FIELDS]), size, F.lit(0))) for i, q in enumerate(queries)]
-    q, n = queries[0], F.greatest(F.ceil((F.length(_text("content")) - (CHUNK - STRIDE)) / F.lit(STRIDE)).cast("int"), F.lit(1))
+    """One pass: hits (q, citation, chunk, tf, len, tier, at) of query q in messages (chunk null), and of query 0 in chunks.
 
-    def chunk(i: Column) -> Column:
-        text = F.substring(_text("content"), i * STRIDE + 1, F.lit(CHUNK))
-        tf = count_of(text, q) * CHUNK_WEIGHTS["content"] + count_of(_text("title"), q) * CHUNK_WEIGHTS["title"] + count_of(_text("actor"), q) * CHUNK_WEIGHTS["actor"]
-        tier = F.when(contains_fold(_text("title"), q), 0).when(contains_fold(text, q), 1).otherwise(2)
-        return struct(0, i, tf, trigrams(text) + trigrams(_text("title")) + trigrams(_text("actor")), tier)
-
-    chunks = F.transform(F.sequence(F.lit(0), n - 1), chunk)
-    every = F.filter(F.concat(F.array(*own), chunks), lambda x: x["tf"] > 0)
-    return settled(rows.select("citation", "at", F.explode(every).alias("h")).select("citation", "at", "h.*"), "hits")
+    A row is met once for each query, if it is a message, and once for each of its chunks.
+    """
+    rows = corpus.index.narrowed(corpus.evidence.filter(filters), queries)
+    n = F.greatest(F.ceil((F.length(_text("content")) - (CHUNK - STRIDE)) / F.lit(STRIDE)).cast("int"), F.lit(1))
+    first = F.when(F.col("source_type") == corpus.messages, -len(queries)).otherwise(0)
+    met = rows.select("citation", "at", *(_text(f).alias(f) for f in _FIELDS), F.explode(F.sequence(first, n - 1)).alias("k"))
+    k, total = F.col("k"), lambda parts: reduce(lambda a, b: a + b, parts)
+    text = F.when(k < 0, F.col("content")).otherwise(F.substring("content", k * STRIDE + 1, F.lit(CHUNK)))
+    met = met.withColumn("text", text)
+    q = queries[0]
+    tf = total([count_of(F.col("text" if f == "content" else f), q) * w for f, w in CHUNK_WEIGHTS.items()])
+    for i, other in enumerate(queries):
+        tf = F.when(k == -1 - i, total([count_of(F.col(f), other) for f in _FIELDS]).cast("double")).otherwise(tf)
+    size = trigrams(F.col("text")) + trigrams(F.col("title")) + trigrams(F.col("actor"))
+    found = met.select("citation", "at", "text", "title", "k", tf.alias("tf"), size.cast("long").alias("len")).filter("tf > 0")
+    tier = F.when(k < 0, 0).when(contains_fold(F.col("title"), q), 0).when(contains_fold(F.col("text"), q), 1).otherwise(2)
+    return settled(found.select(F.when(k < 0, -1 - k).otherwise(0).alias("q"), "citation", F.when(k >= 0, k).alias("chunk"), "tf", "len", tier.alias("tier"), "at"), "hits")
 
 
 def sizes(corpus: Corpus) -> DataFrame:
@@ -224,7 +216,7 @@ def _fallbacks(corpus: Corpus, filters: Column, u: Understanding, messages_only:
         every = reduce(lambda a, b: a & b, [reduce(lambda a, b: a | b, [contains_fold(_text(f), t) for f in _FIELDS]) for t in u.terms[:3]])
         tries.append(([u.terms[0]], every))
     for phrases, condition in tries:
-        found = settled(_matched(corpus, filters & kind, phrases, condition).select("citation", "at").orderBy(*_newest()).limit(depth), "fallback")
+        found = settled(corpus.index.narrowed(corpus.evidence.filter(filters & kind), phrases).filter(condition).select("citation", "at").orderBy(*_newest()).limit(depth), "fallback")
         if not found.isEmpty():
             return found
     return None

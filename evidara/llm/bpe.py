@@ -25,7 +25,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .chunks import Chunks, cut
+from .chunks import PATTERN, Chunks, cut
 from .common import hold, slices
 
 #: Pairs of adjacent tokens that a task keeps the compatibility of at most.
@@ -77,6 +77,7 @@ class ByteBPE:
         self.order = {i: -1 if n == 1 else i for i, n in self.size.items()}
         self.pairs: dict[int, bool] = {}
         self.chunks = Chunks(self._encode_text)
+        self.by_chunk = pattern == PATTERN  # other patterns may split elsewhere, so whole texts are encoded
 
     def fits(self, a: int, b: int) -> bool:
         """Whether merging by rank can leave a and b side by side: no merge across them comes
@@ -144,7 +145,7 @@ class ByteBPE:
         """Ids as little-endian unsigned 32-bit integers."""
         if not text:
             return b""
-        parts = cut(text)
+        parts = cut(text) if self.by_chunk else None
         return self._encode_text(text) if parts is None else b"".join(map(self.chunks.__getitem__, parts))
 
     def decode(self, ids: bytes) -> bytes:

@@ -14,6 +14,10 @@ from itertools import chain
 CACHE = 250_000
 #: Chunks that encode_all keeps the ids of at most.
 KNOWN = 600_000
+#: Characters of the longest chunk that is kept: of the two bounds above, this makes bounds of memory.
+LONGEST = 64
+# The split pattern for which texts may be cut, as byte-level tokenizers write it.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: White space other than space and newline, in any definition; and the mark used below.
 _OTHER = [chr(c) for c in (0, 9, 11, 12, 13, 28, 29, 30, 31, 0x85, 0xA0, 0x1680, 0x180E, *range(0x2000, 0x200C), 0x2028, 0x2029, 0x202F, 0x205F, 0x2060, 0x3000, 0xFEFF)]
 _OTHER_ASCII = [c for c in _OTHER if c.isascii()]
@@ -46,6 +50,8 @@ class Chunks(dict):
             else:
                 text = chunk[1:] if chunk[:1] == "\0" else chunk if chunk == "\n" else f" {chunk}"
                 out = self.encode(text) if text else b""
+        if len(chunk) > LONGEST:
+            return out
         if len(self) >= CACHE:
             self.before = dict(self)
             self.clear()
@@ -90,7 +96,7 @@ def encode_all(texts: list[list[str]], known: dict[str, bytes], words: Callable[
         here.update(new)
         ends = {c: here[stem] + here[marks] for c, stem, marks in ended}
         here.update(ends)
-        known.update(new)
-        known.update(ends)
+        for made in (new, ends):
+            known.update(made if max(map(len, made), default=0) <= LONGEST else {c: x for c, x in made.items() if len(c) <= LONGEST})
     find = here.__getitem__
     return [b"".join(map(find, parts)) for parts in texts]

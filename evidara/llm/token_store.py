@@ -14,7 +14,8 @@ without key), then record starts (8 bytes each, one more than records), displace
 (4 bytes each), and by slot: fingerprints (4), first records (4), counts of records (4).
 
 Defined cases: a null or empty text is the end id alone; rows with equal keys are kept
-one after another, and the index gives the first and their number; rows with a null key
+one after another, in order of their texts' beginnings, and the index gives the first and
+their number; so many that they fill a shard go on in the next, and are read from both; rows with a null key
 come first and have no entry, but are kept and read back; an empty table gives no files.
 """
 
@@ -260,6 +261,8 @@ def _encoder(spec: str) -> _Encoder:
     return _encoders[key]
 
 
+#: Bytes of text of a shard on the mean, at most.
+BYTES_PER_SHARD = 64 << 20
 _MANIFEST = "shard long, documents long, ids long, without_key long, low long, high long"
 
 
@@ -305,8 +308,10 @@ def write_token_files(docs: DataFrame, tokenizer_file: str, folder: str | None =
     """Ids of all texts of docs (doc_id, text) in token files; (their folder, one manifest row per shard).
 
     folder is reached by driver and executors alike, through pyarrow's file systems; without
-    one, a new folder in spark.checkpoint.dir, which goes when the driver ends. Shards are ranges of doc_id, about docs_per_shard
-    documents each, and follow one another in ascending order.
+    one, a new folder in spark.checkpoint.dir, which goes when the driver ends. Shards are ranges
+    of doc_id, of about docs_per_shard documents or fewer, so that their texts come to about
+    BYTES_PER_SHARD on the mean, and follow one another in ascending order. Rows of one id, full
+    repeats too, may lie in several shards, so a frequent id is no large task.
     """
     spark = docs.sparkSession
     own = False
@@ -315,9 +320,16 @@ def write_token_files(docs: DataFrame, tokenizer_file: str, folder: str | None =
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     with open(tokenizer_file, encoding="utf-8") as f:
         spec = spark.sparkContext.broadcast(f.read())
-    shards = max(1, -(-docs.count() // docs_per_shard))
-    dealt = docs.repartitionByRange(shards, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
+    size = docs.agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("bytes")).first()
+    shards = max(1, -(-size["n"] // docs_per_shard), -(-(size["bytes"] or 0) // BYTES_PER_SHARD))
+    order = [F.col("doc_id").asc_nulls_first(), F.substring("text", 1, 16).asc_nulls_first(), F.xxhash64("text")]
+    placed = docs.withColumn("place", F.monotonically_increasing_id())  # parts full repeats, whose order changes nothing
+    dealt = placed.repartitionByRange(shards, *order, "place").sortWithinPartitions(*order).select("doc_id", "text")
     dealt.mapInArrow(_writer(spec, folder, end_id), _MANIFEST).write.mode("overwrite").parquet(f"{folder}/manifest")
+    fs, path = _place(folder)
+    for info in fs.get_file_info(pa.fs.FileSelector(path, allow_not_found=True)):  # a few names for each shard
+        if info.base_name.split(".")[-1].isdigit():
+            fs.delete_file(info.path)  # of an attempt that failed
     if own:
         gone_at_exit(spark, folder)
     return folder, spark.read.schema(_MANIFEST).parquet(f"{folder}/manifest")
@@ -336,17 +348,22 @@ def read_token_files(folder: str, manifest: DataFrame, keys: DataFrame, key: str
         firsts[r["shard"]] = total
         total += r["ids"]
     keyed = [r for r in rows if r["low"] is not None]
-    lows, numbers = np.array([r["low"] for r in keyed], np.int64), np.array([r["shard"] for r in keyed], np.int64)
+    lows, highs = (np.array([r[c] for r in keyed], np.int64) for c in ("low", "high"))
+    numbers = [r["shard"] for r in keyed]
     without = [r["shard"] for r in rows if r["without_key"]]
     schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64())])
 
     @F.pandas_udf("long")
-    def shard_of(k: pd.Series) -> pd.Series:
-        at = np.searchsorted(lows, k.to_numpy(np.int64), side="right") - 1
-        return pd.Series(numbers[np.maximum(at, 0)] if len(numbers) else np.full(len(k), -1))
+    def first_place(k: pd.Series) -> pd.Series:
+        return pd.Series(np.searchsorted(highs, k.to_numpy(np.int64), side="left"))
+
+    @F.pandas_udf("long")
+    def last_place(k: pd.Series) -> pd.Series:
+        return pd.Series(np.searchsorted(lows, k.to_numpy(np.int64), side="right") - 1)
 
     def read(group: pa.Table) -> pa.Table:
-        number = group.column("shard")[0].as_py()
+        place = group.column("place")[0].as_py()
+        number = numbers[place] if place >= 0 else -1 - place
         shard = Shard(folder, number)
         try:
             out: list[tuple] = []
@@ -367,6 +384,7 @@ def read_token_files(folder: str, manifest: DataFrame, keys: DataFrame, key: str
         return pa.Table.from_arrays([pa.array(list(c), pa.int64()) for c in zip(*got)] if got else [pa.array([], pa.int64())] * 4, schema=schema)
 
     k = keys.select(F.col(key).cast("long").alias("key"))
-    some = k.filter("key is not null").withColumn("shard", shard_of("key")).filter("shard >= 0")
-    none = k.filter("key is null").limit(1).select("key", F.explode(F.array(*map(F.lit, without)).cast("array<long>")).alias("shard"))
-    return some.unionByName(none).groupBy("shard").applyInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    some = k.filter("key is not null").withColumns({"low": first_place("key"), "high": last_place("key")}).filter("low <= high")
+    some = some.select("key", F.explode(F.sequence("low", "high")).alias("place"))  # one place, but for keys that fill a shard
+    none = k.filter("key is null").limit(1).select("key", F.explode(F.array(*(F.lit(-1 - n) for n in without)).cast("array<long>")).alias("place"))
+    return some.unionByName(none).groupBy("place").applyInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")

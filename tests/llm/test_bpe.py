@@ -77,3 +77,41 @@ def test_empty_table_and_extra_columns(spark):
     assert bpe.encode_documents(empty, PATH, P.PATTERN).count() == 0
     df = spark.createDataFrame([(1, "a b", "x", 2)], "doc_id long, text string, ids string, n_tokens int")
     assert bpe.encode_documents(df, PATH, P.PATTERN).columns == ["doc_id", "n_tokens", "ids"]
+
+
+def test_every_letter_class_is_that_of_the_libraries():
+    """Python's notion of letters, digits and white space, on which cutting rests, against both libraries' in six positions of every character."""
+    tokenizers = pytest.importorskip("tokenizers")
+    from evidara.llm import token_store
+
+    with open(PATH, "rb") as f:
+        own = bpe.ByteBPE(f.read(), P.PATTERN)
+    other = P.path("byte_bpe_50k.json")
+    theirs = tokenizers.Tokenizer.from_file(other)
+    with open(other, encoding="utf-8") as f:
+        encoder = token_store._Encoder(f.read())
+    chars = [chr(c) for c in [*range(1, 0xD800, 3), *range(0xE000, 0x10000, 3), *range(0x10000, 0x20000, 17)]]
+    ts = [f"a{c}b {c} {c}. 1{c} x{c}\n{c}y {c}1" for c in chars]
+    assert own.by_chunk
+    for t, ids in zip(ts, expected(ts)):
+        assert np.frombuffer(own.encode(t), "<u4").tolist() == ids, ascii(t)
+    for t, e, ids in zip(ts, theirs.encode_batch(ts, add_special_tokens=False), encoder.encode_all(ts)):
+        assert np.frombuffer(ids, encoder.kind).tolist() == e.ids, ascii(t)
+
+
+def test_other_patterns_are_not_cut():
+    with open(PATH, "rb") as f:
+        raw = f.read()
+    own, pattern = bpe.ByteBPE(raw, r"\w+ \w+|."), r"\w+ \w+|."
+    assert not own.by_chunk and chunks.PATTERN == P.PATTERN
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, raw.splitlines())}
+    e = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+    for t in ("the new car of the man", "two  spaces here", "é and the"):
+        assert np.frombuffer(own.encode(t), "<u4").tolist() == e.encode_ordinary(t)
+
+
+def test_long_chunks_are_not_kept():
+    with open(PATH, "rb") as f:
+        own = bpe.ByteBPE(f.read(), P.PATTERN)
+    own.encode("日本" * 500 + " short " + "x" * 400)
+    assert max(map(len, own.chunks)) <= chunks.LONGEST and " ".join(own.chunks).count("short") == 1

@@ -42,6 +42,25 @@ def test_round_trip(spark):
     assert opened.get(10**12) == []
 
 
+def test_a_frequent_key_lies_in_several_shards(spark):
+    rows = [(i, f"text {i}") for i in range(60)] + [(30, f"{k % 40} again") for k in range(200)] + [(None, f"n{k}") for k in range(150)] + [(31, "the same")] * 150
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    folder, manifest = ts.write_token_files(df, PATH, docs_per_shard=60)
+    shards = manifest.collect()
+    assert sum(r.low is not None and r.low <= 30 <= r.high for r in shards) > 1 and sum(r.low is not None and r.low <= 31 <= r.high for r in shards) > 1
+    assert sum(r.without_key > 0 for r in shards) > 1 and max(r.documents for r in shards) < 200
+    got = sorted((tuple(r) for r in ts.read_token_files(folder, manifest, df).collect()), key=lambda r: r[1])
+    assert sorted((r[0] is not None, r[0] or 0, r[2], r[3]) for r in got) == sorted((r[0] is not None, r[0] or 0, r[2], r[3]) for r in brute(rows))
+    assert [r[1] for r in got] == [0, *np.cumsum([r[2] for r in got]).tolist()[:-1]]
+    assert [r[0] for r in got] == [None] * 150 + sorted(i for i, _ in rows if i is not None)
+
+
+def test_failed_attempts_leave_no_files(spark, tmp_path):
+    (tmp_path / "shard-000000.ids.77").write_bytes(b"left")
+    folder, manifest = ts.write_token_files(spark.createDataFrame([(1, "a")], "doc_id long, text string"), PATH, f"file://{tmp_path}")
+    assert sorted(p.name for p in tmp_path.iterdir()) == ["manifest", "shard-000000.ids", "shard-000000.idx"] and manifest.count() == 1
+
+
 def test_empty_and_clashing_columns(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     folder, manifest = ts.write_token_files(df, PATH)

@@ -248,6 +248,33 @@ def ip_floor(spark, d):
     return R.top_vectors(S.vectors(spark, d), query_vector(spark, d), 200, "vec_id", metric="inner", floor=0.1).select("vec_id", "score")
 
 
+@query("nearest_of_many", """SELECT a.vec_id AS query_id, b.vec_id, round(list_cosine_similarity(CAST(b.embedding AS DOUBLE[]), CAST(a.embedding AS DOUBLE[])), 9) AS score, row_number() OVER (PARTITION BY a.vec_id ORDER BY round(list_cosine_similarity(CAST(b.embedding AS DOUBLE[]), CAST(a.embedding AS DOUBLE[])), 9) DESC, b.vec_id) AS rank FROM embeddings a, embeddings b WHERE a.vec_id % 100 = 0 QUALIFY rank <= 10""")
+def nearest_of_many(spark, d):
+    """A stated set of queries, every hundredth vector, against all."""
+    v = S.vectors(spark, d)
+    q = v.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("vector").alias("q"))
+    return R.top_vectors_many(v, q, 10, "vec_id", "query_id").withColumn("rank", F.col("rank").cast("long"))
+
+
+@query("episode_hybrid", """WITH e AS (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS rn, sum(length(text)) OVER w AS size, list(length(text)) OVER w AS ls FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING)),
+ d AS (SELECT conv_id, turn, round(list_cosine_similarity([size * 1.0, len(ls) * 100.0], [1.0, 1.0]), 9) AS dense, size AS sparse FROM e WHERE (rn - 1) % 3 = 0),
+ a AS (SELECT conv_id, turn, row_number() OVER (ORDER BY dense DESC, conv_id, turn) AS rank FROM d QUALIFY rank <= 100), b AS (SELECT conv_id, turn, row_number() OVER (ORDER BY sparse DESC, conv_id, turn) AS rank FROM d QUALIFY rank <= 100)
+ SELECT conv_id AS conversation_id, turn AS center, round(sum(1.0::DOUBLE / (60 + rank)), 9) AS score FROM (SELECT * FROM a UNION ALL SELECT * FROM b) u GROUP BY 1, 2 ORDER BY 3 DESC, 1, 2 LIMIT 10""")
+def episode_hybrid(spark, d):
+    """Episodes ranked by a vector and by a count, fused by reciprocal ranks."""
+    from ..operators.windows import episodes
+
+    m = S.messages(spark, d).withColumn("size", F.length("content"))
+    e = episodes(m, "conversation_id", "local_id", F.col("size").cast("string"))
+    sizes = F.transform(F.split("episode_text", "\n"), lambda x: x.cast("long"))
+    e = e.withColumn("sparse", F.aggregate(sizes, F.lit(0).cast("long"), lambda s, x: s + x)).withColumn("vector", F.array(F.col("sparse").cast("double"), F.size(sizes) * 100.0)).withColumn("key", F.struct("conversation_id", "center"))
+    dense = R.top_vectors(e.select("key", "vector"), spark.createDataFrame([([1.0, 1.0],)], "q array<double>"), 100, "key")
+    order = [F.desc("score"), F.asc("key")]
+    lists = [R.route(dense.select("key", "score"), "dense", order, 100), R.route(e.select("key", F.col("sparse").alias("score")), "sparse", order, 100)]
+    f = R.fuse_rrf(lists[0].unionByName(lists[1])).withColumn("score", F.round("score", 9)).orderBy(*order).limit(10)
+    return f.select("key.conversation_id", "key.center", "score")
+
+
 @query("score_floor_calibration", f"SELECT max(CASE WHEN label <> l0 THEN s END) AS max_negative, min(CASE WHEN label = l0 THEN s END) AS min_positive, max(CASE WHEN label <> l0 THEN s END) < min(CASE WHEN label = l0 THEN s END) AS separable FROM (SELECT label, (SELECT label FROM embeddings WHERE vec_id = 0) AS l0, round(list_cosine_similarity(CAST(embedding AS DOUBLE[]), q), 9) AS s FROM embeddings, {Q} x WHERE vec_id <> 0) t")
 def score_floor_calibration(spark, d):
     v = S.vectors(spark, d)

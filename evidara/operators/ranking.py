@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.vectors import cosine, inner
+from ..sources.scratch import settled
 
 
 def route(df: DataFrame, name: str, order: Sequence[Column], limit: int, key: str = "key") -> DataFrame:
@@ -82,15 +83,29 @@ def top_vectors(vectors: DataFrame, query: DataFrame, k: int, key: str, metric:
 
 
 def top_vectors_many(vectors: DataFrame, queries: DataFrame, k: int, key: str, query_key: str, block: int = 256) -> DataFrame:
-    """The k nearest rows for each of many query vectors (query_key, q), a block of queries at a time."""
-    rows = queries.select(query_key, "q").orderBy(query_key).collect()
-    out = None
-    for at in range(0, len(rows), block):
-        part = vectors.sparkSession.createDataFrame([tuple(r) for r in rows[at : at + block]], queries.select(query_key, "q").schema)
+    """The k nearest rows for each of many query vectors (query_key, q), a block of queries at a time.
+
+    The driver holds one block; its results, k rows for each query, are written before the next
+    is read. A task keeps the k nearest of its own rows for each query, so what is shuffled does
+    not grow with the vectors of a task.
+    """
+    spark, schema = vectors.sparkSession, queries.select(query_key, "q").schema
+    out, held = None, []
+
+    def ranked(rows: list) -> DataFrame:
+        part = spark.createDataFrame(rows, schema)
         d = vectors.join(F.broadcast(part)).select(query_key, key, F.round(cosine(F.col("vector"), F.col("q")), 9).alias("score"))
         n = F.row_number().over(Window.partitionBy(query_key).orderBy(F.desc("score"), key))
-        d = d.withColumn("rank", n).filter(F.col("rank") <= k)
-        out = d if out is None else out.unionByName(d)
+        return d.withColumn("rank", n).filter(F.col("rank") <= k)
+
+    for row in queries.select(query_key, "q").toLocalIterator():
+        held.append(tuple(row))
+        if len(held) == block:
+            done, held = settled(ranked(held), "nearest"), []
+            out = done if out is None else out.unionByName(done)
+    if held or out is None:
+        last = ranked(held)
+        out = last if out is None else out.unionByName(last)
     return out
 
 

@@ -138,3 +138,45 @@ def fixture_messages(spark: SparkSession) -> DataFrame:
         rows.append((f"acc{conv % 2}", f"conv{conv}", f"shard{k % 2}", k // 4, f"person{k % 3}", f"2026-06-20T09:{k:02d}:00Z", f"message {k} about plan {conv}"))
     df = spark.createDataFrame(rows, "account_id string, conversation_id string, shard_id string, local_id int, sender_id string, timestamp string, content string")
     return df.withColumn("timestamp", F.to_timestamp("timestamp"))
+
+
+def tick(before: DataFrame | None, files: DataFrame, complete: bool = True) -> DataFrame:
+    """One row on a watched folder since the last listing (path, length, modificationTime): changed, event_loss
+    (the listing was cut short, so what is missing cannot be told from what is gone), scan_complete,
+    added, altered and removed files, and the digest of what is there."""
+    old = files.limit(0) if before is None else before
+    o = old.select("path", F.xxhash64("length", "modificationTime").alias("__old"))
+    j = files.select("path", F.xxhash64("length", "modificationTime").alias("__new")).join(o, "path", "full")
+    counts = j.agg(
+        F.count_if(F.col("__old").isNull()).alias("added"), F.count_if(F.col("__old") != F.col("__new")).alias("altered"), (F.count_if(F.col("__new").isNull()) if complete else F.lit(0).cast("long")).alias("removed")
+    )
+    out = counts.join(F.broadcast(listing_digest(files))).withColumn("changed", (F.col("added") + F.col("altered") + F.col("removed")) > 0)
+    return out.select("changed", F.lit(not complete).alias("event_loss"), F.lit(complete).alias("scan_complete"), "added", "altered", "removed", "files", "digest")
+
+
+def poll_seconds(idle_or_failed: int, least: float = 1.0, most: float = 300.0) -> float:
+    """How long to wait after so many ticks in a row without a change or with an error."""
+    return min(most, least * 2.0 ** min(idle_or_failed, 20))
+
+
+class ChangeBatch:
+    """Records of one account with the watermark they reach and the cursor that follows them.
+
+    records has account_id, change_id and the row; change ids rise. A batch whose cursor was
+    applied before is replayed: it is told, and gives no row.
+    """
+
+    def __init__(self, account_id: str, records: DataFrame, cursor: int, applied: int = 0):
+        if not account_id or cursor < 0 or applied < 0:
+            raise ValueError("a batch has an account and cursors of 0 or more")
+        missing = {"account_id", "change_id"} - set(records.columns)
+        if missing:
+            raise ValueError(f"records lack {sorted(missing)}")
+        self.account_id, self.cursor, self.applied = account_id, cursor, applied
+        self.replayed = applied >= cursor
+        fresh = (F.col("account_id") == account_id) & (F.col("change_id") > applied) & (F.col("change_id") <= cursor)
+        self.records = records.filter(fresh)
+
+    def problems(self, records: DataFrame) -> DataFrame:
+        """Rows of another account, or beyond the cursor, that a batch must not have."""
+        return records.filter((F.col("account_id") != self.account_id) | (F.col("change_id") > self.cursor))

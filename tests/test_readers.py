@@ -56,3 +56,29 @@ def test_fixture_and_first_wins(spark):
     assert m.count() == 12 and m.select("conversation_id").distinct().count() == 4
     assert R.first_wins(m, ["account_id"], ["timestamp"]).count() == 2
     assert m.filter(F.col("local_id") == 0).select("shard_id").distinct().count() == 2
+
+
+def test_ticks_tell_what_changed(spark):
+    df = lambda rows: spark.createDataFrame(rows, "path string, length long, modificationTime long")
+    a, b = df([("a", 1, 5), ("b", 2, 6)]), df([("a", 1, 5), ("b", 3, 7), ("c", 1, 1)])
+    of = lambda r: (r.changed, r.event_loss, r.scan_complete, r.added, r.altered, r.removed, r.files)
+    assert of(R.tick(None, a).first()) == (True, False, True, 2, 0, 0, 2)
+    assert of(R.tick(a, a).first()) == (False, False, True, 0, 0, 0, 2)
+    assert of(R.tick(a, b).first()) == (True, False, True, 1, 1, 0, 3)
+    assert of(R.tick(b, a).first()) == (True, False, True, 0, 1, 1, 2)
+    assert of(R.tick(b, a.limit(1), complete=False).first()) == (False, True, False, 0, 0, 0, 1)
+    assert [R.poll_seconds(n) for n in (0, 1, 5, 9, 400)] == [1, 2, 32, 300, 300]
+
+
+def test_change_batches(spark):
+    import pytest
+
+    rows = spark.createDataFrame([("x", 1), ("x", 2), ("x", 5), ("y", 2)], "account_id string, change_id long")
+    batch = R.ChangeBatch("x", rows, 4, 1)
+    assert [r.change_id for r in batch.records.collect()] == [2] and not batch.replayed
+    assert sorted(map(tuple, batch.problems(rows).collect())) == [("x", 5), ("y", 2)]
+    again = R.ChangeBatch("x", rows, 4, 4)
+    assert again.replayed and again.records.count() == 0
+    for bad in (lambda: R.ChangeBatch("", rows, 1), lambda: R.ChangeBatch("x", rows, -1), lambda: R.ChangeBatch("x", rows.drop("change_id"), 1)):
+        with pytest.raises(ValueError):
+            bad()

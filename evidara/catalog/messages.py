@@ -103,6 +103,19 @@ def sessions_8h(spark, d):
     return s.groupBy("user_id").agg(F.max("session_no").alias("sessions"), F.count_if(start & (F.col("direction") == "self")).alias("self_started"), F.count_if(start & (F.col("direction") == "peer")).alias("peer_started"))
 
 
+@query("sessions_spread", f"SELECT event_id, user_id, new_session, CAST(session_no AS BIGINT) AS session_no FROM {SESSIONS} x")
+def sessions_spread(spark, d):
+    """Sessions of each event, by ranges that part even one user's events."""
+    s = W.spread_sessions(S.interactions(spark, d).select("event_id", "user_id", "ts"), ["user_id"], "ts", "event_id", 28_800)
+    return s.select("event_id", "user_id", "new_session", "session_no")
+
+
+@query("spread_numbers", "SELECT event_id, event_type, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS n FROM events")
+def spread_numbers(spark, d):
+    """Row numbers of a few very large groups."""
+    return W.spread_numbers(S.raw(spark, d, "events").select("event_id", "event_type", "ts"), ["event_type"], ["ts", "event_id"]).drop("ts")
+
+
 @query("response_latency_median", f"""SELECT user_id, direction, count(*) AS answers, round(median(minutes), 2) AS median_minutes FROM
  (SELECT user_id, direction, new_session, (epoch(ts) - epoch(LAG(ts) OVER w)) / 60.0 AS minutes, LAG(direction) OVER w AS before FROM {SESSIONS} x WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)) y
  WHERE new_session = 0 AND direction IN ('self','peer') AND before IN ('self','peer') AND direction <> before GROUP BY user_id, direction""")

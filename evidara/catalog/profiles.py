@@ -91,7 +91,7 @@ CLAIMS = f"""(SELECT source AS person, unnest(list_filter([{ROUTED}, 'chat_evide
  UNION ALL SELECT 'src' || (page_id % 20), CASE WHEN page_id % 2 = 0 THEN 'pending_voice' ELSE 'identity' END, url, 'page/' || page_id, page_id FROM pages UNION ALL SELECT 'src1', 'ambiguities', 'several candidates', '', 0 UNION ALL SELECT 'src1', 'no such section', 'value', '', 0)"""
 
 
-@query("customer_profile", f"""SELECT person, section, place, value, citations FROM (SELECT *, row_number() OVER (PARTITION BY person, section ORDER BY rank, value) AS place FROM (SELECT person, section, value, citations, min(rank) AS rank FROM {CLAIMS} c
+@query("customer_profile", rf"""SELECT person, section, place, value, citations FROM (SELECT *, row_number() OVER (PARTITION BY person, section ORDER BY rank, value) AS place FROM (SELECT person, section, value, citations, min(rank) AS rank FROM {CLAIMS} c
  WHERE section <> 'no such section' AND length(regexp_replace(value, '[^\p{{L}}\p{{N}}]+', '', 'g')) >= 2 AND NOT regexp_matches(regexp_replace(value, '[^\p{{L}}\p{{N}}]+', '', 'g'), '^[0-9]+$') GROUP BY 1, 2, 3, 4) x) y WHERE place <= 5""")
 def customer_profile(spark, d):
     """All sections of each source's profile, from texts by their words, labels and pages."""

@@ -32,11 +32,19 @@ def html_parse(spark, d):
     return p.select("page_id", "p.status", "p.title", "p.lang", "p.links", F.sha2("p.text", 256).alias("text_digest"))
 
 
-@query("hash_embedding_udf")
+EMBEDDED = f"""WITH k AS MATERIALIZED (SELECT doc_id, chunk_index, lower(chunk) AS t FROM {CHUNKED} c WHERE length(chunk) > 0),
+ w AS (SELECT doc_id, chunk_index, token, count(*) AS c FROM (SELECT doc_id, chunk_index, unnest(list_concat(list_transform(range(1, length(t) + 1), lambda i: substring(t, i, 1)), list_transform(range(1, length(t)), lambda i: substring(t, i, 2)))) AS token FROM k) x GROUP BY 1, 2, 3),
+ h AS MATERIALIZED (SELECT token, CAST('0x' || substring(sha256(token), 1, 8) AS BIGINT) % 32 AS b, CASE WHEN substring(sha256(token), 10, 1) IN ('1', '3', '5', '7', '9', 'b', 'd', 'f') THEN 1 ELSE -1 END AS s FROM (SELECT DISTINCT token FROM w) t),
+ v AS (SELECT doc_id, chunk_index, b, sum(c * s) AS x FROM w JOIN h ON h.token = w.token GROUP BY 1, 2, 3), n AS (SELECT doc_id, chunk_index, sqrt(sum(x * x)::DOUBLE) AS n FROM v GROUP BY 1, 2)
+ SELECT n.doc_id, CAST(n.chunk_index AS BIGINT) AS chunk_index, string_agg(CAST(round(coalesce(v.x, 0)::DOUBLE / CASE WHEN n.n = 0 THEN 1 ELSE n.n END * 1000000) AS BIGINT), ',' ORDER BY d.i) AS embedding FROM n CROSS JOIN range(0, 32) d(i) LEFT JOIN v ON v.doc_id = n.doc_id AND v.chunk_index = n.chunk_index AND v.b = d.i GROUP BY 1, 2"""
+
+
+@query("hash_embedding_udf", EMBEDDED)
 def hash_embedding(spark, d):
-    """Of all chunks of the documents."""
+    """Of all chunks of the documents, in millionths."""
     c = S.raw(spark, d, "documents").select("doc_id", F.posexplode(P.chunk_text("text")).alias("chunk_index", "chunk"))
-    return c.select("doc_id", F.col("chunk_index").cast("long").alias("chunk_index"), P.embedded("chunk").alias("embedding"))
+    millionths = F.transform(P.embedded("chunk"), lambda x: F.round(x * 1_000_000).cast("long").cast("string"))
+    return c.select("doc_id", F.col("chunk_index").cast("long").alias("chunk_index"), F.array_join(millionths, ",").alias("embedding"))
 
 
 @query("normalize_identifier_udf", "SELECT c_custkey, lower(trim(c_name)) AS name FROM customer")

@@ -38,10 +38,10 @@ def promotion(spark, d):
     return K.promoted(top, c.select("conv_id", "turn"), "conv_id", "turn")
 
 
-@query("item_parse_udf")
+@query("item_parse_udf", "SELECT page_id, 'parsed' AS status, CASE WHEN page_id % 3 = 0 THEN 'link' ELSE 'quote' END AS kind, trim(regexp_replace(regexp_replace(url, '[<&]', ' ', 'g'), '\\s+', ' ', 'g')) AS title FROM pages")
 def item_parse(spark, d):
     """Shared items in the XML form of exports, made here of pages, parsed in batches."""
-    title = F.regexp_replace(F.substring("url", 1, 60), "[<&]", " ")
+    title = F.regexp_replace("url", "[<&]", " ")
     xml = F.concat(F.lit("<msg><appmsg><type>"), F.when(F.col("page_id") % 3 == 0, "5").otherwise("57"), F.lit("</type><title>"), title, F.lit("</title></appmsg></msg>"))
     p = S.raw(spark, d, "pages").select("page_id", parsing.parsed_item(xml).alias("p"))
     return p.select("page_id", "p.status", "p.kind", "p.title")

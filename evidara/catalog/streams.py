@@ -52,7 +52,17 @@ def stream_upsert(spark, d):
     return rows.select("user_id", "event_id", "event_type")
 
 
-@query("stream_rounds")
+QUIET = "least(1800.0, 300.0 + 60.0 * least(n, 10) + CASE WHEN kind = 'purchase' THEN 600.0 ELSE 0.0 END)"
+#: One step for each event of a user; a round ends where the next event begins another, or where the last watermark passes its quiet time.
+ROUNDS = f"""WITH RECURSIVE e AS MATERIALIZED (SELECT user_id, event_id, event_type, epoch(ts) AS sec, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn FROM events),
+ r AS (SELECT user_id, rn, event_id AS first_event, event_id AS last_event, 1::BIGINT AS n, sec AS started, sec AS ended, event_type AS kind, CAST(NULL AS VARCHAR) AS why FROM e WHERE rn = 1
+  UNION ALL SELECT user_id, rn, CASE WHEN why IS NULL THEN first_event ELSE event_id END, event_id, CASE WHEN why IS NULL THEN n + 1 ELSE 1 END, CASE WHEN why IS NULL THEN started ELSE sec END, sec, event_type, why
+  FROM (SELECT e.user_id, e.rn, r.first_event, e.event_id, r.n, r.started, e.sec, e.event_type, CASE WHEN e.sec - r.ended >= {QUIET} THEN 'quiet' WHEN e.sec - r.started >= 7200 THEN 'cap' END AS why FROM r JOIN e ON e.user_id = r.user_id AND e.rn = r.rn + 1) x)
+ SELECT a.user_id, a.first_event, a.last_event, a.n, coalesce(b.why, 'quiet') AS closed_by, CAST(floor(a.ended) - floor(a.started) AS BIGINT) AS seconds FROM r a LEFT JOIN r b ON b.user_id = a.user_id AND b.rn = a.rn + 1
+ WHERE b.why IS NOT NULL OR (b.user_id IS NULL AND a.ended + (SELECT {QUIET} FROM (SELECT a.n AS n, a.kind AS kind) q) <= (SELECT max(sec) - 3600 FROM e))"""
+
+
+@query("stream_rounds", ROUNDS)
 def stream_rounds(spark, d):
     base = fed(spark, d, "rounds", lambda events, base: jobs.run_available(jobs.adaptive_rounds(events, late="1 hour"), f"{base}/out", f"{base}/cp"))
     out = spark.read.schema(jobs.ROUND).parquet(f"{base}/out")

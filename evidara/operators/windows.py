@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.scratch import settled
+
 
 def first_by(df: DataFrame, keys: Sequence[str], *order: Column) -> DataFrame:
     """One row per key, the first in an order."""
@@ -37,6 +39,44 @@ def with_sessions(df: DataFrame, keys: Sequence[str], ts: str, tie: str, gap_sec
     return out.withColumn("session_no", F.sum("new_session").over(w.rowsBetween(Window.unboundedPreceding, 0)).cast("long"))
 
 
+def _dealt(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """df, written in ranges of (keys, order), with the number of its range: rows of one key may lie in several, one after another."""
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return settled(df.repartitionByRange(parts, *keys, *order).withColumn("__range", F.spark_partition_id()), "ranges")
+
+
+def spread_numbers(df: DataFrame, keys: Sequence[str], order: Sequence[str], into: str = "n") -> DataFrame:
+    """Row numbers from 1 within keys, as row_number gives, where a key may be too large for one task.
+
+    Each range numbers its own rows; what the ranges before it hold of a key is added, from one
+    row for each key of a range. order must tell the rows of a key apart.
+    """
+    d = _dealt(df, keys, order)
+    before = Window.partitionBy(*keys).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    held = d.groupBy("__range", *keys).agg(F.count("*").alias("__rows"))
+    carried = held.select("__range", *keys, F.coalesce(F.sum("__rows").over(before), F.lit(0)).alias("__before"))
+    own = F.row_number().over(Window.partitionBy("__range", *keys).orderBy(*order))
+    return d.withColumn("__own", own).join(carried, ["__range", *keys]).withColumn(into, (F.col("__own") + F.col("__before")).cast("long")).drop("__range", "__own", "__before")
+
+
+def spread_sessions(df: DataFrame, keys: Sequence[str], ts: str, tie: str, gap_seconds: int) -> DataFrame:
+    """As with_sessions, where a key may be too large for one task: ranges of its rows are looked at on their
+    own, and what they need of the ranges before them, the last time and the number of sessions, is one row each."""
+    d = _dealt(df, keys, [ts, tie])
+    each = Window.partitionBy("__range", *keys).orderBy(ts, tie)
+    ranges = Window.partitionBy(*keys).orderBy("__range")
+    last = d.groupBy("__range", *keys).agg(F.max(ts).alias("__last"))
+    last = last.select("__range", *keys, F.lag("__last").over(ranges).alias("__carried"))
+    d = d.join(last, ["__range", *keys])
+    before = F.coalesce(F.lag(ts).over(each), F.col("__carried"))
+    fresh = F.when(before.isNull() | ((epoch(ts) - F.unix_micros(F.to_timestamp(before)) / 1_000_000.0) >= gap_seconds), 1).otherwise(0)
+    d = d.withColumn("new_session", fresh).drop("__carried")
+    starts = d.groupBy("__range", *keys).agg(F.sum("new_session").alias("__starts"))
+    starts = starts.select("__range", *keys, F.coalesce(F.sum("__starts").over(ranges.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
+    own = F.sum("new_session").over(each.rowsBetween(Window.unboundedPreceding, 0))
+    return d.withColumn("__own", own).join(starts, ["__range", *keys]).withColumn("session_no", (F.col("__own") + F.col("__before")).cast("long")).drop("__range", "__own", "__before")
+
+
 def response_minutes(sessions: DataFrame, keys: Sequence[str], ts: str, tie: str, direction: str) -> DataFrame:
     """Rows that answer the other side within a session, with the minutes since the row before.
 
@@ -52,8 +92,10 @@ def response_minutes(sessions: DataFrame, keys: Sequence[str], ts: str, tie: str
 def context_of(df: DataFrame, anchors: DataFrame, conversation: str, order: str, before: int, after: int) -> DataFrame:
     """Rows around anchors (conversation, order value), with the anchor's order and the row's offset.
 
-    Rows are numbered once per conversation; each anchor names the numbers it wants, and joins on them.
+    Rows are numbered once per conversation, and only where there is an anchor; each anchor names the
+    numbers it wants, and joins on them.
     """
+    df = df.join(anchors.select(conversation).distinct(), conversation, "left_semi")
     n = F.row_number().over(Window.partitionBy(conversation).orderBy(order)).cast("long")
     numbered = df.withColumn("__n", n)
     a = anchors.select(F.col(conversation), F.col(order).alias("anchor")).join(numbered.select(conversation, F.col(order).alias("anchor"), F.col("__n").alias("__at")), [conversation, "anchor"])

@@ -108,3 +108,24 @@ def test_context_meets_only_wanted_rows(spark):
     assert not [x for x in plan.split("\n") if "Join" in x and ">=" in x], plan
     want = sorted((c, a * 10, n * 10, n - a) for c, size in ((1, 60), (2, 2)) for a in range(0, size, 5) for n in range(max(0, a - 2), min(size, a + 2)))
     assert sorted((r.c, r.anchor, r.o, r.offset) for r in out.collect()) == want
+
+
+def test_a_key_over_several_ranges_has_the_same_sessions_and_numbers(spark):
+    import random
+    from datetime import datetime, timedelta
+
+    rnd = random.Random(4)
+    rows, at = [], datetime(2024, 1, 1)
+    for i in range(3000):
+        at += timedelta(seconds=rnd.choice([1, 5, 60, 4000]))
+        rows.append((i, 1 if rnd.random() < 0.9 else rnd.randrange(2, 6), at))
+    e = spark.createDataFrame(rows, "event_id long, user_id long, ts timestamp_ntz")
+    spread = windows.spread_sessions(e, ["user_id"], "ts", "event_id", 3600)
+    want = windows.with_sessions(e, ["user_id"], "ts", "event_id", 3600)
+    key = lambda df: sorted((r.event_id, r.user_id, r.new_session, r.session_no) for r in df.collect())
+    assert key(spread) == key(want)
+    numbers = windows.spread_numbers(e, ["user_id"], ["ts", "event_id"])
+    again = windows.resequenced(e, ["user_id"], F.asc("ts"), F.asc("event_id"), into="n")
+    assert sorted(map(tuple, numbers.select("event_id", "n").collect())) == sorted(map(tuple, again.select("event_id", "n").collect()))
+    assert windows._dealt(e, ["user_id"], ["ts", "event_id"]).filter("user_id = 1").select("__range").distinct().count() > 1
+    assert windows.spread_sessions(e.limit(0), ["user_id"], "ts", "event_id", 3600).count() == 0

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
@@ -73,8 +74,13 @@ _held: dict[str, Callable[[], None]] = {}
 def hold(owner: str, clear: Callable[[], None]) -> None:
     """Says that a task's process keeps memory for an operator, and lets go of that of others: Spark
     uses its Python processes again, and stages of one job would else add up there."""
-    for other in [o for o in _held if o != owner]:
+    others = [o for o in _held if o != owner]
+    for other in others:
         _held.pop(other)()
+    if others:  # what they let go of goes back to the system too
+        gc.collect()
+        for pool in (pa.default_memory_pool(), pa.system_memory_pool()):
+            pool.release_unused()
     _held[owner] = clear
 
 

@@ -176,8 +176,7 @@ def index_of(spark, d):
 @query("trigram_postings", f"SELECT doc_id FROM documents WHERE contains(lower(text), 'heonan')")
 def trigram_postings(spark, d):
     docs = S.raw(spark, d, "documents").select("doc_id", "text", "source")
-    found = index_of(spark, d).candidates("heonan")
-    return docs.join(found, "doc_id", "left_semi").filter(T.contains_fold(F.col("text"), "heonan")).select("doc_id")
+    return index_of(spark, d).narrowed(docs, ["heonan"]).filter(T.contains_fold(F.col("text"), "heonan")).select("doc_id")
 
 
 @query("multisource_search", """SELECT 'document' AS family, doc_id AS id FROM documents WHERE contains(lower(text), 'license') UNION ALL SELECT 'page', page_id FROM pages WHERE contains(lower(html), 'license')""")

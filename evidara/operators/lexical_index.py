@@ -1,6 +1,6 @@
 """A kept trigram index: postings written once, by buckets of grams, and maintained by deltas.
 
-An index is a folder of segments. Each has postings (gram, keys), in folders by a bucket of
+An index is a folder of segments. Each has postings (gram, n, keys), in folders by a bucket of
 the gram, and rows (key, lengths of the fields, dropped). A later segment takes the place of
 earlier ones for the keys that it has, so an update costs what it changes, and a search
 reads the buckets of its grams only. compact() makes one segment of all.
@@ -23,6 +23,8 @@ from pyspark.sql import functions as F
 from ..sources.scratch import kept_place
 
 BUCKETS = 64
+#: Trigrams of a phrase that narrow a scan; rows that have these only by chance are told apart by containment.
+RAREST = 4
 #: Rows whose grams are gathered before they go out together.
 GATHERED = 512
 
@@ -55,7 +57,8 @@ def _postings(fields: Sequence[str]):
                 starts = np.flatnonzero(np.concatenate([[True], g[1:] != g[:-1]]))
                 keys = batch.column("key").take(pa.array(o))
                 lists = pa.ListArray.from_arrays(pa.array(np.append(starts, len(g)), pa.int32()), keys)
-                yield pa.RecordBatch.from_arrays([pa.array(bucket_of(g[starts])), pa.array(g[starts]), lists], names=["bucket", "gram", "keys"])
+                sizes = np.diff(np.append(starts, len(g)))
+                yield pa.RecordBatch.from_arrays([pa.array(bucket_of(g[starts])), pa.array(g[starts]), pa.array(sizes, pa.int32()), lists], names=["bucket", "gram", "n", "keys"])
 
     return apply
 
@@ -91,7 +94,7 @@ class LexicalIndex:
         known.write.mode("overwrite").parquet(f"{place}/rows")
         kind = dict(rows.dtypes)[self.key]
         low = rows.select(F.col(self.key).alias("key"), *(F.lower(f).alias(f) for f in self.fields))
-        made = low.mapInArrow(_postings(self.fields), f"bucket int, gram long, keys array<{kind}>")
+        made = low.mapInArrow(_postings(self.fields), f"bucket int, gram long, n int, keys array<{kind}>")
         self._dealt(made).sortWithinPartitions("bucket", "gram").write.mode("overwrite").partitionBy("bucket").parquet(f"{place}/postings")
         self._named(n, n if first is None else first)
         return n
@@ -111,7 +114,7 @@ class LexicalIndex:
         place = f"{self.root}/segment-{n}"
         live.drop("segment").withColumn("dropped", F.lit(False)).write.mode("overwrite").parquet(f"{place}/rows")
         p = self._read_postings().select("bucket", "gram", "segment", F.explode("keys").alias("key")).join(live.select("key", "segment"), ["key", "segment"], "left_semi")
-        lists = p.groupBy("bucket", "gram", F.pmod(F.xxhash64("key"), F.lit(64)).alias("part")).agg(F.collect_list("key").alias("keys")).drop("part")
+        lists = p.groupBy("bucket", "gram", F.pmod(F.xxhash64("key"), F.lit(64)).alias("part")).agg(F.count("*").cast("int").alias("n"), F.collect_list("key").alias("keys")).drop("part")
         self._dealt(lists).sortWithinPartitions("bucket", "gram").write.mode("overwrite").partitionBy("bucket").parquet(f"{place}/postings")
         self._named(n, n)
 
@@ -129,7 +132,7 @@ class LexicalIndex:
 
     def _read_postings(self) -> DataFrame:
         kind = dict(self._each("rows").dtypes)["key"]
-        return self._each("postings", f"gram long, keys array<{kind}>, bucket int")
+        return self._each("postings", f"gram long, n int, keys array<{kind}>, bucket int")
 
     def live(self) -> DataFrame:
         """key, len_ of each field and segment of every row that is indexed."""
@@ -144,6 +147,9 @@ class LexicalIndex:
         grams = gram_codes(phrase.lower())
         if not len(grams):
             raise ValueError("a phrase of fewer than three characters has no trigram")
+        return self._having(grams)
+
+    def _having(self, grams: np.ndarray) -> DataFrame:
         p = self._of(grams)
         have = p.select("segment", F.explode("keys").alias("key")).groupBy("segment", "key").agg(F.count("*").alias("n")).filter(F.col("n") == len(grams))
         if len(self.segments()) > 1:
@@ -155,20 +161,23 @@ class LexicalIndex:
         buckets = sorted({int(b) for b in bucket_of(grams)})
         return self._read_postings().filter(F.col("bucket").isin(buckets) & F.col("gram").isin([int(g) for g in grams]))
 
-    def at_most(self, phrases: Sequence[str]) -> int:
-        """A bound of the number of rows that have one of the phrases: of each, the postings of its rarest trigram."""
-        grams = {p: gram_codes(p.lower()) for p in phrases}
-        rows = self._of(np.unique(np.concatenate(list(grams.values())))).groupBy("gram").agg(F.sum(F.size("keys")).alias("n")).collect()  # one row for each gram asked for
-        count = {r["gram"]: r["n"] for r in rows}
-        return sum(min(count.get(int(g), 0) for g in gs) for gs in grams.values())
+    def frequencies(self, phrases: Sequence[str]) -> dict[int, int]:
+        """Postings of each trigram of the phrases, none where there are none; lists of keys are not read for it."""
+        grams = np.unique(np.concatenate([gram_codes(p.lower()) for p in phrases]))
+        found = {r["gram"]: r["n"] for r in self._of(grams).groupBy("gram").agg(F.sum("n").alias("n")).collect()}  # one row for each gram asked for
+        return {int(g): found.get(int(g), 0) for g in grams}
 
     def narrowed(self, df: DataFrame, phrases: Sequence[str], share: float = 0.25) -> DataFrame:
-        """df without rows that have none of the phrases, as far as the index tells and where it pays: all of df
-        if a phrase is too short for it, or if the phrases may stand in more than a share of the rows."""
+        """df without rows that have none of the phrases, as far as the rarest trigrams tell and where it pays: all
+        of df if a phrase is too short for it, or if the phrases may stand in more than a share of the rows."""
         asked = list(dict.fromkeys(p.lower() for p in phrases))
-        if not asked or any(len(p) < 3 for p in asked) or self.at_most(asked) > share * self.live().count():
+        if not asked or any(len(p) < 3 for p in asked):
+            return df
+        n = self.frequencies(asked)
+        rarest = [sorted(gram_codes(p), key=lambda g: n[int(g)])[:RAREST] for p in asked]
+        if sum(n[int(gs[0])] for gs in rarest) > share * self.live().count():
             return df
-        parts = [self.candidates(p) for p in asked]
+        parts = [self._having(np.array(gs)) for gs in rarest]
         found = reduce(lambda a, b: a.unionByName(b), parts).distinct() if len(parts) > 1 else parts[0]
         return df.join(found, self.key, "left_semi")
 
@@ -177,7 +186,7 @@ def kept_index(name: str, rows: DataFrame, key: str, fields: Sequence[str]) -> L
     """The index of a table in the shared folder: the kept one, if the table's files are those that it was made of, else a new one."""
     spark = rows.sparkSession
     digest = hashlib.sha256("\n".join([key, *fields, *sorted(file_states(rows))]).encode()).hexdigest()[:16]
-    index = LexicalIndex(spark, kept_place(spark, f"index-{name}-{digest}"), key, fields)
+    index = LexicalIndex(spark, kept_place(spark, f"index2-{name}-{digest}"), key, fields)
     if not index.segments():
         index.build(rows)
     return index

@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from evidara.operators.lexical_index import LexicalIndex, kept_index
+from evidara.operators.lexical_index import LexicalIndex, gram_codes, kept_index
 from evidara.plans.search import Corpus, SearchRequest, fuse, plan, promoted, search, understand
 
 EVIDENCE = "citation string, content string, title string, actor string, conversation string, at long, source_type string"
@@ -121,6 +121,11 @@ def test_index_equals_brute_force_after_updates(spark, tmp_path):
         assert live == {k: (len(a or ""), len(b or "")) for k, a, b in rows.values()}
 
     check()
+    for phrase in ("abc", "é é", "ab", "zzz", "𝒳𝒳c"):  # whatever it leaves out has no such phrase
+        for share in (0.0, 0.2, 1.0):
+            left = {r.id for r in index.narrowed(df(rows.values()), [phrase], share).collect()}
+            assert {k for k, *ts in rows.values() if any(phrase in (t or "").lower() for t in ts)} <= left <= set(rows)
+    assert index.frequencies(["abc"]) == {int(g): sum(any("abc" in (t or "").lower() for t in ts) for _, *ts in rows.values()) for g in gram_codes("abc")}
     changed = [(i, text(), "new") for i in rnd.sample(range(200), 40)]
     gone = rnd.sample([i for i in range(150) if i not in {c[0] for c in changed}], 20)
     index.update(df(changed), spark.createDataFrame([(i,) for i in gone], "id long"))

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import fold_of, slices
+from .common import fold_of, hold, slices
 
 WIDTHS = (2, 3, 4)
 FILTERS = 16
@@ -163,7 +163,8 @@ def fit(docs: DataFrame, docs_per_lang: int = 400, windows_per_doc: int = 3) ->
     known = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang").filter(F.col("lang").isNotNull() & (fold_of("doc_id") != 0))
     turn = lambda *by: F.row_number().over(Window.partitionBy(*by).orderBy(F.xxhash64("doc_id"), "doc_id"))
     chosen = known.select("doc_id", "lang").distinct().withColumn("part", F.pmod(F.hash("doc_id"), F.lit(64)))
-    for by in (["lang", "part"], ["lang"]):  # a language may hold most rows, so parts of it are cut first
+    chosen = chosen.withColumn("eighth", F.col("part") % 8)
+    for by in (["lang", "part"], ["lang", "eighth"], ["lang"]):  # a language may hold most rows, so parts of it are cut first
         chosen = chosen.withColumn("turn", turn(*by)).filter(F.col("turn") <= docs_per_lang)
     chosen = chosen.select("doc_id", "lang")
     chosen = spark.createDataFrame([tuple(r) for r in chosen.collect()], "doc_id long, lang string")
@@ -196,6 +197,7 @@ def predict(docs: DataFrame, net: Network) -> DataFrame:
     names = ["doc_id", "held_out", "lang_pred", "score"]
 
     def apply(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hold("langid", lambda: None)
         predictor = Predictor(sent.value)
         for batch in slices(batches, 64):
             langs, scores = predictor.predict(batch.column("text").to_pylist())

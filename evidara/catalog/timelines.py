@@ -188,3 +188,50 @@ def purge_with_audit(spark, d):
     out = S.raw(spark, d, "nation").filter("n_nationkey = 3").select("n_nationkey")
     counts = E.purged({"customer": c, "orders": o, "lineitem": li}, out, {"customer": "c_nationkey"}, {"orders": ("customer", "o_custkey"), "lineitem": ("orders", "o_orderkey")})[1].withColumnRenamed("table", "step")
     return counts.unionByName(counts.agg(F.lit("audit").alias("step"), F.sum("removed").alias("removed")))
+
+
+@query("logical_keys", """SELECT kind, count(*) AS rows, count(DISTINCT k) AS events FROM (
+ SELECT 'message' AS kind, concat_ws('|', 'group', lower(source), lower(lang), CASE WHEN doc_id % 2 = 0 THEN 'text' ELSE 'image' END, n_chars // 100, doc_id % 3, doc_id % 50) AS k FROM documents
+ UNION ALL SELECT 'moment', concat_ws('|', lower(trim(regexp_replace(substring(text, 1, 20), '\\s+', ' ', 'g'))), source, n_chars // 100) FROM documents
+ UNION ALL SELECT 'interaction', concat_ws('|', event_type, user_id % 7, user_id, date_trunc('hour', ts)) FROM events
+ UNION ALL SELECT 'media', concat_ws('|', lower(trim(regexp_replace(substring(text, 1, 20), '\\s+', ' ', 'g'))), 'image', source, n_chars // 100, 'image-' || doc_id % 2) FROM documents) x GROUP BY kind""")
+def logical_keys(spark, d):
+    """Rows and distinct events of each kind of evidence."""
+    docs, n = S.raw(spark, d, "documents"), F.floor(F.col("n_chars") / 100)
+    i = F.col("doc_id")
+    message = docs.select(F.lit("group").alias("conversation_type"), F.upper("source").alias("conversation_title"), F.concat(F.lit(" "), "lang").alias("sender_name"), F.when(i % 2 == 0, "text").otherwise("image").alias("content_kind"), n.alias("at"), (i % 3).alias("shard"), (i % 50).alias("local_id"))
+    moment = docs.select(F.substring("text", 1, 20).alias("text"), F.col("source").alias("author"), n.alias("at"), F.lit("IMAGE").alias("modality"), E.media_position(F.concat(F.lit("doc/1#x#image-"), (i % 2).cast("string"))).alias("position"))
+    e = S.raw(spark, d, "events").select(F.col("event_type").alias("interaction_type"), (F.col("user_id") % 7).alias("author"), F.col("user_id").alias("actor"), F.date_trunc("hour", "ts").alias("at"))
+    out = None
+    for kind, rows in (("message", message), ("moment", moment), ("interaction", e), ("media", moment)):
+        part = rows.select(F.lit(kind).alias("kind"), E.logical_key_of(kind).alias("k"))
+        out = part if out is None else out.unionByName(part)
+    return out.groupBy("kind").agg(F.count("*").alias("rows"), F.countDistinct("k").alias("events"))
+
+
+@query("kind_backfill", """SELECT page_id, kind FROM (SELECT page_id, CASE WHEN page_id % 4 = 0 THEN 'text' WHEN page_id % 4 = 1 THEN NULL ELSE k END AS old, k AS kind FROM (SELECT page_id, CASE WHEN contains(lower(html), '<video') THEN 'video' WHEN contains(lower(html), '<img') THEN 'image' WHEN contains(lower(html), '<table') THEN 'table' ELSE 'text' END AS k FROM pages) p) x WHERE old IS DISTINCT FROM kind""")
+def kind_backfill(spark, d):
+    """Kinds worked out anew; the rows whose stored kind is another, or none, are what is written."""
+    from ..functions.text import first_match
+    from ..operators.joins import changed_columns
+
+    h = F.lower("html")
+    kind = first_match([(h.contains("<video"), "video"), (h.contains("<img"), "image"), (h.contains("<table"), "table")], "text")
+    fresh = S.raw(spark, d, "pages").select("page_id", kind.alias("kind"))
+    stored = fresh.withColumn("kind", F.when(F.col("page_id") % 4 == 0, "text").when(F.col("page_id") % 4 == 1, None).otherwise(F.col("kind")))
+    return changed_columns(fresh, stored, ["page_id"], ["kind"]).select("page_id", "kind")
+
+
+@query("snapshot_listing", """WITH v AS (SELECT user_id AS entity, event_id, ts, event_type AS content, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn FROM events),
+ k AS (SELECT *, lag(content) OVER (PARTITION BY entity ORDER BY rn) AS before FROM v), n AS (SELECT entity, ts, content, row_number() OVER (PARTITION BY entity ORDER BY rn) AS version FROM k WHERE before IS DISTINCT FROM content)
+ SELECT entity, max(version) AS versions, max(ts) AS changed_at, first(content ORDER BY version DESC) AS content, CASE WHEN max(version) = 1 THEN 'new' WHEN max(ts) >= TIMESTAMP '2024-01-25 00:00:00' THEN 'fresh' ELSE 'stale' END AS status FROM n GROUP BY entity""")
+def snapshot_listing(spark, d):
+    """Versions of each entity's snapshot, of which equal ones in a row are one, and how it stands."""
+    from pyspark.sql import Window
+
+    w = Window.partitionBy("entity").orderBy("ts", "event_id")
+    e = S.raw(spark, d, "events").select(F.col("user_id").alias("entity"), "ts", "event_id", F.col("event_type").alias("content"))
+    fresh = e.withColumn("before", F.lag("content").over(w)).filter(~F.col("content").eqNullSafe(F.col("before")))
+    g = fresh.groupBy("entity").agg(F.count("*").alias("versions"), F.max("ts").alias("changed_at"), F.max_by("content", F.struct("ts", "event_id")).alias("content"))
+    since = F.lit("2024-01-25 00:00:00").cast("timestamp_ntz")
+    return g.withColumn("status", F.when(F.col("versions") == 1, "new").when(F.col("changed_at") >= since, "fresh").otherwise("stale"))

@@ -87,6 +87,32 @@ def logical_key(*parts: Column) -> Column:
     return F.sha2(F.concat_ws("\u001f", *(F.coalesce(F.lower(F.trim(p.cast("string"))), F.lit("")) for p in parts)), 256)
 
 
+def plain(c: Column) -> Column:
+    """Text as it is compared in logical keys: case-folded, white space collapsed, null as empty."""
+    return F.lower(F.trim(F.regexp_replace(F.coalesce(c.cast("string"), F.lit("")), "\\s+", " ")))
+
+
+#: Columns of the logical keys of each kind of evidence, besides its name; those of text are compared by plain().
+KEYS = {
+    "message": (("conversation_type", "conversation_title", "sender_name", "content_kind"), ("at", "shard", "local_id")),
+    "moment": (("text",), ("author", "at")),
+    "interaction": (("interaction_type",), ("author", "actor", "at")),
+    "media": (("text", "modality"), ("author", "at", "position")),
+}
+
+
+def logical_key_of(kind: str) -> Column:
+    """The key under which copies of one event from several imports are equal; content that parsers may improve is no part of a message's."""
+    texts, exact = KEYS[kind]
+    parts = [plain(F.col(c)) for c in texts] + [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in exact]
+    return F.sha2(F.concat_ws("\u001f", F.lit(kind), *parts), 256)
+
+
+def media_position(citation: Column) -> Column:
+    """The part of a citation after its last #, which tells the media of one item apart."""
+    return F.when(citation.contains("#"), F.substring_index(citation, "#", -1)).otherwise("")
+
+
 def first_come(routes: Sequence[DataFrame], key: str, order: str, limit: int) -> DataFrame:
     """Rows of several queries in order of the queries, each key once, up to a limit."""
     parts = [r.withColumn("__query", F.lit(i)) for i, r in enumerate(routes)]

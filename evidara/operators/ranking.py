@@ -41,6 +41,7 @@ def feature_score(
 
     others are further columns whose text counts for the phrase and terms. The values are fixed.
     """
+    # The boosts below.
     text = F.lower(F.concat_ws("\n", content, title, *others))
     has = lambda c, t: F.lower(c).contains(t.lower())
     add = lambda cond, w: F.when(cond, w).otherwise(0.0)

@@ -69,6 +69,7 @@ def deduplicated(events: DataFrame, key: str = "event_id", late: str = "2 hours"
     return events.withWatermark("ts", late).dropDuplicatesWithinWatermark([key])
 
 
+# The least and greatest wait, and what each event and a purchase add to it.
 def quiet_seconds(count: int, last_kind: str) -> float:
     """How long to wait after an event before a round is taken as over: longer after many events, and after a purchase."""
     return min(1800.0, 300.0 + 60.0 * min(count, 10) + (600.0 if last_kind == "purchase" else 0.0))

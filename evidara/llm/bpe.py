@@ -29,7 +29,7 @@ from .chunks import PATTERN, Chunks, cut
 from .common import hold, slices
 
 #: Pairs of adjacent tokens that a task keeps the compatibility of at most.
-PAIRS = 400_000
+PAIRS = 200_000
 
 
 def merge_by_rank(piece: str, rank: dict[str, int]) -> tuple[list[str], tuple[str, str] | None]:

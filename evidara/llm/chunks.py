@@ -11,7 +11,7 @@ from collections.abc import Callable
 from itertools import chain
 
 #: Chunks that a task keeps the ids of: those of late use, and as many from before.
-CACHE = 250_000
+CACHE = 120_000
 #: Chunks that encode_all keeps the ids of at most.
 KNOWN = 600_000
 #: Characters of the longest chunk that is kept: of the two bounds above, this makes bounds of memory.

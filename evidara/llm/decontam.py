@@ -37,7 +37,7 @@ from .common import hold, materialize, slices
 
 #: Shingles of items that go to the tasks at once.
 BLOCK_SHINGLES = 1_000_000
-WORD_CACHE = 300_000
+WORD_CACHE = 150_000
 _WORD = re.compile(r"\w+")
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 

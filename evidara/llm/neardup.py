@@ -41,7 +41,7 @@ SKETCH_BITS = 64 * SKETCH_WORDS
 #: Rows of a bucket, and shingles of a pivot's group, that meet in one task; of larger ones, what is not near their first member is met by pairs of blocks.
 BUCKET_BLOCK, GROUP_BLOCK = 4096, 100_000
 #: Words whose hash a task keeps at most.
-WORD_CACHE = 300_000
+WORD_CACHE = 150_000
 
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0xD6E8FEB86659FD93)]
 _rng = np.random.default_rng(20240601)

@@ -42,7 +42,7 @@ _IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
 _CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 # The same matches in linear time: a match of either begins with a run of digits and ends with one, so no digit is given back.
-_IP_LINEAR = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
+_DOTTED = re.compile(r"[0-9]++(?:\.[0-9]++)*+")
 _CARD_LINEAR = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 # Gazetteers and words of the context labelers.
 GIVEN_NAMES = frozenset("anna maria john james mary robert michael david linda sarah thomas peter paul laura julia marie pierre jean claire sophie luc hans klaus stefan petra sabine jürgen carlos josé juan ana carmen lucia pablo miguel elena emma noah liam olivia".split())
@@ -69,6 +69,7 @@ _NAME = re.compile(r"(?<!\w)(?i:" + "|".join(sorted(TITLES, key=len, reverse=Tru
 #: The word of every match of _AT; two capitalised words, of which the first may be a given name.
 _AT_SIGN = re.compile(r"(?<=[\s(\[{])at(?=[\s)\]}])")
 _GIVEN = re.compile(r"(?<!\w)([A-ZÀ-Þ][^\W\d_]++)(?= ([A-ZÀ-Þ][^\W\d_]++)(?!\w))")
+_CAPITALISED, _AFTER = re.compile(r"[A-ZÀ-Þ][^\W\d_]++"), re.compile(r" ([A-ZÀ-Þ][^\W\d_]++)(?!\w)")
 LABELERS = ("shape", "checksum", "gazetteer", "cue", "against", "mixed")
 #: Shape features of the classifier, besides votes and kind.
 SHAPES = ("long", "digits", "quoted")
@@ -117,11 +118,27 @@ def _spelled(text: str) -> Iterator[tuple[int, int]]:
             yield m.span()
 
 
+def _given(text: str) -> Iterator[tuple[int, int]]:
+    """Spans of both groups of _GIVEN's matches with a given name, led by capital letters."""
+    for m in _CAPITALISED.finditer(text):
+        a = m.start()
+        if m[0].lower() in GIVEN_NAMES and not (a and (text[a - 1].isalnum() or text[a - 1] == "_")):
+            if after := _AFTER.match(text, m.end()):
+                yield a, after.end()
+
+
 def base_spans(text: str) -> list[tuple[str, int, int]]:
     out = [("email", a, b) for a, b in _emails(text)]
-    for m in _IP_LINEAR.finditer(text):
-        if all(len(p.lstrip("0")) <= 3 and int(p.lstrip("0") or 0) <= 255 for p in m[0].split(".")):
-            out.append(("ip", *m.span()))
+    for m in _DOTTED.finditer(text) if "." in text else ():
+        if m[0].count(".") < 3:
+            continue
+        parts, at = m[0].split("."), m.start()
+        for k in range(0, len(parts) - 3, 4):  # four runs make a match, and the next begins after it
+            four = parts[k : k + 4]
+            size = sum(map(len, four)) + 3
+            if all(len(p.lstrip("0")) <= 3 and int(p.lstrip("0") or 0) <= 255 for p in four):
+                out.append(("ip", at, at + size))
+            at += size + 1
     for m in _CARD_LINEAR.finditer(text):
         d = m[0].replace(" ", "").replace("-", "")
         if 16 <= len(d) <= 19 and luhn(d):
@@ -187,7 +204,7 @@ def candidates(text: str, base: list[tuple[str, int, int]]) -> list[tuple[str, i
         raw += [(*m.span(), "phone") for m in _NATIONAL.finditer(text)]
     if any(f"{w} " in low or f"{w}. " in low for w in TITLES):
         raw += [(*m.span(1), "name") for m in _NAME.finditer(text)]
-    raw += [(m.start(1), m.end(2), "name") for m in _GIVEN.finditer(text) if m[1].lower() in GIVEN_NAMES]
+    raw += [(*span, "name") for span in _given(text)]
     if not raw:
         return []
     taken: list[list[int]] = []  # base spans, those that overlap as one

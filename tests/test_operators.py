@@ -96,7 +96,7 @@ def test_floor_is_just_above_the_negatives():
 
 def test_hash_embedding_query_has_every_chunk(spark):
     folder = "/root/testdata/sf0.001"
-    got = {(r.doc_id, r.chunk_index): r.embedding for r in QUERIES["hash_embedding_udf"](spark, folder).collect()}
+    got = {(r.doc_id, r.chunk_index): [int(x) / 1_000_000 for x in r.embedding.split(",")] for r in QUERIES["hash_embedding_udf"](spark, folder).collect()}
     want = {(r.doc_id, i): parsing.hash_embedding(c) for r in spark.read.parquet(f"{folder}/documents.parquet").collect() for i, c in enumerate(parsing.chunk(r.text) or [])}
     assert got == want
 

@@ -247,7 +247,7 @@ NODE = pa.struct([("rep", pa.int64()), ("fp", pa.binary())])
 _NODE = "struct<rep: bigint, fp: binary>"
 
 
-def _links(percent: int):
+def _links(percent: int, links_among=spanning_links):
     schema = pa.schema([("u", NODE), ("v", NODE)])
 
     def apply(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -256,7 +256,7 @@ def _links(percent: int):
             t = pa.Table.from_batches(parts)
             nodes = list(zip(t.column("rep").to_pylist(), t.column("fp").to_pylist()))
             sets = [np.frombuffer(b, np.uint64) for b in t.column("set").to_pylist()]
-            found = spanning_links(nodes, sets, percent, t.column("known").to_numpy())
+            found = links_among(nodes, sets, percent, t.column("known").to_numpy())
             if found:
                 ends = ([dict(zip(("rep", "fp"), x[k])) for x in found] for k in (1, 0))
                 yield pa.RecordBatch.from_arrays([pa.array(e, NODE) for e in ends], schema=schema)
@@ -265,22 +265,24 @@ def _links(percent: int):
 
 
 def _linked_with_lead(percent: int):
-    """Marks the members of large groups whose set is linked with that of the group's lead."""
+    """Marks the members of large groups whose set is linked with that of the group's lead, which comes first in each part."""
     schema = pa.schema([("pivot", pa.int64()), ("rep", pa.int64()), ("fp", pa.binary()), ("known", pa.bool_())])
 
     def apply(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hold("neardup", _words.clear)
-        last, lead = None, np.zeros(0, np.uint64)
+        lead = np.zeros(0, np.uint64)
         for batch in slices(batches):
             known = []
-            for mine, other in zip(batch.column("set"), batch.column("lead_set")):
-                if (other := other.as_py()) != last:
-                    last, lead = other, np.frombuffer(other, np.uint64)
+            for mine, is_lead in zip(batch.column("set"), batch.column("is_lead").to_pylist()):
                 s = np.frombuffer(mine.as_py(), np.uint64)
+                if is_lead:
+                    lead = s
                 at = np.searchsorted(lead, s)
                 both = int((lead[np.minimum(at, len(lead) - 1)] == s).sum())
                 known.append(100 * both >= percent * (len(s) + len(lead) - both))
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in schema.names[:3]), pa.array(known, pa.bool_())], schema=schema)
+            members = pa.array([not x for x in batch.column("is_lead").to_pylist()], pa.bool_())
+            marked = pa.RecordBatch.from_arrays([*(batch.column(c) for c in schema.names[:3]), pa.array(known, pa.bool_())], schema=schema)
+            yield marked.filter(members)
 
     return apply
 
@@ -356,17 +358,24 @@ def _near(reps: DataFrame, percent: int) -> DataFrame:
     return materialize(found.unionByName(of_large.filter("known").select(kept)).distinct(), "near")
 
 
-def _text_links(docs: DataFrame, near: DataFrame, width: int, percent: int) -> DataFrame:
-    """Links (u, v) of classes that connect whatever is linked among near's classes, counted on full sets."""
+def text_links(docs: DataFrame, near: DataFrame, width: int, percent: int, links_among=spanning_links) -> DataFrame:
+    """Links (u, v) of classes that connect whatever is linked among near's classes, counted on full sets.
+
+    Members of a group (pivot, rep, fp, n_shingles) meet in links_among; of large groups, those
+    linked with the lead meet only the others. A lead goes once to each part of its group's members.
+    """
     texts = reduce_by_ids(docs.filter("doc_id is not null"), "doc_id", near, "rep")
     sets = texts.mapInArrow(_sets(width), "doc_id long, fp binary, set binary").withColumnRenamed("doc_id", "rep").dropDuplicates(["rep", "fp"])
     sets = materialize(sets.join(near.select("rep", "fp").distinct(), ["rep", "fp"], "left_semi"), "sets")
     sizes = near.groupBy("pivot").agg(F.sum("n_shingles").alias("size"), F.min(F.struct("rep", "fp")).alias("lead"))
 
     large = sizes.filter(F.col("size") > GROUP_BLOCK).select("pivot", F.col("lead.rep").alias("rep"), F.col("lead.fp").alias("fp"))
-    leads = large.join(sets, ["rep", "fp"]).select("pivot", F.struct("rep", "fp").alias("lead"), F.col("set").alias("lead_set"))
-    members = near.join(leads.select("pivot", "lead_set"), "pivot").join(sets, ["rep", "fp"]).select("pivot", "rep", "fp", "set", "lead_set")
-    marked = materialize(members.mapInArrow(_linked_with_lead(percent), "pivot long, rep long, fp binary, known boolean"), "marked")
+    parts = F.greatest(F.lit(1), F.ceil(F.col("size") / GROUP_BLOCK)).cast("int")
+    wide = sizes.filter(F.col("size") > GROUP_BLOCK).select("pivot", "lead", parts.alias("parts"))
+    leads = wide.select("pivot", F.col("lead.rep").alias("rep"), F.col("lead.fp").alias("fp"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(True).alias("is_lead"))
+    members = near.join(wide.select("pivot", "parts"), "pivot").select("pivot", "rep", "fp", F.pmod(F.xxhash64("rep", "fp"), F.col("parts")).cast("int").alias("part"), F.lit(False).alias("is_lead"))
+    led = leads.unionByName(members).join(sets, ["rep", "fp"]).repartition("pivot", "part").sortWithinPartitions("pivot", "part", F.desc("is_lead"))
+    marked = materialize(led.mapInArrow(_linked_with_lead(percent), "pivot long, rep long, fp binary, known boolean"), "marked")
     with_lead = marked.filter("known").join(large.select("pivot", F.struct("rep", "fp").alias("v")), "pivot").select(F.struct("rep", "fp").alias("u"), "v").filter("u <> v")
 
     of_small = near.join(sizes.filter(F.col("size") <= GROUP_BLOCK), "pivot").withColumn("known", F.lit(False)).withColumns({"part_a": F.lit(0), "part_b": F.lit(0)})
@@ -378,26 +387,24 @@ def _text_links(docs: DataFrame, near: DataFrame, width: int, percent: int) -> D
         .join(sets, ["rep", "fp"])
         .repartition("pivot", "part_a", "part_b")
         .sortWithinPartitions("pivot", "part_a", "part_b", "rep", "fp")
-        .mapInArrow(_links(percent), f"u {_NODE}, v {_NODE}")
+        .mapInArrow(_links(percent, links_among), f"u {_NODE}, v {_NODE}")
     )
     return met.unionByName(with_lead.select(F.col("u").cast(_NODE).alias("u"), F.col("v").cast(_NODE).alias("v")))
 
 
-def _grouped(docs: DataFrame, width: int, percent: int, by_id: bool) -> DataFrame:
-    """doc_id, text_key, n_shingles, its class (rep, fp) and the smallest class it reaches (first_rep, first_fp), for each row.
-
-    With by_id, classes with a common id are linked, and a row without shingles has the class of its id, if any.
-    """
-    if percent < 80:
-        raise ValueError("the bands are laid out for similarities of 80 percent or more")
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_key"))
-    feats = materialize(docs.mapInArrow(_features(width), _FEATURES), "features")
+def classes_of(feats: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Of features (doc_id, fp, ...): each class with its smallest id and copies, and one row of features for each class."""
     some = feats.filter("fp is not null and doc_id is not null")
     classes = materialize(some.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")), "classes")
     reps = some.withColumnRenamed("doc_id", "rep").join(classes.select("fp", "rep"), ["rep", "fp"], "left_semi")
-    reps = materialize(reps.dropDuplicates(["rep", "fp"]).drop("text_key"), "reps")
-    links = _text_links(docs, _near(reps, percent), width, percent)
+    return classes, materialize(reps.dropDuplicates(["rep", "fp"]).drop("text_key"), "reps")
+
 
+def reached(feats: DataFrame, classes: DataFrame, links: DataFrame, by_id: bool) -> DataFrame:
+    """doc_id, text_key, n_shingles, its class (rep, fp) and the smallest class it reaches (first_rep, first_fp), for each row.
+
+    With by_id, classes with a common id are linked, and a row without shingles has the class of its id, if any.
+    """
     many = classes.filter("copies > 1").select("fp", "rep")
     rows = feats.select("doc_id", "text_key", "n_shingles", "fp").join(many, "fp", "left").withColumn("rep", F.coalesce("rep", "doc_id"))
     if by_id:
@@ -415,6 +422,15 @@ def _grouped(docs: DataFrame, width: int, percent: int, by_id: bool) -> DataFram
     return rows.withColumns({"first_rep": F.coalesce("first_rep", "rep"), "first_fp": F.coalesce("first_fp", "fp")})
 
 
+def _grouped(docs: DataFrame, width: int, percent: int, by_id: bool) -> DataFrame:
+    if percent < 80:
+        raise ValueError("the bands are laid out for similarities of 80 percent or more")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_key"))
+    feats = materialize(docs.mapInArrow(_features(width), _FEATURES), "features")
+    classes, reps = classes_of(feats)
+    return reached(feats, classes, text_links(docs, _near(reps, percent), width, percent), by_id)
+
+
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every row of docs (doc_id, text).
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontam, filter_audit, langid, licenses, merkle, neardup, pii, quality, sharding, token_store, toxicity
+from . import bpe, decontam, filter_audit, langid, licenses, merkle, neardup, ngram_join, pii, quality, sharding, token_store, toxicity
 from .common import table
 from .sql import ORACLE_SQL as ORACLE_SQL
 
@@ -62,6 +62,10 @@ def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"), width=4, percent=80)
 
 
+def op11_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.jaccard_join(table(spark, sf_dir, "documents"), width=3, percent=90)
+
+
 def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.order_table(filter_audit.counts_by_mask(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")))
 
@@ -82,6 +86,7 @@ QUERIES = {
     "op8_decontamination": op8_decontamination,
     "op9_language": op9_language,
     "op10_near_duplicates": op10_near_duplicates,
+    "op11_ngram_join": op11_ngram_join,
     "op12_filter_audit": op12_filter_audit,
     "op13_merkle_manifest": op13_merkle_manifest,
 }

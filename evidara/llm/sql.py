@@ -114,4 +114,4 @@ MERKLE = f"""WITH RECURSIVE bits(b, c, k) AS (SELECT range, range, 0 FROM range(
  SELECT doc_id, leaf, b.h AS subroot, root.h AS root, sha256(proof) AS proof_sha256, v AS folded_root, v = root.h AS verified
  FROM ids JOIN ends ON ends.id = ids.id JOIN low b ON b.s = ids.s AND b.n = 1, (SELECT h FROM top WHERE n = 1) root"""
 
-ORACLE_SQL = {"op5_line_quality": QUALITY, "op8_decontamination": DECONTAMINATION, "op10_near_duplicates": NEAR_DUPLICATES, "op12_filter_audit": FILTER_AUDIT, "op13_merkle_manifest": MERKLE}
+ORACLE_SQL = {"op5_line_quality": QUALITY, "op8_decontamination": DECONTAMINATION, "op10_near_duplicates": NEAR_DUPLICATES, "op11_ngram_join": NGRAM_JOIN, "op12_filter_audit": FILTER_AUDIT, "op13_merkle_manifest": MERKLE}

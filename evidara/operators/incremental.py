@@ -7,12 +7,13 @@ versions only. A batch that changes nothing gives empty deltas.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .joins import changed_columns
+from .store import Change, Store, delete
 from .windows import first_by
 
 
@@ -143,17 +144,6 @@ def claimed(queue: DataFrame, now: Column, lease_seconds: int, limit: int) -> Da
     return top.withColumn("lease_until", now + F.make_interval(secs=F.lit(lease_seconds))).withColumn("generation", F.col("generation") + 1)
 
 
-def _delete(spark: SparkSession, path: str) -> None:
-    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
-    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
-
-
-def _children(spark: SparkSession, path: str) -> list[str]:
-    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
-    fs = folder.getFileSystem(spark._jsc.hadoopConfiguration())
-    return sorted(s.getPath().getName() for s in fs.listStatus(folder)) if fs.exists(folder) else []
-
-
 def write_version(df: DataFrame, root: str) -> int:
     """df as the next version under root, which the pointer names once it is whole."""
     spark = df.sparkSession
@@ -177,70 +167,37 @@ def read_version(spark: SparkSession, root: str) -> DataFrame:
 
 
 class BucketTable:
-    """A keyed table in buckets of its keys; an upsert rewrites the buckets that it changes, and no others.
+    """One keyed table of a Store: an upsert rewrites the buckets that it changes, and no others.
 
-    {root}/data/v=n/bucket=b holds what version n wrote; the manifest of a version names, for each
-    bucket, the version that holds it. A version is there once its manifest is, so readers see
-    whole versions, and what a failed writer left is never read; vacuum() deletes it.
+    buckets is what it begins with; full ones are split. Upserts of several writers all take place.
     """
 
-    def __init__(self, spark: SparkSession, root: str, keys: Sequence[str], buckets: int = 32):
-        self.spark, self.root, self.keys, self.buckets = spark, root.rstrip("/"), list(keys), buckets
+    def __init__(self, spark: SparkSession, root: str, keys: Sequence[str], buckets: int = 32, part_rows: int = 1_000_000):
+        self.store, self.keys = Store(spark, root, part_rows, max(0, (buckets - 1).bit_length())), list(keys)
 
     def manifest(self, version: int | None = None) -> dict[int, int]:
-        """Bucket and the version that holds it."""
-        n = self.version() if version is None else version
-        return {r["bucket"]: r["v"] for r in self.spark.read.schema("bucket int, v long").parquet(f"{self.root}/manifest/n={n}").collect()} if n else {}
+        """Bucket and the version that wrote it."""
+        t = self.store.version(version).tables.get("rows")
+        return {s: p.version for s, p in t.parts.items()} if t else {}
 
     def version(self) -> int:
-        return max((int(x.split("=")[1]) for x in _children(self.spark, f"{self.root}/manifest") if x.startswith("n=") and "_SUCCESS" in _children(self.spark, f"{self.root}/manifest/{x}")), default=0)
-
-    def _bucketed(self, df: DataFrame) -> DataFrame:
-        return df.withColumn("bucket", F.pmod(F.hash(*self.keys), F.lit(self.buckets)))
-
-    def _read(self, manifest: dict[int, int]) -> DataFrame | None:
-        paths = [f"{self.root}/data/v={v}/bucket={b}" for b, v in sorted(manifest.items())]
-        return self.spark.read.parquet(*paths) if paths else None
+        return max(self.store.numbers(), default=0)
 
     def read(self) -> DataFrame | None:
         """All rows, or None before the first version."""
-        return self._read(self.manifest())
+        return self.store.version().read("rows")
 
-    def upsert(self, batch: DataFrame) -> list[int]:
+    def upsert(self, batch: DataFrame, once: tuple[str, int] | None = None) -> list[int]:
         """Puts batch (one row per key) in; the buckets that were written. A batch that changes nothing writes nothing."""
-        n, have = self.version(), self.manifest()
-        named = self._bucketed(batch)
-        asked = [r[0] for r in named.select("bucket").distinct().collect()]  # a bucket number each
-        held = self._read({b: v for b, v in have.items() if b in asked})
-        if held is not None:
-            changed = self._bucketed(delta(held, batch, self.keys).select(*batch.columns))
-            touched = [r[0] for r in changed.select("bucket").distinct().collect()]
-            old = self._read({b: v for b, v in have.items() if b in touched})
-            new = changed.drop("bucket")
-            rows = upsert(old, new, self.keys) if old is not None else new
-        else:
-            touched, rows = asked, batch
-        if not touched:
-            return []
-        self._bucketed(rows).repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{self.root}/data/v={n + 1}")
-        new_manifest = {**have, **dict.fromkeys(touched, n + 1)}
-        self.spark.createDataFrame(sorted(new_manifest.items()), "bucket int, v long").coalesce(1).write.mode("overwrite").parquet(f"{self.root}/manifest/n={n + 1}")
-        return sorted(touched)
-
-    def vacuum(self, keep: int = 1) -> int:
-        """Deletes bucket folders that none of the newest versions names, and older manifests; how many folders went."""
-        n = self.version()
-        kept = {(v, b) for k in range(max(1, n - keep + 1), n + 1) for b, v in self.manifest(k).items()}
-        gone = 0
-        for name in _children(self.spark, f"{self.root}/data"):
-            for bucket in _children(self.spark, f"{self.root}/data/{name}"):
-                if bucket.startswith("bucket=") and (int(name.split("=")[1]), int(bucket.split("=")[1])) not in kept:
-                    _delete(self.spark, f"{self.root}/data/{name}/{bucket}")
-                    gone += 1
-        for name in _children(self.spark, f"{self.root}/manifest"):
-            if name.startswith("n=") and int(name.split("=")[1]) <= n - keep:
-                _delete(self.spark, f"{self.root}/manifest/{name}")
-        return gone
+        return self.store.commit({"rows": Change(batch)}, {"rows": self.keys}, once=once).written.get("rows", [])
+
+    def merge(self, rows_for: Callable[[DataFrame | None], DataFrame]) -> list[int]:
+        """Puts in what follows from the rows that are there, and from newer ones should another writer come first."""
+        return self.store.commit(lambda v: {"rows": Change(rows_for(v.read("rows")))}, {"rows": self.keys}, reads=["rows"]).written.get("rows", [])
+
+    def vacuum(self, keep: int = 1, older_than: float = 0) -> int:
+        """Deletes bucket folders that none of the newest versions names, and older entries; how many folders went."""
+        return self.store.vacuum(keep, older_than)
 
 
 class Generations:
@@ -299,7 +256,7 @@ class Generations:
         """Fails and deletes builds that were never finished; their numbers."""
         left = [b for b, s in self.states().items() if s == "building"]
         for b in left:
-            _delete(self.spark, f"{self.root}/build={b}")
+            delete(self.spark, f"{self.root}/build={b}")
         if left:
             self._note(*((b, "failed") for b in left))
         return left

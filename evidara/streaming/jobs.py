@@ -38,17 +38,19 @@ def run_upserts(events: DataFrame, root: str, checkpoint: str, keys: list[str])
     ran before is met again after a failure; it then changes nothing, and no version is written.
     """
 
+    mark = F.struct("ts", "event_id")
+
+    def newest(new: DataFrame, held: DataFrame | None) -> DataFrame:
+        if held is None:
+            return new
+        marks = held.select(*keys, mark.alias("__mark"))  # a batch may come after one with later rows
+        return new.join(marks, keys, "left").filter(F.col("__mark").isNull() | (mark >= F.col("__mark"))).drop("__mark")
+
     def put(batch: DataFrame, _: int) -> None:
         table = I.BucketTable(batch.sparkSession, root, keys)
         new = I.last_wins(batch, keys, F.struct("ts", "event_id")).persist()
         try:
-            held = table.read()
-            if held is not None:  # a batch may come after one with later rows
-                marks = held.select(*keys, F.struct("ts", "event_id").alias("__mark"))
-                newer = F.col("__mark").isNull() | (F.struct("ts", "event_id") >= F.col("__mark"))
-                table.upsert(new.join(marks, keys, "left").filter(newer).drop("__mark"))
-            else:
-                table.upsert(new)
+            table.merge(lambda held: newest(new, held))
         finally:
             new.unpersist()
 

@@ -1,22 +1,23 @@
 """N-gram Jaccard join: T-occurrence search over inverted lists, by DivideSkip.
 
-A document with n shingles can only be linked with one that is in T = ceil(percent * n / 100)
+A document with n shingles can only be linked with one that is on T = ceil(percent * n / 100)
 of its inverted lists. DivideSkip merges the short lists, whose candidates need only few
 occurrences, and looks them up by binary search in the long ones. It is used twice:
 
-- across the cluster, lists are keyed by shingle, and those of shingles that very many documents
-  have come last, as the long ones (frequent_shingles). The first n - T + c lists of a document
-  and of a partner name each other c times, so a document with fewer than c entries in lists
-  that anyone shares has no partner and goes (c as for its smallest possible partner). Of the rest, the first n - T + 1 lists say who meets: all
-  documents of a list meet under its smallest id (its pivot), once, however many lists they share;
+- across the cluster, the first n - T + c shingles of a document, in one order for all (that of their
+  hashes), are entries of lists keyed by shingle. Those of two linked documents name each other c
+  times (c as for the smallest partner that a document can have), so of its entries that anyone shares,
+  h, all but the c - 1 in the longest lists must lead to each partner. These longest lists are left
+  out, and with fewer than c entries shared a document has no partner and goes. Who is left meets, among
+  documents of about its size, all others of a list under the smallest id (its pivot), once,
+  however many lists they share;
 - documents that meet are indexed by their whole sets, and each searches that index: MergeSkip (a
   heap that leaps over documents with too few occurrences) on the short lists, binary search in the
   long ones, and those that reach the required overlap are linked (divide_skip).
 
-The order of lists decides only how much is looked at: by the pigeonhole principle every link
-is found, whatever the order, so links are exact up to equal 64-bit hashes. Documents with equal
-sets are one class. What leaves a group is a spanning forest of its links, never its pairs, and large
-groups meet their first member before each other (text_links).
+By the pigeonhole principle no link is lost, so links are exact up to equal 64-bit hashes. Documents
+with equal sets are one class. What leaves a group is a spanning forest of its links, never its pairs,
+and large groups meet their first member before each other (text_links).
 
 Defined cases: null and empty texts, and texts of white space only, have no shingles and are
 linked with nothing; a text of fewer words than the width is one shingle; repeated rows are copies;
@@ -38,11 +39,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import hold, materialize, reduce_by_ids, slices
+from .common import hold, materialize, slices
 from .neardup import _words, classes_of, reached, shingle_set, text_links
 
-#: Shingles that a task counts at a time for the frequent ones, the share of its documents that makes one frequent, and how many go to all tasks.
-COUNTED, FREQUENT, MOST_FREQUENT = 1_000_000, 1 / 500, 1 << 17
+#: Longer lists count as of this length, so that a task holds no more of one.
+LONGEST = 1 << 16
 #: Weight of the length of the longest list in the number of lists that are not merged.
 MU = 0.01
 
@@ -149,94 +150,100 @@ def linked_sets(nodes: list, sets: list[np.ndarray], percent: int, joined: np.nd
     return links
 
 
-_FEATURES = "doc_id long, text_key long, n_shingles long, fp binary, shingle long, times long"
+_FEATURES = "doc_id long, text_key long, n_shingles long, fp binary, first array<long>"
 
 
-def _features(width: int):
-    """A row for each document, and rows of shingles that many documents of a task have (text_key null)."""
-    schema = pa.schema([("doc_id", pa.int64()), ("text_key", pa.int64()), ("n_shingles", pa.int64()), ("fp", pa.binary()), ("shingle", pa.int64()), ("times", pa.int64())])
-
-    def frequent(sets: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        found, times = np.unique(np.concatenate(sets), return_counts=True)
-        often = times >= max(8, FREQUENT * len(sets))
-        none = [pa.nulls(int(often.sum()), f.type) for f in list(schema)[:4]]
-        yield pa.RecordBatch.from_arrays([*none, pa.array(found[often].view(np.int64)), pa.array(times[often])], schema=schema)
+def _features(width: int, percent: int):
+    """Of each document, the first n - T + c shingles by hash, with c = n - T + 1: none if only equal sets can be linked with it."""
+    schema = pa.schema([("doc_id", pa.int64()), ("text_key", pa.int64()), ("n_shingles", pa.int64()), ("fp", pa.binary()), ("first", pa.list_(pa.int64()))])
 
     def apply(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hold("neardup", _words.clear)
-        held: list[np.ndarray] = []
-        count = 0
         for batch in slices(batches):
-            sizes, fps = [], []
+            sizes, fps, firsts = [], [], []
             for text in batch.column("text").to_pylist():
                 s = shingle_set(text, width)
-                sizes.append(len(s))
-                fps.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
-                held.append(s)
-                count += len(s)
-                if count > COUNTED:
-                    yield from frequent(held)
-                    held, count = [], 0
-            none = [pa.nulls(batch.num_rows, pa.int64())] * 2
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_key"), pa.array(sizes, pa.int64()), pa.array(fps, pa.binary()), *none], schema=schema)
-        if held:
-            yield from frequent(held)
+                n = len(s)
+                sizes.append(n)
+                fps.append(xxhash.xxh3_128_digest(s.tobytes()) if n else None)
+                # A set that another one differs from shares at most n of n + 1.
+                able = n and 100 * n >= percent * (n + 1)
+                firsts.append(s[: 2 * (n - least_overlap(n, percent)) + 1].view(np.int64) if able else s[:0].view(np.int64))
+            made = (pa.array(x, f.type) for x, f in zip((sizes, fps, firsts), list(schema)[2:]))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_key"), *made], schema=schema)
 
     return apply
 
 
-def frequent_shingles(counts: DataFrame) -> np.ndarray:
-    """The shingles that most documents have, at most MOST_FREQUENT, of counts (shingle, times): sorted.
-
-    They only put lists in order, so what this leaves out costs time and no link.
-    """
-    top = counts.groupBy("shingle").agg(F.sum("times").alias("times")).orderBy(F.desc("times"), "shingle").limit(MOST_FREQUENT).select("shingle")
-    return np.sort(np.fromiter((r[0] for r in top.collect()), np.int64).view(np.uint64))
-
-
-def _first_lists(width: int, percent: int, frequent):
-    """The first n - T + c lists of each document, rare shingles before frequent ones, with c = n - T + 1."""
-    schema = pa.schema([("doc_id", pa.int64()), ("fp", pa.binary()), ("lists", pa.list_(pa.int64()))])
-
-    def apply(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hold("neardup", _words.clear)
-        often = frequent.value
-        for batch in slices(batches):
-            fps, firsts = [], []
-            for text in batch.column("text").to_pylist():
-                s = shingle_set(text, width)
-                fps.append(xxhash.xxh3_128_digest(s.tobytes()))
-                if len(often):
-                    late = often[np.minimum(np.searchsorted(often, s), len(often) - 1)] == s
-                    s = np.concatenate([s[~late], s[late]])
-                firsts.append(s[: 2 * (len(s) - least_overlap(len(s), percent)) + 1].view(np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fps, pa.binary()), pa.array(firsts, schema.field("lists").type)], schema=schema)
-
-    return apply
-
-
-def _meetings(docs: DataFrame, reps: DataFrame, width: int, percent: int, frequent: np.ndarray) -> DataFrame:
-    """(pivot, rep, fp, n_shingles): classes that share one of their first lists, under the smallest id of the list."""
-    # A set of fewer than 100 / (100 - percent) shingles, less one, is linked with equal ones only.
-    able = reps.filter(100 * F.col("n_shingles") >= percent * (F.col("n_shingles") + 1))
-    texts = reduce_by_ids(docs.filter("doc_id is not null"), "doc_id", able, "rep")
-    held = docs.sparkSession.sparkContext.broadcast(frequent)
-    firsts = texts.mapInArrow(_first_lists(width, percent, held), "doc_id long, fp binary, lists array<long>").withColumnRenamed("doc_id", "rep")
-    firsts = firsts.join(able.select("rep", "fp", "n_shingles"), ["rep", "fp"]).dropDuplicates(["rep", "fp"])
-    firsts = materialize(firsts.withColumn("class", F.xxhash64("rep", "fp")), "lists")
-
-    entries = firsts.select("class", F.explode("lists").alias("shingle"))
-    shared = entries.groupBy("shingle").agg(F.count("*").alias("n")).filter("n > 1")
-    hits = entries.join(shared.select("shingle"), "shingle").groupBy("class").agg(F.count("*").alias("hits"))
-    spare = (F.size("lists") / 2).cast("int")  # n - T
-    # A partner may be smaller, with T shingles at least, and name itself less often.
-    least = F.floor((100 - percent) * F.ceil(percent * F.col("n_shingles") / 100) / 100)
-    able_lists = firsts.join(hits, "class").filter(F.col("hits") > least)
-    left = materialize(able_lists.select("rep", "fp", "n_shingles", F.slice("lists", 1, spare + 1).alias("lists")), "able")
-
-    entries = left.select("rep", "fp", "n_shingles", F.explode("lists").alias("shingle"))
-    pivots = entries.groupBy("shingle").agg(F.min("rep").alias("pivot"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    return materialize(entries.join(pivots, "shingle").select("pivot", "rep", "fp", "n_shingles").distinct(), "meetings")
+def _shared(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Entries (class, shingle), sorted by shingle, of lists with more than one, with the length of their list."""
+
+    def out(classes: np.ndarray, shingles: np.ndarray, sizes: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_pydict({"class": classes, "shingle": shingles, "size": sizes.astype(np.int32)})
+
+    held: list[np.ndarray] = []
+    last, count, long = None, 0, False
+
+    def done() -> Iterator[pa.RecordBatch]:
+        if count > 1 and not long:
+            classes = np.concatenate(held)
+            yield out(classes, np.full(count, last, np.int64), np.full(count, count))
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        classes, shingles = (batch.column(c).to_numpy() for c in ("class", "shingle"))
+        edges = np.concatenate([[0], np.flatnonzero(shingles[1:] != shingles[:-1]) + 1, [len(shingles)]])
+        if shingles[0] != last:
+            yield from done()
+            held, last, count, long = [], shingles[0], 0, False
+        # The first run goes on from the batch before; the last one may go on in the next.
+        inner = slice(edges[1], edges[-2]) if len(edges) > 2 else slice(0, 0)
+        for at, (a, b) in enumerate([(edges[0], edges[1]), (edges[-2], edges[-1])][: min(2, len(edges) - 1)]):
+            if at == 1:
+                yield from done()
+                held, last, count, long = [], shingles[a], 0, False
+            mine = classes[a:b]
+            if not long and count + len(mine) > LONGEST:
+                mine, held, long = np.concatenate([*held, mine]), [], True
+            if long:
+                yield out(mine, np.full(len(mine), last, np.int64), np.full(len(mine), LONGEST))
+            else:
+                held.append(mine)
+            count += b - a
+        sizes = np.diff(edges[1:-1])
+        if len(sizes):
+            sizes = np.repeat(np.minimum(sizes, LONGEST), sizes)
+            some = sizes > 1
+            yield out(classes[inner][some], shingles[inner][some], sizes[some])
+    yield from done()
+
+
+def size_bounds(percent: int, most: int) -> list[int]:
+    """Where classes of sizes begin, so that linked sets are in the same class or in neighbouring ones."""
+    bounds = [1]
+    while bounds[-1] <= most:
+        bounds.append(100 * bounds[-1] // percent + 1)
+    return bounds
+
+
+def _meetings(reps: DataFrame, percent: int) -> DataFrame:
+    """(pivot, rep, fp, n_shingles): classes that share a list that they need, under the smallest id of those of about their size."""
+    held = reps.filter(F.size("first") > 0).withColumn("class", F.xxhash64("rep", "fp"))
+    entries = held.select("class", F.explode("first").alias("shingle"))
+    shared = entries.repartition("shingle").sortWithinPartitions("shingle").mapInArrow(_shared, "class long, shingle long, size int")
+    lists = shared.groupBy("class").agg(F.array_sort(F.collect_list(F.struct("size", "shingle"))).alias("lists"))
+    # A partner may be smaller, with T shingles at least; then it and this one name each other this often.
+    least = F.floor((100 - percent) * F.ceil(percent * F.col("n_shingles") / 100) / 100).cast("int") + 1
+    left = held.select("class", "rep", "fp", "n_shingles").join(lists.filter("size(lists) > 0"), "class").withColumn("over", F.size("lists") - least).filter("over >= 0")
+    left = materialize(left.select("rep", "fp", "n_shingles", F.slice("lists.shingle", F.lit(1), F.col("over") + 1).alias("lists")), "able")
+
+    most = left.agg(F.max("n_shingles")).first()[0] or 1
+    bounds = F.array(*(F.lit(b).cast("long") for b in size_bounds(percent, most)))
+    size_class = F.size(F.filter(bounds, lambda b: b <= F.col("n_shingles")))
+    entries = left.withColumn("k", F.explode(F.array(size_class, size_class - 1))).select("rep", "fp", "n_shingles", "k", F.explode("lists").alias("shingle"))
+    pivots = entries.groupBy("shingle", "k").agg(F.min("rep").alias("pivot"), F.count("*").alias("n")).filter("n > 1").drop("n")
+    return materialize(entries.join(pivots, ["shingle", "k"]).select("pivot", "rep", "fp", "n_shingles").distinct(), "meetings")
 
 
 def jaccard_join(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
@@ -248,10 +255,8 @@ def jaccard_join(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFram
     if not 50 < percent <= 100:
         raise ValueError("percent must be above 50, up to 100")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_key"))
-    made = materialize(docs.mapInArrow(_features(width), _FEATURES), "features")
-    feats = made.filter("shingle is null").drop("shingle", "times")
-    frequent = frequent_shingles(made.filter("shingle is not null").select("shingle", "times"))
+    feats = materialize(docs.mapInArrow(_features(width, percent), _FEATURES), "features")
     classes, reps = classes_of(feats)
-    links = text_links(docs, _meetings(docs, reps, width, percent, frequent), width, percent, linked_sets)
+    links = text_links(docs, _meetings(reps, percent), width, percent, linked_sets)
     rows = reached(feats, classes, links, by_id=True)
     return rows.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("first_rep")).alias("component_id"))

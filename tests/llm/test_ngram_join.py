@@ -40,14 +40,37 @@ def test_links_at_the_threshold(spark, seed):
     assert result(ngram_join.jaccard_join(spark.createDataFrame(rows, DOCS), 3, 90)) == expected(rows, 3, 90)
 
 
-def test_order_of_lists_and_blocks_change_nothing(spark, monkeypatch):
+def test_long_lists_and_blocks_change_nothing(spark, monkeypatch):
     rows = chain(7) + [(100 + i, t) for i, t in corpus(5) if i is not None and i < 150]
     monkeypatch.setattr(neardup, "GROUP_BLOCK", 300)
-    monkeypatch.setattr(ngram_join, "MOST_FREQUENT", 20)
-    monkeypatch.setattr(ngram_join, "COUNTED", 500)
+    monkeypatch.setattr(ngram_join, "LONGEST", 3)
     assert result(ngram_join.jaccard_join(spark.createDataFrame(rows, DOCS).repartition(3), 3, 90)) == expected(rows, 3, 90)
 
 
+@pytest.mark.parametrize("longest", [3, 1000])
+def test_shared_entries_of_sorted_batches(monkeypatch, longest):
+    import pyarrow as pa
+
+    monkeypatch.setattr(ngram_join, "LONGEST", longest)
+    rnd = random.Random(longest)
+    for _ in range(60):
+        shingles = sorted(rnd.choice([1, 2, 2, 2, 3, 4, 5, 9, 9, rnd.randrange(60)]) for _ in range(rnd.randint(0, 40)))
+        rows = list(enumerate(shingles))
+        cuts = sorted(rnd.randint(0, len(rows)) for _ in range(rnd.randint(0, 6)))
+        parts = [rows[a:b] for a, b in zip([0, *cuts], [*cuts, len(rows)])]
+        batches = [pa.RecordBatch.from_pydict({"class": pa.array([r[0] for r in p], pa.int64()), "shingle": pa.array([r[1] for r in p], pa.int64())}) for p in parts]
+        got = sorted((r["class"], r["shingle"], r["size"]) for b in ngram_join._shared(batches) for r in b.to_pylist())
+        assert got == [(c, x, min(longest, n)) for c, x in rows if (n := shingles.count(x)) > 1]
+
+
+@pytest.mark.parametrize("percent", [60, 80, 90, 99])
+def test_linked_sizes_are_in_neighbouring_classes(percent):
+    bounds = ngram_join.size_bounds(percent, 3000)
+    of = lambda n: sum(b <= n for b in bounds)
+    for n in range(1, 3000):
+        assert of(n) - of(int(ngram_join.least_overlap(n, percent))) in (0, 1)
+
+
 def test_merge_skip_counts_what_is_on_enough_lists():
     rnd = random.Random(4)
     for _ in range(300):

@@ -92,9 +92,12 @@ class Part(NamedTuple):
 
 
 class Table(NamedTuple):
+    """place names the column that is the number of a row's part, one of the keys; without it, the hash of the keys is."""
+
     keys: list[str]
     schema: str
     parts: dict[int, Part]
+    place: str = ""
 
 
 class Change(NamedTuple):
@@ -154,11 +157,11 @@ class Store:
         if not n:
             return Version(self, 0, {}, {}, {})
         e = json.loads(text_of(self.spark, f"{self.root}/log/{n:012d}"))
-        tables = {t: Table(v["keys"], v["schema"], {int(s): Part(*p) for s, p in v["parts"].items()}) for t, v in e["tables"].items()}
+        tables = {t: Table(v["keys"], v["schema"], {int(s): Part(*p) for s, p in v["parts"].items()}, v["place"]) for t, v in e["tables"].items()}
         return Version(self, n, tables, e["marks"], e["attached"])
 
     def _put(self, v: Version) -> bool:
-        tables = {t: {"keys": x.keys, "schema": x.schema, "parts": {str(s): list(p) for s, p in x.parts.items()}} for t, x in v.tables.items()}
+        tables = {t: {"keys": x.keys, "schema": x.schema, "place": x.place, "parts": {str(s): list(p) for s, p in x.parts.items()}} for t, x in v.tables.items()}
         return put_if_absent(self.spark, f"{self.root}/log/{v.number:012d}", json.dumps({"tables": tables, "marks": v.marks, "attached": v.attached}))
 
     # rows
@@ -170,8 +173,11 @@ class Store:
         paths = [f"{self.root}/data/{name}/{t.parts[s].folder}/slot={s}" for s in slots]
         return self.spark.read.schema(self._schema(t)).parquet(*paths) if paths else self.spark.createDataFrame([], self._schema(t))
 
-    def _routed(self, df: DataFrame, keys: Sequence[str], slots: Sequence[int]) -> DataFrame:
+    def _routed(self, df: DataFrame, t: Table, slots: Sequence[int]) -> DataFrame:
         """df with __hash and __slot, the slot of each row among those of a table."""
+        if t.place:
+            return df.withColumn("__hash", F.lit(0).cast("long")).withColumn("__slot", F.col(t.place).cast("long"))
+        keys = t.keys
         low = F.xxhash64(*keys).bitwiseAND(F.lit((1 << HASH_BITS) - 1))
         df = df.withColumn("__hash", low)
         depth = max(s.bit_length() - 1 for s in slots)
@@ -184,13 +190,13 @@ class Store:
         directory = self.spark.createDataFrame(ends, "__end long, __slot long")
         return df.withColumn("__end", F.col("__hash").bitwiseAND(F.lit((1 << depth) - 1))).join(F.broadcast(directory), "__end").drop("__end")
 
-    def _stage(self, base: Version, name: str, change: Change, keys: Sequence[str]) -> _Staged:
+    def _stage(self, base: Version, name: str, change: Change, keys: Sequence[str], place: str) -> _Staged:
         """The parts that a change makes, written, and the parts that they take the place of."""
         t = base.tables.get(name)
         if t is None:
             if change.upserts is None:
-                return _Staged(Table(list(keys), "", {}), {}, {}, {})
-            t = Table(list(keys), change.upserts.schema.json(), {})
+                return _Staged(Table(list(keys), "", {}, place), {}, {}, {})
+            t = Table(list(keys), change.upserts.schema.json(), {}, place)
         columns = [f.name for f in self._schema(t).fields]
         if change.upserts is not None and sorted(change.upserts.columns) != sorted(columns):
             raise ValueError(f"columns of {name} are {columns}, not {change.upserts.columns}")
@@ -199,7 +205,7 @@ class Store:
         for df, gone in ((change.upserts, False), (change.deletes, True)):
             if df is not None:
                 row = F.struct(*(F.col(c) for c in columns)) if not gone else F.lit(None).cast(self._schema(t))
-                part = self._routed(df, t.keys, slots).select("__slot", "__hash", *t.keys, row.alias("__new"), F.lit(gone).alias("__gone"))
+                part = self._routed(df, t, slots).select("__slot", "__hash", *t.keys, row.alias("__new"), F.lit(gone).alias("__gone"))
                 named = part if named is None else named.unionByName(part)
         asked = [r[0] for r in named.select("__slot").distinct().collect()]  # numbers of parts
         held = self._rows(name, t, [s for s in asked if s in t.parts])
@@ -218,10 +224,12 @@ class Store:
             return _Staged(t, {}, {}, counts)
         written = met.filter("__status <> 'unchanged'")
         touched = [s for s in growth if s in t.parts]
-        kept = self._routed(self._rows(name, t, touched).join(written.select(*t.keys), t.keys, "left_anti"), t.keys, slots)
+        kept = self._routed(self._rows(name, t, touched).join(written.select(*t.keys), t.keys, "left_anti"), t, slots)
         rows = kept.select("__slot", "__hash", *columns).unionByName(written.filter("not __gone").select("__slot", "__hash", "__new.*"))
         into = {}
         for slot, more in growth.items():
+            if t.place:
+                continue
             size = more + (t.parts[slot].rows if slot in t.parts else 0)
             depth = slot.bit_length() - 1
             into[slot] = min(HASH_BITS, depth + max(0, math.ceil(math.log2(max(size, 1) / self.part_rows))))
@@ -242,11 +250,11 @@ class Store:
 
     def commit(
         self, plan: Mapping[str, Change] | Callable[[Version], Mapping[str, Change]], keys: Mapping[str, Sequence[str]] | None = None,
-        reads: Sequence[str] = (), once: tuple[str, int] | None = None, attach: Mapping[str, object] | None = None, attempts: int = 50,
+        places: Mapping[str, str] | None = None, reads: Sequence[str] = (), once: tuple[str, int] | None = None, attach: Mapping[str, object] | None = None, attempts: int = 50,
     ) -> Commit:
         """Changes tables together. A plan that depends on what is there is a function of the version.
 
-        keys: the key columns of tables that are new. reads: tables that the plan depends on as a whole,
+        keys and places: the key columns, and the column that is the part, of tables that are new. reads: tables that the plan depends on as a whole,
         so that any change of them makes it run again. once: a name and a number that rises; a
         commit whose number is not above the last one of its name is a replay and does nothing.
         attach: values to be held by name beside the tables (None takes one away).
@@ -257,7 +265,7 @@ class Store:
                 return Commit(base.number, {}, {})
             if not made:
                 changes = plan(base) if callable(plan) else plan
-                made = {n: self._stage(base, n, c, (keys or {}).get(n, ())) for n, c in changes.items() if c.upserts is not None or c.deletes is not None}
+                made = {n: self._stage(base, n, c, (keys or {}).get(n, ()), (places or {}).get(n, "")) for n, c in changes.items() if c.upserts is not None or c.deletes is not None}
                 seen = {n: base.tables[n].parts if n in base.tables else None for n in reads}
             counts = {n: s.counts for n, s in made.items()}
             writes = {n: s for n, s in made.items() if s.parts or s.replaced}
@@ -292,7 +300,7 @@ class Store:
             if s.table.parts and s.parts.keys() | s.replaced.keys():
                 changed = {k for k in now.keys() | s.table.parts.keys() if now.get(k) != s.table.parts.get(k)}
                 mine = s.parts.keys() | s.replaced.keys()
-                if any(_overlaps(a, b) for a in changed for b in mine):
+                if changed & mine if s.table.place else any(_overlaps(a, b) for a in changed for b in mine):
                     return False
         return True
 

@@ -2,16 +2,18 @@
 
 A block of a text is a candidate where a cue word stands: a line, and each run of lines
 from cue to cue with the lines of its paragraph, both whole and by sentences, whatever
-their length. A candidate is compressed alone and with templates as raw zstandard
-dictionary. Notices that save enough are aligned with the block word by word. A whole
-text is aligned wherever, in a text with a cue, a piece of it stands that few changes
-must leave as it is; what it saves is told. A template is confirmed if the wording differs in nothing that names the license, and
-for whole texts in few words; the differences are part of the result. All that is
-confirmed stands; where places of several licenses overlap, the fewest differences decide.
+their length. Blocks are taken in windows that overlap by half, so that each notice or text lies whole
+in one. A window is compressed alone and with each dictionary of templates (a raw zstandard
+dictionary for the notices of each name, and for each whole text); templates whose dictionary reduces the
+size by a share of what it does to themselves are ranked by the reduction. In that order, notices are aligned
+word by word with the stretch around their name, and whole texts wherever a piece of them stands that few
+changes must leave as it is. A template is confirmed if the wording differs in nothing that names
+the license, and for whole texts in few words; the differences are part of the result. All that is
+confirmed stands; where places of several licenses overlap, the fewest differences decide. Notices of
+three words or fewer are too short to be compressed; nothing of them may differ, so they are looked up.
 
 Templates are short notices, made by rule from names and phrasings, and whole texts and
-headers. Of short notices (three words or fewer, as `License: MIT` or `GPLv3`) nothing may
-differ. Each id of an SPDX expression is a finding; a notice after `not` or `never`, or with
+headers. Each id of an SPDX expression is a finding; a notice after `not` or `never`, or with
 one of them among its differences, is none. Spans are code points of the text, end exclusive. Defined cases: null and empty
 texts have no findings; each finding of a repeated row is repeated; a line that confirms
 several licenses has a row for each; a span goes from the first to the last word that
@@ -22,8 +24,10 @@ from __future__ import annotations
 
 import difflib
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from itertools import groupby
 
 import pyarrow as pa
 import zstandard
@@ -86,8 +90,10 @@ _SENTENCE = re.compile(r"[^.!?]*(?:[.!?](?!\s|$)[^.!?]*)*[.!?]*\s*")
 #: Words that take a notice back, when among the differences or right before it; what may stand between the ids of an SPDX expression.
 _NOT, _JOINTS = {"not", "never", "nor", "cannot", "neither"}, {"or", "and", "with"}
 _SPDX = "spdx-license-identifier"
-#: Share of words that may differ in whole texts, share of a block that a notice must save.
+#: Share of words that may differ in whole texts; share of what a dictionary saves of its own templates that it must save of a window.
 MAX_DIFFER, MIN_SAVED = 0.1, 0.2
+#: Words of a notice in which nothing may differ, words around a notice that it is aligned with, and words of an SPDX expression before an id.
+SHORT_WORDS, STRETCH, EXPRESSION = 3, 8, 64
 #: Lines from one cue to the next of a run, and at most taken around it.
 RUN_GAP = 5
 
@@ -227,25 +233,71 @@ class Whole:
         return out
 
 
+def sized(text: str) -> zstandard.ZstdCompressionDict:
+    return zstandard.ZstdCompressionDict(text.encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+
+
+class Cover:
+    """Places that are taken, as sorted intervals that do not touch."""
+
+    def __init__(self):
+        self.starts: list[int] = []
+        self.ends: list[int] = []
+
+    def meets(self, a: int, b: int) -> bool:
+        k = bisect_right(self.ends, a)
+        return k < len(self.starts) and self.starts[k] < b
+
+    def add(self, a: int, b: int) -> None:
+        i, j = bisect_left(self.ends, a), bisect_right(self.starts, b)
+        if i < j:
+            a, b = min(a, self.starts[i]), max(b, self.ends[j - 1])
+        self.starts[i:j], self.ends[i:j] = [a], [b]
+
+
 class Scanner:
     def __init__(self, known: list[Template] | None = None, level: int = 3):
         self.known = templates() if known is None else known
+        self.level = level
         self.plain = zstandard.ZstdCompressor(level=level, write_content_size=False)
-        self.given = []
-        for t in self.known:
-            d = zstandard.ZstdCompressionDict(t.text.encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-            self.given.append(zstandard.ZstdCompressor(level=level, dict_data=d, write_content_size=False))
         self.words = [t.words for t in self.known]
+        self.given = [self.with_dictionary(t.text) for t in self.known]
         self.whole = {i: Whole(self.words[i]) for i, t in enumerate(self.known) if not t.name}
-        self.by_name: dict[tuple[str, ...], list[int]] = {}
+        by_name: dict[tuple[str, ...], list[int]] = {}
+        self.short: dict[tuple[str, ...], list[int]] = {}
         for i, t in enumerate(self.known):
-            if t.name:
-                self.by_name.setdefault(t.name, []).append(i)
-        self.name_sizes = sorted({len(n) for n in self.by_name})
-        self.joints = _JOINTS | {w for n in self.by_name if len(n) == 1 for w in n}
-        self.longest = max((3 * len(self.words[i]) + 8 for i, t in enumerate(self.known) if t.name), default=0)
+            if t.name and len(self.words[i]) > SHORT_WORDS:
+                by_name.setdefault(t.name, []).append(i)
+            elif t.name:  # of an SPDX expression each id is looked up
+                self.short.setdefault(tuple(self.words[i][self.words[i][0] == _SPDX :]), []).append(i)
+        #: (templates, compressor with all of them as dictionary, least reduction) of each name, and of each whole text.
+        self.notices_of = [(g, *self.dictionary(g)) for g in by_name.values()]
+        self.texts_of = [([i], *self.dictionary([i])) for i in self.whole]
+        self.joints = _JOINTS | {w for t in self.known if len(t.name) == 1 for w in t.name}
+        longest = lambda which: max((len(self.words[i]) for i in which), default=0)
+        self.notice_window = 2 * (2 * longest(i for g in by_name.values() for i in g) + STRETCH)
+        self.text_window = 4 * longest(self.whole)
         self.seen: dict[str, list] = {}
 
+    def with_dictionary(self, text: str) -> zstandard.ZstdCompressor:
+        return zstandard.ZstdCompressor(level=self.level, dict_data=sized(text), write_content_size=False)
+
+    def dictionary(self, group: list[int]) -> tuple[zstandard.ZstdCompressor, float]:
+        """Their texts as one dictionary, and the least reduction of a window that may hold one of them."""
+        made = self.with_dictionary(" ".join(self.known[i].text for i in group))
+        own = [self.reduction(self.known[i].text.encode(), made) for i in group]
+        return made, MIN_SAVED * min(own)
+
+    def reduction(self, raw: bytes, given: zstandard.ZstdCompressor, alone: int | None = None) -> int:
+        return (len(self.plain.compress(raw)) if alone is None else alone) - len(given.compress(raw))
+
+    def chosen(self, window: str, groups: list) -> list[list[int]]:
+        """Templates of the groups whose dictionary reduces the window enough, those of the greatest reduction first."""
+        raw = window.encode("utf-8", "surrogatepass")
+        alone = len(self.plain.compress(raw))
+        saved = [(self.reduction(raw, made, alone), least, k) for k, (_, made, least) in enumerate(groups)]
+        return [groups[k][0] for r, least, k in sorted(saved, key=lambda s: (-s[0], s[2])) if r >= least]
+
     def saved(self, block: str, which: Iterable[int]) -> list[tuple[float, int]]:
         """(share saved, template) of each of these templates."""
         raw = block.encode("utf-8", "surrogatepass")
@@ -256,32 +308,40 @@ class Scanner:
         """(share saved, template) of those that save enough, most first."""
         return sorted((s for s in self.saved(block, range(len(self.known))) if s[0] >= MIN_SAVED), key=lambda s: (-s[0], s[1]))
 
+    @staticmethod
+    def windows(first: int, last: int, size: int) -> Iterator[tuple[int, int]]:
+        """Windows of so many words, each beginning in the middle of the one before."""
+        step = max(1, size // 2)
+        for at in range(first, max(first + 1, last - step), step):
+            yield at, min(last, at + size)
+
     def notices(self, block: str, at: list[tuple[int, int]], words: list[str], first: int, last: int) -> list[tuple]:
         """As judge, with places in words: among words first to last, and among what confirmed ones leave."""
-        part = words[first:last]
-        if not part or len(part) > self.longest:
-            return []
-        stand = {tuple(part[k : k + n]) for n in self.name_sizes for k in range(len(part) - n + 1)}
-        named = sorted(i for name in stand for i in self.by_name.get(name, ()) if len(part) <= 3 * len(self.words[i]) + 8)
-        if not named:
+        if first >= last:
             return []
-        text = block if len(part) == len(words) else block[at[first][0] : at[last - 1][1]]
         found = []
-        for saved, i in self.saved(text, named):
-            t, n = self.known[i], len(self.known[i].name)
-            if saved < MIN_SAVED and part != self.words[i]:  # a block that is one short name is too small to be compressed
-                continue
-            differ, a, b = differences(part, self.words[i])
-            before = words[max(0, first + a - 2) : first + a]
-            if {d[1:] for d in differ if d[0] == "+"} & _NOT or _NOT & set(before) or before[-1:] == ["t"] or before == ["no", "longer"]:
-                continue  # as in: not licensed under, isn't released under
-            if self.words[i][0] == _SPDX and a < b and part[a] == _SPDX and all(d[0] == "+" and d[1:] in self.joints for d in differ):
-                a, differ = b - 1 if differ else a, []  # a further id of an expression
-            # the wording before the name may differ a little, what follows may not go on with the name
-            most = 0 if len(self.words[i]) <= 3 else max(2, len(self.words[i]) // 2)
-            if any(tuple(part[k : k + n]) == t.name for k in range(a, b - n + 1)) and len(differ) <= most:
-                found.append((t.license, a + first, b + first, saved, differ))
-        out = self.settled(found)
+        for k in range(first, last):
+            for n in range(1, min(SHORT_WORDS, last - k) + 1):
+                for i in self.short.get(tuple(words[k : k + n]), ()):
+                    before = EXPRESSION if self.words[i][0] == _SPDX else STRETCH
+                    found += self.confirmed(block, at, words, i, max(first, k - before), min(last, k + n + STRETCH))
+        for lo, hi in self.windows(first, last, self.notice_window):
+            stand: dict[str, list[int]] = {}
+            for k in range(lo, hi):
+                stand.setdefault(words[k], []).append(k)
+            for group in self.chosen(block[at[lo][0] : at[hi - 1][1]], self.notices_of):
+                name = self.known[group[0]].name
+                places = [k for k in stand.get(name[0], ()) if tuple(words[k : k + len(name)]) == name]
+                for i in group if places else ():
+                    n, off = len(self.words[i]), next(k for k in range(len(self.words[i])) if tuple(self.words[i][k : k + len(name)]) == name)
+                    stretches = sorted({(max(first, k - off - n - STRETCH), min(last, k - off + 2 * n + STRETCH)) for k in places})
+                    for a, b in stretches:
+                        found += self.confirmed(block, at, words, i, a, b)
+        denied = Cover()
+        for f in found:
+            if not f[0]:
+                denied.add(f[1], f[2])
+        out = self.settled([f for f in found if f[0] and not denied.meets(f[1], f[2])])
         if not out:
             return []
         free, more = first, []
@@ -290,13 +350,37 @@ class Scanner:
             free = max(free, b)
         return out + more + self.notices(block, at, words, free, last)
 
+    def confirmed(self, block: str, at: list[tuple[int, int]], words: list[str], i: int, first: int, last: int) -> list[tuple]:
+        """The place of a notice among words first to last, if its wording stands; without a license if it is denied."""
+        t, n, part = self.known[i], len(self.known[i].name), words[first:last]
+        differ, a, b = differences(part, self.words[i])
+        before = words[max(0, first + a - 2) : first + a]
+        # as in: not licensed under, isn't released under
+        denied = bool({d[1:] for d in differ if d[0] == "+"} & _NOT or _NOT & set(before) or before[-1:] == ["t"] or before == ["no", "longer"])
+        if self.words[i][0] == _SPDX and a < b and part[a] == _SPDX and all(d[0] == "+" and d[1:] in self.joints for d in differ):
+            a, differ = b - 1 if differ else a, []  # a further id of an expression
+        # the wording before the name may differ a little, what follows may not go on with the name
+        most = 0 if len(self.words[i]) <= SHORT_WORDS else max(2, len(self.words[i]) // 2)
+        if len(differ) > most or not any(tuple(part[k : k + n]) == t.name for k in range(a, b - n + 1)):
+            return []
+        return [("" if denied else t.license, a + first, b + first, self.saved(block[at[a + first][0] : at[b + first - 1][1]], [i])[0][0], differ)]
+
     @staticmethod
     def settled(found: list[tuple]) -> list[tuple]:
         """Of places that overlap, those of fewest differences; each license once."""
         out: list[tuple] = []
-        for f in sorted(found, key=lambda f: (len(f[4]), f[1] - f[2], -f[3])):
-            if not any(f[1] < g[2] and g[1] < f[2] and (f[0] == g[0] or len(g[4]) < len(f[4])) for g in out):
-                out.append(f)
+        fewer, of_license = Cover(), {}
+        order = sorted(found, key=lambda f: (len(f[4]), f[1] - f[2], -f[3]))
+        for _, same in groupby(order, key=lambda f: len(f[4])):
+            kept = []
+            for f in same:
+                own = of_license.setdefault(f[0], Cover())
+                if not own.meets(f[1], f[2]) and not fewer.meets(f[1], f[2]):
+                    own.add(f[1], f[2])
+                    kept.append(f)
+            for f in kept:
+                fewer.add(f[1], f[2])
+            out += kept
         return out
 
     def judge(self, block: str) -> list[tuple[str, int, int, float, list[str]]]:
@@ -314,12 +398,25 @@ class Scanner:
         """As judge, of the whole texts that stand anywhere in the text."""
         at, words = placed(text)
         found = []
-        for i, w in self.whole.items():
-            for differ, a, b in w.places(words):
+        for i, lo, hi in self.text_places(text, at, words):
+            for differ, a, b in self.whole[i].places(words[lo:hi]):
+                a, b = a + lo, b + lo
                 start, end = around(text, at[a][0], at[b - 1][1])
                 found.append((self.known[i].license, start, end, self.saved(text[start:end], [i])[0][0], differ))
         return self.settled(found)
 
+    def text_places(self, text: str, at: list[tuple[int, int]], words: list[str]) -> list[tuple[int, int, int]]:
+        """(template, first word, word after the last) of the windows that whole texts are chosen for, joined where they touch."""
+        ranges: dict[int, list[list[int]]] = {}
+        for lo, hi in self.windows(0, len(words), self.text_window):
+            for (i,) in self.chosen(text[at[lo][0] : at[hi - 1][1]], self.texts_of) if hi > lo else ():
+                mine = ranges.setdefault(i, [])
+                if mine and lo <= mine[-1][1]:
+                    mine[-1][1] = hi
+                else:
+                    mine.append([lo, hi])
+        return [(i, lo, hi) for i, mine in ranges.items() for lo, hi in mine]
+
     def scan(self, text: str | None) -> list[tuple[str, int, int, float, list[str]]]:
         """(license, start, end, share saved, differences); of places within one another, the best wording."""
         parts = blocks(text) if text else []
@@ -327,8 +424,11 @@ class Scanner:
         if parts:
             found += self.texts(text)
         out: list[tuple] = []
+        taken: dict[str, Cover] = {}
         for f in sorted(found, key=lambda f: (len(f[4]), f[1] - f[2], f[1], f[0], -f[3])):
-            if not any(f[0] == g[0] and f[1] < g[2] and g[1] < f[2] for g in out):
+            mine = taken.setdefault(f[0], Cover())
+            if not mine.meets(f[1], f[2]):
+                mine.add(f[1], f[2])
                 out.append(f)
         return sorted(out, key=lambda f: (f[1], f[2], f[0]))
 

@@ -125,3 +125,54 @@ def test_adjacent_texts_are_all_found():
 def test_several_notices_of_a_line():
     s = licenses.Scanner()
     assert sorted(f[0] for f in s.scan("Licensed under the MIT License, released under ISC License.")) == ["ISC", "MIT"]
+
+
+def test_notices_within_sentences_of_any_length():
+    """No mark ends the notice, and the words around it are of its own sentence."""
+    s, rnd = licenses.Scanner(), random.Random(9)
+    for notice, lic in [("is released under the MIT License", "MIT"), ("Copyright 2020 someone all rights reserved", "Proprietary"), ("License: ISC", "ISC"), ("Distributed under the terms of the GNU Lesser General Public License, version 2.1", "LGPL-2.1")]:
+        for n in (0, 5, 13, 14, 28, 60, 240):
+            text = f"{filler(rnd, n)[:-1]} {notice} {filler(rnd, n)[:-1]}".strip()
+            assert [f[0] for f in s.scan(text)] == [lic], text
+    assert [f[0] for f in s.scan("This tool, " + "word " * 20 + "is released under the MIT License")] == ["MIT"]
+
+
+def test_dictionaries_choose_whatever_confirms():
+    """Templates chosen by compression against all of them, over texts with changed words and several notices."""
+    s, rnd = licenses.Scanner(), random.Random(11)
+    every = licenses.Scanner()
+    every.chosen = lambda window, groups: [g for g, _, _ in groups]
+    for _ in range(40):
+        parts = []
+        for t in rnd.sample(s.known, 4):
+            w = t.text.split()
+            for _ in range(rnd.randint(0, max(0, len(w) // 12))):
+                w[rnd.randrange(len(w))] = "other"
+            parts += [filler(rnd, rnd.randint(0, 60)), " ".join(w)]
+        text = rnd.choice(["\n", " "]).join(parts)
+        got, want = ({(f[0], f[1], f[2]) for f in x.scan(text)} for x in (s, every))
+        assert got == want, text
+
+
+def test_overlaps_are_settled_as_by_all_pairs():
+    rnd = random.Random(12)
+    for _ in range(300):
+        found = [(rnd.choice("ABC"), a := rnd.randrange(60), a + rnd.randint(1, 8), rnd.random(), ["+x"] * rnd.randint(0, 2)) for _ in range(rnd.randint(0, 25))]
+        want: list = []
+        for f in sorted(found, key=lambda f: (len(f[4]), f[1] - f[2], -f[3])):
+            if not any(f[1] < g[2] and g[1] < f[2] and (f[0] == g[0] or len(g[4]) < len(f[4])) for g in want):
+                want.append(f)
+        assert licenses.Scanner.settled(found) == want
+
+
+def test_many_notices_take_time_in_proportion():
+    import time
+
+    s = licenses.Scanner()
+    took = []
+    for n in (2_000, 8_000):
+        text = "\n".join(["Released under the MIT License.", "All rights reserved.", "words of another kind"] * (n // 2))
+        begun = time.process_time()
+        assert len(s.scan(text)) == n
+        took.append(time.process_time() - begun)
+    assert took[1] < 8 * took[0]

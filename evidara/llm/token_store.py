@@ -278,17 +278,19 @@ def _writer(spec, folder: str, end_id: int):
         file, keys, sizes, without = None, [], [], 0
         name = f"{path}/shard-{number:06d}"
         gc.disable()  # what is made here has no cycles, and the kept chunks are many
-        for batch in slices(batches, 64):  # the chunks of few texts stay in the processor's cache
-            if file is None:
-                fs.create_dir(path)
-                file = fs.open_output_stream(f"{name}.ids.{attempt}")
-                file.write(_IDS + bytes([width, 0]) + b"\0" * 8)
-            without += batch.column("doc_id").null_count
-            keys.append(batch.column("doc_id").drop_null().to_numpy())
-            for ids in encoder.encode_all(batch.column("text").to_pylist()):
-                file.write(ids + end)
-                sizes.append(len(ids) // width + 1)
-        gc.enable()
+        try:
+            for batch in slices(batches, 64):  # the chunks of few texts stay in the processor's cache
+                if file is None:
+                    fs.create_dir(path)
+                    file = fs.open_output_stream(f"{name}.ids.{attempt}")
+                    file.write(_IDS + bytes([width, 0]) + b"\0" * 8)
+                without += batch.column("doc_id").null_count
+                keys.append(batch.column("doc_id").drop_null().to_numpy())
+                for ids in encoder.encode_all(batch.column("text").to_pylist()):
+                    file.write(ids + end)
+                    sizes.append(len(ids) // width + 1)
+        finally:
+            gc.enable()
         if file is None:
             return
         file.close()
@@ -384,7 +386,7 @@ def read_token_files(folder: str, manifest: DataFrame, keys: DataFrame, key: str
         return pa.Table.from_arrays([pa.array(list(c), pa.int64()) for c in zip(*got)] if got else [pa.array([], pa.int64())] * 4, schema=schema)
 
     k = keys.select(F.col(key).cast("long").alias("key"))
-    some = k.filter("key is not null").withColumns({"low": first_place("key"), "high": last_place("key")}).filter("low <= high")
+    some = k.filter("key is not null").distinct().withColumns({"low": first_place("key"), "high": last_place("key")}).filter("low <= high")
     some = some.select("key", F.explode(F.sequence("low", "high")).alias("place"))  # one place, but for keys that fill a shard
     none = k.filter("key is null").limit(1).select("key", F.explode(F.array(*(F.lit(-1 - n) for n in without)).cast("array<long>")).alias("place"))
     return some.unionByName(none).groupBy("place").applyInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")

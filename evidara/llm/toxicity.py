@@ -21,9 +21,11 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_right
 from collections import Counter, defaultdict
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from itertools import accumulate
 
 import ahocorasick
 import numpy as np
@@ -74,6 +76,15 @@ class Model:
     coefficients: tuple[float, ...] = (-3.0, 1.0, 0.5, 0.5)
 
 
+def outside(found: list[tuple[int, int, float]], shields: list[tuple[int, int]]) -> list[tuple[int, int, float]]:
+    """Places that lie within none of the shields: of those that begin before a place, the one that ends last tells."""
+    if not shields:
+        return found
+    shields.sort()
+    starts, ends = [a for a, _ in shields], list(accumulate((b for _, b in shields), max))
+    return [f for f in found if not (k := bisect_right(starts, f[0])) or ends[k - 1] < f[1]]
+
+
 class Matcher:
     def __init__(self, model: Model):
         self.model = model
@@ -103,9 +114,7 @@ class Matcher:
                     shields.append((a, b))
                 elif start or b == n or not folded[b].isalpha():
                     found.append((a, b, w))
-        if shields:
-            found = [f for f in found if not any(a <= f[0] and f[1] <= b for a, b in shields)]
-        return found
+        return outside(found, shields)
 
     def features(self, text: str | None) -> tuple[float, float, float]:
         folded = fold(text)
@@ -156,7 +165,7 @@ def ranked_terms(counted: DataFrame, bad: int, good: int) -> DataFrame:
     return d.orderBy(F.desc("evidence"), "start", F.desc(F.length("term")), F.desc("term")).select("term", "start", "bad", "ratio")
 
 
-def choose_terms(ranked: Iterable[tuple[str, bool, int, float]], base: dict[str, tuple[int, int]], bad: int, good: int, most: int = 400) -> dict[tuple[str, bool], float]:
+def choose_terms(ranked: Iterable[tuple[str, bool, int, float]], base: dict[str, tuple[int, int]], bad: int, good: int, most: int) -> dict[tuple[str, bool], float]:
     """Weights of the first entries of ranked_terms' rows of which none says the same as one before it, and of the fixed list.
 
     most bounds the lexicon; rows are taken until it is full, so there may be any number of
@@ -198,10 +207,11 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
     return w
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_fit_docs: int = 8000) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, max_fit_docs: int = 8000, max_terms: int = 400) -> Model:
     """A model of docs (doc_id, text) and labels (doc_id, toxic), of ids outside fold 0 only.
 
-    max_fit_docs bounds the labelled documents that are read for it.
+    max_fit_docs bounds the labelled documents that are read for it, max_terms the learned entries of
+    the lexicon, of most evidence first.
     """
     spark = docs.sparkSession
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).dropna().filter(fold_of("doc_id") != 0).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
@@ -218,7 +228,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_fit_docs: int = 8000) -> Model:
     counted = texts.select("text", "toxic").mapInArrow(_term_counts, "term string, start boolean, bad long, good long").groupBy("term", "start").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
     counted = materialize(counted, "terms")
     base = {r["term"]: (r["bad"], r["good"]) for r in counted.filter(F.col("start") & F.col("term").isin([t[:8] for t in BASE_TERMS])).collect()}
-    model = Model(choose_terms(map(tuple, ranked_terms(counted, bad, good).toLocalIterator()), base, bad, good))
+    model = Model(choose_terms(map(tuple, ranked_terms(counted, bad, good).toLocalIterator()), base, bad, good, max_terms))
     sent = spark.sparkContext.broadcast(model)
 
     def featured(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

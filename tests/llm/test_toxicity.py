@@ -104,3 +104,25 @@ def test_no_labels_empty_and_clashing_columns(spark):
     kept = toxicity.drop_toxic(d, none)
     assert kept.columns == d.columns
     assert [r.doc_id for r in kept.collect()] == [2]
+
+
+def test_places_within_exceptions_equal_all_pairs():
+    import random
+
+    rnd = random.Random(3)
+    for _ in range(400):
+        places = [(a := rnd.randrange(40), a + rnd.randint(1, 6), 1.0) for _ in range(rnd.randint(0, 12))]
+        shields = [(a := rnd.randrange(40), a + rnd.randint(1, 9)) for _ in range(rnd.randint(0, 8))]
+        assert toxicity.outside(places, list(shields)) == [f for f in places if not any(a <= f[0] and f[1] <= b for a, b in shields)]
+
+
+def test_a_long_text_of_exceptions_takes_time_in_proportion():
+    import time
+
+    model = toxicity.Model({("trash", True): 2.0}, ("trash can",))
+    matcher, took = toxicity.Matcher(model), []
+    for n in (50_000, 200_000):
+        begun = time.process_time()
+        assert matcher.matches("trash can " * n) == [] and matcher.features("trash can " * n + "trash")[0] == 2.0
+        took.append(time.process_time() - begun)
+    assert took[1] < 8 * took[0]

@@ -6,7 +6,9 @@ import hashlib
 import math
 import re
 import unicodedata
+from collections import Counter
 from collections.abc import Sequence
+from functools import lru_cache
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -93,13 +95,21 @@ def parsed_page(html: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([parse_page(h) for h in html], columns=["status", "title", "lang", "links", "text"])
 
 
+@lru_cache(1 << 17)
+def _signed_bucket(token: str) -> tuple[int, float]:
+    h = hashlib.sha256(token.encode("utf-8", "surrogatepass")).digest()
+    return int.from_bytes(h[:4], "big"), 1.0 if h[4] & 1 else -1.0
+
+
 def hash_embedding(text: str | None, dims: int = 32) -> list[float]:
     """Characters and pairs of characters, hashed to signed buckets, as a unit vector rounded to 6 places."""
     v = [0.0] * dims
     t = (text or "").lower()
-    for token in [*t, *(t[i : i + 2] for i in range(len(t) - 1))]:
-        h = hashlib.sha256(token.encode("utf-8", "surrogatepass")).digest()
-        v[int.from_bytes(h[:4], "big") % dims] += 1.0 if h[4] & 1 else -1.0
+    tokens = Counter(t)
+    tokens.update(map(str.__add__, t, t[1:]))
+    for token, n in tokens.items():
+        bucket, sign = _signed_bucket(token)
+        v[bucket % dims] += sign * n
     n = math.sqrt(sum(x * x for x in v)) or 1.0
     return [round(x / n, 6) for x in v]
 

@@ -100,8 +100,21 @@ def by_postings(df: DataFrame, postings: DataFrame, key: str, column: str, phras
     return df.join(have, key, "left_semi").filter(F.lower(column).contains(phrase.lower()))
 
 
+def chunk_array(text: Column, size: int = 900, stride: int = 780) -> Column:
+    """The overlapping chunks of a text, in one pass over it: pieces of stride characters, each with the head of the next."""
+    if size > 2 * stride:
+        raise ValueError("a chunk reaches into the next piece only")
+    pieces = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{stride}}}"), F.lit(0))
+    n = F.greatest(F.ceil((F.length(text) - (size - stride)) / F.lit(stride)).cast("int"), F.lit(1))
+    pairs = F.arrays_zip(pieces.alias("piece"), F.concat(F.slice(pieces, 2, F.size(pieces)), F.array(F.lit(""))).alias("next"))
+    joined = F.transform(F.slice(pairs, F.lit(1), n), lambda p: F.concat(p["piece"], F.substring(p["next"], 1, size - stride)))
+    return F.when(F.length(text) > stride, joined).otherwise(F.array(text))
+
+
 def fixed_chunks(df: DataFrame, key: str, column: str, size: int = 900, stride: int = 780) -> DataFrame:
-    """Overlapping chunks of whole texts: parent, chunk_index, content, and `parent#chunk-i` as citation."""
-    n = F.greatest(F.ceil((F.length(column) - (size - stride)) / F.lit(stride)).cast("int"), F.lit(1))
-    c = df.select("*", F.explode(F.sequence(F.lit(0), n - 1)).alias("chunk_index"))
-    return c.withColumn("chunk", F.substring(F.col(column), F.col("chunk_index") * stride + 1, F.lit(size))).withColumn("citation", F.concat(F.col(key).cast("string"), F.lit("#chunk-"), F.col("chunk_index").cast("string")))
+    """Overlapping chunks of whole texts: chunk_index, chunk, and `key#chunk-i` as citation.
+
+    The text itself is carried along only where it is asked for.
+    """
+    c = df.select("*", F.posexplode(chunk_array(F.col(column), size, stride)).alias("chunk_index", "chunk"))
+    return c.withColumn("citation", F.concat(F.col(key).cast("string"), F.lit("#chunk-"), F.col("chunk_index").cast("string")))

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import contains_fold, count_of, snippet, spanning
 from ..operators.filters import bounded_limit, message_filter
-from ..operators.lexical import B, K1, LEAST_IDF, bm25, trigrams
+from ..operators.lexical import B, K1, LEAST_IDF, bm25, chunk_array, trigrams
 from ..operators.lexical_index import LexicalIndex
 from ..operators.ranking import feature_score, rerank_head, top_vectors
 from ..operators.windows import episodes
@@ -149,16 +149,15 @@ def _hits(corpus: Corpus, filters: Column, queries: Sequence[str]) -> DataFrame:
     A row is met once for each query, if it is a message, and once for each of its chunks.
     """
     rows = corpus.index.narrowed(corpus.evidence.filter(filters), queries)
-    n = F.greatest(F.ceil((F.length(_text("content")) - (CHUNK - STRIDE)) / F.lit(STRIDE)).cast("int"), F.lit(1))
-    first = F.when(F.col("source_type") == corpus.messages, -len(queries)).otherwise(0)
-    met = rows.select("citation", "at", *(_text(f).alias(f) for f in _FIELDS), F.explode(F.sequence(first, n - 1)).alias("k"))
+    whole = F.when(F.col("source_type") == corpus.messages, F.transform(F.sequence(F.lit(-len(queries)), F.lit(-1)), lambda k: F.struct(k.alias("k"), _text("content").alias("text"))))
+    chunks = F.transform(chunk_array(_text("content"), CHUNK, STRIDE), lambda c, i: F.struct(i.alias("k"), c.alias("text")))
+    parts = F.concat(F.coalesce(whole, F.array().cast("array<struct<k:int,text:string>>")), chunks)
+    met = rows.select("citation", "at", *(_text(f).alias(f) for f in _FIELDS if f != "content"), F.inline(parts))
     k, total = F.col("k"), lambda parts: reduce(lambda a, b: a + b, parts)
-    text = F.when(k < 0, F.col("content")).otherwise(F.substring("content", k * STRIDE + 1, F.lit(CHUNK)))
-    met = met.withColumn("text", text)
     q = queries[0]
     tf = total([count_of(F.col("text" if f == "content" else f), q) * w for f, w in CHUNK_WEIGHTS.items()])
     for i, other in enumerate(queries):
-        tf = F.when(k == -1 - i, total([count_of(F.col(f), other) for f in _FIELDS]).cast("double")).otherwise(tf)
+        tf = F.when(k == -1 - i, total([count_of(F.col("text" if f == "content" else f), other) for f in _FIELDS]).cast("double")).otherwise(tf)
     size = trigrams(F.col("text")) + trigrams(F.col("title")) + trigrams(F.col("actor"))
     found = met.select("citation", "at", "text", "title", "k", tf.alias("tf"), size.cast("long").alias("len")).filter("tf > 0")
     tier = F.when(k < 0, 0).when(contains_fold(F.col("title"), q), 0).when(contains_fold(F.col("text"), q), 1).otherwise(2)

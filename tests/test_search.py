@@ -152,3 +152,17 @@ def test_kept_index_is_made_once_for_the_same_files(spark, tmp_path):
     with pytest.raises(ValueError):
         three.candidates("ab")
     assert three.live().agg(F.count("*")).first()[0] == 3
+
+
+def test_chunks_are_those_of_the_rule(spark):
+    from evidara.operators.lexical import fixed_chunks
+
+    rnd = __import__("random").Random(2)
+    texts = [None, "", "a", *("".join(rnd.choice("ab\n é😀") for _ in range(n)) for n in (119, 120, 779, 780, 781, 899, 900, 901, 1559, 1560, 1561, 1680, 1681, 5000))]
+    df = spark.createDataFrame(list(enumerate(texts)), "i long, t string")
+    got = {}
+    for r in fixed_chunks(df, "i", "t").collect():
+        got.setdefault(r.i, {})[r.chunk_index] = (r.chunk, r.citation)
+    for i, t in enumerate(texts):
+        n = max(1, -(-(len(t or "") - 120) // 780))
+        assert got[i] == {k: (None if t is None else t[k * 780 : k * 780 + 900], f"{i}#chunk-{k}") for k in range(n)}, i

@@ -66,11 +66,14 @@ def _postings(fields: Sequence[str]):
 class LexicalIndex:
     """The index of rows (key, and texts in fields) under a folder that driver and executors share."""
 
-    def __init__(self, spark: SparkSession, root: str, key: str, fields: Sequence[str]):
-        self.spark, self.root, self.key, self.fields = spark, root.rstrip("/"), key, list(fields)
+    def __init__(self, spark: SparkSession, root: str, key: str, fields: Sequence[str], pinned: Sequence[int] | None = None):
+        """pinned names the segments that are read, whatever the folder has: those of one version of a store."""
+        self.spark, self.root, self.key, self.fields, self.pinned = spark, root.rstrip("/"), key, list(fields), pinned
 
     def segments(self) -> list[int]:
         """Numbers of the whole segments; one is named once all of it is written."""
+        if self.pinned is not None:
+            return sorted(self.pinned)
         try:
             rows = self.spark.read.schema("segment long, first long").parquet(f"{self.root}/_segments").collect()
         except Exception as e:
@@ -84,7 +87,12 @@ class LexicalIndex:
         self.spark.createDataFrame([(segment, first)], "segment long, first long").coalesce(1).write.mode("append").parquet(f"{self.root}/_segments")
 
     def _write(self, rows: DataFrame, dropped: DataFrame | None, first: int | None = None) -> int:
-        n = max(self.segments(), default=0) + 1
+        n = self.segment(max(self.segments(), default=0) + 1, rows, dropped)
+        self._named(n, n if first is None else first)
+        return n
+
+    def segment(self, n: int, rows: DataFrame, dropped: DataFrame | None = None) -> int:
+        """Writes a segment, which is part of the index once it is named."""
         place = f"{self.root}/segment-{n}"
         lengths = [F.coalesce(F.length(f), F.lit(0)).cast("long").alias(f"len_{f}") for f in self.fields]
         known = rows.select(F.col(self.key).alias("key"), *lengths, F.lit(False).alias("dropped"))
@@ -96,7 +104,6 @@ class LexicalIndex:
         low = rows.select(F.col(self.key).alias("key"), *(F.lower(f).alias(f) for f in self.fields))
         made = low.mapInArrow(_postings(self.fields), f"bucket int, gram long, n int, keys array<{kind}>")
         self._dealt(made).sortWithinPartitions("bucket", "gram").write.mode("overwrite").partitionBy("bucket").parquet(f"{place}/postings")
-        self._named(n, n if first is None else first)
         return n
 
     def build(self, rows: DataFrame) -> None:

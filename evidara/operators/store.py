@@ -92,13 +92,22 @@ class Part(NamedTuple):
 
 
 class Table(NamedTuple):
-    """place names the column that is the number of a row's part, one of the keys; without it, the hash of the keys is."""
+    """place names the column that is the number of a row's part, one of the keys, or after a # the key
+    columns whose hash tells the part; without it, the hash of all keys does."""
 
     keys: list[str]
     schema: str
     parts: dict[int, Part]
     place: str = ""
 
+    @property
+    def hashed(self) -> list[str]:
+        return self.place[1:].split(",") if self.place.startswith("#") else self.keys
+
+    @property
+    def numbered(self) -> bool:
+        return bool(self.place) and not self.place.startswith("#")
+
 
 class Change(NamedTuple):
     """What a commit does to a table: rows put in (one for each key), keys (in any columns more) taken out."""
@@ -135,6 +144,15 @@ class Version:
         t = self.tables.get(table)
         return self.store._rows(table, t, sorted(t.parts)) if t else None
 
+    def lookup(self, table: str, keys: DataFrame) -> DataFrame | None:
+        """Rows whose hashed columns are among keys: reads the parts that these lie in, and no others."""
+        t = self.tables.get(table)
+        if t is None or not t.parts:
+            return self.read(table)
+        keys = keys.select(*t.hashed).distinct()
+        slots = [r[0] for r in self.store._routed(keys, t, sorted(t.parts)).select("__slot").distinct().collect()]
+        return self.part(table, slots).join(keys, t.hashed, "left_semi")
+
     def part(self, table: str, slots: Sequence[int]) -> DataFrame:
         t = self.tables[table]
         return self.store._rows(table, t, [s for s in slots if s in t.parts])
@@ -175,9 +193,9 @@ class Store:
 
     def _routed(self, df: DataFrame, t: Table, slots: Sequence[int]) -> DataFrame:
         """df with __hash and __slot, the slot of each row among those of a table."""
-        if t.place:
+        if t.numbered:
             return df.withColumn("__hash", F.lit(0).cast("long")).withColumn("__slot", F.col(t.place).cast("long"))
-        keys = t.keys
+        keys = t.hashed
         low = F.xxhash64(*keys).bitwiseAND(F.lit((1 << HASH_BITS) - 1))
         df = df.withColumn("__hash", low)
         depth = max(s.bit_length() - 1 for s in slots)
@@ -228,7 +246,7 @@ class Store:
         rows = kept.select("__slot", "__hash", *columns).unionByName(written.filter("not __gone").select("__slot", "__hash", "__new.*"))
         into = {}
         for slot, more in growth.items():
-            if t.place:
+            if t.numbered:
                 continue
             size = more + (t.parts[slot].rows if slot in t.parts else 0)
             depth = slot.bit_length() - 1
@@ -250,41 +268,45 @@ class Store:
 
     def commit(
         self, plan: Mapping[str, Change] | Callable[[Version], Mapping[str, Change]], keys: Mapping[str, Sequence[str]] | None = None,
-        places: Mapping[str, str] | None = None, reads: Sequence[str] = (), once: tuple[str, int] | None = None, attach: Mapping[str, object] | None = None, attempts: int = 50,
+        places: Mapping[str, str] | None = None, reads: Sequence[str] = (), once: tuple[str, int] | None = None,
+        attach: Callable[[Version], Mapping[str, object]] | None = None, attempts: int = 50,
     ) -> Commit:
         """Changes tables together. A plan that depends on what is there is a function of the version.
 
         keys and places: the key columns, and the column that is the part, of tables that are new. reads: tables that the plan depends on as a whole,
         so that any change of them makes it run again. once: a name and a number that rises; a
         commit whose number is not above the last one of its name is a replay and does nothing.
-        attach: values to be held by name beside the tables (None takes one away).
+        attach: after the plan, values to be held by name beside the tables (None takes one away);
+        another commit that attaches makes it run again.
         """
-        base, made = self.version(), {}
+        base, made, values = self.version(), {}, {}
         for _ in range(attempts):
             if once and base.marks.get(once[0], -1) >= once[1]:
                 return Commit(base.number, {}, {})
-            if not made:
+            if not made and not values:
                 changes = plan(base) if callable(plan) else plan
                 made = {n: self._stage(base, n, c, (keys or {}).get(n, ()), (places or {}).get(n, "")) for n, c in changes.items() if c.upserts is not None or c.deletes is not None}
+                values = dict(attach(base)) if attach else {}
+                before = base.attached
                 seen = {n: base.tables[n].parts if n in base.tables else None for n in reads}
             counts = {n: s.counts for n, s in made.items()}
             writes = {n: s for n, s in made.items() if s.parts or s.replaced}
-            if not writes and not attach and not once:
+            if not writes and not values and not once:
                 return Commit(base.number, counts, {})
             n = base.number + 1
             tables = dict(base.tables)
             for name, s in writes.items():
                 parts = {k: p for k, p in (tables[name].parts if name in tables else {}).items() if k not in s.replaced}
                 tables[name] = s.table._replace(parts={**parts, **{k: p._replace(version=n) for k, p in s.parts.items()}})
-            attached = {k: v for k, v in {**base.attached, **(attach or {})}.items() if v is not None}
+            attached = {k: v for k, v in {**base.attached, **values}.items() if v is not None}
             if self._put(Version(self, n, tables, {**base.marks, **({once[0]: once[1]} if once else {})}, attached)):
                 return Commit(n, counts, {name: sorted(s.parts) for name, s in writes.items()})
             base = self.version()
-            if not self._holds(base, made, seen):
+            if not self._holds(base, made, seen) or values and base.attached != before:
                 for name, s in made.items():
                     for folder in {p.folder for p in s.parts.values()}:
                         delete(self.spark, f"{self.root}/data/{name}/{folder}")
-                made = {}
+                made, values = {}, {}
         raise RuntimeError(f"{attempts} other commits came first")
 
     def _holds(self, newer: Version, made: Mapping[str, _Staged], seen: Mapping[str, dict | None]) -> bool:
@@ -300,7 +322,7 @@ class Store:
             if s.table.parts and s.parts.keys() | s.replaced.keys():
                 changed = {k for k in now.keys() | s.table.parts.keys() if now.get(k) != s.table.parts.get(k)}
                 mine = s.parts.keys() | s.replaced.keys()
-                if changed & mine if s.table.place else any(_overlaps(a, b) for a in changed for b in mine):
+                if changed & mine if s.table.numbered else any(_overlaps(a, b) for a in changed for b in mine):
                     return False
         return True
 

@@ -119,43 +119,45 @@ class VectorStore:
     def apply(self, upserts: DataFrame, deletes: DataFrame | None = None, once: tuple[str, int] | None = None) -> Commit:
         """A delta of rows like those of build, one for each key, and of keys that go. Counts are those of the ledger."""
         upserts = settled(upserts.withColumn("vector", F.col("vector").cast("array<double>")), "delta")
-
-        def plan(v: Version) -> dict[str, Change]:
-            if "cells" not in v.tables:
-                raise ValueError("the store has not been built")
-            ledger = v.read("ledger").withColumnRenamed("cell", "old_cell")
-            held = v.read("cells").orderBy("cell").toArrow()
-            centers = matrix(held.column("center"))
-            known = upserts.join(ledger.withColumnRenamed("content_hash", "old_hash"), "key", "left")
-            fresh = known.filter(~F.col("content_hash").eqNullSafe(F.col("old_hash"))).drop("old_hash")
-            placed = settled(self._placed(fresh, centers), "placed")
-            columns = [f for f in v.read("vectors").columns]
-            left = placed.filter("old_cell <> cell").select(F.col("old_cell").alias("cell"), "key")
-            gone = None
-            if deletes is not None:
-                gone = settled(deletes.select("key").distinct().join(upserts.select("key"), "key", "left_anti").join(ledger, "key"), "gone")
-                left = left.unionByName(gone.select(F.col("old_cell").alias("cell"), "key"))
-            entered = self._statistics(placed, centers).drop("center")
-            out = placed.filter("old_cell is not null").select(F.col("old_cell").alias("cell"))
-            out = (out if gone is None else out.unionByName(gone.select(F.col("old_cell").alias("cell")))).groupBy("cell").agg(F.count("*").alias("out"))
-            now = v.read("cells").join(entered.select("cell", *(F.col(c).alias(f"new_{c}") for c in ("least", "low", "high", "n"))), "cell", "left").join(out, "cell", "left")
-            now = now.filter("new_n is not null or out is not null")
-            empty = F.col("n") == 0  # of which the range of norms says nothing
-            wide = now.select(
-                "cell",
-                "center",
-                F.when(empty, F.col("new_least")).otherwise(F.least("least", "new_least")).alias("least"),
-                F.when(empty, F.col("new_low")).otherwise(F.least("low", "new_low")).alias("low"),
-                F.when(empty, F.col("new_high")).otherwise(F.greatest("high", "new_high")).alias("high"),
-                (F.col("n") + F.coalesce("new_n", F.lit(0)) - F.coalesce("out", F.lit(0))).alias("n"),
-            )
-            return {
-                "vectors": Change(placed.select(*columns), left),
-                "ledger": Change(placed.select("key", "content_hash", "cell"), None if gone is None else gone.select("key")),
-                "cells": Change(wide),
-            }
-
-        return self.store.commit(plan, reads=["ledger", "cells"], once=once)
+        return self.store.commit(lambda v: self.changes(v, upserts, deletes), reads=["ledger", "cells"], once=once)
+
+    def changes(self, v: Version, upserts: DataFrame, deletes: DataFrame | None = None, vector: Column | None = None) -> dict[str, Change]:
+        """What a delta does to the tables, for commits with other tables; vector is worked out of rows that are new or changed only."""
+        if "cells" not in v.tables:
+            raise ValueError("the store has not been built")
+        asked = upserts.select("key") if deletes is None else upserts.select("key").unionByName(deletes.select("key"))
+        ledger = v.lookup("ledger", asked).withColumnRenamed("cell", "old_cell")
+        held = v.read("cells").orderBy("cell").toArrow()
+        centers = matrix(held.column("center"))
+        known = upserts.join(ledger.withColumnRenamed("content_hash", "old_hash"), "key", "left")
+        fresh = known.filter(~F.col("content_hash").eqNullSafe(F.col("old_hash"))).drop("old_hash")
+        fresh = fresh if vector is None else fresh.withColumn("vector", vector)
+        placed = settled(self._placed(fresh, centers), "placed")
+        columns = [f for f in v.read("vectors").columns]
+        left = placed.filter("old_cell <> cell").select(F.col("old_cell").alias("cell"), "key")
+        gone = None
+        if deletes is not None:
+            gone = settled(deletes.select("key").distinct().join(upserts.select("key"), "key", "left_anti").join(ledger, "key"), "gone")
+            left = left.unionByName(gone.select(F.col("old_cell").alias("cell"), "key"))
+        entered = self._statistics(placed, centers).drop("center")
+        out = placed.filter("old_cell is not null").select(F.col("old_cell").alias("cell"))
+        out = (out if gone is None else out.unionByName(gone.select(F.col("old_cell").alias("cell")))).groupBy("cell").agg(F.count("*").alias("out"))
+        now = v.read("cells").join(entered.select("cell", *(F.col(c).alias(f"new_{c}") for c in ("least", "low", "high", "n"))), "cell", "left").join(out, "cell", "left")
+        now = now.filter("new_n is not null or out is not null")
+        empty = F.col("n") == 0  # of which the range of norms says nothing
+        wide = now.select(
+            "cell",
+            "center",
+            F.when(empty, F.col("new_least")).otherwise(F.least("least", "new_least")).alias("least"),
+            F.when(empty, F.col("new_low")).otherwise(F.least("low", "new_low")).alias("low"),
+            F.when(empty, F.col("new_high")).otherwise(F.greatest("high", "new_high")).alias("high"),
+            (F.col("n") + F.coalesce("new_n", F.lit(0)) - F.coalesce("out", F.lit(0))).alias("n"),
+        )
+        return {
+            "vectors": Change(placed.select(*columns), left),
+            "ledger": Change(placed.select("key", "content_hash", "cell"), None if gone is None else gone.select("key")),
+            "cells": Change(wide),
+        }
 
     def _placed(self, rows: DataFrame, centers: np.ndarray) -> DataFrame:
         """Rows with the cell of the nearest centre, the cosine with it, and the norm."""

@@ -166,3 +166,35 @@ def customer_sections(spark, d):
     section = F.when(F.col("o_totalprice") > 200_000, "large").when(F.col("o_orderstatus") == "O", "open").otherwise("other")
     o = S.raw(spark, d, "orders").select(F.col("o_custkey").alias("c_custkey"), section.alias("section"), "o_orderkey", "o_orderdate")
     return newest_k(o, ["c_custkey", "section"], 5, F.desc("o_orderdate"), F.asc("o_orderkey")).drop("o_orderdate")
+
+
+#: Needles of four sorts, each asked of the people of a nation only: a remark, a nickname, the end of a name, and two words of different identifiers.
+MANY = """(SELECT n_nationkey AS nation, 'Building ' || n_nationkey AS needle FROM nation UNION ALL SELECT n_nationkey, 'SUP  ' || n_nationkey FROM nation
+ UNION ALL SELECT c_nationkey, right(c_name, 3) FROM customer WHERE c_custkey % 20 = 0 UNION ALL SELECT c_nationkey, c_mktsegment || ' ' || c_name FROM customer WHERE c_custkey % 20 = 1 UNION ALL SELECT n_nationkey, 'nobody at all' FROM nation)"""
+MANY_SQL = f"""WITH n AS (SELECT DISTINCT nation, needle, lower(trim(regexp_replace(needle, ' +', ' ', 'g'))) AS part FROM {MANY} x),
+ home AS (SELECT 'c' || c_custkey AS entity_id, c_nationkey AS nation FROM customer UNION ALL SELECT 's' || s_suppkey, s_nationkey FROM supplier),
+ i AS (SELECT x.*, nation, lower(trim(value)) AS v FROM {IDENTIFIERS} x JOIN home ON home.entity_id = x.entity_id),
+ w AS (SELECT nation, needle, part, part AS word, 1 AS words, false AS split FROM n UNION ALL SELECT nation, needle, part, unnest(list_distinct(string_split(part, ' '))), len(list_distinct(string_split(part, ' '))), true FROM n WHERE contains(part, ' ')),
+ m AS (SELECT w.*, entity_id, v = word AS exact, CASE WHEN v = word THEN greatest(CASE kind WHEN 'user_id' THEN 0.99 WHEN 'remark' THEN 0.97 WHEN 'nickname' THEN 0.94 ELSE 0.88 END, sure)
+   ELSE CASE kind WHEN 'user_id' THEN 0.78 WHEN 'remark' THEN 0.76 WHEN 'nickname' THEN 0.74 WHEN 'alias' THEN 0.68 ELSE 0.74 END END::DOUBLE AS score,
+  CASE WHEN v = word THEN [CASE kind WHEN 'user_id' THEN 'user_id_exact' WHEN 'remark' THEN 'contact_remark_exact' WHEN 'nickname' THEN 'contact_nickname_exact' ELSE 'identifier_exact' END, 'identifier_exact']
+   ELSE [CASE kind WHEN 'user_id' THEN 'user_id_partial' WHEN 'remark' THEN 'contact_remark_exact_partial' WHEN 'nickname' THEN 'contact_nickname_exact_partial' WHEN 'display_name' THEN 'identifier_partial' ELSE 'identifier_exact_partial' END] END AS reasons
+  FROM w JOIN i ON i.nation = w.nation AND contains(v, word)),
+ a AS (SELECT nation, needle, entity_id, CASE WHEN exact THEN 'exact' ELSE 'partial' END AS stage, max(score) AS score, flatten(list(reasons)) AS reasons FROM (SELECT *, max(exact) OVER (PARTITION BY nation, needle) AS best FROM m WHERE NOT split) q WHERE exact = best GROUP BY 1, 2, 3, 4),
+ e AS (SELECT nation, needle, words, entity_id, word, max(score) AS score, flatten(list(reasons)) AS reasons FROM m WHERE split AND (nation, needle) NOT IN (SELECT (nation, needle) FROM a) GROUP BY 1, 2, 3, 4, 5),
+ t AS (SELECT nation, needle, entity_id, 'words' AS stage, min(score) AS score, flatten(list(reasons)) AS reasons FROM e GROUP BY nation, needle, words, entity_id HAVING count(*) = words)
+ SELECT nation, needle, f.entity_id, stage, round(least(score, own)::DOUBLE, 6) AS confidence, array_to_string(list_sort(list_distinct(reasons)), ',') AS reasons FROM (SELECT * FROM a UNION ALL SELECT * FROM t) f JOIN {ENTITIES} o ON o.entity_id = f.entity_id"""
+
+
+@query("entity_candidates_many", MANY_SQL)
+def entity_candidates_many(spark, d):
+    n, c = S.raw(spark, d, "nation"), S.raw(spark, d, "customer")
+    key = F.col("n_nationkey").alias("nation")
+    needles = n.select(key, F.concat(F.lit("Building "), "n_nationkey").alias("needle")).unionByName(n.select(key, F.concat(F.lit("SUP  "), "n_nationkey").alias("needle")))
+    needles = needles.unionByName(c.filter("c_custkey % 20 = 0").select(F.col("c_nationkey").alias("nation"), F.substring("c_name", -3, 3).alias("needle")))
+    needles = needles.unionByName(c.filter("c_custkey % 20 = 1").select(F.col("c_nationkey").alias("nation"), F.concat_ws(" ", "c_mktsegment", "c_name").alias("needle")))
+    needles = needles.unionByName(n.select(key, F.lit("nobody at all").alias("needle")))
+    home = c.select(F.concat(F.lit("c"), "c_custkey").alias("entity_id"), F.col("c_nationkey").alias("nation"))
+    home = home.unionByName(S.raw(spark, d, "supplier").select(F.concat(F.lit("s"), "s_suppkey").alias("entity_id"), F.col("s_nationkey").alias("nation")))
+    found = N.candidates_of_many(entities(spark, d), identifiers(spark, d).join(home, "entity_id"), needles, ["nation"])
+    return found.withColumn("reasons", F.concat_ws(",", "reasons"))

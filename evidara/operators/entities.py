@@ -153,3 +153,62 @@ def repointed(df: DataFrame, merges: DataFrame, columns: str | Sequence[str]) ->
         m = merges.select(F.col("old_id").alias(c), F.col("new_id").alias("__new"))
         df = df.join(m, c, "left").withColumn(c, F.coalesce("__new", c)).drop("__new")
     return df.select(*order)
+
+
+def _grams(c: Column, size: Column) -> Column:
+    """Distinct runs of size characters; of a shorter text none."""
+    return F.array_distinct(F.transform(F.sequence(F.lit(0), F.length(c) - size), lambda i: F.substring(c, i + 1, size)))
+
+
+def _containing(values: DataFrame, asked: DataFrame, scope: Sequence[str]) -> DataFrame:
+    """asked (.., part) joined with the values (.., v) that contain part, within the same scope.
+
+    Values are posted under their runs of one to three characters, as far as these begin what is asked;
+    each part asks the list of the rarest of its own, and what it finds there is verified. So no
+    part meets values that have nothing in common with it.
+    """
+    size = F.least(F.lit(3), F.length("part"))
+    wanted = asked.select(*scope, "part").distinct().filter("part <> ''").withColumn("gram", F.explode(_grams(F.col("part"), size)))
+    sizes = F.array(*(F.lit(k) for k in (1, 2, 3)))
+    posted = values.select(*scope, "v").distinct().withColumn("k", F.explode(sizes)).filter(F.length("v") >= F.col("k"))
+    posted = posted.withColumn("gram", F.explode(_grams(F.col("v"), F.col("k")))).drop("k").join(wanted.select(*scope, "gram").distinct(), [*scope, "gram"], "left_semi")
+    sizes_of = posted.groupBy(*scope, "gram").agg(F.count("*").alias("n"))
+    rarest = wanted.join(sizes_of, [*scope, "gram"], "left").groupBy(*scope, "part").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("g"))
+    rarest = rarest.filter("g.n > 0").select(*scope, "part", F.col("g.gram").alias("gram"))
+    return rarest.join(posted, [*scope, "gram"]).filter(F.col("v").contains(F.col("part"))).select(*scope, "part", "v")
+
+
+def candidates_of_many(entities: DataFrame, identifiers: DataFrame, needles: DataFrame, scope: Sequence[str] = ()) -> DataFrame:
+    """needle, entity_id, stage, confidence and reasons for every needle of a table, in one plan.
+
+    Stages of a needle: identifiers equal to it; else those that contain it; else, if it is of several
+    words, the entities that each word hits. scope names columns (an account, say) that identifiers
+    and needles share, and within which they meet. Confidence is the score of the hits, or the
+    certainty of an identifier where that is higher, up to the entity's own; of words, that of the weakest one.
+    """
+    ids = identifiers.withColumn("v", normalized(F.col("value")))
+    asked = needles.select(*scope, "needle", normalized(F.col("needle")).alias("part")).distinct()
+    of_needle = [*scope, "needle"]
+
+    def hits(parts: DataFrame, keys: list[str]) -> DataFrame:
+        """The surest hit of each entity by each part."""
+        met = parts.join(_containing(ids, parts, scope), [*scope, "part"]).join(ids, [*scope, "v"])
+        exact = F.col("v") == F.col("part")
+        reason = _by_kind(REASONS, "identifier_exact")
+        partial = F.coalesce(_by_kind(PARTIAL_REASONS, None), F.concat(reason, F.lit("_partial")))
+        score = F.when(exact, F.greatest(_by_kind(EXACT, 0.0), F.least("confidence", F.lit(1.0)))).otherwise(_by_kind(partial_scores(), 0.0))
+        return met.select(*keys, "entity_id", exact.alias("exact"), score.alias("score"), F.when(exact, F.array(reason, F.lit("identifier_exact"))).otherwise(F.array(partial)).alias("reasons"))
+
+    whole = hits(asked, of_needle)
+    best = F.max("exact").over(Window.partitionBy(*of_needle))
+    whole = whole.withColumn("best", best).filter("exact = best").groupBy(*of_needle, "entity_id", "exact").agg(F.max("score").alias("score"), F.flatten(F.collect_set("reasons")).alias("reasons"))
+    whole = whole.withColumn("stage", F.when(F.col("exact"), "exact").otherwise("partial")).drop("exact")
+
+    words = asked.withColumn("words", F.array_distinct(F.split("part", " "))).filter("size(words) > 1").join(whole.select(*of_needle).distinct(), of_needle, "left_anti")
+    words = words.select(*of_needle, F.size("words").alias("n"), F.explode("words").alias("part"))
+    each = hits(words, [*of_needle, "n", "part"]).groupBy(*of_needle, "n", "part", "entity_id").agg(F.max("score").alias("score"), F.flatten(F.collect_set("reasons")).alias("reasons"))
+    every = each.groupBy(*of_needle, "n", "entity_id").agg(F.count("*").alias("hit"), F.min("score").alias("score"), F.flatten(F.collect_set("reasons")).alias("reasons")).filter("hit = n")
+    found = whole.unionByName(every.select(*of_needle, "entity_id", "score", "reasons", F.lit("words").alias("stage")))
+    own = entities.select("entity_id", F.col("confidence").alias("own"))
+    sure = F.least("score", F.greatest(F.least("own", F.lit(1.0)), F.lit(0.0)))
+    return found.join(own, "entity_id").select(*of_needle, "entity_id", "stage", F.round(sure, 6).alias("confidence"), F.array_sort(F.array_distinct("reasons")).alias("reasons")).filter("confidence > 0")

@@ -256,21 +256,28 @@ def nearest_of_many(spark, d):
     return R.top_vectors_many(v, q, 10, "vec_id", "query_id").withColumn("rank", F.col("rank").cast("long"))
 
 
-@query("episode_hybrid", """WITH e AS (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS rn, sum(length(text)) OVER w AS size, list(length(text)) OVER w AS ls FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING)),
- d AS (SELECT conv_id, turn, round(list_cosine_similarity([size * 1.0, len(ls) * 100.0], [1.0, 1.0]), 9) AS dense, size AS sparse FROM e WHERE (rn - 1) % 3 = 0),
+#: What episodes are asked for, and the letters whose counts are their vector.
+ASKED, LETTERS = "notes about the order and its return", "aeinorst"
+_COUNTS = ", ".join(f"CAST(length(body) - length(replace(body, '{c}', '')) AS DOUBLE)" for c in LETTERS)
+
+
+@query("episode_hybrid", f"""WITH e AS (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS rn, lower(string_agg(role || ': ' || substring(text, 1, 220), chr(10)) OVER w) AS body FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING)),
+ d AS (SELECT conv_id, turn, round(list_cosine_similarity([{_COUNTS}], [{", ".join(f"{ASKED.count(c)}.0" for c in LETTERS)}]), 9) AS dense, CAST((length(body) - length(replace(body, 'order', ''))) / 5 AS BIGINT) AS sparse FROM e WHERE (rn - 1) % 3 = 0),
  a AS (SELECT conv_id, turn, row_number() OVER (ORDER BY dense DESC, conv_id, turn) AS rank FROM d QUALIFY rank <= 100), b AS (SELECT conv_id, turn, row_number() OVER (ORDER BY sparse DESC, conv_id, turn) AS rank FROM d QUALIFY rank <= 100)
  SELECT conv_id AS conversation_id, turn AS center, round(sum(1.0::DOUBLE / (60 + rank)), 9) AS score FROM (SELECT * FROM a UNION ALL SELECT * FROM b) u GROUP BY 1, 2 ORDER BY 3 DESC, 1, 2 LIMIT 10""")
 def episode_hybrid(spark, d):
-    """Episodes ranked by a vector and by a count, fused by reciprocal ranks."""
+    """Episodes ranked by a vector of their text and by a word of the question, fused by reciprocal ranks."""
     from ..operators.windows import episodes
 
-    m = S.messages(spark, d).withColumn("size", F.length("content"))
-    e = episodes(m, "conversation_id", "local_id", F.col("size").cast("string"))
-    sizes = F.transform(F.split("episode_text", "\n"), lambda x: x.cast("long"))
-    e = e.withColumn("sparse", F.aggregate(sizes, F.lit(0).cast("long"), lambda s, x: s + x)).withColumn("vector", F.array(F.col("sparse").cast("double"), F.size(sizes) * 100.0)).withColumn("key", F.struct("conversation_id", "center"))
-    dense = R.top_vectors(e.select("key", "vector"), spark.createDataFrame([([1.0, 1.0],)], "q array<double>"), 100, "key")
+    line = F.concat("sender", F.lit(": "), F.substring("content", 1, 220))
+    e = episodes(S.messages(spark, d), "conversation_id", "local_id", line).withColumn("body", F.lower("episode_text"))
+    count = lambda c: F.length("body") - F.length(F.replace("body", F.lit(c), F.lit("")))
+    vector = F.array(*(count(c).cast("double") for c in LETTERS))
+    e = e.select(F.struct("conversation_id", "center").alias("key"), vector.alias("vector"), (count("order") / 5).cast("long").alias("score"))
+    q = spark.createDataFrame([([float(ASKED.count(c)) for c in LETTERS],)], "q array<double>")
     order = [F.desc("score"), F.asc("key")]
-    lists = [R.route(dense.select("key", "score"), "dense", order, 100), R.route(e.select("key", F.col("sparse").alias("score")), "sparse", order, 100)]
+    dense = R.top_vectors(e.select("key", "vector"), q, 100, "key")
+    lists = [R.route(dense.select("key", "score"), "dense", order, 100), R.route(e.select("key", "score"), "sparse", order, 100)]
     f = R.fuse_rrf(lists[0].unionByName(lists[1])).withColumn("score", F.round("score", 9)).orderBy(*order).limit(10)
     return f.select("key.conversation_id", "key.center", "score")
 

@@ -77,10 +77,10 @@ def tombstones(spark, d):
     return I.tombstones(e.limit(0), e.filter("user_id % 10 = 0"), e.filter(~at("2024-01-10 00:00:00")), e.filter(at("2024-01-29 00:00:00")), present, "user_id")
 
 
-@query("owner_release", "SELECT DISTINCT o_custkey FROM orders WHERE o_orderdate < DATE '1995-01-01' AND o_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderdate >= DATE '1995-01-01')")
+@query("owner_release", "SELECT DISTINCT o_custkey FROM orders WHERE o_orderdate < DATE '1998-01-01' AND o_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderdate >= DATE '1998-01-01')")
 def owner_release(spark, d):
     o = S.raw(spark, d, "orders").select("o_custkey", F.col("o_orderdate").cast("date").alias("day"))
-    old, new = o.filter("day < date '1995-01-01'"), o.filter("day >= date '1995-01-01'")
+    old, new = o.filter("day < date '1998-01-01'"), o.filter("day >= date '1998-01-01'")
     return old.select("o_custkey").distinct().join(new.select("o_custkey"), "o_custkey", "left_anti")
 
 

@@ -128,3 +128,60 @@ def kept_purge_audit(spark, d):
         left = n if left is None else left.unionByName(n)
     dangling = K.dangling(v, _LINKS).agg(F.sum("n").cast("int").alias("dangling"))
     return v.read("audit").join(left, "table").join(F.broadcast(dangling)).select("step", "table", "removed", "remaining", "dangling")
+
+
+_RECONCILED = """WITH m AS (SELECT c_custkey AS old_id, c_custkey - 1 AS new_id FROM customer WHERE c_custkey % 4 = 2), e AS (SELECT coalesce(new_id, user_id) AS entity, event_id, ts FROM events LEFT JOIN m ON old_id = user_id)
+ SELECT 'observation' AS kind, entity, event_id AS n, 0 AS value FROM e
+ UNION ALL SELECT 'snapshot', entity, row_number() OVER (PARTITION BY entity ORDER BY event_id), event_id FROM e WHERE event_id % 3 = 0
+ UNION ALL SELECT 'subscription', entity, 0, CAST(epoch(min(date_trunc('second', ts))) AS BIGINT) FROM e GROUP BY entity
+ UNION ALL SELECT 'entity', c_custkey, CASE WHEN new_id IS NULL THEN 0 ELSE 1 END, coalesce(new_id, 0) FROM customer LEFT JOIN m ON old_id = c_custkey"""
+
+
+@query("reconciled_people", _RECONCILED)
+def reconciled_people(spark, d):
+    """Users found to be one: what was noted of them, their snapshots and subscriptions, and the marks of the merged, after one commit."""
+    e = S.raw(spark, d, "events").select(F.col("user_id").alias("entity_id"), "event_id", F.unix_seconds(F.to_timestamp("ts")).alias("second"))
+    store = fresh_store(spark, "reconciled")
+    versions = resequenced(e.filter("event_id % 3 = 0").select("entity_id", F.col("event_id").alias("at"), F.col("event_id").alias("content")), ["entity_id"], "at")
+    people = S.raw(spark, d, "customer").select(F.col("c_custkey").alias("entity_id"), F.lit("active").alias("status"), F.lit(None).cast("long").alias("merged_into"))
+    store.commit({
+        "entities": Change(people), "observations": Change(e.select(F.col("event_id").alias("observation_id"), "entity_id")), "snapshots": Change(versions),
+        "subscriptions": Change(e.groupBy("entity_id").agg(F.min("second").alias("due"))),
+    }, K.RECONCILED)
+    merges = S.raw(spark, d, "customer").filter("c_custkey % 4 = 2").select(F.col("c_custkey").alias("old_id"), (F.col("c_custkey") - 1).alias("new_id"))
+    K.reconcile(store, merges)
+    v = store.version()
+    row = lambda t, kind, n, value: v.read(t).select(F.lit(kind).alias("kind"), F.col("entity_id").alias("entity"), n.cast("long").alias("n"), value.cast("long").alias("value"))
+    out = row("observations", "observation", F.col("observation_id"), F.lit(0)).unionByName(row("snapshots", "snapshot", F.col("version"), F.col("content")))
+    out = out.unionByName(row("subscriptions", "subscription", F.lit(0), F.col("due")))
+    return out.unionByName(row("entities", "entity", (F.col("status") == "merged").cast("int"), F.coalesce("merged_into", F.lit(0))))
+
+
+@query("folder_tick", """SELECT true AS changed, count(*) FILTER (WHERE doc_id % 10 = 3) AS added, count(*) FILTER (WHERE doc_id % 10 <> 3 AND doc_id % 7 = 0 AND doc_id % 11 <> 5) AS altered,
+ count(*) FILTER (WHERE doc_id % 10 <> 3 AND doc_id % 11 = 5) AS removed, count(*) FILTER (WHERE NOT (doc_id % 10 <> 3 AND doc_id % 11 = 5)) AS files FROM documents""")
+def folder_tick(spark, d):
+    """Two listings of a folder, made of the documents: what was added, altered and removed between them."""
+    from ..sources.readers import tick
+
+    i = F.col("doc_id")
+    files = S.raw(spark, d, "documents").select(i, F.concat(F.lit("doc/"), i).alias("path"), F.col("n_chars").alias("length"), F.lit(0).cast("timestamp").alias("modificationTime"))
+    before = files.filter("doc_id % 10 <> 3").drop("doc_id")
+    after = files.filter("doc_id % 10 = 3 or doc_id % 11 <> 5").withColumn("length", F.when(i % 7 == 0, F.col("length") + 1).otherwise(F.col("length"))).drop("doc_id")
+    return tick(before, after).select("changed", "added", "altered", "removed", "files")
+
+
+@query("eval_pack_cases", """SELECT CAST(item_id AS VARCHAR) AS case_id, CASE WHEN item_id % 2 = 0 THEN 'default' ELSE 'old' END AS category, sha256(text) AS digest, CASE WHEN item_id % 2 = 0 THEN 10 ELSE 5 END AS "limit",
+ 'item/' || item_id || CASE WHEN item_id % 2 = 1 THEN '' ELSE ',item/0' END AS expected FROM benchmark WHERE item_id % 5 <> 4""")
+def eval_pack_cases(spark, d):
+    """Cases of both schemas of an evaluation pack, written as JSON lines of the benchmark and read as one table; those without a question fall away."""
+    from ..sources.readers import read_eval_pack
+
+    i = F.col("item_id")
+    item = F.concat(F.lit("item/"), i)
+    text = F.when(i % 5 == 4, " ").otherwise(F.col("text"))
+    listed = F.to_json(F.array(item, F.lit("item/0")))
+    new = F.struct(F.lit(2).alias("schema_version"), i.cast("string").alias("case_id"), text.alias("query"), F.struct(listed.alias("expected_any_citation")).alias("oracle"))
+    old = F.struct(F.lit(1).alias("schema_version"), i.cast("string").alias("id"), F.lit("old").alias("category"), text.alias("query"), F.lit(5).alias("limit"), item.alias("expected_citation"))
+    path = f"{shared_place(spark, 'pack')}/pack"
+    S.raw(spark, d, "benchmark").select(F.when(i % 2 == 0, F.to_json(new)).otherwise(F.to_json(old)).alias("value")).write.text(path)
+    return read_eval_pack(spark, path).select("case_id", "category", F.sha2("query", 256).alias("digest"), F.col("limit").cast("int").alias("limit"), F.concat_ws(",", "expected").alias("expected"))

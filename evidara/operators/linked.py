@@ -11,7 +11,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.scratch import settled
@@ -199,3 +199,38 @@ def counts_of(spark, commit: Commit, tables: Mapping[str, Sequence[str]]) -> Dat
     kinds = ("inserted", "changed", "unchanged", "deleted")
     rows = [(t, *(commit.counts.get(t, {}).get(k, 0) for k in kinds)) for t in tables]
     return spark.createDataFrame(rows, "table string, " + ", ".join(f"{k} long" for k in kinds))
+
+
+RECONCILED = {"entities": ["entity_id"], "observations": ["observation_id"], "snapshots": ["entity_id", "version"], "subscriptions": ["entity_id"]}
+
+
+def reconcile(store: Store, merges: DataFrame) -> Commit:
+    """Entities that turned out to be one (old_id, new_id; old ids are no new ones), in one commit.
+
+    Observations are repointed. Snapshots of both are one sequence of versions, by the time they were made (at).
+    Of subscriptions the earliest due time holds. Merged entities stay, marked merged, with the one that took them in.
+    """
+    old = merges.select(F.col("old_id").alias("entity_id"))
+    both = settled(old.unionByName(merges.select(F.col("new_id").alias("entity_id"))).distinct(), "reconciled")
+
+    def plan(v: Version) -> dict[str, Change]:
+        def moved(table: str) -> tuple[DataFrame, DataFrame]:
+            """Rows of the entities that are concerned, as they are and under their new id."""
+            rows = v.read(table).join(both, "entity_id", "left_semi")
+            m = merges.select(F.col("old_id").alias("entity_id"), "new_id")
+            return rows, rows.join(m, "entity_id", "left").withColumn("entity_id", F.coalesce("new_id", "entity_id")).drop("new_id").select(*rows.columns)
+
+        out = {}
+        m = merges.select(F.col("old_id").alias("entity_id"), "new_id")
+        out["entities"] = Change(v.read("entities").join(m, "entity_id").withColumns({"status": F.lit("merged"), "merged_into": F.col("new_id")}).drop("new_id"))
+        out["observations"] = Change(moved("observations")[1])
+        before, after = moved("snapshots")
+        versions = F.row_number().over(Window.partitionBy("entity_id").orderBy("at", "content")).cast("long")
+        after = settled(after.withColumn("version", versions), "snapshots")
+        out["snapshots"] = Change(after, before.join(after, ["entity_id", "version"], "left_anti").select("entity_id", "version"))
+        before, after = moved("subscriptions")
+        after = settled(after.groupBy("entity_id").agg(F.min("due").alias("due")), "subscriptions")
+        out["subscriptions"] = Change(after, before.join(after, "entity_id", "left_anti").select("entity_id"))
+        return out
+
+    return store.commit(plan, reads=list(RECONCILED))

@@ -38,10 +38,19 @@ def promotion(spark, d):
     return K.promoted(top, c.select("conv_id", "turn"), "conv_id", "turn")
 
 
-@query("item_parse_udf", "SELECT page_id, 'parsed' AS status, CASE WHEN page_id % 3 = 0 THEN 'link' ELSE 'quote' END AS kind, trim(regexp_replace(regexp_replace(url, '[<&]', ' ', 'g'), '\\s+', ' ', 'g')) AS title FROM pages")
+@query("item_parse_udf", """SELECT page_id, CASE page_id % 8 WHEN 0 THEN 'rejected' WHEN 1 THEN 'malformed' WHEN 2 THEN 'unsupported' WHEN 3 THEN 'empty' WHEN 4 THEN 'rejected' WHEN 5 THEN 'unsupported' ELSE 'parsed' END AS status,
+ CASE WHEN page_id % 8 < 6 THEN '' WHEN page_id % 3 = 0 THEN 'link' ELSE 'quote' END AS kind,
+ CASE WHEN page_id % 8 IN (2, 6, 7) THEN trim(regexp_replace(regexp_replace(url, '[<&]', ' ', 'g'), '\s+', ' ', 'g')) ELSE '' END AS title FROM pages""")
 def item_parse(spark, d):
-    """Shared items in the XML form of exports, made here of pages, parsed in batches."""
+    """Shared items in the XML form of exports, made here of pages, parsed in batches: those that declare a type or are
+    too long, are broken, of an unknown type, empty, or no item at all, are told apart."""
     title = F.regexp_replace("url", "[<&]", " ")
-    xml = F.concat(F.lit("<msg><appmsg><type>"), F.when(F.col("page_id") % 3 == 0, "5").otherwise("57"), F.lit("</type><title>"), title, F.lit("</title></appmsg></msg>"))
+    kind = F.when(F.col("page_id") % 8 == 2, "999").when(F.col("page_id") % 3 == 0, "5").otherwise("57")
+    xml = F.concat(F.lit("<msg><appmsg><type>"), kind, F.lit("</type><title>"), title, F.lit("</title></appmsg></msg>"))
+    case = F.col("page_id") % 8
+    xml = (
+        F.when(case == 0, F.concat(F.lit("<!DOCTYPE msg>"), xml)).when(case == 1, F.concat(xml, F.lit("<open>"))).when(case == 3, F.lit(" "))
+        .when(case == 4, F.concat(xml, F.repeat(F.lit(" "), 256 * 1024))).when(case == 5, F.concat(F.lit("<msg><title>"), title, F.lit("</title></msg>"))).otherwise(xml)
+    )
     p = S.raw(spark, d, "pages").select("page_id", parsing.parsed_item(xml).alias("p"))
     return p.select("page_id", "p.status", "p.kind", "p.title")

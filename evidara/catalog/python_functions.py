@@ -26,7 +26,24 @@ def chunk_text(spark, d):
     return c.select("doc_id", F.col("chunk_index").cast("long").alias("chunk_index"), F.length("chunk").cast("long").alias("size"), F.sha2("chunk", 256).alias("digest"))
 
 
-@query("html_parse_udf")
+def _unescaped(text: str) -> str:
+    """With the references that pages have resolved, & last."""
+    for name, char in (("lt", "<"), ("gt", ">"), ("quot", chr(34)), ("#39", "''"), ("nbsp", chr(160)), ("copy", "©"), ("middot", "·"), ("amp", "&")):
+        text = f"replace({text}, '&{name};', '{char}')"
+    return text
+
+
+_BARE = "html"
+for _block in ("<script\\b[^>]*>.*?</script\\s*>", "<style\\b[^>]*>.*?</style\\s*>", "<title\\b[^>]*>.*?</title\\s*>", "<!--.*?-->", "<[!/]?[a-zA-Z][^>]*>"):
+    _BARE = f"regexp_replace({_BARE}, '{_block}', ' ', 'gis')"
+_SPACE = "[\\s\\x{A0}]+"
+#: Tags and blocks cut away by patterns, as far as well-formed pages go.
+PAGES = f"""SELECT page_id, CASE WHEN html IS NULL OR trim(html) = '' THEN 'empty' WHEN contains(html, '<!ENTITY') THEN 'rejected' ELSE 'parsed' END AS status,
+ trim({_unescaped("regexp_extract(html, '<title>(.*?)</title>', 1, 's')")}) AS title, regexp_extract(html, '<html[^>]* lang="([^"]*)"', 1) AS lang, len(regexp_extract_all(html, '<a [^>]*href="[^"]+"')) AS links,
+ sha256(trim(regexp_replace({_unescaped(_BARE)}, '{_SPACE}', ' ', 'g'))) AS text_digest FROM pages"""
+
+
+@query("html_parse_udf", PAGES)
 def html_parse(spark, d):
     p = S.raw(spark, d, "pages").select("page_id", P.parsed_page("html").alias("p"))
     return p.select("page_id", "p.status", "p.title", "p.lang", "p.links", F.sha2("p.text", 256).alias("text_digest"))

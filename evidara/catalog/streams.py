@@ -6,8 +6,8 @@ from pyspark.sql import functions as F
 
 from ..operators.incremental import BucketTable
 from ..sources import tables as S
-from ..sources.scratch import shared_place
-from ..streaming import jobs
+from ..sources.scratch import settled, shared_place
+from ..streaming import jobs, rounds
 from .registry import query
 
 
@@ -67,3 +67,43 @@ def stream_rounds(spark, d):
     base = fed(spark, d, "rounds", lambda events, base: jobs.run_available(jobs.adaptive_rounds(events, late="1 hour"), f"{base}/out", f"{base}/cp"))
     out = spark.read.schema(jobs.ROUND).parquet(f"{base}/out")
     return out.withColumn("seconds", F.unix_seconds("ended") - F.unix_seconds("started")).drop("started", "ended")
+
+
+def steps_sql(t: rounds.Timing) -> str:
+    """State of each user after each of its events, with what that event ended (why) or superseded (sup), by one step for each event."""
+    quiet = f"{t.quiet} + {t.per_message} * least(n, {t.counted}) + CASE WHEN kind = '{t.longer}' THEN {t.longer_by} ELSE 0.0 END"
+    due = f"CASE WHEN blocked THEN ended + {t.expire} ELSE greatest(least(started + {t.greatest}, ended + {quiet}), not_before) END"
+    return f"""WITH RECURSIVE e AS MATERIALIZED (SELECT user_id, event_id, event_type, epoch(ts) AS sec, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn FROM events),
+ r AS (SELECT user_id, 0::BIGINT AS rn, false AS live, 0::BIGINT AS first_event, 0::BIGINT AS last_event, 0::BIGINT AS n, 0::DOUBLE AS started, 0::DOUBLE AS ended, '' AS kind, 0::BIGINT AS attempts, 0::DOUBLE AS not_before, false AS blocked, CAST(NULL AS VARCHAR) AS why, false AS sup FROM (SELECT DISTINCT user_id FROM e) u
+  UNION ALL SELECT user_id, rn, held OR NOT bad, CASE WHEN held THEN first_event ELSE event_id END, CASE WHEN bad THEN last_event ELSE event_id END, CASE WHEN bad THEN n WHEN held THEN n + 1 ELSE 1 END, CASE WHEN held THEN started ELSE sec END, CASE WHEN bad THEN ended ELSE sec END, CASE WHEN bad THEN kind ELSE event_type END,
+   CASE WHEN held AND bad THEN attempts + 1 ELSE 0 END, CASE WHEN held AND bad THEN sec + least({t.most_back_off}, {t.back_off} * power(2, attempts)) ELSE 0 END, held AND bad AND attempts + 1 >= {t.attempts}, why, held AND NOT bad AND prepared <= sec
+  FROM (SELECT *, live AND why IS NULL AS held FROM (SELECT e.user_id, e.rn, e.event_id, e.event_type, e.sec, e.event_type = '{t.failure}' AS bad, live, first_event, last_event, n, started, ended, kind, attempts, not_before, blocked, least(started + {t.greatest}, ended + {t.prepare}) AS prepared,
+   CASE WHEN live AND {due} <= e.sec THEN CASE WHEN blocked THEN 'expired' ELSE 'ready' END END AS why FROM r JOIN e ON e.user_id = r.user_id AND e.rn = r.rn + 1) x) y),
+ s AS (SELECT r.*, least(started + {t.greatest}, ended + {t.prepare}) AS made, {due} <= (SELECT max(sec) - 3600 FROM e) AS passed, lead(why) OVER w AS next_why, lead(sup) OVER w AS next_sup, lead(rn) OVER w IS NULL AS is_last FROM r WINDOW w AS (PARTITION BY user_id ORDER BY rn))"""
+
+
+#: A draft is told once its round has ended: at the next event, or by the last watermark.
+DRAFTS = f"""{steps_sql(rounds.Timing())},
+ ends AS (SELECT user_id, first_event, coalesce(next_why, CASE WHEN blocked THEN 'expired' ELSE 'ready' END) AS outcome FROM s WHERE live AND (next_why IS NOT NULL OR (is_last AND passed)))
+ SELECT s.user_id, s.first_event, s.last_event, s.n AS revision, s.attempts, CASE WHEN s.next_sup THEN 'superseded' ELSE ends.outcome END AS outcome, round(s.made - s.started, 3) AS seconds
+ FROM s JOIN ends ON ends.user_id = s.user_id AND ends.first_event = s.first_event WHERE s.live AND (s.next_sup OR s.next_why IS NOT NULL OR (s.is_last AND s.passed))"""
+
+
+def drafted(spark, d, name):
+    """The stream is stopped after each part and begun again, with the state of its checkpoint."""
+    return fed(spark, d, name, lambda events, base: jobs.run_available(rounds.drafted_rounds(events), f"{base}/out", f"{base}/cp"))
+
+
+@query("stream_drafts", DRAFTS)
+def stream_drafts(spark, d):
+    with rounds.state_on_disk(spark):
+        base = drafted(spark, d, "drafts")
+    return spark.read.schema(rounds.DRAFT).parquet(f"{base}/out").withColumn("seconds", F.round("seconds", 3))
+
+
+@query("stream_open_rounds", f"{steps_sql(rounds.Timing())} SELECT user_id, first_event, n AS revision, attempts, blocked FROM s WHERE live AND is_last AND NOT passed")
+def stream_open_rounds(spark, d):
+    """What the stream still holds after the last part, from its state."""
+    with rounds.state_on_disk(spark):
+        base = drafted(spark, d, "open-rounds")
+        return settled(rounds.open_rounds(spark, f"{base}/cp"), "open-rounds")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .catalog import derived, documents, evaluation, evidence, facts, feeds, kept, messages, people, profiles, python_functions, retrieval, schedules, streams, text_tools, timelines, vector_cells  # noqa: F401
+from .catalog import derived, documents, evaluation, evidence, facts, feeds, grid, kept, messages, people, profiles, python_functions, retrieval, schedules, streams, text_tools, timelines, vector_cells  # noqa: F401
 from .catalog.registry import ORACLE_SQL, QUERIES
 
 __all__ = ["ORACLE_SQL", "QUERIES"]

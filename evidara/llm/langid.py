@@ -9,12 +9,15 @@ hash of the id. In the tasks, responses come from tables for pairs of bytes.
 
 Defined cases: null texts and texts without a letter are `und` with score 0; documents
 without lang are not learned from but predicted; without any labelled text all are `und`;
-repeated rows stay; null ids and other columns are not looked at.
+repeated rows stay; null ids and other columns, whatever their names, are not looked at; an
+empty table gives an empty result; languages that tie come by name; very long texts are
+read whole, in windows.
 """
 
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
@@ -153,11 +156,21 @@ class Predictor:
         return langs, scores
 
 
-def fit(docs: DataFrame, docs_per_lang: int = 400, windows_per_doc: int = 3) -> Network:
+def drawn(data: bytes) -> list[tuple[int, bytes]]:
+    """All windows of a text in the order of a hash, each with its turn; a last one that is not full only where it is the only one."""
+    x, sizes = as_windows(data)
+    if len(x) > 1 and sizes[-1] < WINDOW:
+        x = x[:-1]
+    order = sorted(range(len(x)), key=lambda k: (zlib.crc32(x[k].tobytes(), k), k))
+    return [(turn, x[k].tobytes()) for turn, k in enumerate(order)]
+
+
+def fit(docs: DataFrame, docs_per_lang: int = 400, windows_per_lang: int = 1200) -> Network:
     """A network of docs (doc_id, text, lang), from ids outside fold 0 with a lang and a letter.
 
-    docs_per_lang bounds the documents of each language, windows_per_doc the windows of each
-    that are learned from, spread over its length.
+    docs_per_lang bounds the documents of each language, windows_per_lang the windows that are
+    learned from: one of each document, by a hash over all its windows, then another of each,
+    until there are as many. Any window of a document may be drawn, however long it is.
     """
     spark = docs.sparkSession
     known = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang").filter(F.col("lang").isNotNull() & (fold_of("doc_id") != 0))
@@ -171,20 +184,20 @@ def fit(docs: DataFrame, docs_per_lang: int = 400, windows_per_doc: int = 3) ->
 
     def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            langs, parts = [], []
+            found: dict[str, list[tuple[int, int, bytes]]] = {}
             for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist()):
-                if not text or not _LETTER.search(text):
-                    continue
-                x, sizes = as_windows(text.lower().encode("utf-8", "surrogatepass"))
-                if len(x) > 1 and sizes[-1] < WINDOW:
-                    x = x[:-1]
-                for k in sorted({round(j * (len(x) - 1) / max(1, windows_per_doc - 1)) for j in range(windows_per_doc)}):
-                    langs.append(lang)
-                    parts.append(x[k].tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(parts, pa.binary())], names=["lang", "part"])
+                if text and _LETTER.search(text):
+                    own = drawn(text.lower().encode("utf-8", "surrogatepass"))[:windows_per_lang]
+                    found.setdefault(lang, []).extend((turn, zlib.crc32(part), part) for turn, part in own)
+            rows = [(lang, *w) for lang, ws in found.items() for w in sorted(ws)[:windows_per_lang]]
+            columns = zip(*rows) if rows else ([], [], [], [])
+            types = (pa.string(), pa.int64(), pa.int64(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=["lang", "turn", "mark", "part"])
 
     texts = known.join(F.broadcast(chosen), ["doc_id", "lang"]).groupBy("doc_id", "lang").agg(F.min("text").alias("text"))  # one of each id, however often it is repeated
-    rows = texts.select("lang", "text").mapInArrow(cut, "lang string, part binary").collect()
+    cuts = texts.select("lang", "text").mapInArrow(cut, "lang string, turn long, mark long, part binary")
+    order = Window.partitionBy("lang").orderBy("turn", "mark", "part")
+    rows = cuts.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= windows_per_lang).select("lang", "part").collect()
     rows = sorted((r["lang"], bytes(r["part"])) for r in rows)
     langs = sorted({r[0] for r in rows})
     x = np.frombuffer(b"".join(r[1] for r in rows), np.uint8).reshape(-1, WINDOW)

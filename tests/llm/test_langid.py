@@ -2,6 +2,7 @@ import random
 import zlib
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from evidara.llm import langid
 
@@ -71,3 +72,19 @@ def test_forward_pass_equals_loops():
             z = np.maximum(np.concatenate(best) + net.bias, 0) @ net.out.astype(float) + net.out_bias
             want = np.exp(z - z.max()) / np.exp(z - z.max()).sum()
             assert np.allclose(p, want, atol=1e-4)
+
+
+def test_any_window_of_a_long_text_may_be_drawn(spark):
+    long = "".join(f"{k:06d}" + "k" * (langid.WINDOW - 6) for k in range(50)).encode()
+    turns = langid.drawn(long)
+    assert [t for t, _ in turns] == list(range(50)) and len({w for _, w in turns}) == 50
+    assert [w for _, w in turns] != sorted(w for _, w in turns)
+    assert len(langid.drawn(long + b"rest")) == 50 and langid.drawn(b"rest")[0][1].rstrip(b"\0") == b"rest"
+    rows = [(i, "ka lo mi " * (2000 if i == 0 else 3), "aa") for i in range(30)] + [(100 + i, "ßch ung ein " * 4, "bb") for i in range(30)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").withColumn("part", F.lit(7)).withColumn("turn", F.lit("x"))
+    net = langid.fit(df, windows_per_lang=40)
+    assert net.langs == ["aa", "bb"]
+    same = langid.fit(df.repartition(5), windows_per_lang=40)
+    assert all((a == b).all() for a, b in zip(same.kernels, net.kernels))
+    got = langid.predict(df, net)
+    assert got.columns == ["doc_id", "held_out", "lang_pred", "score"] and {(r.doc_id < 100, r.lang_pred) for r in got.collect()} == {(True, "aa"), (False, "bb")}

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -190,6 +191,20 @@ def cost_estimate(spark, d):
     return S.raw(spark, d, "documents").groupBy("lang").agg(tokens.cast("long").alias("tokens"), F.round(tokens * 0.002 / 1000, 6).alias("cost"))
 
 
+#: Millionths for a unit of each kind of use, from a time on; `error` has no price.
+PRICES = [("view", "2024-01-01", 3), ("view", "2024-01-12", 5), ("click", "2024-01-01", 7), ("signup", "2024-01-05", 11), ("purchase", "2024-01-01", 20), ("purchase", "2024-01-20", 15)]
+_PRICES = ", ".join(f"('{k}', TIMESTAMP '{t} 00:00:00', {p})" for k, t, p in PRICES)
+
+
+@query("cost_by_model", f"""WITH p AS (SELECT *, lead(since) OVER (PARTITION BY model ORDER BY since) AS until FROM (VALUES {_PRICES}) v(model, since, price)),
+ u AS (SELECT event_type AS model, ts, CAST(round(coalesce(value, 0)) AS BIGINT) AS tokens FROM events)
+ SELECT u.model, count(*) AS calls, CAST(sum(tokens) AS BIGINT) AS tokens, count(*) FILTER (WHERE price IS NULL) AS unpriced, CAST(coalesce(sum(tokens * price), 0) AS BIGINT) AS cost FROM u LEFT JOIN p ON p.model = u.model AND u.ts >= p.since AND (p.until IS NULL OR u.ts < p.until) GROUP BY 1""")
+def cost_by_model(spark, d):
+    """Use by kind, each at the price of its kind and time."""
+    e = S.raw(spark, d, "events").select(F.col("event_type").alias("model"), F.col("ts").alias("at"), F.round(F.coalesce("value", F.lit(0.0))).cast("long").alias("tokens"))
+    return E.priced(e, PRICES)
+
+
 @query("dirty_parents", f"SELECT parent, count(*) AS chunks, max(chunk_index) AS last_chunk FROM {CHUNKS} c WHERE contains(lower(content), 'license') GROUP BY parent")
 def dirty_parents(spark, d):
     c = chunks(spark, d).filter(T.contains_fold(F.col("content"), "license"))
@@ -213,6 +228,19 @@ def scoped_messages(spark, d):
     return c.filter("conv_id < 20").drop("role").unionByName(c.filter("conv_id >= 20 and role = 'user'").drop("role"))
 
 
+@query("scoped_person_messages", """WITH s AS (SELECT conv_id, turn, role, text, 'private' AS scope FROM conversations WHERE conv_id < 20 UNION ALL SELECT conv_id, turn, role, text, 'group' FROM conversations WHERE conv_id >= 20 AND role = 'user'),
+ k AS (SELECT *, row_number() OVER (PARTITION BY conv_id, role, lower(trim(regexp_replace(coalesce(text, ''), '\\s+', ' ', 'g'))) ORDER BY turn) AS n FROM s)
+ SELECT scope, conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS place FROM k WHERE n = 1""")
+def scoped_person_messages(spark, d):
+    """A person's private conversations whole, and what they said in groups; a message said again in a conversation counts once, and the newest comes first."""
+    c = S.raw(spark, d, "conversations").select("conv_id", "turn", "role", "text")
+    scoped = c.filter("conv_id < 20").withColumn("scope", F.lit("private")).unionByName(c.filter("conv_id >= 20 and role = 'user'").withColumn("scope", F.lit("group")))
+    said = F.lower(F.trim(F.regexp_replace(F.coalesce("text", F.lit("")), r"\s+", " ")))
+    once = scoped.groupBy("scope", "conv_id", "role", said.alias("said")).agg(F.min("turn").alias("turn"))  # no text is sorted
+    place = F.row_number().over(Window.partitionBy("conv_id").orderBy(F.desc("turn")))
+    return once.select("scope", "conv_id", "turn", place.cast("long").alias("place"))
+
+
 @query("observation_lifecycle", "SELECT event_id FROM events WHERE event_type <> 'error' AND event_id NOT IN (SELECT event_id - 1 FROM events WHERE event_id % 4 = 0)")
 def observation_lifecycle(spark, d):
     e = S.raw(spark, d, "events").select("event_id", "event_type")

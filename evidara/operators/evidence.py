@@ -167,3 +167,22 @@ def vector_documents(chunks: DataFrame, messages: DataFrame, dirty: DataFrame |
     if dirty is not None:
         rows = rows.join(dirty.select("citation").distinct(), "citation", "left_semi")
     return rows.withColumn("vector_text", F.concat_ws("\n", F.concat(F.lit("by "), "actor"), "content"))
+
+
+def priced(use: DataFrame, prices: Sequence[tuple[str, str, int]]) -> DataFrame:
+    """calls, tokens, unpriced calls and cost by model of use (model, at, tokens), each at the price that held then.
+
+    prices is a stated list (model, since, price of a token), so it may be broadcast; a price holds
+    until the next one of its model. Use of a model without a price, or before its first one, counts
+    as unpriced and costs nothing; a null model is one, and null tokens are none.
+    """
+    listed = []
+    for model in sorted({m for m, _, _ in prices}):
+        own = sorted((s, p) for m, s, p in prices if m == model)
+        listed += [(model, s, own[i + 1][0] if i + 1 < len(own) else None, p) for i, (s, p) in enumerate(own)]
+    p = use.sparkSession.createDataFrame(listed, "__model string, since string, until string, price long")
+    p = p.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("since", "until")})
+    holds = (F.col("model") == F.col("__model")) & (F.col("at") >= F.col("since")) & (F.col("until").isNull() | (F.col("at") < F.col("until")))
+    j = use.join(F.broadcast(p), holds, "left")
+    tokens = F.coalesce("tokens", F.lit(0))
+    return j.groupBy("model").agg(F.count("*").alias("calls"), F.sum(tokens).alias("tokens"), F.count_if(F.col("price").isNull()).alias("unpriced"), F.coalesce(F.sum(tokens * F.col("price")), F.lit(0)).alias("cost"))

@@ -129,3 +129,16 @@ def test_a_key_over_several_ranges_has_the_same_sessions_and_numbers(spark):
     assert sorted(map(tuple, numbers.select("event_id", "n").collect())) == sorted(map(tuple, again.select("event_id", "n").collect()))
     assert windows._dealt(e, ["user_id"], ["ts", "event_id"]).filter("user_id = 1").select("__range").distinct().count() > 1
     assert windows.spread_sessions(e.limit(0), ["user_id"], "ts", "event_id", 3600).count() == 0
+
+
+def test_use_is_priced_by_model_and_time(spark):
+    import datetime as dt
+
+    from evidara.operators.evidence import priced
+
+    at = lambda day: dt.datetime(2024, 1, day)
+    rows = [("a", at(1), 10), ("a", at(5), 10), ("a", at(5), None), ("b", at(1), 7), ("c", at(9), 3), (None, at(9), 4), ("a", None, 2)]
+    use = spark.createDataFrame(rows, "model string, at timestamp_ntz, tokens long")
+    got = {r.model: tuple(r)[1:] for r in priced(use, [("a", "2024-01-05", 3), ("a", "2024-01-01", 2), ("b", "2024-01-02", 9)]).collect()}
+    assert got == {"a": (4, 22, 1, 50), "b": (1, 7, 1, 0), "c": (1, 3, 1, 0), None: (1, 4, 1, 0)}
+    assert priced(use.limit(0), []).count() == 0

@@ -40,7 +40,7 @@ def promotion(spark, d):
 
 @query("item_parse_udf", """SELECT page_id, CASE page_id % 8 WHEN 0 THEN 'rejected' WHEN 1 THEN 'malformed' WHEN 2 THEN 'unsupported' WHEN 3 THEN 'empty' WHEN 4 THEN 'rejected' WHEN 5 THEN 'unsupported' ELSE 'parsed' END AS status,
  CASE WHEN page_id % 8 < 6 THEN '' WHEN page_id % 3 = 0 THEN 'link' ELSE 'quote' END AS kind,
- CASE WHEN page_id % 8 IN (2, 6, 7) THEN trim(regexp_replace(regexp_replace(url, '[<&]', ' ', 'g'), '\s+', ' ', 'g')) ELSE '' END AS title FROM pages""")
+ CASE WHEN page_id % 8 IN (2, 6, 7) THEN trim(regexp_replace(regexp_replace(url, '[<&]', ' ', 'g'), '\\s+', ' ', 'g')) ELSE '' END AS title FROM pages""")
 def item_parse(spark, d):
     """Shared items in the XML form of exports, made here of pages, parsed in batches: those that declare a type or are
     too long, are broken, of an unknown type, empty, or no item at all, are told apart."""

@@ -74,6 +74,7 @@ def test_chunks_cover_the_text():
 
 def test_pages():
     assert parsing.parse_page("<html lang='en'><title>T</title><a href='x'>l</a><script>no</script> b</html>") == ("parsed", "T", "en", 1, "l b")
+    assert parsing.parse_page("<title>a&amp;b&amp</title>&lt;&ampx; &#65;&#x42;&copy &middot;<br>&notit;&amp")[1::3] == ("a&b&amp", "<&ampx; AB&copy · &notit;&amp")
     assert parsing.parse_page("<!ENTITY x>")[0] == "rejected" and parsing.parse_page(None)[0] == "empty"
 
 

@@ -50,15 +50,18 @@ class MediaGraph:
         """assets (ASSET, and placeholder: known by metadata only), links (LINK), source_rows and dropped ones (source_key, row_id).
 
         Of rows with one id the last holds, by the column ordinal of assets and links. A placeholder does not take
-        back what is known of an asset. Assets whose last source row is dropped are stale, their links
+        back what is known of an asset. A row of known content takes the id that has it, unless
+        it is held already just as it is given, so a replay writes nothing. Assets whose last source row is dropped are stale, their links
         not accepted. A voice asset in an accepted private link has a job; others have theirs skipped.
         """
 
         def plan(v: Version) -> dict[str, Change]:
             old = self._held(v, "assets", ASSET)
             of_content = old.filter("content_hash is not null").groupBy(*CONTENT).agg(F.min("asset_id").alias("known_id"))
-            batch = first_by(assets, ["asset_id"], F.desc("ordinal")).join(of_content, CONTENT, "left")
-            batch = settled(batch.withColumn("given_id", F.col("asset_id")).withColumn("asset_id", F.coalesce("known_id", "asset_id")), "assets")
+            row = F.struct(*_names(ASSET))
+            batch = first_by(assets, ["asset_id"], F.desc("ordinal")).join(of_content, CONTENT, "left").join(old.select("asset_id", row.alias("held_row")), "asset_id", "left")
+            known = F.when(~row.eqNullSafe(F.col("held_row")), F.col("known_id"))
+            batch = settled(batch.withColumn("known_id", known).drop("held_row").withColumn("given_id", F.col("asset_id")).withColumn("asset_id", F.coalesce("known_id", "asset_id")), "assets")
             ids = batch.select(F.col("given_id").alias("asset_id"), F.col("asset_id").alias("kept_id"))
             before = old.select("asset_id", *(F.col(c).alias(f"old_{c}") for c in ("path_ref", "content_hash", "cache_state", "processing_state")))
             merged = first_by(batch, ["asset_id"], F.desc("ordinal")).join(before, "asset_id", "left")

@@ -49,6 +49,14 @@ def test_known_content_keeps_its_id_and_its_links_follow(spark, graph):
     assert state(graph, "assets", "content_hash", "cache_state", "processing_state") == [("h1", "copied", "done")]
 
 
+def test_a_replay_of_copies_within_one_batch_writes_nothing(spark, graph):
+    graph.upsert(assets(spark, ("m", "h0", "cached", "done", False), ("n", "h0", "cached", "done", False)), links(spark, ("m", "group"), ("n", "group")))
+    batch = assets(spark, ("n", "h0", "copied", "pending", False), ("y", "h1", "copied", "pending", False), ("x", "h1", "copied", "pending", False)), links(spark, ("n", "group"), ("x", "group"), ("y", "private_chat"))
+    graph.upsert(*batch)
+    assert state(graph, "links", "link_id", "asset_id") == [("l-m", "m"), ("l-n", "m"), ("l-x", "x"), ("l-y", "y")]
+    assert graph.upsert(*batch).written == {}
+
+
 def test_assets_without_source_rows_are_stale(spark, graph):
     rows = lambda *r: spark.createDataFrame([("src", i, "f", a) for i, a in r], SOURCE_ROW)
     none = assets(spark).limit(0), links(spark).limit(0)

@@ -281,7 +281,7 @@ class _Sight:
 def proofs(manifest: Manifest) -> DataFrame:
     """doc_id, leaf, subroot, root, proof_sha256, folded_root and verified for each row of the manifest.
 
-    folded_root is folded from the row's column claimed, a leaf as it is found now, where that is not null.
+    folded_root is folded from the row's column claimed, a leaf as it is found now, and from leaf where that is null.
     """
     layout, root = manifest.layout, manifest.root
     known = manifest.rows.sparkSession.sparkContext.broadcast(manifest.forest.settled | manifest.forest.unresolved)
@@ -303,8 +303,7 @@ def proofs(manifest: Manifest) -> DataFrame:
                     for i in range(low, high):
                         place = (rank, 0, start + i - a)
                         proof.append(digest(sight.path(*place)))
-                        new = claimed[i]
-                        folded.append(root if new is None or new == leaves[i] else sight.folded(new, *place))
+                        folded.append(sight.folded(leaves[i] if claimed[i] is None else claimed[i], *place))
                     n = high - low
                     columns = [pa.array(c, pa.string()) for c in (leaves[low:high], [subroot] * n, [root] * n, proof, folded)]
                     ids = t.column("doc_id").slice(low, n).combine_chunks()
@@ -318,5 +317,5 @@ def document_leaves(docs: DataFrame, tampered: Column | None = None) -> DataFram
     """doc_id, source, leaf and claimed (the leaf with the line feeds of its text deleted, where tampered) of documents."""
     cols = [F.col(f) for f in FIELDS]
     bare = F.replace("text", F.lit("\n"), F.lit(""))
-    claimed = F.lit(None).cast("string") if tampered is None else F.when(tampered & F.contains("text", F.lit("\n")), leaf_of([*cols[:-1], bare]))
+    claimed = F.lit(None).cast("string") if tampered is None else F.when(tampered, leaf_of([*cols[:-1], bare]))
     return docs.select("doc_id", "source", leaf_of(cols).alias("leaf"), claimed.alias("claimed"))

@@ -113,3 +113,13 @@ def test_what_ranges_send_grows_with_levels_only():
 def test_empty_table(spark):
     got, m = result(spark, [])
     assert got == [] and m.root is None
+
+
+def test_rows_as_they_were_are_folded_too(spark):
+    """Beside a manifest with another root, every row gives the root of its own siblings, and none is verified."""
+    rows = [(i, "s" if i % 3 else "t", "en", 1, f"t{i}") for i in range(20)]
+    m = result(spark, rows)[1]
+    top = max(k for k in m.forest.unresolved if k[0] == merkle.TOP)
+    other = m._replace(forest=m.forest._replace(unresolved={**m.forest.unresolved, top: h("x")}))
+    got = merkle.proofs(other).collect()
+    assert other.root == h("x") and {r.folded_root for r in got} == {m.root} and not any(r.verified for r in got)

@@ -55,6 +55,7 @@ def with_delta(spark, d):
     text = F.when((F.col("source_type") == "document") & (F.col("__n") % 13 == 0), F.concat(F.lit("new "), "content")).otherwise(F.col("content"))
     moved = p.filter("(__n % 10 = 3 or (source_type = 'document' and __n % 13 = 0)) and __n % 17 <> 5").withColumn("content", text).drop("__n")
     done = kept.apply(moved, p.filter("__n % 17 = 5").select("citation"))
+    kept.vacuum()
     return kept, done
 
 

@@ -1,7 +1,8 @@
 """A kept trigram index: postings written once, by buckets of grams, and maintained by deltas.
 
-An index is a folder of segments. Each has postings (gram, n, keys), in folders by a bucket of
-the gram, and rows (key, lengths of the fields, dropped). A later segment takes the place of
+An index is a folder of segments. Each has postings (gram, n, and the rows, as places in a block of keys), in
+folders by a bucket of the gram, the keys of the blocks in one folder more, and rows (key, lengths of the
+fields, dropped). A compacted segment has keys in its postings and no blocks. A later segment takes the place of
 earlier ones for the keys that it has, so an update costs what it changes, and a search
 reads the buckets of its grams only. compact() makes one segment of all.
 
@@ -25,8 +26,9 @@ from ..sources.scratch import kept_place
 BUCKETS = 64
 #: Trigrams of a phrase that narrow a scan; rows that have these only by chance are told apart by containment.
 RAREST = 4
-#: Rows whose grams are gathered before they go out together.
+#: Rows whose grams are gathered before they go out together: a block, whose keys go out once.
 GATHERED = 512
+POSTING = "bucket int, gram long, n int, block long, places array<short>, keys array<{}>"
 
 
 def gram_codes(text: str) -> np.ndarray:
@@ -55,10 +57,20 @@ def _postings(fields: Sequence[str]):
                 order = np.argsort(g, kind="stable")
                 g, o = g[order], o[order]
                 starts = np.flatnonzero(np.concatenate([[True], g[1:] != g[:-1]]))
-                keys = batch.column("key").take(pa.array(o))
-                lists = pa.ListArray.from_arrays(pa.array(np.append(starts, len(g)), pa.int32()), keys)
                 sizes = np.diff(np.append(starts, len(g)))
-                yield pa.RecordBatch.from_arrays([pa.array(bucket_of(g[starts])), pa.array(g[starts]), pa.array(sizes, pa.int32()), lists], names=["bucket", "gram", "n", "keys"])
+                names = pa.ListArray.from_arrays(pa.array([0, batch.num_rows], pa.int32()), batch.column("key"))
+                digest = hashlib.sha256("\n".join(map(str, batch.column("key").to_pylist())).encode("utf-8", "surrogatepass")).digest()
+                block = int.from_bytes(digest[:8], "big", signed=True)
+                m = len(starts)
+                postings = {
+                    "bucket": pa.array(bucket_of(g[starts])), "gram": pa.array(g[starts]), "n": pa.array(sizes, pa.int32()), "block": pa.array(np.full(m, block)),
+                    "places": pa.ListArray.from_arrays(pa.array(np.append(starts, len(g)), pa.int32()), pa.array(o.astype(np.int16))), "keys": pa.nulls(m, names.type),
+                }
+                yield pa.RecordBatch.from_pydict(postings)
+                yield pa.RecordBatch.from_pydict({
+                    "bucket": pa.array([BUCKETS], pa.int32()), "gram": pa.array([0], pa.int64()), "n": pa.array([0], pa.int32()), "block": pa.array([block], pa.int64()),
+                    "places": pa.nulls(1, postings["places"].type), "keys": names,
+                })
 
     return apply
 
@@ -99,13 +111,15 @@ class LexicalIndex:
         if dropped is not None:
             none = [F.lit(0).cast("long").alias(f"len_{f}") for f in self.fields]
             known = known.unionByName(dropped.select(F.col(self.key).alias("key"), *none, F.lit(True).alias("dropped")))
-        known.write.mode("overwrite").parquet(f"{place}/rows")
+        known.write.mode("overwrite").option("compression", "zstd").parquet(f"{place}/rows")
         kind = dict(rows.dtypes)[self.key]
         low = rows.select(F.col(self.key).alias("key"), *(F.lower(f).alias(f) for f in self.fields))
-        made = low.mapInArrow(_postings(self.fields), f"bucket int, gram long, n int, keys array<{kind}>")
-        self._dealt(made).sortWithinPartitions("bucket", "gram").write.mode("overwrite").partitionBy("bucket").parquet(f"{place}/postings")
+        self._written(low.mapInArrow(_postings(self.fields), POSTING.format(kind)), place)
         return n
 
+    def _written(self, postings: DataFrame, place: str) -> None:
+        self._dealt(postings).sortWithinPartitions("bucket", "gram").write.mode("overwrite").option("compression", "zstd").partitionBy("bucket").parquet(f"{place}/postings")
+
     def build(self, rows: DataFrame) -> None:
         """An index of rows, whatever was there before."""
         self._write(rows, None)
@@ -119,16 +133,17 @@ class LexicalIndex:
         live = self.live()
         n = max(self.segments()) + 1
         place = f"{self.root}/segment-{n}"
-        live.drop("segment").withColumn("dropped", F.lit(False)).write.mode("overwrite").parquet(f"{place}/rows")
-        p = self._read_postings().select("bucket", "gram", "segment", F.explode("keys").alias("key")).join(live.select("key", "segment"), ["key", "segment"], "left_semi")
+        live.drop("segment").withColumn("dropped", F.lit(False)).write.mode("overwrite").option("compression", "zstd").parquet(f"{place}/rows")
+        p = self._keyed(self._read_postings().filter(F.col("bucket") < BUCKETS)).join(live.select("key", "segment"), ["key", "segment"], "left_semi")
         lists = p.groupBy("bucket", "gram", F.pmod(F.xxhash64("key"), F.lit(64)).alias("part")).agg(F.count("*").cast("int").alias("n"), F.collect_list("key").alias("keys")).drop("part")
-        self._dealt(lists).sortWithinPartitions("bucket", "gram").write.mode("overwrite").partitionBy("bucket").parquet(f"{place}/postings")
+        none = {"block": F.lit(None).cast("long"), "places": F.lit(None).cast("array<short>")}
+        self._written(lists.withColumns(none).select("bucket", "gram", "n", "block", "places", "keys"), place)
         self._named(n, n)
 
     def _dealt(self, postings: DataFrame) -> DataFrame:
         """A frequent gram may fill its bucket, so a bucket is dealt to several tasks, more of them in a larger session."""
         parts = max(4, int(self.spark.conf.get("spark.sql.shuffle.partitions")) // BUCKETS)
-        return postings.repartition("bucket", F.pmod(F.xxhash64("keys"), F.lit(parts)))
+        return postings.repartition("bucket", F.pmod(F.xxhash64("block", "keys"), F.lit(parts)))
 
     def _each(self, table: str, schema: str | None = None) -> DataFrame:
         out = None
@@ -139,7 +154,14 @@ class LexicalIndex:
 
     def _read_postings(self) -> DataFrame:
         kind = dict(self._each("rows").dtypes)["key"]
-        return self._each("postings", f"gram long, n int, keys array<{kind}>, bucket int")
+        return self._each("postings", POSTING.format(kind))
+
+    def _keyed(self, postings: DataFrame) -> DataFrame:
+        """segment, bucket, gram and key of each row of postings."""
+        own = postings.select("segment", "bucket", "gram", F.explode("keys").alias("key"))
+        places = postings.select("segment", "bucket", "gram", "block", F.explode(F.col("places").cast("array<int>")).alias("place"))
+        names = self._read_postings().filter(F.col("bucket") == BUCKETS).select("segment", "block", F.posexplode("keys").alias("place", "key"))
+        return own.unionByName(places.join(names, ["segment", "block", "place"]).select("segment", "bucket", "gram", "key"))
 
     def live(self) -> DataFrame:
         """key, len_ of each field and segment of every row that is indexed."""
@@ -158,7 +180,7 @@ class LexicalIndex:
 
     def _having(self, grams: np.ndarray) -> DataFrame:
         p = self._of(grams)
-        have = p.select("segment", F.explode("keys").alias("key")).groupBy("segment", "key").agg(F.count("*").alias("n")).filter(F.col("n") == len(grams))
+        have = self._keyed(p).groupBy("segment", "key").agg(F.count("*").alias("n")).filter(F.col("n") == len(grams))
         if len(self.segments()) > 1:
             have = have.join(self.live().select("key", "segment"), ["key", "segment"], "left_semi")
         return have.select(F.col("key").alias(self.key))
@@ -193,7 +215,7 @@ def kept_index(name: str, rows: DataFrame, key: str, fields: Sequence[str]) -> L
     """The index of a table in the shared folder: the kept one, if the table's files are those that it was made of, else a new one."""
     spark = rows.sparkSession
     digest = hashlib.sha256("\n".join([key, *fields, *sorted(file_states(rows))]).encode()).hexdigest()[:16]
-    index = LexicalIndex(spark, kept_place(spark, f"index2-{name}-{digest}"), key, fields)
+    index = LexicalIndex(spark, kept_place(spark, f"index3-{name}-{digest}"), key, fields)
     if not index.segments():
         index.build(rows)
     return index

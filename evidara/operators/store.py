@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from ..sources.scratch import settled
+from ..sources.scratch import passing, settled
 
 HASH_BITS = 31
 
@@ -219,31 +219,19 @@ class Store:
         if change.upserts is not None and sorted(change.upserts.columns) != sorted(columns):
             raise ValueError(f"columns of {name} are {columns}, not {change.upserts.columns}")
         slots = sorted(t.parts) or [(1 << self.split) + i for i in range(1 << self.split)]
-        named = None
-        for df, gone in ((change.upserts, False), (change.deletes, True)):
-            if df is not None:
-                row = F.struct(*(F.col(c) for c in columns)) if not gone else F.lit(None).cast(self._schema(t))
-                part = self._routed(df, t, slots).select("__slot", "__hash", *t.keys, row.alias("__new"), F.lit(gone).alias("__gone"))
-                named = part if named is None else named.unionByName(part)
-        asked = [r[0] for r in named.select("__slot").distinct().collect()]  # numbers of parts
-        held = self._rows(name, t, [s for s in asked if s in t.parts])
-        old = held.select(*t.keys, F.struct(*(F.col(c) for c in columns)).alias("__old"))
-        status = F.when(F.col("__gone"), F.when(F.col("__old").isNotNull(), "deleted")).when(F.col("__old").isNull(), "inserted")
-        status = status.when(F.col("__old").eqNullSafe(F.col("__new")), "unchanged").otherwise("changed")
-        met = settled(named.join(old, t.keys, "left").withColumn("__status", status).filter("__status is not null").drop("__old"), "change")
-        by_slot = met.groupBy("__slot", "__status").count().collect()
         counts: dict[str, int] = {}
         growth: dict[int, int] = {}
-        for slot, kind, n in by_slot:
-            counts[kind] = counts.get(kind, 0) + n
-            if kind != "unchanged":
-                growth[slot] = growth.get(slot, 0) + {"inserted": n, "deleted": -n}.get(kind, 0)
+        touched: list[int] = []
+        if not t.parts:  # all that comes is new
+            if change.upserts is not None:
+                rows = self._routed(change.upserts, t, slots).select("__slot", "__hash", *columns)
+                growth = {r[0]: r[1] for r in rows.groupBy("__slot").count().collect()}  # numbers of parts
+            if growth:
+                counts["inserted"] = sum(growth.values())
+        else:
+            rows, touched = self._merged(name, t, slots, columns, change, counts, growth)
         if not growth:
             return _Staged(t, {}, {}, counts)
-        written = met.filter("__status <> 'unchanged'")
-        touched = [s for s in growth if s in t.parts]
-        kept = self._routed(self._rows(name, t, touched).join(written.select(*t.keys), t.keys, "left_anti"), t, slots)
-        rows = kept.select("__slot", "__hash", *columns).unionByName(written.filter("not __gone").select("__slot", "__hash", "__new.*"))
         into = {}
         for slot, more in growth.items():
             if t.numbered:
@@ -259,11 +247,37 @@ class Store:
             rows = rows.withColumn("__slot", F.when(F.col("__depth").isNull(), F.col("__slot")).otherwise(F.col("__hash").bitwiseAND(below - 1) + below))
         folder = uuid.uuid4().hex
         place = f"{self.root}/data/{name}/{folder}"
-        rows.select(F.col("__slot").alias("slot"), *columns).repartition("slot").write.partitionBy("slot").parquet(place)
+        rows.select(F.col("__slot").alias("slot"), *columns).repartition("slot").write.option("compression", "zstd").partitionBy("slot").parquet(place)
         found = {r[0]: r[1] for r in self.spark.read.parquet(place).groupBy("slot").count().collect()} if any(n.startswith("slot=") for n in names_in(self.spark, place)) else {}
         parts = {int(s): Part(folder, n, 0) for s, n in found.items()}
         return _Staged(t, {s: t.parts[s] for s in touched}, parts, counts)
 
+    def _merged(self, name: str, t: Table, slots: Sequence[int], columns: Sequence[str], change: Change, counts: dict[str, int], growth: dict[int, int]) -> tuple[DataFrame | None, list[int]]:
+        """All rows of the parts that a change touches, and these parts; fills counts by kind and growth by slot."""
+        named = None
+        for df, gone in ((change.upserts, False), (change.deletes, True)):
+            if df is not None:
+                row = F.struct(*(F.col(c) for c in columns)) if not gone else F.lit(None).cast(self._schema(t))
+                part = self._routed(df, t, slots).select("__slot", "__hash", *t.keys, row.alias("__new"), F.lit(gone).alias("__gone"))
+                named = part if named is None else named.unionByName(part)
+        asked = [r[0] for r in named.select("__slot").distinct().collect()]  # numbers of parts
+        held = self._rows(name, t, [s for s in asked if s in t.parts])
+        old = held.select(*t.keys, F.struct(*(F.col(c) for c in columns)).alias("__old"))
+        status = F.when(F.col("__gone"), F.when(F.col("__old").isNotNull(), "deleted")).when(F.col("__old").isNull(), "inserted")
+        status = status.when(F.col("__old").eqNullSafe(F.col("__new")), "unchanged").otherwise("changed")
+        met = settled(named.join(old, t.keys, "left").withColumn("__status", status).filter("__status is not null").drop("__old"), "change")
+        by_slot = met.groupBy("__slot", "__status").count().collect()
+        for slot, kind, n in by_slot:
+            counts[kind] = counts.get(kind, 0) + n
+            if kind != "unchanged":
+                growth[slot] = growth.get(slot, 0) + {"inserted": n, "deleted": -n}.get(kind, 0)
+        if not growth:
+            return None, []
+        written = met.filter("__status <> 'unchanged'")
+        touched = [s for s in growth if s in t.parts]
+        kept = self._routed(self._rows(name, t, touched).join(written.select(*t.keys), t.keys, "left_anti"), t, slots)
+        return kept.select("__slot", "__hash", *columns).unionByName(written.filter("not __gone").select("__slot", "__hash", "__new.*")), touched
+
     # commits
 
     def commit(
@@ -277,15 +291,19 @@ class Store:
         so that any change of them makes it run again. once: a name and a number that rises; a
         commit whose number is not above the last one of its name is a replay and does nothing.
         attach: after the plan, values to be held by name beside the tables (None takes one away);
-        another commit that attaches makes it run again.
+        another commit that attaches makes it run again. What is settled meanwhile goes with the commit's end.
         """
+        with passing(self.spark):
+            return self._commit(plan, keys or {}, places or {}, reads, once, attach, attempts)
+
+    def _commit(self, plan, keys, places, reads, once, attach, attempts) -> Commit:
         base, made, values = self.version(), {}, {}
         for _ in range(attempts):
             if once and base.marks.get(once[0], -1) >= once[1]:
                 return Commit(base.number, {}, {})
             if not made and not values:
                 changes = plan(base) if callable(plan) else plan
-                made = {n: self._stage(base, n, c, (keys or {}).get(n, ()), (places or {}).get(n, "")) for n, c in changes.items() if c.upserts is not None or c.deletes is not None}
+                made = {n: self._stage(base, n, c, keys.get(n, ()), places.get(n, "")) for n, c in changes.items() if c.upserts is not None or c.deletes is not None}
                 values = dict(attach(base)) if attach else {}
                 before = base.attached
                 seen = {n: base.tables[n].parts if n in base.tables else None for n in reads}

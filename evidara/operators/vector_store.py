@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..sources.scratch import settled
+from ..sources.scratch import passing, settled
 from .store import Change, Commit, Store, Version
 
 #: Rows of a cell on average, most cells, rows that centres are fitted on, and queries that go to all tasks at a time.
@@ -98,6 +98,10 @@ class VectorStore:
 
     def build(self, rows: DataFrame, cells: int | None = None) -> Commit:
         """Rows (key, content_hash, vector, and any columns to filter by) as the content of the store, in fresh cells, in one commit."""
+        with passing(self.spark):
+            return self._build(rows, cells)
+
+    def _build(self, rows: DataFrame, cells: int | None) -> Commit:
         rows = settled(rows.withColumn("vector", F.col("vector").cast("array<double>")), "vectors")
         n = rows.count()
         sample = rows.orderBy(F.xxhash64("key"), "key").limit(SAMPLE).select("vector").toArrow()  # bounded
@@ -118,8 +122,9 @@ class VectorStore:
 
     def apply(self, upserts: DataFrame, deletes: DataFrame | None = None, once: tuple[str, int] | None = None) -> Commit:
         """A delta of rows like those of build, one for each key, and of keys that go. Counts are those of the ledger."""
-        upserts = settled(upserts.withColumn("vector", F.col("vector").cast("array<double>")), "delta")
-        return self.store.commit(lambda v: self.changes(v, upserts, deletes), reads=["ledger", "cells"], once=once)
+        with passing(self.spark):
+            upserts = settled(upserts.withColumn("vector", F.col("vector").cast("array<double>")), "delta")
+            return self.store.commit(lambda v: self.changes(v, upserts, deletes), reads=["ledger", "cells"], once=once)
 
     def changes(self, v: Version, upserts: DataFrame, deletes: DataFrame | None = None, vector: Column | None = None) -> dict[str, Change]:
         """What a delta does to the tables, for commits with other tables; vector is worked out of rows that are new or changed only."""

@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -34,8 +37,28 @@ def shared_place(spark: SparkSession, name: str) -> str:
     return path
 
 
+#: By thread, the folders of settled results of each scope that is open, the innermost last.
+_open = threading.local()
+
+
+@contextmanager
+def passing(spark: SparkSession) -> Iterator[None]:
+    """What is settled within goes at the end, so nothing that is made of it may be read later."""
+    scopes = _open.__dict__.setdefault("scopes", [])
+    scopes.append([])
+    try:
+        yield
+    finally:
+        for path in scopes.pop():
+            folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def settled(df: DataFrame, name: str) -> DataFrame:
     """df, computed once and read from Parquet from here on."""
-    path = f"{shared_place(df.sparkSession, name)}/rows"
-    df.write.parquet(path)
+    place = shared_place(df.sparkSession, name)
+    if getattr(_open, "scopes", None):
+        _open.scopes[-1].append(place)
+    path = f"{place}/rows"
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -5,7 +5,8 @@ import random
 import pytest
 
 from evidara.operators.derived import PARENT, TABLES, Derived
-from evidara.operators.store import Store
+from evidara.operators.store import Store, names_in
+from evidara.sources.scratch import shared_place, shared_root
 
 
 def parent(rnd, i):
@@ -65,3 +66,17 @@ def test_a_delta_that_fails_half_way_changes_nothing(spark, tmp_path, monkeypatc
             kept.apply(spark.createDataFrame([("p/3", "document", None, None, "a", "t", "quite another text")], PARENT))
     assert kept.store.version().number == n and all(r.n == 0 for r in kept.orphans().collect())
     assert kept.vacuum() >= 1
+
+
+def test_a_commit_leaves_nothing_but_its_version(spark, tmp_path):
+    """Neither what was settled on the way, nor keys of rows in each posting of the index."""
+    rnd = random.Random(6)
+    place = f"{shared_root(spark)}/evidara-core"
+    shared_place(spark, "there-is-one")
+    before = set(names_in(spark, place))
+    kept = Derived(Store(spark, str(tmp_path / "kept")), cells=2)
+    kept.apply(spark.createDataFrame([parent(rnd, i) for i in range(30)], PARENT))
+    kept.apply(spark.createDataFrame([parent(rnd, i) for i in range(25, 35)], PARENT), spark.createDataFrame([("p/3",)], "citation string"))
+    assert set(names_in(spark, place)) == before
+    postings = kept.index()._read_postings()
+    assert postings.filter("bucket < 64 and keys is not null").count() == 0 and postings.filter("bucket < 64").count() > 0

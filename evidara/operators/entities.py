@@ -13,6 +13,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.scratch import settled
 from .lexical import with_fallback
 
 # Scores by kind of identifier for exact and partial hits, reasons, and the strength of reasons.
@@ -23,6 +24,9 @@ REASONS = {"user_id": "user_id_exact", "remark": "contact_remark_exact", "nickna
 PARTIAL_REASONS = {"user_id": "user_id_partial", "display_name": "identifier_partial"}
 PRIORITY = {"private_conversation_title_exact": 50, "user_id_exact": 45, "contact_remark_exact": 40, "contact_nickname_exact": 30, "group_alias_exact": 20, "identifier_exact": 10}
 
+#: Lengths of the runs of characters that values are posted under.
+RUNS = (1, 2, 3, 6, 12, 24)
+
 
 def normalized(c: Column) -> Column:
     return F.lower(F.trim(F.regexp_replace(c, "[ \\t\\n\\r]+", " ")))
@@ -163,14 +167,15 @@ def _grams(c: Column, size: Column) -> Column:
 def _containing(values: DataFrame, asked: DataFrame, scope: Sequence[str]) -> DataFrame:
     """asked (.., part) joined with the values (.., v) that contain part, within the same scope.
 
-    Values are posted under their runs of one to three characters, as far as these begin what is asked;
-    each part asks the list of the rarest of its own, and what it finds there is verified. So no
-    part meets values that have nothing in common with it.
+    Values are posted under their runs of the lengths of RUNS that are asked for, as far as these
+    begin what is asked; each part asks the list of the rarest of its own runs of the longest such length, and
+    what it finds there is verified. So no part meets values that have nothing in common with it.
     """
-    size = F.least(F.lit(3), F.length("part"))
-    wanted = asked.select(*scope, "part").distinct().filter("part <> ''").withColumn("gram", F.explode(_grams(F.col("part"), size)))
-    sizes = F.array(*(F.lit(k) for k in (1, 2, 3)))
-    posted = values.select(*scope, "v").distinct().withColumn("k", F.explode(sizes)).filter(F.length("v") >= F.col("k"))
+    longest = F.array_max(F.filter(F.array(*(F.lit(k) for k in RUNS)), lambda k: k <= F.length("part")))
+    parts = asked.select(*scope, "part").distinct().filter("part <> ''").withColumn("k", longest)
+    wanted = parts.select(*scope, "part", F.explode(_grams(F.col("part"), F.col("k"))).alias("gram"))
+    sizes = parts.select("k").distinct()  # RUNS at most
+    posted = values.select(*scope, "v").distinct().join(F.broadcast(sizes), F.length("v") >= F.col("k"))
     posted = posted.withColumn("gram", F.explode(_grams(F.col("v"), F.col("k")))).drop("k").join(wanted.select(*scope, "gram").distinct(), [*scope, "gram"], "left_semi")
     sizes_of = posted.groupBy(*scope, "gram").agg(F.count("*").alias("n"))
     rarest = wanted.join(sizes_of, [*scope, "gram"], "left").groupBy(*scope, "part").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("g"))
@@ -190,23 +195,30 @@ def candidates_of_many(entities: DataFrame, identifiers: DataFrame, needles: Dat
     asked = needles.select(*scope, "needle", normalized(F.col("needle")).alias("part")).distinct()
     of_needle = [*scope, "needle"]
 
-    def hits(parts: DataFrame, keys: list[str]) -> DataFrame:
-        """The surest hit of each entity by each part."""
-        met = parts.join(_containing(ids, parts, scope), [*scope, "part"]).join(ids, [*scope, "v"])
+    def hits(met: DataFrame, keys: list[str]) -> DataFrame:
+        """What each identifier (kind, v, confidence) that contains a part says of its entity."""
         exact = F.col("v") == F.col("part")
         reason = _by_kind(REASONS, "identifier_exact")
         partial = F.coalesce(_by_kind(PARTIAL_REASONS, None), F.concat(reason, F.lit("_partial")))
         score = F.when(exact, F.greatest(_by_kind(EXACT, 0.0), F.least("confidence", F.lit(1.0)))).otherwise(_by_kind(partial_scores(), 0.0))
         return met.select(*keys, "entity_id", exact.alias("exact"), score.alias("score"), F.when(exact, F.array(reason, F.lit("identifier_exact"))).otherwise(F.array(partial)).alias("reasons"))
 
-    whole = hits(asked, of_needle)
+    whole = hits(asked.join(_containing(ids, asked, scope), [*scope, "part"]).join(ids, [*scope, "v"]), of_needle)
     best = F.max("exact").over(Window.partitionBy(*of_needle))
     whole = whole.withColumn("best", best).filter("exact = best").groupBy(*of_needle, "entity_id", "exact").agg(F.max("score").alias("score"), F.flatten(F.collect_set("reasons")).alias("reasons"))
-    whole = whole.withColumn("stage", F.when(F.col("exact"), "exact").otherwise("partial")).drop("exact")
-
-    words = asked.withColumn("words", F.array_distinct(F.split("part", " "))).filter("size(words) > 1").join(whole.select(*of_needle).distinct(), of_needle, "left_anti")
-    words = words.select(*of_needle, F.size("words").alias("n"), F.explode("words").alias("part"))
-    each = hits(words, [*of_needle, "n", "part"]).groupBy(*of_needle, "n", "part", "entity_id").agg(F.max("score").alias("score"), F.flatten(F.collect_set("reasons")).alias("reasons"))
+    whole = settled(whole.withColumn("stage", F.when(F.col("exact"), "exact").otherwise("partial")).drop("exact"), "whole")
+
+    split = asked.withColumn("words", F.array_distinct(F.split("part", " "))).filter("size(words) > 1").join(whole.select(*of_needle).distinct(), of_needle, "left_anti").drop("part")
+    words = settled(split.select("*", F.explode("words").alias("part")), "words")
+    # A word that many identifiers contain would meet them once for each needle that has it: only the rarest word
+    # of a needle is looked up, and the others are looked for in the identifiers of the entities found.
+    values = settled(_containing(ids, words, scope), "containing")
+    met_by = values.join(ids.groupBy(*scope, "v").agg(F.count("*").alias("met")), [*scope, "v"]).groupBy(*scope, "part").agg(F.sum("met").alias("met"))
+    rarest = words.join(met_by, [*scope, "part"], "left").groupBy(*of_needle, "words").agg(F.min(F.struct(F.coalesce("met", F.lit(0)).alias("met"), "part")).alias("r"))
+    rarest = rarest.filter("r.met > 0").select(*of_needle, "words", F.col("r.part").alias("part"))
+    some = rarest.join(values, [*scope, "part"]).join(ids.select(*scope, "v", "entity_id"), [*scope, "v"]).select(*of_needle, "words", "entity_id").distinct()
+    met = some.join(ids, [*scope, "entity_id"]).withColumn("part", F.explode("words")).filter(F.col("v").contains(F.col("part")))
+    each = hits(met.withColumn("n", F.size("words")), [*of_needle, "n", "part"]).groupBy(*of_needle, "n", "part", "entity_id").agg(F.max("score").alias("score"), F.flatten(F.collect_set("reasons")).alias("reasons"))
     every = each.groupBy(*of_needle, "n", "entity_id").agg(F.count("*").alias("hit"), F.min("score").alias("score"), F.flatten(F.collect_set("reasons")).alias("reasons")).filter("hit = n")
     found = whole.unionByName(every.select(*of_needle, "entity_id", "score", "reasons", F.lit("words").alias("stage")))
     own = entities.select("entity_id", F.col("confidence").alias("own"))

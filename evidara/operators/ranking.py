@@ -2,15 +2,22 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Iterable, Iterator, Mapping, Sequence
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from ..functions.vectors import cosine, inner
 from ..sources.scratch import settled
 
+#: What rounding to 9 places may hide between two scores, and how many scores and values a task holds at a time.
+SLACK, SCORES, VALUES = 2e-9, 1 << 21, 1 << 21
+
 
 def route(df: DataFrame, name: str, order: Sequence[Column], limit: int, key: str = "key") -> DataFrame:
     """The best rows of a route with their rank from 1; only limit rows reach the ranking."""
@@ -83,19 +90,89 @@ def top_vectors(vectors: DataFrame, query: DataFrame, k: int, key: str, metric:
     return d.orderBy(F.desc("score"), key).limit(k)
 
 
-def top_vectors_many(vectors: DataFrame, queries: DataFrame, k: int, key: str, query_key: str, block: int = 256) -> DataFrame:
+def _summed(products: np.ndarray) -> np.ndarray:
+    """Sums of rows from left to right, as the JVM adds them."""
+    return np.cumsum(products, axis=1)[:, -1] + 0.0 if products.shape[1] else np.zeros(len(products))
+
+
+def _one(norms: np.ndarray) -> np.ndarray:
+    return np.where(norms == 0, 1.0, norms)
+
+
+def _rows_of(column: pa.Array, dims: int | None) -> tuple[np.ndarray, np.ndarray]:
+    """Vectors as rows, and which of them are vectors of so many values, none null; the others are zeros."""
+    known = pc.fill_null(pc.equal(pc.list_value_length(column), -1 if dims is None else dims), False).to_numpy(zero_copy_only=False)
+    out = np.zeros((len(column), dims or 0))
+    if known.any() and dims:
+        flat = column.filter(pa.array(known)).flatten()
+        out[known] = flat.to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dims)
+        if flat.null_count:
+            known[known] = ~flat.is_null().to_numpy(zero_copy_only=False).reshape(-1, dims).any(axis=1)
+            out[~known] = 0.0
+    return out, known
+
+
+def _nearest_rows(queries: list[Sequence[float] | None], k: int) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """For mapInArrow over (key, vector): i, key and cosine of rows that can be among the k nearest of query i after rounding.
+
+    Products of matrices tell which rows can; these are scored as `cosine` does. Of rows of one score and query, the first k by key go on.
+    """
+    groups: dict[int | None, list[int]] = {}
+    for i, q in enumerate(queries):
+        groups.setdefault(None if q is None or any(x is None for x in q) else len(q), []).append(i)
+    asked = [(n, np.array(own, np.int32), np.array([queries[i] for i in own], np.float64).reshape(len(own), -1) if n is not None else np.zeros((len(own), 0))) for n, own in groups.items()]
+    step = max(1, SCORES // max(1, len(queries)))
+
+    def part(keys: pa.Array, vectors: pa.Array, n: int | None, own: np.ndarray, q: np.ndarray, top: np.ndarray) -> Iterator[pa.RecordBatch]:
+        x, known = _rows_of(vectors, n)
+        nx, nq = _one(np.sqrt(_summed(x * x))), _one(np.sqrt(_summed(q * q)))
+        near = (q @ x.T) / (nq[:, None] * nx[None, :])
+        near[:, ~known] = 0.0
+        near[np.isnan(near)] = np.inf  # which sorts above all
+        top[:] = np.partition(np.concatenate([top, near], axis=1), -k, axis=1)[:, -k:]
+        c, r = np.nonzero(near >= top.min(axis=1)[:, None] - SLACK)
+        width = max(1, VALUES // max(1, x.shape[1]))
+        sums = [_summed(q[c[a : a + width]] * x[r[a : a + width]]) for a in range(0, len(c), width)]
+        score = np.where(known[r], np.concatenate([*sums, np.zeros(0)]) / (nx[r] * nq[c]), 0.0)
+        if len(c) > k * len(own) and (pa.types.is_integer(keys.type) or pa.types.is_string(keys.type)):
+            place = np.empty(len(keys), np.int64)
+            place[pc.sort_indices(keys, null_placement="at_start").to_numpy()] = np.arange(len(keys))
+            order = np.lexsort((place[r], score, c))
+            c, r, score = c[order], r[order], score[order]
+            at = np.arange(len(c))
+            same = np.r_[False, (c[1:] == c[:-1]) & ((score[1:] == score[:-1]) | (np.isnan(score[1:]) & np.isnan(score[:-1])))]
+            kept = at - np.maximum.accumulate(np.where(same, 0, at)) < k
+            c, r, score = c[kept], r[kept], score[kept]
+        yield pa.RecordBatch.from_arrays([pa.array(own[c]), keys.take(pa.array(r)), pa.array(score)], names=["i", "key", "score"])
+
+    def apply(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tops = [np.full((len(own), k), -np.inf) for _, own, _ in asked]
+        for batch in batches:
+            for a in range(0, batch.num_rows, step):
+                piece = batch.slice(a, step)
+                for (n, own, q), top in zip(asked, tops):
+                    with np.errstate(all="ignore"):
+                        yield from part(piece.column("key"), piece.column("vector"), n, own, q, top)
+
+    return apply
+
+
+def top_vectors_many(vectors: DataFrame, queries: DataFrame, k: int, key: str, query_key: str, block: int = 2048) -> DataFrame:
     """The k nearest rows for each of many query vectors (query_key, q), a block of queries at a time.
 
     The driver holds one block; its results, k rows for each query, are written before the next
-    is read. A task keeps the k nearest of its own rows for each query, so what is shuffled does
-    not grow with the vectors of a task.
+    is read. A task multiplies a few of its rows at a time with the block, and keeps those that can be among the
+    k nearest, so what is shuffled does not grow with the vectors of a task.
     """
     spark, schema = vectors.sparkSession, queries.select(query_key, "q").schema
+    kind = vectors.select(F.col(key).alias("key")).schema["key"].dataType.simpleString()
     out, held = None, []
 
     def ranked(rows: list) -> DataFrame:
-        part = spark.createDataFrame(rows, schema)
-        d = vectors.join(F.broadcast(part)).select(query_key, key, F.round(cosine(F.col("vector"), F.col("q")), 9).alias("score"))
+        names = spark.createDataFrame([(i, r[0]) for i, r in enumerate(rows)], StructType([StructField("i", IntegerType()), schema[query_key]]))
+        pairs = vectors.select(F.col(key).alias("key"), F.col("vector").cast("array<double>").alias("vector"))
+        found = pairs.mapInArrow(_nearest_rows([r[1] for r in rows], k), f"i int, key {kind}, score double")
+        d = found.join(F.broadcast(names), "i").select(query_key, F.col("key").alias(key), F.round("score", 9).alias("score"))
         n = F.row_number().over(Window.partitionBy(query_key).orderBy(F.desc("score"), key))
         return d.withColumn("rank", n).filter(F.col("rank") <= k)
 

@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import re
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
 
+from ..functions.slices import sliced
+
 _BLANK = re.compile(r"\s+")
 #: The most bytes of an item, as the format has them.
 _MAX_ITEM = 256 * 1024
@@ -36,16 +38,8 @@ def parse_timeline(xml: str | None) -> tuple[str, str | None, str | None, int |
     return "parsed", field("id"), field("username"), int(at) if at.isdigit() and len(at) < 18 else None, field("contentDesc"), field("ContentObject/contentUrl") or None, keys
 
 
-ITEM = StructType(
-    [StructField(n, StringType()) for n in ("status", "id", "author")] + [StructField("at", LongType()), StructField("text", StringType()), StructField("link", StringType()), StructField("keys", ArrayType(StringType()))]
-)
-
-
-@F.pandas_udf(ITEM)
-def parsed_timeline(xml: pd.Series) -> pd.DataFrame:
-    out = pd.DataFrame([parse_timeline(x) for x in xml], columns=ITEM.names)
-    out["at"] = out["at"].astype("Int64")
-    return out
+ITEM = {n: (pa.string(), StringType()) for n in ("status", "id", "author", "at", "text", "link")} | {"at": (pa.int64(), LongType()), "keys": (pa.list_(pa.string()), ArrayType(StringType()))}
+parsed_timeline = sliced(parse_timeline, pa.struct([(n, a) for n, (a, _) in ITEM.items()]), StructType([StructField(n, s) for n, (_, s) in ITEM.items()]), list(ITEM))
 
 
 def one_of_each(items: DataFrame, order: str) -> DataFrame:

@@ -41,8 +41,9 @@ def query_tokens(spark, d):
 @query("shingle_tokens", f"""SELECT doc_id, count(*) AS n, string_agg(t, ' ' ORDER BY t) AS tokens FROM (SELECT DISTINCT doc_id, t FROM (SELECT doc_id, unnest(CASE WHEN regexp_matches(r, '^[\\x{{4e00}}-\\x{{9fff}}]') THEN CASE WHEN length(r) = 1 THEN [r] ELSE list_transform(range(1, length(r)), lambda i: substring(r, i, 2)) END WHEN length(r) >= 2 THEN [r] ELSE CAST([] AS VARCHAR[]) END) AS t
  FROM (SELECT doc_id, unnest(regexp_extract_all({MIXED}, '[a-z0-9_]+|[\\x{{4e00}}-\\x{{9fff}}]+')) AS r FROM documents) x) y) z GROUP BY doc_id""")
 def shingle_tokens(spark, d):
-    t = T.shingle_tokens(mixed())
-    return S.raw(spark, d, "documents").select("doc_id", F.size(t).cast("long").alias("n"), F.array_join(t, " ").alias("tokens")).filter("n > 0")
+    """Exploded as a list of one, so that the tokens of a text are made once for the filter, the count and the list."""
+    t = S.raw(spark, d, "documents").select("doc_id", F.explode(F.array(T.shingle_tokens(mixed()))).alias("t"))
+    return t.filter("size(t) > 0").select("doc_id", F.size("t").cast("long").alias("n"), F.array_join("t", " ").alias("tokens"))
 
 
 TAGS = {"legal": ("license", "rights"), "contact": ("@mail", "+1 ("), "question": ("?",), "insult": ("idiot", "scum")}

@@ -41,7 +41,7 @@ class Evaluated:
 
     def __init__(self, spark, d):
         self.cases = S.raw(spark, d, "benchmark").select(F.col("item_id").alias("case_id"), "text")
-        self.docs = S.raw(spark, d, "documents").select(F.col("doc_id").alias("key"), "text")
+        self.docs = K.worded(S.raw(spark, d, "documents").select(F.col("doc_id").alias("key"), "text"))
         self.table = K.term_table(self.docs, self.cases)
         self.expected = settled(K.containing(self.docs, self.cases, self.table), "expected")
 

@@ -60,28 +60,27 @@ TABLES = {"exact": "exact", "fts": "fts", "parent_child": "parent_child", "vecto
 
 
 class Asked:
-    """The documents with their vectors, and the cases."""
+    """The documents with their words and vectors, each made once, and the cases."""
 
     def __init__(self, spark, d):
         text = F.coalesce("text", F.lit(""))
-        self.docs = S.raw(spark, d, "documents").select(F.col("doc_id").alias("key"), "text")
+        docs = S.raw(spark, d, "documents").select(F.col("doc_id").alias("key"), "text")
+        self.docs = K.worded(docs)
         self.items = S.raw(spark, d, "benchmark").select(F.col("item_id").alias("case_id"), "text")
         self.cases = settled(self.items.select("case_id", F.array_join(F.slice(K.words(F.col("text")), 1, ASKED), " ").alias("query")), "cases")
-        self.sizes = batch.corpus_sizes(self.docs)
-        self.vectors = settled(self.docs.select("key", P.embedded(text).alias("vector")), "vectors")
-
-    def search(self, cases):
-        asked = settled(cases.select("case_id", P.embedded("query").alias("q")), "asked")
-        return batch.BatchSearch(self.docs, cases, self.sizes, self.vectors, asked)
+        self.table = K.term_table(self.docs, self.items)
+        vectors = settled(docs.select("key", P.embedded(text).alias("vector")), "vectors")
+        asked = settled(self.cases.select("case_id", P.embedded("query").alias("q")), "asked")
+        self.engine = batch.BatchSearch(self.docs, self.cases, batch.corpus_sizes(self.docs), vectors, asked, table=self.table)
 
 
 @query("batch_search", f"WITH {MODES_SQL} " + " UNION ALL ".join(f"SELECT '{m}' AS mode, case_id, key, rank FROM {t} {t}_r WHERE rank <= 10" for m, t in TABLES.items()))
 def batch_search(spark, d):
     """The first ten documents of every case, by every mode."""
     a = Asked(spark, d)
-    engine, out = a.search(a.cases), None
+    out = None
     for mode in batch.MODES:
-        rows = engine.results(mode).withColumn("mode", F.lit(mode))
+        rows = a.engine.results(mode).withColumn("mode", F.lit(mode))
         out = rows if out is None else out.unionByName(rows)
     return out
 
@@ -94,8 +93,8 @@ def top_ten(table: str) -> str:
 def eval_modes(spark, d):
     """Eight modes over all cases, in two blocks: a run that stops after three of its sixteen parts, and one that does the others."""
     a = Asked(spark, d)
-    expected = settled(K.containing(a.docs, a.items, K.term_table(a.docs, a.items)), "expected")
+    expected = settled(K.containing(a.docs, a.items, a.table), "expected")
     grid = batch.Grid(Store(spark, f"{shared_place(spark, 'grid')}/store"), a.cases, blocks=2)
-    grid.run(batch.MODES, a.search, batch.measured(expected), at_most=3)
-    grid.run(batch.MODES, a.search, batch.measured(expected))
+    grid.run(batch.MODES, a.engine.part, batch.measured(expected), at_most=3)
+    grid.run(batch.MODES, a.engine.part, batch.measured(expected))
     return V.summary(grid.measures(), ["mode"]).select("mode", "cases", "recall", "mrr", "map", "ndcg")

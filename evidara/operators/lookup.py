@@ -21,14 +21,24 @@ def words(c: Column) -> Column:
 
 
 def as_sequence(c: Column) -> Column:
-    """The words of a text between single spaces, so that containment of one in another is containment of whole words."""
-    return F.concat(F.lit(" "), F.array_join(words(c), " "), F.lit(" "))
+    """Words between single spaces, so that containment of one sequence in another is containment of whole words."""
+    return F.concat(F.lit(" "), F.array_join(c, " "), F.lit(" "))
+
+
+def worded(docs: DataFrame) -> DataFrame:
+    """(key, words) of documents (key, text), cut once; what takes documents here takes these in their place."""
+    return settled(docs.select("key", words(F.col("text")).alias("words")), "words")
+
+
+def words_of(docs: DataFrame) -> Column:
+    """The words of documents: those of worded, or cut of their texts."""
+    return F.col("words") if "words" in docs.columns else words(F.col("text"))
 
 
 def term_table(docs: DataFrame, cases: DataFrame) -> DataFrame:
     """(key, size, word, tf) of the words of documents (key, text) that some case (case_id, text) has."""
     asked = cases.select(F.explode(words(F.col("text"))).alias("word")).distinct()
-    d = docs.select("key", words(F.col("text")).alias("w")).select("key", F.size("w").alias("size"), F.explode("w").alias("word"))
+    d = docs.select("key", words_of(docs).alias("w")).select("key", F.size("w").alias("size"), F.explode("w").alias("word"))
     return settled(d.join(asked, "word", "left_semi").groupBy("key", "size", "word").agg(F.count("*").alias("tf")), "terms")
 
 
@@ -47,7 +57,7 @@ def rarest(cases: DataFrame, table: DataFrame, most: int) -> DataFrame:
 
 def ranked_by_terms(docs: DataFrame, table: DataFrame, terms: DataFrame, k: int) -> DataFrame:
     """(case_id, key, score, rank): the k best documents of each case by BM25 over its terms."""
-    stats = docs.agg(F.count("*").alias("rows"), F.avg(F.size(words(F.col("text")))).alias("mean"))
+    stats = docs.agg(F.count("*").alias("rows"), F.avg(F.size(words_of(docs))).alias("mean"))
     j = table.join(terms, "word").join(F.broadcast(stats))
     idf = F.greatest(F.log((F.col("rows") - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(LEAST_IDF))
     part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("size") / F.col("mean")))
@@ -74,5 +84,5 @@ def containing(docs: DataFrame, cases: DataFrame, table: DataFrame) -> DataFrame
     all_ = frequencies(cases, table).groupBy("case_id").agg(F.count("*").alias("found"), F.min(F.struct("df", "word")).alias("r"))
     anchors = all_.join(known, "case_id").filter("found = n").select("case_id", F.col("r.word").alias("word"))
     pairs = table.select("key", "word").join(anchors, "word").select("case_id", "key")
-    j = pairs.join(docs.select("key", as_sequence(F.col("text")).alias("d")), "key").join(cases.select("case_id", as_sequence(F.col("text")).alias("c")), "case_id")
+    j = pairs.join(docs.select("key", as_sequence(words_of(docs)).alias("d")), "key").join(cases.select("case_id", as_sequence(words(F.col("text"))).alias("c")), "case_id")
     return j.filter(F.col("d").contains(F.col("c"))).select("case_id", "key")

@@ -19,15 +19,16 @@ a word that no document has, but for its other words in fts. Documents that tie
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterable, Iterator, Sequence
 from functools import cached_property
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators import evaluation as V
 from ..operators import lookup as K
-from ..operators.lexical import B, K1, LEAST_IDF, chunk_array
+from ..operators.lexical import B, K1, LEAST_IDF
 from ..operators.ranking import top_vectors_many
 from ..operators.store import Change, Store
 from ..sources.scratch import settled
@@ -39,13 +40,27 @@ PHRASE_BOOST, WORD_BOOST, ROUTE_BOOSTS = 6.75, 1.25, {"exact": 1.0, "evidence":
 
 
 def spaced(c: Column) -> Column:
-    """The words of a text, each between spaces of its own, so that hits of phrases do not share any."""
-    return F.concat(F.lit(" "), F.array_join(K.words(c), "  "), F.lit(" "))
+    """Words, each between spaces of its own, so that hits of phrases do not share any."""
+    return F.concat(F.lit(" "), F.array_join(c, "  "), F.lit(" "))
+
+
+def _counted(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Hits of a phrase in the words of a document, and in those of its chunks that have any."""
+    chunk = pa.list_(pa.struct([("k", pa.int32()), ("tf", pa.int64()), ("size", pa.int32())]))
+    for batch in batches:
+        tf, chunks = [], []
+        for phrase, text in zip(batch.column("phrase"), batch.column("words")):
+            p, t = phrase.as_py(), text.as_py()
+            tf.append(t.count(p))
+            pieces = (t[at : at + CHUNK] for at in range(0, max(len(t) - (CHUNK - STRIDE), 1), STRIDE))
+            chunks.append([{"k": k, "tf": n, "size": len(piece)} for k, piece in enumerate(pieces) if (n := piece.count(p))])
+        kept = [batch.column(c) for c in ("case_id", "key", "size")]
+        yield pa.RecordBatch.from_arrays([*kept, pa.array(tf, pa.int64()), pa.array(chunks, chunk)], ["case_id", "key", "size", "tf", "chunks"])
 
 
 def corpus_sizes(docs: DataFrame) -> DataFrame:
-    """One row of documents and chunks (key, text), and their mean lengths in words and characters."""
-    d = docs.select(K.words(F.col("text")).alias("w"), F.length(spaced(F.col("text"))).alias("c"))
+    """One row of documents (key, text, or K.worded) and chunks, and their mean lengths in words and characters."""
+    d = docs.select(K.words_of(docs).alias("w")).select("w", F.length(spaced(F.col("w"))).alias("c"))
     n = F.greatest(F.ceil((F.col("c") - (CHUNK - STRIDE)) / F.lit(STRIDE)), F.lit(1)).cast("long")
     length = F.col("c") + (n - 1) * (CHUNK - STRIDE)
     return settled(d.agg(F.count("*").alias("rows"), F.avg(F.size("w")).alias("mean"), F.sum(n).alias("chunks"), (F.sum(length) / F.sum(n)).alias("chunk_mean")), "sizes")
@@ -63,25 +78,35 @@ def _first(df: DataFrame, by: Sequence[str], order: Sequence[Column], k: int) ->
 
 
 class BatchSearch:
-    """docs (key, text) searched for cases (case_id, query); vectors (key, vector) and query_vectors (case_id, q) where there are any."""
+    """docs (key, text, or K.worded) searched for cases (case_id, query); vectors (key, vector) and query_vectors (case_id, q) where there are any.
 
-    def __init__(self, docs: DataFrame, cases: DataFrame, sizes: DataFrame, vectors: DataFrame | None = None, query_vectors: DataFrame | None = None, limit: int = 10, depth: int = 30, window: int = 50):
+    table is a K.term_table of docs that has the words of all queries, if there is one already.
+    """
+
+    def __init__(self, docs: DataFrame, cases: DataFrame, sizes: DataFrame, vectors: DataFrame | None = None, query_vectors: DataFrame | None = None, limit: int = 10, depth: int = 30, window: int = 50, table: DataFrame | None = None):
         self.docs, self.sizes, self.vectors, self.query_vectors = docs, sizes, vectors, query_vectors
         self.limit, self.depth, self.window = limit, depth, window
         self.cases = cases.select("case_id", F.col("query").alias("text"))
-        self.table = K.term_table(docs, self.cases)
+        self.table = K.term_table(docs, self.cases) if table is None else table
+
+    def part(self, cases: DataFrame) -> BatchSearch:
+        """The same for some of the cases, with the words and hits of all of them, which are found once."""
+        own = cases.select("case_id")
+        asked = None if self.query_vectors is None else self.query_vectors.join(own, "case_id", "left_semi")
+        out = BatchSearch(self.docs, cases, self.sizes, self.vectors, asked, self.limit, self.depth, self.window, self.table)
+        out.hits = self.hits.join(own, "case_id", "left_semi")
+        return out
 
     @cached_property
     def hits(self) -> DataFrame:
         """(case_id, key, tf, size, chunks) of documents with the phrase of a case; chunks are those with hits (k, tf, size)."""
-        asked = self.cases.select("case_id", spaced(F.col("text")).alias("phrase"), F.size(F.array_distinct(K.words(F.col("text")))).alias("n")).filter("n > 0")
+        asked = self.cases.select("case_id", K.words(F.col("text")).alias("w")).select("case_id", spaced(F.col("w")).alias("phrase"), F.size(F.array_distinct("w")).alias("n")).filter("n > 0")
         known = K.frequencies(self.cases, self.table).groupBy("case_id").agg(F.count("*").alias("found"), F.min(F.struct("df", "word")).alias("r"))
         anchors = asked.join(known, "case_id").filter("found = n").select("case_id", "phrase", F.col("r.word").alias("word"))
-        met = self.table.select("key", "word", "size").join(anchors, "word").drop("word").join(self.docs.select("key", spaced(F.col("text")).alias("words")), "key")
-        count = lambda c: ((F.length(c) - F.length(F.replace(c, F.col("phrase"), F.lit("")))) / F.length("phrase")).cast("long")
-        found = met.withColumn("tf", count(F.col("words"))).filter("tf > 0")
-        chunks = F.transform(chunk_array(F.col("words"), CHUNK, STRIDE), lambda c, i: F.struct(i.alias("k"), count(c).alias("tf"), F.length(c).alias("size")))
-        return settled(found.select("case_id", "key", "tf", "size", F.filter(chunks, lambda c: c["tf"] > 0).alias("chunks")), "phrase-hits")
+        met = self.table.select("key", "word", "size").join(anchors, "word").drop("word").join(self.docs.select("key", spaced(K.words_of(self.docs)).alias("words")), "key")
+        found = met.filter(F.col("words").contains(F.col("phrase"))).select("case_id", "key", "size", "phrase", "words")
+        kinds = ", ".join(f"{n} {t}" for n, t in found.dtypes[:3])
+        return settled(found.mapInArrow(_counted, f"{kinds}, tf long, chunks array<struct<k: int, tf: long, size: int>>"), "phrase-hits")
 
     def _with(self, df: DataFrame) -> DataFrame:
         return df.join(df.groupBy("case_id").agg(F.count("*").alias("df")), "case_id").join(F.broadcast(self.sizes))
@@ -122,8 +147,8 @@ class BatchSearch:
     @cached_property
     def reranked(self) -> DataFrame:
         held = self._fused(self.window).drop("rank")
-        words = K.frequencies(self.cases, self.table).select("case_id", "word").join(self.table.select("key", "word"), "word")
-        words = words.join(held.select("case_id", "key"), ["case_id", "key"], "left_semi").groupBy("case_id", "key").agg(F.count("*").alias("words"))
+        own = self.cases.select("case_id", F.explode(F.array_distinct(K.words(F.col("text")))).alias("word"))
+        words = held.select("case_id", "key").join(own, "case_id").join(self.table.select("key", "word"), ["key", "word"]).groupBy("case_id", "key").agg(F.count("*").alias("words"))
         j = held.join(words, ["case_id", "key"], "left").join(self.hits.select("case_id", "key", F.lit(PHRASE_BOOST).alias("phrase")), ["case_id", "key"], "left")
         score = F.col("score") + F.coalesce("phrase", F.lit(0.0)) + WORD_BOOST * F.coalesce("words", F.lit(0))
         for name, boost in ROUTE_BOOSTS.items():

@@ -142,3 +142,18 @@ def test_a_grid_goes_on_where_it_stopped(spark, engine, tmp_path):
     fresh = batch.Grid(Store(spark, str(tmp_path / "fresh")), changed, blocks=3)
     fresh.run(modes, search, batch.measured(expected))
     assert rows(again) == rows(fresh)
+
+
+def test_parts_share_the_words_and_hits_of_all_cases(spark, engine):
+    """Of worded documents a part of the cases gives what an engine of its own gives, from tables that were made once."""
+    from evidara.operators import lookup as K
+
+    docs = K.worded(engine.docs)
+    assert docs.columns == ["key", "words"]
+    cases = spark.createDataFrame(CASES, "case_id long, query string")
+    table = K.term_table(docs, cases.withColumnRenamed("query", "text"))
+    whole = batch.BatchSearch(docs, cases, batch.corpus_sizes(docs), engine.vectors, engine.query_vectors, limit=3, table=table)
+    part = whole.part(cases.filter("case_id IN (1, 6)"))
+    assert part.table is table
+    for mode in batch.MODES:
+        assert got(part, mode) == {c: keys for c, keys in got(engine, mode).items() if c in (1, 6)}, mode

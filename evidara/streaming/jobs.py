@@ -7,8 +7,8 @@ results lie in folders that the caller names, on storage that all machines share
 from __future__ import annotations
 
 from collections.abc import Iterator
-from datetime import timedelta
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -114,16 +114,16 @@ def adaptive_rounds(events: DataFrame, late: str = "1 hour", cap_seconds: float
             closed, now = [(*now[:5], "quiet")] if now else [], None
             state.remove()
         else:
-            rows = pd.concat(list(frames)).sort_values(["ts", "event_id"])
-            events = list(zip(rows.event_id, rows.ts.map(pd.Timestamp.timestamp), rows.event_type))
+            events = sorted(((i, at, kind) for f in frames for i, at, kind in zip(f["event_id"].tolist(), f["at"].tolist(), f["event_type"].tolist())), key=lambda e: (e[1], e[0]))
             closed, now = fold_rounds(events, now, cap_seconds)
             if now:
                 state.update(now)
                 wait = quiet_seconds(now[2], now[5])
                 state.setTimeoutTimestamp(max(int((now[4] + wait) * 1000), state.getCurrentWatermarkMs() + 1))
         if closed:
-            at = lambda s: pd.Timestamp(0) + timedelta(seconds=s)
-            yield pd.DataFrame([(key[0], a, b, n, at(s), at(e), why) for a, b, n, s, e, why in closed], columns=[c.split()[0] for c in ROUND.split(", ")])
+            at = lambda seconds: np.rint(np.array(seconds) * 1e6).astype("datetime64[us]")
+            first, last, n, started, ended, why = zip(*closed)
+            yield pd.DataFrame({"user_id": key[0], "first_event": first, "last_event": last, "n": n, "started": at(started), "ended": at(ended), "closed_by": why})
 
-    e = events.withWatermark("ts", late).select("user_id", "event_id", "ts", "event_type")
+    e = events.withWatermark("ts", late).select("user_id", "event_id", "ts", (F.unix_micros("ts") / 1e6).alias("at"), "event_type")
     return e.groupBy("user_id").applyInPandasWithState(step, ROUND, _STATE, "append", GroupStateTimeout.EventTimeTimeout)

@@ -8,7 +8,9 @@ or has reached its greatest length, and one that stays blocked expires. When a r
 each of its drafts is told with its outcome.
 
 State of a user is four variables: the open round, its drafts by revision, its retries, and
-the last place, which tells events that come late; it is dropped behind the watermark.
+the last place, which tells events that come late, with the timer that is set; it is dropped
+behind the watermark. Each access is a message to the JVM, so what is not there is not asked
+for, and what did not change is not written.
 Defined cases: events at or before the last place are told as `late` and change nothing,
 repeated ones too; failures without an open round do nothing; rows with a null user, time
 or id are left out; a null kind is a message.
@@ -21,8 +23,7 @@ from contextlib import contextmanager
 from dataclasses import dataclass
 from typing import NamedTuple
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
@@ -80,6 +81,7 @@ class Draft(NamedTuple):
 
 
 DRAFT = "user_id long, first_event long, last_event long, revision long, attempts long, outcome string, seconds double"
+COLUMNS = [c.split()[0] for c in DRAFT.split(", ")]
 
 
 class Held:
@@ -130,56 +132,69 @@ class Rounds(StatefulProcessor):
         self.open = handle.getValueState("open", "first_event long, last_event long, revision long, started double, ended double, kind string")
         self.drafts = handle.getMapState("drafts", "revision long", "last_event long, made double, attempts long")
         self.retry = handle.getValueState("retry", "attempts long, not_before double, blocked boolean")
-        self.place = handle.getValueState("place", "at double, event_id long")
+        self.place = handle.getValueState("place", "at double, event_id long, timer long")
 
     def load(self) -> Held:
-        place, open_, retry = self.place.get(), self.open.get(), self.retry.get()
+        place, open_ = self.place.get(), self.open.get()
+        retry = self.retry.get() if open_ else None
         drafts = {k[0]: Draft(*v) for k, v in self.drafts.iterator()} if open_ else {}
-        return Held(Round(*open_) if open_ else None, drafts, Retry(*retry) if retry else Retry(), tuple(place) if place else None)
+        self.timer = place[2] if place else None
+        held = Held(Round(*open_) if open_ else None, drafts, Retry(*retry) if retry else Retry(), tuple(place[:2]) if place else None)
+        self.before = self.values(held, self.timer), dict(drafts)
+        return held
 
-    def store(self, held: Held, before: dict[int, Draft], watermark: int) -> None:
-        for state, value in ((self.open, held.round), (self.retry, held.retry if held.round and held.retry.attempts else None), (self.place, held.place)):
-            if value is None:
+    def values(self, held: Held, timer: int | None) -> tuple[tuple | None, ...]:
+        """What is held, as values of the states open, retry and place."""
+        return held.round, held.retry if held.round and held.retry.attempts else None, (*held.place, timer) if held.place else None
+
+    def wanted(self, held: Held, watermark: int) -> int | None:
+        """The time of the next timer, in milliseconds; there is none without a last place."""
+        if held.round:
+            at = held.round.due_at(self.timing, held.retry)
+            at = at if held.round.revision in held.drafts else min(held.round.prepared_at(self.timing), at)
+        elif held.place:
+            at = held.place[0] + 1
+        else:
+            return None
+        return max(int(-(-at * 1000 // 1)), watermark + 1)
+
+    def store(self, held: Held, watermark: int, expired: int | None = None) -> None:
+        """expired is the timer that goes when this is done."""
+        timer = self.wanted(held, watermark)
+        values, drafts = self.before
+        for state, was, now in zip((self.open, self.retry, self.place), values, self.values(held, timer)):
+            if now is None and was is not None:
                 state.clear()
-            else:
-                state.update(tuple(value))
-        for n in before.keys() - held.drafts.keys():
+            elif now != was:
+                state.update(tuple(now))
+        for n in drafts.keys() - held.drafts.keys():
             self.drafts.removeKey((n,))
         for n, d in held.drafts.items():
-            if before.get(n) != d:
+            if drafts.get(n) != d:
                 self.drafts.updateValue((n,), tuple(d))
-        for timer in list(self.handle.listTimers()):
-            self.handle.deleteTimer(timer)
-        wanted = []
-        if held.round:
-            made = held.round.revision in held.drafts
-            wanted = [held.round.due_at(self.timing, held.retry) if made else min(held.round.prepared_at(self.timing), held.round.due_at(self.timing, held.retry))]
-        elif held.place:
-            wanted = [held.place[0] + 1]
-        for at in wanted:
-            self.handle.registerTimer(max(int(-(-at * 1000 // 1)), watermark + 1))
-
-    def rows(self, key: tuple, out: list[tuple]) -> Iterator[pd.DataFrame]:
-        if out:
-            yield pd.DataFrame([(key[0], *row) for row in out], columns=[c.split()[0] for c in DRAFT.split(", ")]).astype({"first_event": "Int64"})
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        held = self.load()
-        before, out = dict(held.drafts), []
-        events = pd.concat(list(rows)).sort_values(["at", "event_id"])
-        for i, at, kind in zip(events.event_id.tolist(), events["at"].tolist(), events.event_type.tolist()):
+        if timer != self.timer:
+            if self.timer not in (None, expired):
+                self.handle.deleteTimer(self.timer)
+            if timer is not None:
+                self.handle.registerTimer(timer)
+
+    def rows(self, key: tuple, out: list[tuple]) -> Iterator[Row]:
+        return (Row(**dict(zip(COLUMNS, (key[0], *row)))) for row in out)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        held, out = self.load(), []
+        for at, i, kind in sorted(((r["at"], r["event_id"], r["event_type"]) for r in rows), key=lambda e: e[:2]):
             out += held.observe(i, at, kind, self.timing)
-        self.store(held, before, timerValues.getCurrentWatermarkInMs())
-        yield from self.rows(key, out)
+        self.store(held, timerValues.getCurrentWatermarkInMs())
+        return self.rows(key, out)
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         held, watermark = self.load(), timerValues.getCurrentWatermarkInMs()
-        before = dict(held.drafts)
         out = held.until(watermark / 1000, self.timing)
         if not held.round and held.place and held.place[0] * 1000 < watermark:
             held.place = None  # what comes before the watermark is not seen any more
-        self.store(held, before, watermark)
-        yield from self.rows(key, out)
+        self.store(held, watermark, expiredTimerInfo.getExpiryTimeInMs())
+        return self.rows(key, out)
 
     def close(self) -> None:
         pass
@@ -189,7 +204,7 @@ def drafted_rounds(events: DataFrame, late: str = "1 hour", timing: Timing = Tim
     """DRAFT rows of a stream of events (user_id, event_id, ts timestamp, event_type); start it, and read its state, within state_on_disk."""
     known = events.filter("user_id IS NOT NULL AND ts IS NOT NULL AND event_id IS NOT NULL").withWatermark("ts", late)
     e = known.select("user_id", "event_id", "ts", (F.unix_micros("ts") / 1e6).alias("at"), "event_type")
-    return e.groupBy("user_id").transformWithStateInPandas(Rounds(timing), DRAFT, "append", "eventtime")
+    return e.groupBy("user_id").transformWithState(Rounds(timing), DRAFT, "append", "eventtime")
 
 
 @contextmanager

@@ -7,12 +7,11 @@ results lie in folders that the caller names, on storage that all machines share
 from __future__ import annotations
 
 from collections.abc import Iterator
+from datetime import datetime, timedelta, timezone
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from ..operators import incremental as I
 
@@ -105,25 +104,47 @@ def fold_rounds(events: list[tuple[int, float, str]], state: tuple | None, cap_s
 def adaptive_rounds(events: DataFrame, late: str = "1 hour", cap_seconds: float = 7200.0) -> DataFrame:
     """Rounds of a user's events whose quiet time depends on their number and last kind, with a greatest length.
 
-    State is one open round per user; event-time timers close rounds that go quiet.
+    State is one open round per user; event-time timers close rounds that go quiet. Rows without a time or id are
+    left out. Start it within rounds.state_on_disk.
     """
-
-    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        now = tuple(state.get) if state.exists else None
-        if state.hasTimedOut:
-            closed, now = [(*now[:5], "quiet")] if now else [], None
-            state.remove()
-        else:
-            events = sorted(((i, at, kind) for f in frames for i, at, kind in zip(f["event_id"].tolist(), f["at"].tolist(), f["event_type"].tolist())), key=lambda e: (e[1], e[0]))
-            closed, now = fold_rounds(events, now, cap_seconds)
-            if now:
-                state.update(now)
-                wait = quiet_seconds(now[2], now[5])
-                state.setTimeoutTimestamp(max(int((now[4] + wait) * 1000), state.getCurrentWatermarkMs() + 1))
-        if closed:
-            at = lambda seconds: np.rint(np.array(seconds) * 1e6).astype("datetime64[us]")
-            first, last, n, started, ended, why = zip(*closed)
-            yield pd.DataFrame({"user_id": key[0], "first_event": first, "last_event": last, "n": n, "started": at(started), "ended": at(ended), "closed_by": why})
-
-    e = events.withWatermark("ts", late).select("user_id", "event_id", "ts", (F.unix_micros("ts") / 1e6).alias("at"), "event_type")
-    return e.groupBy("user_id").applyInPandasWithState(step, ROUND, _STATE, "append", GroupStateTimeout.EventTimeTimeout)
+    e = events.filter("ts IS NOT NULL AND event_id IS NOT NULL").withWatermark("ts", late).select("user_id", "event_id", "ts", (F.unix_micros("ts") / 1e6).alias("at"), "event_type")
+    return e.groupBy("user_id").transformWithState(AdaptiveRounds(cap_seconds), ROUND, "append", "eventtime")
+
+
+class AdaptiveRounds(StatefulProcessor):
+    """The timer of a user's open round is kept with it, so that it need not be asked for."""
+
+    def __init__(self, cap_seconds: float):
+        self.cap_seconds = cap_seconds
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.open = handle.getValueState("open", f"{_STATE}, timer long")
+
+    def rows(self, key: tuple, closed: list[tuple]) -> Iterator[Row]:
+        at = lambda s: datetime.fromtimestamp(0, timezone.utc) + timedelta(seconds=s)
+        for first, last, n, started, ended, why in closed:
+            yield Row(user_id=key[0], first_event=first, last_event=last, n=n, started=at(started), ended=at(ended), closed_by=why)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        held = self.open.get()
+        events = sorted(((r["event_id"], r["at"], r["event_type"]) for r in rows), key=lambda e: (e[1], e[0]))
+        closed, now = fold_rounds(events, held[:6] if held else None, self.cap_seconds)
+        if now != (held[:6] if held else None):
+            timer = max(int((now[4] + quiet_seconds(now[2], now[5])) * 1000), timerValues.getCurrentWatermarkInMs() + 1)
+            self.open.update((*now, timer))
+            if held and held[6] != timer:
+                self.handle.deleteTimer(held[6])
+            if not held or held[6] != timer:
+                self.handle.registerTimer(timer)
+        return self.rows(key, closed)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        held = self.open.get()
+        if not held or held[6] != expiredTimerInfo.getExpiryTimeInMs():
+            return iter(())
+        self.open.clear()
+        return self.rows(key, [(*held[:5], "quiet")])
+
+    def close(self) -> None:
+        pass

@@ -68,3 +68,64 @@ def test_stream_equals_the_steps_with_late_rows_and_stops(spark, tmp_path):
     assert {r[5] for r in got} == {"late", "superseded", "ready", "expired"}
     assert held == [(3, 10, 2, 0, False)]
     assert [r.user_id for r in places] == [3]  # those of quiet users are dropped
+
+
+class Handle:
+    """States and timers in memory, with a list of what was written."""
+
+    def __init__(self):
+        self.held, self.timers, self.written = {}, set(), []
+
+    def getValueState(self, name, schema):
+        return State(self, name)
+
+    def getMapState(self, name, key, schema):
+        return State(self, name)
+
+    def registerTimer(self, at):
+        self.written.append("timer")
+        self.timers.add(at)
+
+    def deleteTimer(self, at):
+        self.timers.remove(at)
+
+
+class State:
+    def __init__(self, handle, name):
+        self.handle, self.name = handle, name
+
+    def get(self):
+        return self.handle.held.get(self.name)
+
+    def update(self, value):
+        self.handle.written.append(self.name)
+        self.handle.held[self.name] = value
+
+    def clear(self):
+        self.handle.written.append(self.name)
+        del self.handle.held[self.name]
+
+    def iterator(self):
+        return iter(())
+
+
+class Now:
+    def getCurrentWatermarkInMs(self):
+        return 0
+
+    def getExpiryTimeInMs(self):
+        return 3700000
+
+
+def test_only_what_changes_is_written():
+    """Each access to state is a message, so a late event writes nothing, and a timer is set anew only where its time is another."""
+    from pyspark.sql import Row
+
+    for processor, written in ((rounds.Rounds(rounds.Timing()), ["open", "place", "timer"]), (jobs.AdaptiveRounds(7200.0), ["open", "timer"])):
+        handle = Handle()
+        processor.init(handle)
+        one = Row(event_id=2, at=100.0, event_type="view")
+        assert list(processor.handleInputRows((1,), iter([one]), Now())) == [] and handle.written == written
+        before, handle.written = set(handle.timers), []
+        late = list(processor.handleInputRows((1,), iter([one]), Now()))
+        assert len(late) == (processor.__class__ is rounds.Rounds) and handle.written == [] and handle.timers == before and len(before) == 1

@@ -157,3 +157,11 @@ def test_parts_share_the_words_and_hits_of_all_cases(spark, engine):
     assert part.table is table
     for mode in batch.MODES:
         assert got(part, mode) == {c: keys for c, keys in got(engine, mode).items() if c in (1, 6)}, mode
+
+
+def test_measures_cut_the_words_of_documents_once(spark):
+    """The parts of an evaluation read the words of documents, not their texts."""
+    from evidara.catalog.evaluation import Evaluated
+
+    e = Evaluated(spark, "/root/testdata/sf0.001")
+    assert e.docs.columns == ["key", "words"] and e.terms(2).columns == ["case_id", "key", "score", "rank"]

@@ -8,11 +8,10 @@ Texts with other white space, or with two white spaces in a row, are not cut thi
 from __future__ import annotations
 
 from collections.abc import Callable
-from itertools import chain
 
 #: Chunks that a task keeps the ids of: those of late use, and as many from before.
 CACHE = 120_000
-#: Chunks that encode_all keeps the ids of at most.
+#: Chunks that encode_each keeps the ids of at most.
 KNOWN = 600_000
 #: Characters of the longest chunk that is kept: of the two bounds above, this makes bounds of memory.
 LONGEST = 64
@@ -29,9 +28,15 @@ _MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 def cut(text: str) -> list[str] | None:
     """Chunks of a text, or None where it must be encoded whole. A chunk stands for itself with
     a space before it; one that begins with NUL has none, and a newline stands alone."""
+    marked = parted(text)
+    return None if marked is None else marked.split(" ")
+
+
+def parted(text: str) -> str | None:
+    """The chunks of a text with a space between them, or None where it must be encoded whole."""
     if any(x in text for x in _RUNS) or any(x in text for x in (_OTHER_ASCII if text.isascii() else _OTHER)):
         return None
-    return ("\0" + text.replace("\n", " \n \0")).split(" ")
+    return "\0" + text.replace("\n", " \n \0")
 
 
 class Chunks(dict):
@@ -59,44 +64,45 @@ class Chunks(dict):
         return out
 
 
-def encode_all(texts: list[list[str]], known: dict[str, bytes], words: Callable[[list[str], list[str]], list[bytes]], other: Callable[[str], bytes]) -> list[bytes]:
-    """The encoded bytes of each text, given as its chunks.
+def encode_each(distinct: list[str], known: dict[str, bytes], words: Callable[[list[str], list[str]], list[bytes]], other: Callable[[str], bytes]) -> list[bytes]:
+    """The encoded bytes of each of these chunks, which are distinct.
 
     Of what known lacks, letters alone go to words in one call, those with a space before them
     (without it) and those without; the text of any other chunk goes to other.
     """
     get = known.get
-    here = dict.fromkeys(chain.from_iterable(texts))  # each chunk is looked up among the many known ones once
-    here = dict(zip(here, map(get, here)))
-    lacking = [c for c, x in here.items() if x is None]
-    if lacking:
-        if len(known) + len(lacking) > KNOWN:
-            known.clear()
-        plain = {c for c in lacking if c.isalpha()}
-        bare, ended, rest = [], [], []
-        for c in lacking:
-            if c in plain:
-                continue
-            stem = c.rstrip(_MARKS)
-            if stem != c and stem.isalpha():
-                ended.append((c, stem, "\0" + c[len(stem) :]))  # letters and the run of marks after them are always parted
-                if here.get(stem) is None:
-                    x = get(stem)
-                    if x is None:
-                        plain.add(stem)
-                    else:
-                        here[stem] = x
-            else:
-                (bare if c[:1] == "\0" and c[1:].isalpha() else rest).append(c)
-        listed = list(plain)
-        new = dict(zip(listed + bare, words(listed, [c[1:] for c in bare])))
-        for c in {*rest, *(marks for _, _, marks in ended)}:
-            text = c[1:] if c[:1] == "\0" else c if c == "\n" else f" {c}"
-            new[c] = other(text) if text else b""
-        here.update(new)
-        ends = {c: here[stem] + here[marks] for c, stem, marks in ended}
-        here.update(ends)
-        for made in (new, ends):
-            known.update(made if max(map(len, made), default=0) <= LONGEST else {c: x for c, x in made.items() if len(c) <= LONGEST})
-    find = here.__getitem__
-    return [b"".join(map(find, parts)) for parts in texts]
+    found = list(map(get, distinct))
+    lacking = [c for c, x in zip(distinct, found) if x is None]
+    if not lacking:
+        return found
+    here: dict[str, bytes] = {}
+    plain = {c for c in lacking if c.isalpha()}
+    bare, ended, rest, added = [], [], [], len(lacking)
+    for c in lacking:
+        if c in plain:
+            continue
+        stem = c.rstrip(_MARKS)
+        if stem != c and stem.isalpha():
+            ended.append((c, stem, "\0" + c[len(stem) :]))  # letters and the run of marks after them are always parted
+            if stem not in plain and stem not in here:
+                x = get(stem)
+                if x is None:
+                    plain.add(stem)
+                    added += 1
+                else:
+                    here[stem] = x
+        else:
+            (bare if c[:1] == "\0" and c[1:].isalpha() else rest).append(c)
+    listed = list(plain)
+    new = dict(zip(listed + bare, words(listed, [c[1:] for c in bare])))
+    for c in {*rest, *(marks for _, _, marks in ended)}:
+        text = c[1:] if c[:1] == "\0" else c if c == "\n" else f" {c}"
+        new[c] = other(text) if text else b""
+    if len(known) + added > KNOWN:
+        known.clear()
+    here.update(new)
+    ends = {c: here[stem] + here[marks] for c, stem, marks in ended}
+    here.update(ends)
+    for made in (new, ends):
+        known.update(made if max(map(len, made), default=0) <= LONGEST else {c: x for c, x in made.items() if len(c) <= LONGEST})
+    return [here[c] if x is None else x for c, x in zip(distinct, found)]

@@ -31,12 +31,13 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .chunks import cut, encode_all
+from .chunks import encode_each, parted
 from .common import gone_at_exit, hold, scratch_path, slices
 
 _IDS, _IDX = b"EVIDS1", b"EVIDX1\0\0"
@@ -243,10 +244,41 @@ class _Encoder:
         raw, ends = ids.tobytes(), ((last + 1) * ids.itemsize).tolist()
         return [raw[a:b] for a, b in zip([0, *ends], ends)]
 
+    def encode_joined(self, texts: list[str | None], end: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts, one after another, each with the end id after it if there is one; and their numbers.
+
+        Chunks are objects once for all texts: these are parted, told apart and put together again as arrays.
+        """
+        marked = [parted(t) if t and self.by_chunk and not any(x in t for x in self.special) else None for t in texts]
+        whole = [(i, self._encode(t)) for i, (t, m) in enumerate(zip(texts, marked)) if t and m is None]
+        lists = pc.split_pattern(pa.array(marked, pa.large_string()), " ")
+        numbered = lists.flatten().dictionary_encode()
+        pieces = encode_each(numbered.dictionary.to_numpy(zero_copy_only=False).tolist(), self.known, self._encode_words, self._encode)
+        # Texts that were encoded whole, and the end id, are one piece more each.
+        chunks, stops, n = numbered.indices.to_numpy(), lists.offsets.to_numpy()[1:], len(pieces)
+        pieces += [x for _, x in whole]
+        at, of = stops[[i for i, _ in whole]], np.arange(n, len(pieces))
+        if whole:
+            stops = stops + np.searchsorted([i for i, _ in whole], np.arange(len(texts)), side="right")
+            chunks = np.insert(chunks, at, of)
+        if end is not None:
+            chunks = np.insert(chunks, stops, len(pieces))
+            stops = stops + np.arange(1, len(texts) + 1)
+            pieces.append(np.array([end], self.kind).tobytes())
+        ids = np.frombuffer(b"".join(pieces), self.kind)
+        lengths = np.fromiter(map(len, pieces), np.int64, len(pieces)) // ids.itemsize
+        starts = np.cumsum(lengths) - lengths
+        sizes = lengths[chunks]
+        ends = np.cumsum(sizes)
+        places = np.repeat(starts[chunks] - (ends - sizes), sizes)
+        places += np.arange(len(places))
+        bounds = np.append(0, ends)[stops]
+        return ids[places], np.diff(bounds, prepend=0)
+
     def encode_all(self, texts: list[str | None]) -> list[bytes]:
-        parts = [cut(t) if t and self.by_chunk and not any(x in t for x in self.special) else None for t in texts]
-        done = iter(encode_all([p for p in parts if p is not None], self.known, self._encode_words, self._encode))
-        return [next(done) if p is not None else self._encode(t) if t else b"" for p, t in zip(parts, texts)]
+        ids, sizes = self.encode_joined(texts)
+        raw, ends = ids.tobytes(), (np.cumsum(sizes) * ids.itemsize).tolist()
+        return [raw[a:b] for a, b in zip([0, *ends], ends)]
 
 
 _encoders: dict[str, _Encoder] = {}
@@ -263,9 +295,23 @@ def _encoder(spec: str) -> _Encoder:
 
 #: Bytes of text of a shard on the mean, at most.
 BYTES_PER_SHARD = 64 << 20
+#: Rows, and bytes of their texts, that are encoded at a time; a longer text is encoded alone.
+ROWS, BYTES = 2048, 4 << 20
 _MANIFEST = "shard long, documents long, ids long, without_key long, low long, high long"
 
 
+def _small(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches cut to ROWS rows, and to BYTES bytes of text where these are more than one row."""
+    for batch in slices(batches, ROWS):
+        ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy().astype(np.int64))
+        at = 0
+        while at < batch.num_rows:
+            before = ends[at - 1] if at else 0
+            n = max(1, int(np.searchsorted(ends, before + BYTES, side="right")) - at)
+            yield batch.slice(at, n)
+            at += n
+
+
 def _writer(spec, folder: str, end_id: int):
     names = [x.split()[0] for x in _MANIFEST.split(", ")]
 
@@ -273,34 +319,33 @@ def _writer(spec, folder: str, end_id: int):
         encoder, context = _encoder(spec.value), TaskContext.get()
         number, attempt = context.partitionId(), context.taskAttemptId()
         fs, path = _place(folder)
-        end = np.array([end_id], encoder.kind).tobytes()
-        width = len(end)
+        width = np.dtype(encoder.kind).itemsize
         file, keys, sizes, without = None, [], [], 0
         name = f"{path}/shard-{number:06d}"
         gc.disable()  # what is made here has no cycles, and the kept chunks are many
         try:
-            for batch in slices(batches, 64):  # the chunks of few texts stay in the processor's cache
+            for batch in _small(batches):
                 if file is None:
                     fs.create_dir(path)
                     file = fs.open_output_stream(f"{name}.ids.{attempt}")
                     file.write(_IDS + bytes([width, 0]) + b"\0" * 8)
                 without += batch.column("doc_id").null_count
                 keys.append(batch.column("doc_id").drop_null().to_numpy())
-                for ids in encoder.encode_all(batch.column("text").to_pylist()):
-                    file.write(ids + end)
-                    sizes.append(len(ids) // width + 1)
+                ids, counts = encoder.encode_joined(batch.column("text").to_pylist(), end_id)
+                file.write(ids.tobytes())
+                sizes.append(counts)
         finally:
             gc.enable()
         if file is None:
             return
         file.close()
         keys = np.concatenate(keys)
-        starts = np.concatenate([[0], np.cumsum(np.array(sizes, np.int64))])
+        starts = np.concatenate([[0], np.cumsum(np.concatenate(sizes))])
         with fs.open_output_stream(f"{name}.idx.{attempt}") as index:
             index.write(index_bytes(keys, starts, without))
         for end_of_name in ("ids", "idx"):
             fs.move(f"{name}.{end_of_name}.{attempt}", f"{name}.{end_of_name}")
-        row = (number, len(sizes), int(starts[-1]), without, *((int(keys[0]), int(keys[-1])) if len(keys) else (None, None)))
+        row = (number, len(starts) - 1, int(starts[-1]), without, *((int(keys[0]), int(keys[-1])) if len(keys) else (None, None)))
         yield pa.RecordBatch.from_arrays([pa.array([x], pa.int64()) for x in row], names=names)
 
     return apply

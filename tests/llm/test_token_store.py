@@ -69,3 +69,27 @@ def test_empty_and_clashing_columns(spark):
     df = spark.createDataFrame([(1, "a", 3, "s")], "doc_id long, text string, shard int, key string")
     folder, manifest = ts.write_token_files(df, PATH)
     assert ts.read_token_files(folder, manifest, df).count() == 1
+
+
+def test_a_chunk_is_looked_up_once_for_many_texts():
+    class Counted(dict):
+        asked = 0
+
+        def get(self, *args):
+            Counted.asked += 1
+            return super().get(*args)
+
+    with open(PATH, encoding="utf-8") as f:
+        encoder = ts._Encoder(f.read())
+    encoder.known = Counted()
+    texts = ["one two", None, "", "a  b", "é, 　", "x\ny <|endoftext|>", "\n"] + ["one two three"] * 1000 + ["end.", "tab\t"]
+    batch = ts.pa.RecordBatch.from_pydict({"text": texts})
+    got = [encoder.encode_joined(b.column("text").to_pylist(), 2) for b in ts._small([batch])]
+    t = tokenizers.Tokenizer.from_file(PATH)
+    want = [[*t.encode(x or "", add_special_tokens=False).ids, 2] for x in texts]
+    assert [n for _, sizes in got for n in sizes.tolist()] == list(map(len, want))
+    assert np.concatenate([ids for ids, _ in got]).tolist() == sum(want, [])
+    assert Counted.asked < 20  # before: once for every 64 texts
+    assert encoder.encode_joined([])[0].tolist() == [] and encoder.encode_joined([None], 2)[0].tolist() == [2]
+    long = ts.pa.RecordBatch.from_pydict({"text": ["a" * ts.BYTES, "b", None, "c" * (ts.BYTES + 1), "d"]})
+    assert [b.num_rows for b in ts._small([long])] == [1, 2, 1, 1]

@@ -17,7 +17,7 @@ from .lexical import B, K1, LEAST_IDF
 
 def words(c: Column) -> Column:
     """Runs of letters, digits and underscores, in lower case."""
-    return F.regexp_extract_all(F.lower(F.coalesce(c, F.lit(""))), F.lit(r"([\p{L}\p{N}_]+)"))
+    return F.regexp_extract_all(F.lower(F.coalesce(c, F.lit(""))), F.lit(r"[\p{L}\p{N}_]++"), F.lit(0))
 
 
 def as_sequence(c: Column) -> Column:

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import functions as F
 from pyspark.sql.types import DataType
 
@@ -24,6 +26,17 @@ def in_slices(f: Callable, kind: pa.DataType, names: list[str] | None = None) ->
     return apply
 
 
+def cut(whole, texts: Iterable[pa.Array], rows: int, characters: int) -> Iterator:
+    """Slices of an array or batch, of so many rows and characters of its texts at most; a longer text is alone in one."""
+    ends = np.cumsum(sum(pc.fill_null(pc.utf8_length(t), 0).to_numpy(zero_copy_only=False).astype(np.int64) for t in texts))
+    at = 0
+    while at < len(ends):
+        to = np.searchsorted(ends, (ends[at - 1] if at else 0) + characters, "right")
+        to = int(min(max(to, at + 1), at + rows, len(ends)))
+        yield whole.slice(at, to - at)
+        at = to
+
+
 def sliced(f: Callable, kind: pa.DataType, schema: DataType, names: list[str] | None = None) -> Callable:
     """f as a function of a column; schema is the type of its results in Spark."""
     return F.arrow_udf(in_slices(f, kind, names), schema)

@@ -21,13 +21,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.slices import cut
 from ..sources.scratch import kept_place
 
 BUCKETS = 64
 #: Trigrams of a phrase that narrow a scan; rows that have these only by chance are told apart by containment.
 RAREST = 4
-#: Rows whose grams are gathered before they go out together: a block, whose keys go out once.
-GATHERED = 512
+#: Rows, and characters of them, whose grams are gathered before they go out together: a block, whose keys go out once.
+GATHERED, CHARACTERS = 1 << 14, 1 << 20
 POSTING = "bucket int, gram long, n int, block long, places array<short>, keys array<{}>"
 
 
@@ -41,21 +42,42 @@ def bucket_of(grams: np.ndarray) -> np.ndarray:
     return ((grams.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - 6)).astype(np.int32)
 
 
+def gram_rows(fields: Sequence[Sequence[str | None]]) -> tuple[np.ndarray, np.ndarray]:
+    """Each gram of rows (texts of one field after another) with each row that has it in a field, by gram and row."""
+    n = len(fields[0])
+    texts = [t or "" for field in fields for t in field]
+    c = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
+    part = np.repeat(np.arange(len(texts), dtype=np.int32), [len(t) for t in texts])
+    met = np.zeros(0x110000, bool)
+    met[c] = True
+    letters = np.flatnonzero(met)
+    number = np.zeros(0x110000, np.int64)
+    number[letters] = np.arange(len(letters))
+    c = number[c]
+    bits, low = max(1, len(letters) - 1).bit_length(), max(1, n - 1).bit_length()
+    inside = part[2:] == part[:-2]
+    grams = ((c[:-2] << 2 * bits) | (c[1:-1] << bits) | c[2:])[inside]
+    rows = (part[2:][inside] % n).astype(np.int64)
+    if 3 * bits + low <= 63:  # gram and row fit in one number
+        both = np.sort((grams << low) | rows)
+        both = both[np.concatenate([[True], both[1:] != both[:-1]])] if len(both) else both
+        grams, rows = both >> low, both & ((1 << low) - 1)
+    else:
+        order = np.lexsort((rows, grams))
+        grams, rows = grams[order], rows[order]
+        new = np.concatenate([[True], (grams[1:] != grams[:-1]) | (rows[1:] != rows[:-1])])[: len(grams)]
+        grams, rows = grams[new], rows[new]
+    mask = (1 << bits) - 1
+    return (letters[grams >> 2 * bits] << 42) | (letters[grams >> bits & mask] << 21) | letters[grams & mask], rows
+
+
 def _postings(fields: Sequence[str]):
     def apply(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for at in range(0, whole.num_rows, GATHERED):
-                batch = whole.slice(at, GATHERED)
-                grams, owners = [], []
-                for i, texts in enumerate(zip(*(batch.column(f).to_pylist() for f in fields))):
-                    g = np.unique(np.concatenate([gram_codes(t) for t in texts if t] or [np.zeros(0, np.int64)]))
-                    grams.append(g)
-                    owners.append(np.full(len(g), i, np.int64))
-                g, o = np.concatenate(grams), np.concatenate(owners)
+            for batch in cut(whole, [whole.column(f) for f in fields], GATHERED, CHARACTERS):
+                g, o = gram_rows([batch.column(f).to_pylist() for f in fields])
                 if not len(g):
                     continue
-                order = np.argsort(g, kind="stable")
-                g, o = g[order], o[order]
                 starts = np.flatnonzero(np.concatenate([[True], g[1:] != g[:-1]]))
                 sizes = np.diff(np.append(starts, len(g)))
                 names = pa.ListArray.from_arrays(pa.array([0, batch.num_rows], pa.int32()), batch.column("key"))
@@ -103,8 +125,9 @@ class LexicalIndex:
         self._named(n, n if first is None else first)
         return n
 
-    def segment(self, n: int, rows: DataFrame, dropped: DataFrame | None = None) -> int:
-        """Writes a segment, which is part of the index once it is named."""
+    def segment(self, n: int, rows: DataFrame, dropped: DataFrame | None = None, dealt: bool = True) -> int:
+        """Writes a segment, which is part of the index once it is named. Where rows fill their tasks, postings need
+        not be dealt to others: each task then writes a file for each bucket."""
         place = f"{self.root}/segment-{n}"
         lengths = [F.coalesce(F.length(f), F.lit(0)).cast("long").alias(f"len_{f}") for f in self.fields]
         known = rows.select(F.col(self.key).alias("key"), *lengths, F.lit(False).alias("dropped"))
@@ -114,11 +137,11 @@ class LexicalIndex:
         known.write.mode("overwrite").option("compression", "zstd").parquet(f"{place}/rows")
         kind = dict(rows.dtypes)[self.key]
         low = rows.select(F.col(self.key).alias("key"), *(F.lower(f).alias(f) for f in self.fields))
-        self._written(low.mapInArrow(_postings(self.fields), POSTING.format(kind)), place)
+        self._written(low.mapInArrow(_postings(self.fields), POSTING.format(kind)), place, dealt)
         return n
 
-    def _written(self, postings: DataFrame, place: str) -> None:
-        self._dealt(postings).sortWithinPartitions("bucket", "gram").write.mode("overwrite").option("compression", "zstd").partitionBy("bucket").parquet(f"{place}/postings")
+    def _written(self, postings: DataFrame, place: str, dealt: bool = True) -> None:
+        (self._dealt(postings) if dealt else postings).sortWithinPartitions("bucket", "gram").write.mode("overwrite").option("compression", "zstd").partitionBy("bucket").parquet(f"{place}/postings")
 
     def build(self, rows: DataFrame) -> None:
         """An index of rows, whatever was there before."""

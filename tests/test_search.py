@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from evidara.operators.lexical_index import LexicalIndex, gram_codes, kept_index
+from evidara.operators.lexical_index import LexicalIndex, gram_codes, gram_rows, kept_index
 from evidara.plans.search import Corpus, SearchRequest, fuse, plan, promoted, search, understand
 
 EVIDENCE = "citation string, content string, title string, actor string, conversation string, at long, source_type string"
@@ -166,3 +166,12 @@ def test_chunks_are_those_of_the_rule(spark):
     for i, t in enumerate(texts):
         n = max(1, -(-(len(t or "") - 120) // 780))
         assert got[i] == {k: (None if t is None else t[k * 780 : k * 780 + 900], f"{i}#chunk-{k}") for k in range(n)}, i
+
+
+@pytest.mark.parametrize("letters", ["ab", "abcd é中🙂", "".join(map(chr, range(32, 0x11000, 2)))])
+def test_grams_of_many_rows_are_those_of_each(letters):
+    rnd = random.Random(4)
+    letters = [c for c in letters if not 0xD800 <= ord(c) < 0xE000]
+    rows = [[None if rnd.random() < 0.1 else "".join(rnd.choices(letters, k=rnd.choice([0, 1, 2, 3, 300]))) for _ in range(3)] for _ in range(400)]
+    got = gram_rows(list(zip(*rows)))
+    assert list(zip(*(x.tolist() for x in got))) == sorted({(int(g), i) for i, texts in enumerate(rows) for t in texts if t for g in gram_codes(t)})

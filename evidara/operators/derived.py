@@ -22,9 +22,9 @@ from pyspark.sql import functions as F
 
 from ..functions.parsing import embedded
 from ..sources.scratch import settled
-from .lexical import fixed_chunks
+from .lexical import chunk_count, fixed_chunks
 from .lexical_index import LexicalIndex
-from .store import Change, Commit, Store, Version, delete, names_in
+from .store import Change, Commit, Staged, Store, Version, brief, delete, names_in
 from .vector_store import KEYS as VECTOR_KEYS
 from .vector_store import VectorStore, fitted_centers, matrix
 from .windows import episodes
@@ -39,7 +39,7 @@ SEGMENTS = "lexical"
 class Delta(NamedTuple):
     parents: DataFrame
     gone: DataFrame
-    changes: dict[str, Change]
+    changes: dict[str, Change | Staged]
 
 
 def chunks_of(parents: DataFrame) -> DataFrame:
@@ -68,28 +68,26 @@ class Derived:
         v = version or self.store.version()
         return LexicalIndex(self.spark, self.index_root, "citation", FIELDS, v.attached.get(SEGMENTS, []))
 
-    def _held(self, v: Version, table: str, keys: DataFrame) -> DataFrame | None:
-        return v.lookup(table, keys)
-
     def _delta(self, v: Version, upserts: DataFrame, deletes: DataFrame | None) -> Delta:
         columns = [c.split()[0] for c in PARENT.split(", ")]
         upserts = upserts.select(*columns)
-        none = self.spark.createDataFrame([], PARENT)
-        held = self._held(v, "parents", upserts.select("citation"))
-        held = none if held is None else held
-        old = held.select("citation", F.struct(*columns).alias("__old"))
-        fresh = upserts.join(old, "citation", "left").filter(~F.struct(*columns).eqNullSafe(F.col("__old"))).drop("__old")
+        if "parents" not in v.tables:
+            return self._first(v, upserts)
+        upserts = settled(upserts, "upserts")
+        short = F.struct(*map(brief, upserts.schema.fields))
+        old = v.near("parents", upserts).select("citation", "conversation", short.alias("__old"))
+        fresh = upserts.join(old.select("citation", "__old"), "citation", "left").filter(~short.eqNullSafe(F.col("__old"))).drop("__old")
         fresh = settled(fresh, "fresh")
-        gone = none
-        if deletes is not None and "parents" in v.tables:
+        gone = self.spark.createDataFrame([], "citation string, conversation string")
+        if deletes is not None:
             named = deletes.select("citation").distinct().join(upserts.select("citation"), "citation", "left_anti")
-            gone = v.lookup("parents", named)
+            gone = v.lookup("parents", settled(named, "named")).select("citation", "conversation")
         gone = settled(gone, "gone")
-        changes = {"parents": Change(fresh, gone.select("citation"))}
+        changes = {"parents": Change(fresh, gone.select("citation"), differs=True)}
 
         dirty = fresh.select(F.col("citation").alias("parent")).unionByName(gone.select(F.col("citation").alias("parent")))
         chunks = settled(chunks_of(fresh), "chunks")
-        before = self._held(v, "chunks", dirty)
+        before = v.lookup("chunks", dirty)
         lost = None
         if before is not None:
             lost = settled(before.join(chunks, TABLES["chunks"], "left_anti").select(*TABLES["chunks"]), "lost")
@@ -100,23 +98,32 @@ class Derived:
             changes |= self.vectors.changes(v, rows, dropped, embedded("content"))
 
         # A row that left a conversation, or moved in it, is taken out of where it was.
-        was = held.join(fresh.select("citation"), "citation", "left_semi").unionByName(gone).filter("conversation is not null").select("conversation", "citation")
+        was = old.drop("__old").join(fresh.select("citation"), "citation", "left_semi").unionByName(gone).filter("conversation is not null").select("conversation", "citation")
         now = fresh.filter("conversation is not null").select("conversation", "citation", "at", "actor", "content")
         was = settled(was.join(now.select("conversation", "citation"), ["conversation", "citation"], "left_anti"), "was")
         changes["timeline"] = Change(now, was)
         talks = now.select("conversation").unionByName(was.select("conversation")).distinct()
-        lines = self._held(v, "timeline", talks)
+        lines = v.lookup("timeline", talks)
         kept = now if lines is None else lines.join(now.select("citation"), "citation", "left_anti").join(was, ["conversation", "citation"], "left_anti").unionByName(now)
         made = settled(episodes_of(kept), "episodes")
-        earlier = self._held(v, "episodes", talks)
+        earlier = v.lookup("episodes", talks)
         changes["episodes"] = Change(made, None if earlier is None else earlier.join(made, TABLES["episodes"], "left_anti").select(*TABLES["episodes"]))
         return Delta(fresh, gone, changes)
 
+    def _first(self, v: Version, parents: DataFrame) -> Delta:
+        """Where nothing is held: parents are written as their parts, and what follows is made of these."""
+        staged, fresh = self.store.stage(v, "parents", Change(parents), TABLES["parents"])
+        sizes = fresh.filter("content is not null").select(F.col("citation").alias("parent"), chunk_count(F.col("content")).alias("n"))
+        timeline = fresh.filter("conversation is not null").select("conversation", "citation", "at", "actor", "content")
+        made = settled(episodes_of(timeline), "episodes")
+        changes = {"parents": staged, "chunks": Change(chunks_of(fresh), None, sizes), "timeline": Change(timeline), "episodes": Change(made)}
+        return Delta(fresh, self.spark.createDataFrame([], "citation string"), changes)
+
     def apply(self, upserts: DataFrame, deletes: DataFrame | None = None, once: tuple[str, int] | None = None) -> Commit:
         """A delta of parents (PARENT, one row for each citation; citations that go), and all that follows of it."""
         seen: list[Delta] = []
 
-        def plan(v: Version) -> Mapping[str, Change]:
+        def plan(v: Version) -> Mapping[str, Change | Staged]:
             seen[:] = [self._delta(v, upserts, deletes)]
             return seen[0].changes
 
@@ -125,7 +132,7 @@ class Derived:
             if not fresh.limit(1).count() and not gone.limit(1).count():
                 return {}
             have = v.attached.get(SEGMENTS, [])
-            n = self.index(v).segment(self._next(have), fresh, gone.select("citation"))
+            n = self.index(v).segment(self._next(have), fresh, gone.select("citation"), dealt="parents" in v.tables)
             return {SEGMENTS: [*have, n]}
 
         done = self.store.commit(plan, TABLES, PLACES, ["parents"], once, attach)
@@ -173,22 +180,20 @@ class Derived:
     def orphans(self, version: Version | None = None) -> DataFrame:
         """kind and n of what refers to nothing: chunks, vectors, episodes and indexed keys without what they are made of."""
         v = version or self.store.version()
-        parents = v.read("parents")
-        chunks = v.read("chunks")
+        mark = lambda df, key, name: df.select(F.col(key).alias("key"), *(F.lit(int(name == n)).alias(n) for n in ("made", "parent", "indexed", "vector", "known")))
+        parents, chunks = v.read("parents"), v.read("chunks")
         keys = chunks.select(F.concat("parent", F.lit("#chunk-"), F.col("chunk_index").cast("string")).alias("key"))
-        found = {
-            "chunks": chunks.join(parents.select(F.col("citation").alias("parent")), "parent", "left_anti"),
-            "vectors": v.read("vectors").join(keys, "key", "left_anti"),
-            "unembedded": keys.join(v.read("ledger"), "key", "left_anti"),
-            "episodes": v.read("episodes").join(v.read("timeline"), "conversation", "left_anti") if "episodes" in v.tables else self.spark.range(0),
-            "indexed": self.index(v).live().join(parents.select(F.col("citation").alias("key")), "key", "left_anti"),
-            "unindexed": parents.select(F.col("citation").alias("key")).join(self.index(v).live(), "key", "left_anti"),
-        }
-        out = None
-        for kind, df in found.items():
-            row = df.agg(F.count("*").alias("n")).select(F.lit(kind).alias("kind"), "n")
-            out = row if out is None else out.unionByName(row)
-        return out
+        # All that names a key meets at it, in one pass for parents and one for chunks.
+        of_parents = mark(parents, "citation", "parent").unionByName(mark(chunks, "parent", "made")).unionByName(mark(self.index(v).live(), "key", "indexed"))
+        of_chunks = mark(keys, "key", "made").unionByName(mark(v.read("vectors"), "key", "vector")).unionByName(mark(v.read("ledger"), "key", "known"))
+        met = lambda df: df.groupBy("key").agg(*(F.sum(n).alias(n) for n in df.columns[1:]))
+        without = lambda a, b: F.coalesce(F.sum(F.when(F.col(b) == 0, F.col(a))), F.lit(0))
+        p = met(of_parents).agg(without("made", "parent").alias("chunks"), without("indexed", "parent").alias("indexed"), without("parent", "indexed").alias("unindexed"))
+        c = met(of_chunks).agg(without("vector", "made").alias("vectors"), without("made", "known").alias("unembedded"))
+        lone = v.read("episodes").join(v.read("timeline"), "conversation", "left_anti") if "episodes" in v.tables else self.spark.range(0)
+        row = p.crossJoin(c).crossJoin(lone.agg(F.count("*").alias("episodes")))
+        kinds = ("chunks", "vectors", "unembedded", "episodes", "indexed", "unindexed")
+        return row.select(F.explode(F.array(*(F.struct(F.lit(k).alias("kind"), F.col(k).alias("n")) for k in kinds))).alias("x")).select("x.kind", "x.n")
 
     def vacuum(self, keep: int = 1, older_than: float = 0) -> int:
         """Deletes parts and segments that none of the newest versions names."""

@@ -100,12 +100,17 @@ def by_postings(df: DataFrame, postings: DataFrame, key: str, column: str, phras
     return df.join(have, key, "left_semi").filter(F.lower(column).contains(phrase.lower()))
 
 
+def chunk_count(text: Column, size: int = 900, stride: int = 780) -> Column:
+    """The number of overlapping chunks of a text."""
+    return F.greatest(F.ceil((F.length(text) - (size - stride)) / F.lit(stride)).cast("int"), F.lit(1))
+
+
 def chunk_array(text: Column, size: int = 900, stride: int = 780) -> Column:
     """The overlapping chunks of a text, in one pass over it: pieces of stride characters, each with the head of the next."""
     if size > 2 * stride:
         raise ValueError("a chunk reaches into the next piece only")
     pieces = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{stride}}}"), F.lit(0))
-    n = F.greatest(F.ceil((F.length(text) - (size - stride)) / F.lit(stride)).cast("int"), F.lit(1))
+    n = chunk_count(text, size, stride)
     pairs = F.arrays_zip(pieces.alias("piece"), F.concat(F.slice(pieces, 2, F.size(pieces)), F.array(F.lit(""))).alias("next"))
     joined = F.transform(F.slice(pairs, F.lit(1), n), lambda p: F.concat(p["piece"], F.substring(p["next"], 1, size - stride)))
     return F.when(F.length(text) > stride, joined).otherwise(F.array(text))

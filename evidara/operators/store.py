@@ -25,13 +25,17 @@ import uuid
 from collections.abc import Callable, Mapping, Sequence
 from typing import NamedTuple
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import ArrayType, NumericType, StringType, StructField, StructType
 
 from ..sources.scratch import passing, settled
 
 HASH_BITS = 31
+#: Rows that a task puts in a part: larger parts are dealt to several files.
+FILE_ROWS = 100_000
+#: Longer texts are compared by their SHA-256 with those that are held.
+LONG = 64
 
 
 def _fs(spark: SparkSession, path: str):
@@ -85,6 +89,16 @@ def put_if_absent(spark: SparkSession, path: str, text: str) -> bool:
         fs.delete(draft, False)
 
 
+def brief(f: StructField) -> Column:
+    """A column by which equal values are told as by the value itself, but which stays short."""
+    c = F.col(f"`{f.name}`")
+    if isinstance(f.dataType, ArrayType) and isinstance(f.dataType.elementType, NumericType):
+        return F.unhex(F.sha2(c.cast("string"), 256)).alias(f.name)
+    if isinstance(f.dataType, StringType):
+        return F.when(F.length(c) > LONG, F.concat(F.lit("\0"), F.sha2(c, 256))).otherwise(c).alias(f.name)
+    return c.alias(f.name)
+
+
 class Part(NamedTuple):
     folder: str
     rows: int
@@ -110,10 +124,16 @@ class Table(NamedTuple):
 
 
 class Change(NamedTuple):
-    """What a commit does to a table: rows put in (one for each key), keys (in any columns more) taken out."""
+    """What a commit does to a table: rows put in (one for each key), keys (in any columns more) taken out.
+
+    sizes says of upserts that are made of parts whose hash is theirs too: the hashed columns and n, the number
+    of rows. A new table is then written as they lie, without a shuffle. differs says that upserts are known to be
+    new or changed, so that they are not compared with what is held."""
 
     upserts: DataFrame | None = None
     deletes: DataFrame | None = None
+    sizes: DataFrame | None = None
+    differs: bool = False
 
 
 class Commit(NamedTuple):
@@ -126,7 +146,7 @@ class Commit(NamedTuple):
     written: dict[str, list[int]]
 
 
-class _Staged(NamedTuple):
+class Staged(NamedTuple):
     table: Table
     replaced: dict[int, Part]
     parts: dict[int, Part]
@@ -150,8 +170,15 @@ class Version:
         if t is None or not t.parts:
             return self.read(table)
         keys = keys.select(*t.hashed).distinct()
-        slots = [r[0] for r in self.store._routed(keys, t, sorted(t.parts)).select("__slot").distinct().collect()]
-        return self.part(table, slots).join(keys, t.hashed, "left_semi")
+        return self.near(table, keys).join(keys, t.hashed, "left_semi")
+
+    def near(self, table: str, keys: DataFrame) -> DataFrame | None:
+        """All rows of the parts that keys lie in."""
+        t = self.tables.get(table)
+        if t is None or not t.parts:
+            return self.read(table)
+        slots = [r[0] for r in self.store._routed(keys.select(*t.hashed), t, sorted(t.parts)).select("__slot").distinct().collect()]
+        return self.part(table, slots)
 
     def part(self, table: str, slots: Sequence[int]) -> DataFrame:
         t = self.tables[table]
@@ -208,12 +235,17 @@ class Store:
         directory = self.spark.createDataFrame(ends, "__end long, __slot long")
         return df.withColumn("__end", F.col("__hash").bitwiseAND(F.lit((1 << depth) - 1))).join(F.broadcast(directory), "__end").drop("__end")
 
-    def _stage(self, base: Version, name: str, change: Change, keys: Sequence[str], place: str) -> _Staged:
+    def stage(self, base: Version, name: str, change: Change, keys: Sequence[str], place: str = "") -> tuple[Staged, DataFrame]:
+        """For the plan of a commit: the written parts of a change, which stand for it there, and their rows."""
+        s = self._stage(base, name, change, keys, place)
+        return s, self._rows(name, s.table._replace(parts=s.parts), sorted(s.parts))
+
+    def _stage(self, base: Version, name: str, change: Change, keys: Sequence[str], place: str) -> Staged:
         """The parts that a change makes, written, and the parts that they take the place of."""
         t = base.tables.get(name)
         if t is None:
             if change.upserts is None:
-                return _Staged(Table(list(keys), "", {}, place), {}, {}, {})
+                return Staged(Table(list(keys), "", {}, place), {}, {}, {})
             t = Table(list(keys), change.upserts.schema.json(), {}, place)
         columns = [f.name for f in self._schema(t).fields]
         if change.upserts is not None and sorted(change.upserts.columns) != sorted(columns):
@@ -222,61 +254,72 @@ class Store:
         counts: dict[str, int] = {}
         growth: dict[int, int] = {}
         touched: list[int] = []
+        written = None
         if not t.parts:  # all that comes is new
             if change.upserts is not None:
-                rows = self._routed(change.upserts, t, slots).select("__slot", "__hash", *columns)
-                growth = {r[0]: r[1] for r in rows.groupBy("__slot").count().collect()}  # numbers of parts
+                sizes, n = (change.upserts, F.count("*")) if change.sizes is None else (change.sizes, F.sum("n"))
+                growth = {r[0]: r[1] for r in self._routed(sizes, t, slots).groupBy("__slot").agg(n).collect()}  # numbers of parts
             if growth:
                 counts["inserted"] = sum(growth.values())
         else:
-            rows, touched = self._merged(name, t, slots, columns, change, counts, growth)
+            written = self._met(name, t, slots, columns, change, counts, growth)
+            touched = [s for s in growth if s in t.parts]
         if not growth:
-            return _Staged(t, {}, {}, counts)
-        into = {}
+            return Staged(t, {}, {}, counts)
+        folder = uuid.uuid4().hex
+        place = f"{self.root}/data/{name}/{folder}"
+        spread = []
         for slot, more in growth.items():
-            if t.numbered:
-                continue
             size = more + (t.parts[slot].rows if slot in t.parts else 0)
             depth = slot.bit_length() - 1
-            into[slot] = min(HASH_BITS, depth + max(0, math.ceil(math.log2(max(size, 1) / self.part_rows))))
-        deeper = {s: d for s, d in into.items() if d > s.bit_length() - 1}
-        if deeper:
-            depths = self.spark.createDataFrame(list(deeper.items()), "__slot long, __depth int")
-            rows = rows.join(F.broadcast(depths), "__slot", "left")
-            below = F.expr("shiftleft(1L, __depth)")
-            rows = rows.withColumn("__slot", F.when(F.col("__depth").isNull(), F.col("__slot")).otherwise(F.col("__hash").bitwiseAND(below - 1) + below))
-        folder = uuid.uuid4().hex
-        place = f"{self.root}/data/{name}/{folder}"
-        rows.select(F.col("__slot").alias("slot"), *columns).repartition("slot").write.option("compression", "zstd").partitionBy("slot").parquet(place)
+            into = depth if t.numbered else min(HASH_BITS, depth + max(0, math.ceil(math.log2(max(size, 1) / self.part_rows))))
+            spread.append((slot, into, max(1, math.ceil(size / 2 ** max(0, into - depth) / FILE_ROWS))))
+        if written is None:
+            rows = self._spread(self._routed(change.upserts, t, slots), t, spread).select("slot", "__deal", *columns)
+            rows = rows.drop("__deal") if change.sizes is not None else rows.repartition("slot", "__deal").drop("__deal")
+        else:
+            # Rows that are held and rows that come meet in one shuffle; of those of a key the one that comes is the first.
+            held = self._routed(self._rows(name, t, touched), t, slots).select("__slot", "__hash", *columns, F.lit(True).alias("__held"), F.lit(False).alias("__gone"))
+            come = written.select("__slot", "__hash", *(F.col(c) if c in t.keys else F.col("__new")[c].alias(c) for c in columns), F.lit(False).alias("__held"), "__gone")
+            both = self._spread(held.unionByName(come), t, spread).repartition("slot", "__deal")
+            before = F.lag(F.lit(True)).over(Window.partitionBy("slot", "__deal", *t.keys).orderBy("__held", "__gone"))
+            rows = both.withColumn("__later", before).filter("__later is null and not __gone").select("slot", *columns)
+        rows.write.option("compression", "zstd").partitionBy("slot").parquet(place)
         found = {r[0]: r[1] for r in self.spark.read.parquet(place).groupBy("slot").count().collect()} if any(n.startswith("slot=") for n in names_in(self.spark, place)) else {}
         parts = {int(s): Part(folder, n, 0) for s, n in found.items()}
-        return _Staged(t, {s: t.parts[s] for s in touched}, parts, counts)
-
-    def _merged(self, name: str, t: Table, slots: Sequence[int], columns: Sequence[str], change: Change, counts: dict[str, int], growth: dict[int, int]) -> tuple[DataFrame | None, list[int]]:
-        """All rows of the parts that a change touches, and these parts; fills counts by kind and growth by slot."""
+        return Staged(t, {s: t.parts[s] for s in touched}, parts, counts)
+
+    def _spread(self, rows: DataFrame, t: Table, spread: Sequence[tuple[int, int, int]]) -> DataFrame:
+        """Routed rows with slot, after parts that have grown are split, and __deal, the file of the part."""
+        if all(into == slot.bit_length() - 1 and files == 1 for slot, into, files in spread):
+            return rows.withColumn("slot", F.col("__slot")).withColumn("__deal", F.lit(0).cast("long"))
+        named = self.spark.createDataFrame(list(spread), "__slot long, __depth int, __files int")
+        rows = rows.join(F.broadcast(named), "__slot")
+        below = F.expr("shiftleft(1L, __depth)")
+        slot = F.col("__slot") if t.numbered else F.when(below <= F.col("__slot"), F.col("__slot")).otherwise(F.col("__hash").bitwiseAND(below - 1) + below)
+        return rows.withColumn("slot", slot).withColumn("__deal", F.pmod(F.xxhash64(F.lit(1), *t.keys), F.col("__files")))
+
+    def _met(self, name: str, t: Table, slots: Sequence[int], columns: Sequence[str], change: Change, counts: dict[str, int], growth: dict[int, int]) -> DataFrame:
+        """The rows of a change that differ from what is held; fills counts by kind and growth by slot."""
+        schema = self._schema(t)
+        short = F.struct(*map(brief, schema.fields)) if not change.differs else F.struct(F.lit(True).alias("__there"))
         named = None
         for df, gone in ((change.upserts, False), (change.deletes, True)):
             if df is not None:
-                row = F.struct(*(F.col(c) for c in columns)) if not gone else F.lit(None).cast(self._schema(t))
-                part = self._routed(df, t, slots).select("__slot", "__hash", *t.keys, row.alias("__new"), F.lit(gone).alias("__gone"))
+                row = F.struct(*(F.col(c) for c in columns)) if not gone else F.lit(None).cast(schema)
+                part = self._routed(df, t, slots).select("__slot", "__hash", *t.keys, row.alias("__new"), (short if not gone and not change.differs else F.lit(None)).alias("__short"), F.lit(gone).alias("__gone"))
                 named = part if named is None else named.unionByName(part)
         asked = [r[0] for r in named.select("__slot").distinct().collect()]  # numbers of parts
         held = self._rows(name, t, [s for s in asked if s in t.parts])
-        old = held.select(*t.keys, F.struct(*(F.col(c) for c in columns)).alias("__old"))
+        old = held.select(*t.keys, short.alias("__old"))
         status = F.when(F.col("__gone"), F.when(F.col("__old").isNotNull(), "deleted")).when(F.col("__old").isNull(), "inserted")
-        status = status.when(F.col("__old").eqNullSafe(F.col("__new")), "unchanged").otherwise("changed")
-        met = settled(named.join(old, t.keys, "left").withColumn("__status", status).filter("__status is not null").drop("__old"), "change")
-        by_slot = met.groupBy("__slot", "__status").count().collect()
-        for slot, kind, n in by_slot:
+        status = status.when(F.col("__old").eqNullSafe(F.col("__short")), "unchanged").otherwise("changed")
+        met = settled(named.join(old, t.keys, "left").withColumn("__status", status).filter("__status is not null").drop("__old", "__short"), "change")
+        for slot, kind, n in met.groupBy("__slot", "__status").count().collect():
             counts[kind] = counts.get(kind, 0) + n
             if kind != "unchanged":
                 growth[slot] = growth.get(slot, 0) + {"inserted": n, "deleted": -n}.get(kind, 0)
-        if not growth:
-            return None, []
-        written = met.filter("__status <> 'unchanged'")
-        touched = [s for s in growth if s in t.parts]
-        kept = self._routed(self._rows(name, t, touched).join(written.select(*t.keys), t.keys, "left_anti"), t, slots)
-        return kept.select("__slot", "__hash", *columns).unionByName(written.filter("not __gone").select("__slot", "__hash", "__new.*")), touched
+        return met.filter("__status <> 'unchanged'")
 
     # commits
 
@@ -285,7 +328,8 @@ class Store:
         places: Mapping[str, str] | None = None, reads: Sequence[str] = (), once: tuple[str, int] | None = None,
         attach: Callable[[Version], Mapping[str, object]] | None = None, attempts: int = 50,
     ) -> Commit:
-        """Changes tables together. A plan that depends on what is there is a function of the version.
+        """Changes tables together. A plan that depends on what is there is a function of the version, and may
+        stage() a table itself, to make others of the rows as they were written.
 
         keys and places: the key columns, and the column that is the part, of tables that are new. reads: tables that the plan depends on as a whole,
         so that any change of them makes it run again. once: a name and a number that rises; a
@@ -303,7 +347,7 @@ class Store:
                 return Commit(base.number, {}, {})
             if not made and not values:
                 changes = plan(base) if callable(plan) else plan
-                made = {n: self._stage(base, n, c, keys.get(n, ()), places.get(n, "")) for n, c in changes.items() if c.upserts is not None or c.deletes is not None}
+                made = {n: c if isinstance(c, Staged) else self._stage(base, n, c, keys.get(n, ()), places.get(n, "")) for n, c in changes.items() if isinstance(c, Staged) or c.upserts is not None or c.deletes is not None}
                 values = dict(attach(base)) if attach else {}
                 before = base.attached
                 seen = {n: base.tables[n].parts if n in base.tables else None for n in reads}
@@ -327,7 +371,7 @@ class Store:
                 made, values = {}, {}
         raise RuntimeError(f"{attempts} other commits came first")
 
-    def _holds(self, newer: Version, made: Mapping[str, _Staged], seen: Mapping[str, dict | None]) -> bool:
+    def _holds(self, newer: Version, made: Mapping[str, Staged], seen: Mapping[str, dict | None]) -> bool:
         """Whether staged parts still follow from a newer version: nothing changed in their slots, or in what was read."""
         for name, parts in seen.items():
             now = newer.tables[name].parts if name in newer.tables else None

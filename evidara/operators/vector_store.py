@@ -102,9 +102,9 @@ class VectorStore:
             return self._build(rows, cells)
 
     def _build(self, rows: DataFrame, cells: int | None) -> Commit:
-        rows = settled(rows.withColumn("vector", F.col("vector").cast("array<double>")), "vectors")
+        rows = rows.withColumn("vector", F.col("vector").cast("array<double>"))
         n = rows.count()
-        sample = rows.orderBy(F.xxhash64("key"), "key").limit(SAMPLE).select("vector").toArrow()  # bounded
+        sample = self._sample(rows, n)
         centers = fitted_centers(matrix(sample.column("vector")), cells or min(MOST_CELLS, -(-n // CELL_ROWS))) if n else np.zeros((0, 0))
         placed = settled(self._placed(rows, centers), "placed")
         columns = [c for c in placed.columns if c not in ("cosine", "norm", "content_hash")]
@@ -120,6 +120,14 @@ class VectorStore:
 
         return self.store.commit(plan, keys=KEYS, places={"vectors": "cell"}, reads=list(KEYS))
 
+    def _sample(self, rows: DataFrame, n: int) -> pa.Table:
+        """The vectors of the SAMPLE rows with the least hashes of their keys. Of many rows only those below a hash
+        that some more than these are expected under are looked at; should they be fewer, all are."""
+        order = F.xxhash64("key")
+        few = rows.filter(order < F.lit(int((1.2 * SAMPLE / n - 0.5) * 2**64))) if n > 2 * SAMPLE else rows
+        sample = few.orderBy(order, "key").limit(SAMPLE).select("vector").toArrow()  # bounded
+        return sample if sample.num_rows == min(n, SAMPLE) else rows.orderBy(order, "key").limit(SAMPLE).select("vector").toArrow()
+
     def apply(self, upserts: DataFrame, deletes: DataFrame | None = None, once: tuple[str, int] | None = None) -> Commit:
         """A delta of rows like those of build, one for each key, and of keys that go. Counts are those of the ledger."""
         with passing(self.spark):
@@ -131,7 +139,7 @@ class VectorStore:
         if "cells" not in v.tables:
             raise ValueError("the store has not been built")
         asked = upserts.select("key") if deletes is None else upserts.select("key").unionByName(deletes.select("key"))
-        ledger = v.lookup("ledger", asked).withColumnRenamed("cell", "old_cell")
+        ledger = settled(v.lookup("ledger", asked), "ledger").withColumnRenamed("cell", "old_cell")
         held = v.read("cells").orderBy("cell").toArrow()
         centers = matrix(held.column("center"))
         known = upserts.join(ledger.withColumnRenamed("content_hash", "old_hash"), "key", "left")
@@ -159,8 +167,8 @@ class VectorStore:
             (F.col("n") + F.coalesce("new_n", F.lit(0)) - F.coalesce("out", F.lit(0))).alias("n"),
         )
         return {
-            "vectors": Change(placed.select(*columns), left),
-            "ledger": Change(placed.select("key", "content_hash", "cell"), None if gone is None else gone.select("key")),
+            "vectors": Change(placed.select(*columns), left, differs=True),
+            "ledger": Change(placed.select("key", "content_hash", "cell"), None if gone is None else gone.select("key"), differs=True),
             "cells": Change(wide),
         }
 

@@ -5,7 +5,7 @@ import random
 import pytest
 
 from evidara.operators.derived import PARENT, TABLES, Derived
-from evidara.operators.store import Store, names_in
+from evidara.operators.store import Change, Store, names_in
 from evidara.sources.scratch import shared_place, shared_root
 
 
@@ -80,3 +80,16 @@ def test_a_commit_leaves_nothing_but_its_version(spark, tmp_path):
     assert set(names_in(spark, place)) == before
     postings = kept.index()._read_postings()
     assert postings.filter("bucket < 64 and keys is not null").count() == 0 and postings.filter("bucket < 64").count() > 0
+
+
+def test_orphans_of_each_kind_are_counted(spark, tmp_path):
+    kept = Derived(Store(spark, str(tmp_path)), cells=2)
+    rows = [(f"p/{i}", "message", "t", i, "a", "title", f"text {i} " * (200 if i == 3 else 1)) for i in range(6)]
+    kept.apply(spark.createDataFrame(rows, PARENT))
+    count = lambda: {r.kind: r.n for r in kept.orphans().collect()}
+    assert set(count().values()) == {0}
+    gone = lambda keys, schema: Change(deletes=spark.createDataFrame(keys, schema))
+    kept.store.commit({"parents": gone([("p/1",)], "citation string")})
+    assert count() == {"chunks": 1, "vectors": 0, "unembedded": 0, "episodes": 0, "indexed": 1, "unindexed": 0}
+    kept.store.commit({"chunks": gone([("p/1", 0), ("p/2", 0)], "parent string, chunk_index long"), "ledger": gone([("p/3#chunk-1",)], "key string"), "timeline": gone([("t", f"p/{i}") for i in range(6)], "conversation string, citation string")})
+    assert count() == {"chunks": 0, "vectors": 2, "unembedded": 1, "episodes": 2, "indexed": 1, "unindexed": 0}

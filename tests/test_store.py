@@ -133,3 +133,34 @@ def test_two_who_claim_get_different_entries(spark, tmp_path):
     with ThreadPoolExecutor(2) as pool:
         got = list(pool.map(lambda _: q.claim(t0, 60, limit=2), range(2)))
     assert sorted(e for x in got for e, _ in x) == [0, 1, 2, 3]
+
+
+def test_a_part_of_many_rows_is_dealt_to_files(spark, tmp_path, rows, monkeypatch):
+    """One that is large, as that of a cell may be, is not the work of one task; its rows are still one part."""
+    monkeypatch.setattr("evidara.operators.store.FILE_ROWS", 10)
+    store = Store(spark, str(tmp_path))
+    files = lambda: {f.rsplit("/", 1)[1] for f in store.version().read("t").inputFiles()}
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        store.commit({"t": Change(rows([(i, "a") for i in range(100)]))}, {"t": ["k"]})
+        assert len(store.version().tables["t"].parts) == 1 and len(files()) > 1
+        store.commit({"t": Change(rows([(i, "b") for i in range(90, 110)]), spark.createDataFrame([(0,)], "k long"))})
+        assert len(store.version().tables["t"].parts) == 1 and len(files()) > 1
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert content(store.version()) == {i: "b" if i >= 90 else "a" for i in range(1, 110)}
+
+
+def test_equal_and_different_long_values_are_told_apart(spark, tmp_path):
+    """They are compared by digests; rows of a change that differs for sure are not compared at all."""
+    df = lambda rows: spark.createDataFrame(rows, "k long, v string, a array<double>, n int")
+    store = Store(spark, str(tmp_path))
+    long, nan = "x" * 1000, float("nan")
+    old = [(1, long, [1.0, None], None), (2, long, [None, 1.0], 1), (3, None, None, None), (4, "", [], 0), (5, long, [nan], 5)]
+    store.commit({"t": Change(df(old))}, {"t": ["k"]})
+    assert store.commit({"t": Change(df(old))}).counts["t"] == {"unchanged": 5}
+    new = [(1, long, [None, 1.0], None), (2, long + "y", [None, 1.0], 1), (3, "", None, None), (4, "", None, 0), (5, long, [nan], 5), (6, None, None, None)]
+    assert store.commit({"t": Change(df(new))}).counts["t"] == {"changed": 4, "unchanged": 1, "inserted": 1}
+    assert sorted(map(repr, store.version().read("t").collect())) == sorted(map(repr, df(new).collect()))
+    assert store.commit({"t": Change(df([(7, "z", None, 7), new[5]]), spark.createDataFrame([(1,), (9,)], "k long"), differs=True)}).counts["t"] == {"inserted": 1, "changed": 1, "deleted": 1}
+    assert sorted(r.k for r in store.version().read("t").collect()) == [2, 3, 4, 5, 6, 7]

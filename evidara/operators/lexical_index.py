@@ -47,20 +47,22 @@ def gram_rows(fields: Sequence[Sequence[str | None]]) -> tuple[np.ndarray, np.nd
     n = len(fields[0])
     texts = [t or "" for field in fields for t in field]
     c = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
-    part = np.repeat(np.arange(len(texts), dtype=np.int32), [len(t) for t in texts])
+    sizes = [len(t) for t in texts]
+    part = np.repeat(np.arange(len(texts), dtype=np.int32), sizes)
     met = np.zeros(0x110000, bool)
     met[c] = True
     letters = np.flatnonzero(met)
-    number = np.zeros(0x110000, np.int64)
+    bits, low = max(1, len(letters) - 1).bit_length(), max(1, n - 1).bit_length()
+    kind = np.uint32 if 3 * bits + low <= 32 else np.int64
+    number = np.zeros(0x110000, kind)
     number[letters] = np.arange(len(letters))
     c = number[c]
-    bits, low = max(1, len(letters) - 1).bit_length(), max(1, n - 1).bit_length()
     inside = part[2:] == part[:-2]
     grams = ((c[:-2] << 2 * bits) | (c[1:-1] << bits) | c[2:])[inside]
-    rows = (part[2:][inside] % n).astype(np.int64)
+    rows = np.repeat(np.tile(np.arange(n, dtype=kind), len(fields)), sizes)[2:][inside]
     if 3 * bits + low <= 63:  # gram and row fit in one number
         both = np.sort((grams << low) | rows)
-        both = both[np.concatenate([[True], both[1:] != both[:-1]])] if len(both) else both
+        both = both[np.concatenate([[True], both[1:] != both[:-1]])].astype(np.int64) if len(both) else both.astype(np.int64)
         grams, rows = both >> low, both & ((1 << low) - 1)
     else:
         order = np.lexsort((rows, grams))

@@ -29,11 +29,13 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, NumericType, StringType, StructField, StructType
 
-from ..sources.scratch import passing, settled
+from ..sources.scratch import passing, released, settled
 
 HASH_BITS = 31
 #: Rows that a task puts in a part: larger parts are dealt to several files.
 FILE_ROWS = 100_000
+#: After more rows than these are written, files of their shuffles are deleted at once.
+RELEASED_ROWS = 100_000
 #: Longer texts are compared by their SHA-256 with those that are held.
 LONG = 64
 
@@ -241,7 +243,14 @@ class Store:
         return s, self._rows(name, s.table._replace(parts=s.parts), sorted(s.parts))
 
     def _stage(self, base: Version, name: str, change: Change, keys: Sequence[str], place: str) -> Staged:
-        """The parts that a change makes, written, and the parts that they take the place of."""
+        """The parts that a change makes, written, and the parts that they take the place of; nothing else is left."""
+        with passing(self.spark):
+            s = self._written(base, name, change, keys, place)
+        if sum(p.rows for p in s.parts.values()) > RELEASED_ROWS:
+            released(self.spark)
+        return s
+
+    def _written(self, base: Version, name: str, change: Change, keys: Sequence[str], place: str) -> Staged:
         t = base.tables.get(name)
         if t is None:
             if change.upserts is None:

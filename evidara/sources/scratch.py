@@ -54,6 +54,12 @@ def passing(spark: SparkSession) -> Iterator[None]:
             folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
+def released(spark: SparkSession) -> None:
+    """Has shuffle files of queries that are done deleted: Spark does so for plans that the driver's JVM has collected,
+    which a large heap puts off until after files of many queries lie on the disks."""
+    spark._jvm.System.gc()
+
+
 def settled(df: DataFrame, name: str) -> DataFrame:
     """df, computed once and read from Parquet from here on."""
     place = shared_place(df.sparkSession, name)
